@@ -21,7 +21,8 @@ def as_double(vec: str | Column) -> Column:
 
 
 def constant_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    # one parsed literal list: far fewer calls than one per element
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
 def sigmoid(z: Column) -> Column:
@@ -32,26 +33,33 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A column named inside an array lambda is otherwise computed per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def affine(vec: Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
     """``Wx + b`` for a modest number of outputs; wide layers belong in ``score``."""
-    outs = []
-    for j, row in enumerate(weights):
-        out = dot(vec, constant_vector(row))
-        outs.append(out + F.lit(float(bias[j])) if bias is not None else out)
-    return F.array(*outs)
+    shift = [0.0] * len(weights) if bias is None else [float(b) for b in bias]
+    return bind(vec, lambda v: F.array(*[dot(v, constant_vector(w)) + F.lit(b) for w, b in zip(weights, shift)]))
+
+
+def _scaled(vec: Column, second_moment: Column, eps: float) -> Column:
+    scale = F.lit(1.0) / F.sqrt(second_moment / F.size(vec) + F.lit(eps))
+    return bind(scale, lambda s: F.transform(vec, lambda x: x * s))
 
 
 def rms_normalise(vec: Column, weight: Column | None = None, eps: float = RMS_EPS) -> Column:
-    scale = F.lit(1.0) / F.sqrt(_sum(F.transform(vec, lambda x: x * x)) / F.size(vec) + F.lit(eps))
-    scaled = F.transform(vec, lambda x: x * scale)
+    scaled = bind(vec, lambda v: _scaled(v, _sum(F.transform(v, lambda x: x * x)), eps))
     return scaled if weight is None else F.zip_with(scaled, weight, lambda x, w: x * w)
 
 
 def layer_normalise(vec: Column, eps: float = 1e-5) -> Column:
-    mean = _sum(vec) / F.size(vec)
-    var = _sum(F.transform(vec, lambda x: (x - mean) * (x - mean))) / F.size(vec)
-    scale = F.lit(1.0) / F.sqrt(var + F.lit(eps))
-    return F.transform(vec, lambda x: (x - mean) * scale)
+    centred = bind(vec, lambda v: bind(_sum(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m)))
+    return bind(centred, lambda c: _scaled(c, _sum(F.transform(c, lambda x: x * x)), eps))
 
 
 def width_adapter(vec: Column, in_dim: int, weights: Sequence[Sequence[float]]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.text import is_blank
 from veritrail.operators.grade import GradeTexts
-from veritrail.operators.skew import lookup_join
+from veritrail.operators.skew import lookup_join, measured_bytes
 from veritrail.session import cut_lineage
 
 # A generator takes fan-out rows (problem_id, problem, round, cand_idx, text)
@@ -42,6 +42,8 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
     every partitioning draws the same chunk.
     """
 
+    pool_bytes = measured_bytes(pool)
+
     def run(df: DataFrame) -> DataFrame:
         draw = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ("problem_id", "round", "cand_idx")]))
         number = F.conv(F.substring(draw, 1, 8), 16, 10).cast("long")
@@ -53,7 +55,7 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
                 "logprob": -F.pmod(other, F.lit(1000)) / F.lit(250.0),
             }
         )
-        return lookup_join(drawn, pool, ["pool_idx"]).drop("pool_idx")
+        return lookup_join(drawn, pool, ["pool_idx"], measured=pool_bytes).drop("pool_idx")
 
     return run
 

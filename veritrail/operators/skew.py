@@ -43,14 +43,15 @@ def lookup_join(
     how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    measured: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which has one row per key.
 
     A lookup whose measured size fits is broadcast. A larger one is shuffled,
     with the rows of hot keys taken out and joined to a broadcast of the hot
-    lookup rows alone.
+    lookup rows alone. Pass ``measured`` where the size is known already.
     """
-    if measured_bytes(lookup) <= broadcast_bytes:
+    if (measured_bytes(lookup) if measured is None else measured) <= broadcast_bytes:
         return _same_keys(facts, F.broadcast(lookup), keys, how)
     hot = (
         facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)

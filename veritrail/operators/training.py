@@ -155,15 +155,8 @@ def _partials(step: DataFrame, runs: dict[str, _Run], config: TrainConfig, epoch
         return pd.DataFrame(rows, columns=["run", "kind", "name", "part", "batch", "values"])
 
     partial = step.groupBy("batch_id").applyInPandas(one_batch, PARTIAL)
-    total = Summarizer.metrics("mean", "weightSum").summary(array_to_vector("values"))
-    reduced = (
-        partial.groupBy("run", "kind", "name", "part", "batch")
-        .agg(total.alias("_s"), F.count(F.lit(1)).cast("double").alias("_n"))
-        .select(
-            "run", "kind", "name", "part", "batch",
-            F.transform(vector_to_array("_s.mean"), lambda v: v * F.col("_n")).alias("values"),
-        )
-    )
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("values"))))
+    reduced = partial.groupBy("run", "kind", "name", "part", "batch").agg(total.alias("values"))
     # at most accumulation_steps facts per run plus one sum per weight
     rows = reduced.collect()
     shared.destroy()
@@ -191,6 +184,7 @@ def _apply_step(run: _Run, rows: list, step: int, config: TrainConfig, n_batches
 
 
 def _rates(tp: float, fp: float, tn: float, fn: float) -> dict:
+    tp, fp, tn, fn = (float(v) for v in (tp, fp, tn, fn))
     accuracy = (tp + tn) / (tp + tn + fp + fn + metrics.EPS)
     precision, recall = tp / (tp + fp + metrics.EPS), tp / (tp + fn + metrics.EPS)
     f1 = 2 * precision * recall / (precision + recall + metrics.EPS)
@@ -253,7 +247,7 @@ def train_graders(
                 mine = [r for r in rows if r["run"] == name]
                 for fact in _apply_step(run, mine, step, config, prepared.n_batches, rate).values():
                     if not math.isnan(fact[0]):
-                        losses[name] += fact[0]
+                        losses[name] += float(fact[0])
                         cells[name] += fact[1:]
         floor = 0.1 * config.learning_rate
         rate = floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2

@@ -159,10 +159,15 @@ def _proposals(rows: DataFrame, generate: Generator, k: int) -> DataFrame:
     return drawn.groupBy("problem_id").agg(F.array_sort(entries).alias("candidates"))
 
 
-def _select(state: DataFrame, max_depth: int, c_puct: float) -> DataFrame:
-    """Walk every tree to the node to evaluate: adds ``cur`` and ``path``."""
-    walk = state.withColumn("cur", F.get("nodes", F.lit(0))).withColumn("path", F.array(F.lit(0)))
-    for _ in range(max(1, max_depth)):
+class _Simulation:
+    """One simulation in every tree: select, evaluate, expand, back up.
+
+    The columns do not depend on the data and are built once per search.
+    """
+
+    def __init__(self, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float):
+        self.generate, self.grade, self.k = generate, grade, k
+        self.depth_steps = max(1, max_depth)
 
         def rank(n: Column) -> Column:
             value = node_value(n["value_sum"], n["visits"])
@@ -170,55 +175,56 @@ def _select(state: DataFrame, max_depth: int, c_puct: float) -> DataFrame:
             return F.struct(score.alias("score"), (-n["child_ord"]).alias("first"), n["node_id"].alias("node_id"))
 
         children = F.filter("nodes", lambda n: n["parent_id"] == F.col("cur.node_id"))
-        open_node = ~F.col("cur.terminal") & ~F.col("cur.eos")
-        best = F.when(open_node, F.array_max(F.transform(children, rank)))
-        walk = walk.withColumn("_next", best["node_id"])
-        walk = walk.withColumns(
-            {
-                "cur": F.coalesce(F.get("nodes", F.col("_next")), F.col("cur")),
-                "path": F.when(F.col("_next").isNotNull(), F.concat("path", F.array("_next"))).otherwise(F.col("path")),
-            }
+        self.start = {"cur": F.get("nodes", F.lit(0)), "path": F.array(F.lit(0))}
+        self.next = F.when(
+            ~F.col("cur.terminal") & ~F.col("cur.eos"), F.array_max(F.transform(children, rank))["node_id"]
         )
-    return walk.drop("_next")
-
+        self.move = {
+            "cur": F.coalesce(F.get("nodes", F.col("_next")), F.col("cur")),
+            "path": F.when(F.col("_next").isNotNull(), F.concat("path", F.array("_next"))).otherwise(F.col("path")),
+        }
+        expanded = F.exists("nodes", lambda n: n["parent_id"] == F.col("cur.node_id"))
+        chunks = F.transform("path", lambda i: F.get("nodes", i)["chunk"])
+        self.reached = {
+            "_at": F.concat("text", F.array_join(chunks, "")),
+            "_shut": (F.col("cur.depth") >= max_depth) | F.col("cur.eos"),
+            "_expanded": expanded,
+        }
+        self.leaf = [
+            F.col("problem_id"), F.col("problem"), F.col("_at").alias("text"), F.col("cur.grade").alias("grade"),
+            F.concat_ws(".", F.col("iter").cast("string"), F.col("cur.node_id").cast("string")).alias("round"),
+            F.col("_shut"), F.col("_expanded"),
+        ]
+        value = F.coalesce(F.col("cur.grade"), F.col("score"))
+        childless = F.col("candidates").isNull() & ~F.col("_expanded")
+
+        def after(n: Column) -> Column:
+            on_path = F.array_contains("path", n["node_id"])
+            here = n["node_id"] == F.col("cur.node_id")
+            kept = {f: n[f] for f in ("node_id", "parent_id", "child_ord", "depth", "prior", "chunk", "eos")}
+            return _node(
+                **kept,
+                terminal=n["terminal"] | (here & (F.col("_shut") | childless)),
+                visits=n["visits"] + on_path.cast("long"),
+                value_sum=n["value_sum"] + F.when(on_path, value).otherwise(F.lit(0.0)),
+                grade=F.when(here, value).otherwise(n["grade"]),
+            )
 
-def _simulate(
-    state: DataFrame, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float
-) -> DataFrame:
-    """One simulation in every tree: select, evaluate, expand, back up."""
-    walk = _select(state, max_depth, c_puct)
-    chunks = F.transform("path", lambda i: F.get("nodes", i)["chunk"])
-    walk = walk.withColumn("_at", F.concat("text", F.array_join(chunks, "")))
-    shut = (F.col("cur.depth") >= max_depth) | F.col("cur.eos")
-    leaf = walk.select(
-        "problem_id", "problem", F.col("_at").alias("text"), F.col("cur.grade").alias("grade"), shut.alias("shut"),
-        F.concat_ws(".", F.col("iter").cast("string"), F.col("cur.node_id").cast("string")).alias("round"),
-        F.exists("nodes", lambda n: n["parent_id"] == F.col("cur.node_id")).alias("expanded"),
-    )
-    # a node met again keeps the grade it got: the grader is a function of the text
-    scores = grade(leaf.where(F.col("grade").isNull()).select("problem_id", "problem", "text"))
-    fresh = _proposals(leaf.where(~F.col("shut") & ~F.col("expanded")), generate, k)
-    met = walk.join(scores, "problem_id", "left").join(fresh, "problem_id", "left")
-    value = F.coalesce(F.col("cur.grade"), F.col("score"))
-    childless = F.col("candidates").isNull() & ~F.exists("nodes", lambda n: n["parent_id"] == F.col("cur.node_id"))
-
-    def after(n: Column) -> Column:
-        on_path = F.array_contains("path", n["node_id"])
-        here = n["node_id"] == F.col("cur.node_id")
-        return _node(
-            node_id=n["node_id"], parent_id=n["parent_id"], child_ord=n["child_ord"], depth=n["depth"],
-            prior=n["prior"], chunk=n["chunk"], eos=n["eos"],
-            terminal=n["terminal"] | (here & (shut | childless)),
-            visits=n["visits"] + on_path.cast("long"),
-            value_sum=n["value_sum"] + F.when(on_path, value).otherwise(F.lit(0.0)),
-            grade=F.when(here, value).otherwise(n["grade"]),
-        )
+        born = _new_children(F.col("nodes"), F.col("cur"), F.col("candidates"))
+        grown = F.concat(F.transform("nodes", after), F.coalesce(born, F.array().cast(f"array<{NODE}>")))
+        self.result = ["problem_id", "problem", "text", "iter", grown.alias("nodes")]
 
-    grown = F.concat(
-        F.transform("nodes", after),
-        F.coalesce(_new_children(F.col("nodes"), F.col("cur"), F.col("candidates")), F.array().cast(f"array<{NODE}>")),
-    )
-    return met.select("problem_id", "problem", "text", "iter", grown.alias("nodes"))
+    def run(self, state: DataFrame) -> DataFrame:
+        walk = state.withColumns(self.start)
+        for _ in range(self.depth_steps):
+            walk = walk.withColumn("_next", self.next).withColumns(self.move)
+        walk = walk.drop("_next").withColumns(self.reached)
+        leaf = walk.select(*self.leaf)
+        # a node met again keeps the grade it got: the grader is a function of the text
+        scores = self.grade(leaf.where("grade is null").select("problem_id", "problem", "text"))
+        fresh = _proposals(leaf.where("not _shut and not _expanded"), self.generate, self.k)
+        met = walk.join(scores, "problem_id", "left").join(fresh, "problem_id", "left")
+        return met.select(*self.result)
 
 
 def search(
@@ -239,6 +245,9 @@ def search(
     Each outer move starts a new tree at the text so far. ``grade`` scores rows
     keyed by ``problem_id``. The searched trees are appended to ``trees``.
     """
+    if max_iters < 1:
+        raise ValueError("max_iters must be at least 1")
+    simulation = _Simulation(generate, grade, k, max_depth, c_puct)
     active = problems.select("problem_id", "problem", F.lit("").alias("text"))
     finished: list[DataFrame] = []
     for it in range(max_iters):
@@ -246,7 +255,8 @@ def search(
         roots = _proposals(placed.withColumn("round", F.concat(F.col("iter").cast("string"), F.lit(".root"))), generate, k_root)
         met = cut_lineage(placed.join(roots, "problem_id", "left"))
         stuck = met.where(F.col("candidates").isNull()).select("problem_id", "problem", "text")
-        finished.append(_closing(stuck.join(grade(stuck), "problem_id"), it, F.lit("no_candidates")))
+        if not stuck.isEmpty():
+            finished.append(_closing(stuck.join(grade(stuck), "problem_id"), it, F.lit("no_candidates")))
         grown = met.where(F.col("candidates").isNotNull()).withColumn("_root", _root())
         base = F.array("_root")
         state = grown.select(
@@ -254,7 +264,7 @@ def search(
             F.concat(base, _new_children(base, F.col("_root"), F.col("candidates"))).alias("nodes"),
         )
         for _ in range(num_simulations):
-            state = cut_lineage(_simulate(state, generate, grade, k, max_depth, c_puct))
+            state = cut_lineage(simulation.run(state))
         if trees is not None:
             trees.append(state)
         top = F.array_max(
@@ -277,8 +287,6 @@ def search(
         active = judged.where(F.col("reason").isNull()).select("problem_id", "problem", "text")
         if it < max_iters - 1 and active.isEmpty():
             break
-    if not finished:
-        raise ValueError("max_iters must be at least 1")
     return reduce(DataFrame.unionByName, finished)
 
 

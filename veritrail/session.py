@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
+    # call-site capture makes every Column call slow where plans are built in loops
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
