@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions.vectors import POOL_MIN_WEIGHT
 from veritrail.operators.skew import BROADCAST_BYTES, lookup_join, measured_bytes
+from veritrail.session import ship_package
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
@@ -37,7 +38,10 @@ def running_mean_encoder(matrix: np.ndarray) -> Encoder:
 
 
 def embedding_matrix(vectors: DataFrame, row: str, vec: str, max_bytes: int = BROADCAST_BYTES) -> np.ndarray | None:
-    """The token vectors as a matrix, or None when they are too many to ship."""
+    """The token vectors as a matrix, or None when they are too many to ship.
+
+    Row ``i`` of the result is the vector of token id ``i``.
+    """
     if measured_bytes(vectors.select(row, vec)) > max_bytes:
         return None
     pdf = vectors.select(row, vec).orderBy(row).toPandas()
@@ -58,6 +62,7 @@ def states_at(
     df: DataFrame, keys: Sequence[str], ids: str, ends: str, factory: EncoderFactory
 ) -> DataFrame:
     """One row ``(keys, prefix_length, vec)`` for each length in the array ``ends``."""
+    ship_package(df.sparkSession)
     schema = T.StructType(
         [
             *_carry(df, keys),
@@ -86,6 +91,7 @@ def states_at(
 
 def all_states(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFactory) -> DataFrame:
     """Long table ``(keys, pos, token_id, vec)``, one row per token."""
+    ship_package(df.sparkSession)
     schema = T.StructType(
         [
             *_carry(df, keys),
@@ -146,13 +152,31 @@ def running_mean_states(
     return flat.select(key, F.col("_seen").cast("int").alias("prefix_length"), F.array(*sums).alias("vec"))
 
 
-def masked_mean_pool(
+def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, matrix: np.ndarray) -> DataFrame:
+    """Mean of the masked-in token vectors of each sequence, without a shuffle.
+
+    A sequence with nothing masked in gives the zero vector, since its zero sum
+    is divided by a floor weight.
+    """
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(matrix)
+    floor = POOL_MIN_WEIGHT
+
+    @F.pandas_udf("array<double>")
+    def pool(seqs: pd.Series, masks: pd.Series) -> pd.Series:
+        table = shared.value
+        kept = (np.asarray(s)[np.asarray(m) == 1] for s, m in zip(seqs, masks))
+        return pd.Series([table[k].sum(0) / max(len(k), floor) if len(k) else np.zeros(table.shape[1]) for k in kept])
+
+    return df.select(key, pool(ids, mask).alias("vec"))
+
+
+def masked_mean_pool_join(
     df: DataFrame, key: str, ids: str, mask: str, vectors: DataFrame, row: str, vec: str
 ) -> DataFrame:
-    """Mean of the masked-in token vectors of each sequence.
+    """The same by joins, for vector tables of any size.
 
-    A sequence with nothing masked in gives the zero vector, since its zero sum
-    is divided by a floor weight. Equal tokens of a sequence are counted first.
+    Equal tokens of a sequence are counted before they meet the vectors.
     """
     kept = df.select(key, F.explode(F.filter(F.arrays_zip(ids, mask), lambda z: z[mask] == 1)).alias("_z"))
     counted = (
@@ -174,6 +198,7 @@ def masked_mean_pool(
 
 def to_half(df: DataFrame, vec: str = "vec") -> DataFrame:
     """Round vectors to half precision, stored as FLOAT."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def half(col: pd.Series) -> pd.Series:

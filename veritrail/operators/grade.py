@@ -14,6 +14,7 @@ from veritrail.functions import grader_math as gm
 from veritrail.functions.chat import chat_messages, render_chat, system_prompt
 from veritrail.functions.vectors import affine, as_double, sigmoid
 from veritrail.operators.encode import EncoderFactory, final_state
+from veritrail.session import ship_package
 
 GradeTexts = Callable[[DataFrame], DataFrame]
 
@@ -43,17 +44,20 @@ def logit_column(df: DataFrame, grader: Grader, vec: str | Column) -> Column:
     c = F.col(vec) if isinstance(vec, str) else vec
     if not grader.spec.residual and not grader.spec.hidden_dims:
         return affine(as_double(c), grader.params["out.w"], grader.params["out.b"])[0]
-    shared = df.sparkSession.sparkContext.broadcast(grader)
+    ship_package(df.sparkSession)
+    # plain arrays in the broadcast, the shape in the closure
+    shared = df.sparkSession.sparkContext.broadcast((grader.params, grader.running))
+    spec = grader.spec
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        g = shared.value
+        params, running = shared.value
         for batch in batches:
             if len(batch) == 0:
                 yield pd.Series([], dtype="float64")
                 continue
             x = np.stack(batch.to_numpy())
-            yield pd.Series(gm.logits(g.spec, g.params, x, g.running))
+            yield pd.Series(gm.logits(spec, params, x, running))
 
     return run(c)
 

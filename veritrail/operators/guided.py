@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veritrail.functions.text import is_blank
 from veritrail.operators.grade import GradeTexts
 from veritrail.operators.skew import lookup_join, measured_bytes
-from veritrail.session import cut_lineage
+from veritrail.session import cut_lineage, ship_package
 
 # A generator takes fan-out rows (problem_id, problem, round, cand_idx, text)
 # and adds ``chunk`` and ``eos``, for the tree search ``logprob`` too; ``text``
@@ -29,6 +29,7 @@ def model_generator(
             for pdf in it:
                 yield generate(pdf)
 
+        ship_package(df.sparkSession)
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.mapInPandas(batches, f"{kept}, {extra}")
 

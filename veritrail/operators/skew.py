@@ -13,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from veritrail.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -32,8 +35,14 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(total.alias("n")).first()["n"])
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    return left.join(right, list(keys), how)
+def hot_keys(facts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with at least ``hot_rows`` rows, or None when there is none.
+
+    One count over the key columns, combined on the map side.
+    """
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(counts.where(F.col("_n") >= hot_rows).select(*keys))
+    return None if hot.isEmpty() else hot
 
 
 def lookup_join(
@@ -51,35 +60,33 @@ def lookup_join(
     with the rows of hot keys taken out and joined to a broadcast of the hot
     lookup rows alone. Pass ``measured`` where the size is known already.
     """
+    on = list(keys)
     if (measured_bytes(lookup) if measured is None else measured) <= broadcast_bytes:
-        return _same_keys(facts, F.broadcast(lookup), keys, how)
-    hot = (
-        facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
-    ).select(*keys)
-    return _split_join(facts, lookup, hot, keys, how)
-
-
-def _split_join(
-    facts: DataFrame, lookup: DataFrame, hot: DataFrame, keys: Sequence[str], how: str
-) -> DataFrame:
-    hot_keys = F.broadcast(hot)
-    hot_lookup = F.broadcast(lookup.join(hot_keys, list(keys), "left_semi"))
-    cold_part = facts.join(hot_keys, list(keys), "left_anti").join(lookup, list(keys), how)
-    hot_part = facts.join(hot_keys, list(keys), "left_semi").join(hot_lookup, list(keys), how)
-    return cold_part.unionByName(hot_part)
+        return facts.join(F.broadcast(lookup), on, how)
+    hot = hot_keys(facts, on, hot_rows)
+    if hot is None:
+        return facts.join(lookup, on, how)
+    few = F.broadcast(hot)
+    hot_lookup = F.broadcast(lookup.join(few, on, "left_semi"))
+    cold_part = facts.join(few, on, "left_anti").join(lookup, on, how)
+    return cold_part.unionByName(facts.join(few, on, "left_semi").join(hot_lookup, on, how))
 
 
 def attach_group_stats(
-    facts: DataFrame,
-    keys: Sequence[str],
-    stats: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
+    facts: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot: DataFrame | None
 ) -> DataFrame:
-    """Give every row the aggregates of its group without a whole-group window.
+    """Give every row the aggregates of its group; ``hot`` comes from ``hot_keys``.
 
-    The aggregates combine on the map side, so a hot group reaches the shuffle
-    as one row per task; its rows then meet the result through a broadcast.
+    Ordinary groups go through one window. The rows of hot groups stay where
+    they are: their aggregates combine on the map side and return by broadcast.
     """
-    grouped = facts.groupBy(*keys).agg(*stats, F.count(F.lit(1)).alias("_n"))
-    hot = grouped.where(F.col("_n") >= hot_rows).select(*keys)
-    return _split_join(facts, grouped.drop("_n"), hot, keys, "inner")
+    on = list(keys)
+    frame = Window.partitionBy(*on)
+    over = {name: agg.over(frame) for name, agg in stats.items()}
+    if hot is None:
+        return facts.withColumns(over)
+    few = F.broadcast(hot)
+    hot_part = facts.join(few, on, "left_semi")
+    totals = hot_part.groupBy(*on).agg(*[agg.alias(name) for name, agg in stats.items()])
+    cold_part = facts.join(few, on, "left_anti").withColumns(over)
+    return cold_part.unionByName(hot_part.join(F.broadcast(totals), on).select(*cold_part.columns))

@@ -23,7 +23,7 @@ from veritrail.functions.vectors import width_check
 from veritrail.operators import metrics
 from veritrail.operators.grade import Grader, score
 from veritrail.operators.ordering import with_epoch_batches, with_split
-from veritrail.session import written_table
+from veritrail.session import ship_package, written_table
 
 MAX_PARAMS = 4_000_000
 SLICE = 4096
@@ -128,7 +128,9 @@ class TrainResult:
 def _partials(step: DataFrame, runs: dict[str, _Run], config: TrainConfig, epoch: int):
     """Sum of gradients and per-batch facts of one update step, in one job."""
     sc = step.sparkSession.sparkContext
-    shared = sc.broadcast({name: (r.spec, r.params) for name, r in runs.items()})
+    ship_package(step.sparkSession)
+    shared = sc.broadcast({name: r.params for name, r in runs.items()})
+    specs = {name: r.spec for name, r in runs.items()}
     seed, accumulation = config.seed, config.accumulation_steps
 
     def one_batch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +139,8 @@ def _partials(step: DataFrame, runs: dict[str, _Run], config: TrainConfig, epoch
         batch = int(pdf["batch_id"].iloc[0])
         x, y = np.stack(pdf["vec"].to_numpy()), pdf["label"].to_numpy()
         rows: list[tuple] = []
-        for run, (spec, params) in shared.value.items():
+        for run, params in shared.value.items():
+            spec = specs[run]
             drop = gm.Dropout(spec.dropout, pdf["row_key"].to_numpy(), seed, epoch)
             loss, z, grads, stats = gm.loss_and_grads(spec, params, x, y, drop)
             hit, good = z > 0, y == 1

@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 from veritrail.functions.search import node_value, puct, softmax
 from veritrail.operators.grade import GradeTexts
 from veritrail.operators.guided import Generator, fan_out, stop_reason
-from veritrail.operators.skew import attach_group_stats, lookup_join
+from veritrail.operators.skew import HOT_ROWS, attach_group_stats, hot_keys, lookup_join
 from veritrail.session import cut_lineage
 
 # --- one row per node: tree_id, node_id, parent_id, child_ord, depth, prior,
 # --- eos, terminal, visits, value_sum
 
 
-def sibling_priors(df: DataFrame, keys: list[str], logprob: str = "logprob", out: str = "prior") -> DataFrame:
+def sibling_priors(
+    df: DataFrame, keys: list[str], logprob: str = "logprob", out: str = "prior", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Softmax over the siblings of each group, whatever the group's size."""
-    peaked = attach_group_stats(df, keys, [F.max(logprob).alias("_top")])
+    hot = hot_keys(df, keys, hot_rows)
+    peaked = attach_group_stats(df, keys, {"_top": F.max(logprob)}, hot)
     raised = peaked.withColumn("_pow", F.exp(F.col(logprob) - F.col("_top")))
-    summed = attach_group_stats(raised, keys, [F.sum("_pow").alias("_sum")])
+    summed = attach_group_stats(raised, keys, {"_sum": F.sum("_pow")}, hot)
     return summed.withColumn(out, F.col("_pow") / F.col("_sum")).drop("_top", "_pow", "_sum")
 
 

@@ -161,6 +161,8 @@ pooled AS (SELECT doc_id, dim, sum(c * x) / greatest(sum(c), 1e-6) AS v FROM cou
 every AS (SELECT doc_id, dim FROM documents, (SELECT DISTINCT dim FROM dims))
 SELECT doc_id, dim::INT AS dim, round(coalesce(v, 0.0), 6) AS value FROM every LEFT JOIN pooled USING (doc_id, dim)"""
 
+SQL["masked_mean_pool_join"] = SQL["masked_mean_pool"]
+
 SQL["first_position_pool"] = f"""
 WITH n AS (SELECT count(*) AS n FROM embeddings),
 toks AS ({_tokens('documents', 'doc_id')}),

@@ -25,7 +25,7 @@ from veritrail.plans.tables import (
     sentence_pool,
     table,
 )
-from veritrail.session import scratch_path, written_table
+from veritrail.session import scratch_path, spread, written_table
 from veritrail.sources import results, shards
 from veritrail.streaming import live
 
@@ -93,7 +93,8 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def left_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.split_tokens("text").alias("toks"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
     kept = tokens.left_truncate(F.col("toks"))
     return docs.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.size(kept).alias("n_kept"),
@@ -182,7 +183,8 @@ def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_ids(spark: SparkSession, sf_dir: str, vocab: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.split_tokens("text").alias("toks"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
     docs = docs.select("doc_id", "toks", F.size("toks").alias("length"))
     ends = prefixes.prefix_lengths(F.col("length"))
     # ids are made up to the last wanted prefix end only
@@ -210,14 +212,28 @@ def last_state_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.long_vector(states, ["doc_id", "prefix_length"], "vec")
 
 
-def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    toks = table(spark, sf_dir, "documents").select("doc_id", tokens.split_tokens("text").alias("toks"))
-    masked = toks.select(
-        "doc_id", tokens.token_ids(F.col("toks"), vecs.count()).alias("ids"),
+def _masked_documents(spark: SparkSession, sf_dir: str, vocab: int) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    toks = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
+    return toks.select(
+        "doc_id", tokens.token_ids(F.col("toks"), vocab).alias("ids"),
         F.transform("toks", lambda t: (F.length(t) >= 2).cast("int")).alias("mask"),
     )
-    pooled = encode.masked_mean_pool(masked, "doc_id", "ids", "mask", vecs, "vec_id", "embedding")
+
+
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    matrix = encode.embedding_matrix(vecs, "vec_id", "embedding")
+    if matrix is None:
+        return masked_mean_pool_join(spark, sf_dir)
+    docs = _masked_documents(spark, sf_dir, len(matrix))
+    return vectors.long_vector(encode.masked_mean_pool(docs, "doc_id", "ids", "mask", matrix), ["doc_id"], "vec")
+
+
+def masked_mean_pool_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = _masked_documents(spark, sf_dir, vecs.count())
+    pooled = encode.masked_mean_pool_join(docs, "doc_id", "ids", "mask", vecs, "vec_id", "embedding")
     return vectors.long_vector(pooled, ["doc_id"], "vec")
 
 
@@ -571,7 +587,7 @@ QUERIES = {
         token_ids, decode_tokens, left_truncate, pad_mask_trim,
         seeded_order, range_order, shard_catalog, catalog_payload_join, early_stop_batches,
         train_val_split, split_by_original,
-        prefix_index, prefix_slice, last_state, last_state_join, masked_mean_pool, first_position_pool,
+        prefix_index, prefix_slice, last_state, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
         rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,

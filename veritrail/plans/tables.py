@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.tokens import split_tokens
 from veritrail.operators.ordering import with_seeded_ordinal
-from veritrail.operators.skew import attach_group_stats
-from veritrail.session import written_table
+from veritrail.operators.skew import attach_group_stats, hot_keys
+from veritrail.session import spread, written_table
 
 FIRST_DAY = "2024-01-01"
 
@@ -38,7 +38,7 @@ def dialogue(spark: SparkSession, sf_dir: str, answered: bool) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a label, as question/answer records."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat("source", "lang").alias("question"), F.col("text").alias("answer"), "lang", "source"
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_correct"))
@@ -46,7 +46,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size(split_tokens("text")).alias("length"))
 
 
@@ -63,7 +63,7 @@ def candidate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document, numbered in seeded order."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     parts = docs.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("part", "sentence"))
     numbered = with_seeded_ordinal(parts, ["doc_id", "part"], "pool", "pool_idx")
     return numbered.select("pool_idx", F.concat("sentence", F.lit(". ")).alias("chunk"))
@@ -113,6 +113,8 @@ def commerce_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # the joins above run once, then the node table is read as any stored tree
     below = written_table(below, "tree-below")
-    shared = attach_group_stats(below, ["tree_id", "parent_id"], [(F.lit(1.0) / F.count(F.lit(1))).alias("prior")])
+    family = ["tree_id", "parent_id"]
+    counted = attach_group_stats(below, family, {"_n": F.count(F.lit(1))}, hot_keys(below, family))
+    shared = counted.withColumn("prior", F.lit(1.0) / F.col("_n")).drop("_n")
     roots = level(regions, "r_regionkey", "r", "r_regionkey", F.lit(None).cast("string"), 0, no)
     return written_table(shared.unionByName(roots.withColumn("prior", F.lit(1.0))), "tree")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,35 @@ def build_session(app: str = "veritrail", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Does what ``--py-files`` does, for sessions started without it.
+    """
+    sc = spark.sparkContext
+    if _shipped.get(sc.applicationId):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="veritrail-code-")) / "veritrail.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(target))
+    _shipped[sc.applicationId] = True
+
+
+_shipped: dict[str, bool] = {}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than there are cores.
+
+    For heavy work per row on a small input; a large one is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

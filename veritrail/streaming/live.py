@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veritrail.operators.grade import Grader, score
 from veritrail.operators.guided import stop_reason
+from veritrail.session import ship_package
 from veritrail.sources.results import result_summary
 
 CANDIDATE = "problem_id long, iter int, cand_idx long, chunk string, score double, eos boolean, k int"
@@ -75,6 +76,7 @@ def guided_stream(candidates: DataFrame, threshold: float = 0.95, max_iters: int
     Candidates combine before the shuffle, so a problem sends at most
     ``max_iters`` rows per Arrow batch.
     """
+    ship_package(candidates.sparkSession)
     partial = candidates.where(F.col("iter") < max_iters).mapInPandas(_combine, CANDIDATE + ", n long")
     schema = "problem_id long, iter int, answer string, chunk string, score double, eos boolean"
 
