@@ -101,6 +101,6 @@ def width_check(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 def long_vector(df: DataFrame, keys: Sequence[str], vec: str, digits: int = 6) -> DataFrame:
     """``(keys, dim, value)`` with values rounded, ``dim`` from 0."""
-    return df.select(*keys, F.posexplode(vec).alias("dim", "value")).withColumn(
-        "value", F.round(F.col("value").cast("double"), digits)
-    )
+    # the outer form keeps Spark from testing, and so computing, the vector twice
+    long = df.select(*keys, F.posexplode_outer(vec).alias("dim", "value")).where("dim is not null")
+    return long.withColumn("value", F.round(F.col("value").cast("double"), digits))

@@ -59,7 +59,8 @@ def logit_column(df: DataFrame, grader: Grader, vec: str | Column) -> Column:
             x = np.stack(batch.to_numpy())
             yield pd.Series(gm.logits(spec, params, x, running))
 
-    return run(c)
+    # evaluated once per row, even where a filter on its result is pushed down
+    return run.asNondeterministic()(c)
 
 
 def score(df: DataFrame, grader: Grader, vec: str = "vec") -> DataFrame:

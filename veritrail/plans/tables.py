@@ -84,37 +84,35 @@ def commerce_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "F").alias("eos")
     )
-    leaves = orders.join(items, "o_orderkey", "left").join(placed, "c_custkey").fillna(0, ["visits", "value_sum"])
     totals = [F.sum("visits").alias("visits"), F.sum("value_sum").alias("value_sum")]
-    by_customer = leaves.groupBy("c_custkey").agg(*totals)
-    customers = placed.join(by_customer, "c_custkey", "left").fillna(0, ["visits", "value_sum"])
-    by_nation = customers.groupBy("n_nationkey").agg(*totals)
-    lands = nations.join(by_nation, "n_nationkey", "left").fillna(0, ["visits", "value_sum"])
-    regions = table(spark, sf_dir, "region").select("r_regionkey").join(
-        lands.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(*totals), "r_regionkey", "left"
-    ).fillna(0, ["visits", "value_sum"])
-
-    def level(rows: DataFrame, root: str, kind: str, key: str, parent: Column, depth: int, eos: Column) -> DataFrame:
+    known = {"visits": 0, "value_sum": 0.0}
+    ordered = orders.join(items, "o_orderkey", "left").fillna(known)
+    leaves = ordered.join(placed, "c_custkey")
+    customers = placed.join(ordered.groupBy("c_custkey").agg(*totals), "c_custkey", "left").fillna(known)
+    lands = nations.join(customers.groupBy("n_nationkey").agg(*totals), "n_nationkey", "left").fillna(known)
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"))
+    regions = regions.join(lands.groupBy("n_regionkey").agg(*totals), "n_regionkey", "left").fillna(known)
+
+    def named(kind: str, key: str) -> Column:
+        return F.concat(F.lit(kind), F.col(key).cast("string"))
+
+    def level(rows: DataFrame, kind: str, key: str, parent: Column, depth: int, eos: Column) -> DataFrame:
         return rows.select(
-            F.col(root).cast("int").alias("tree_id"), F.concat(F.lit(kind), F.col(key).cast("string")).alias("node_id"),
+            F.col("n_regionkey").cast("int").alias("tree_id"), named(kind, key).alias("node_id"),
             parent.alias("parent_id"), F.col(key).cast("long").alias("child_ord"), F.lit(depth).alias("depth"),
             eos.alias("eos"), F.lit(False).alias("terminal"), F.col("visits").cast("long").alias("visits"),
             F.col("value_sum").cast("double").alias("value_sum"),
         )
 
-    def named(kind: str, key: str) -> Column:
-        return F.concat(F.lit(kind), F.col(key).cast("string"))
-
     no = F.lit(False)
-    below = (
-        level(lands, "n_regionkey", "n", "n_nationkey", named("r", "n_regionkey"), 1, no)
-        .unionByName(level(customers, "n_regionkey", "c", "c_custkey", named("n", "n_nationkey"), 2, no))
-        .unionByName(level(leaves, "n_regionkey", "o", "o_orderkey", named("c", "c_custkey"), 3, F.col("eos")))
+    levels = (
+        level(regions, "r", "n_regionkey", F.lit(None).cast("string"), 0, no)
+        .unionByName(level(lands, "n", "n_nationkey", named("r", "n_regionkey"), 1, no))
+        .unionByName(level(customers, "c", "c_custkey", named("n", "n_nationkey"), 2, no))
+        .unionByName(level(leaves, "o", "o_orderkey", named("c", "c_custkey"), 3, F.col("eos")))
     )
     # the joins above run once, then the node table is read as any stored tree
-    below = written_table(below, "tree-below")
+    nodes = written_table(levels, "tree")
     family = ["tree_id", "parent_id"]
-    counted = attach_group_stats(below, family, {"_n": F.count(F.lit(1))}, hot_keys(below, family))
-    shared = counted.withColumn("prior", F.lit(1.0) / F.col("_n")).drop("_n")
-    roots = level(regions, "r_regionkey", "r", "r_regionkey", F.lit(None).cast("string"), 0, no)
-    return written_table(shared.unionByName(roots.withColumn("prior", F.lit(1.0))), "tree")
+    counted = attach_group_stats(nodes, family, {"_n": F.count(F.lit(1))}, hot_keys(nodes, family))
+    return counted.withColumn("prior", F.lit(1.0) / F.col("_n")).drop("_n")
