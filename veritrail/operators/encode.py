@@ -84,7 +84,8 @@ def states_at(
                     out[name].extend([value] * len(lengths))
                 out["prefix_length"].extend(lengths)
                 out["vec"].extend(states[np.asarray(lengths) - 1])
-            yield pd.DataFrame(out)
+            if out["vec"]:
+                yield pd.DataFrame(out)
 
     return df.select(*key_list, ids, ends).mapInPandas(run, schema)
 

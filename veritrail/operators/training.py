@@ -146,7 +146,8 @@ def _partials(step: DataFrame, runs: dict[str, _Run], config: TrainConfig, epoch
             hit, good = z > 0, y == 1
             cells = [(hit & good).sum(), (hit & ~good).sum(), (~hit & ~good).sum(), (~hit & good).sum()]
             finite = math.isfinite(loss)
-            rows.append((run, "fact", "loss", 0, batch, [loss if finite else math.nan, *map(float, cells)]))
+            # Arrow turns NaN into null, so a bad loss travels as a flag
+            rows.append((run, "fact", "loss", 0, batch, [float(finite), loss if finite else 0.0, *map(float, cells)]))
             if not finite:
                 continue
             for name, d in grads.items():
@@ -179,7 +180,7 @@ def _apply_step(run: _Run, rows: list, step: int, config: TrainConfig, n_batches
         run.running[r["name"]] = keep * run.running[r["name"]] + gm.BATCH_NORM_MOMENTUM * np.asarray(r["values"])
     boundary = min((step + 1) * config.accumulation_steps, n_batches) - 1
     # a skipped batch at the boundary skips the update: gradients carry over
-    if run.carried and not math.isnan(facts[boundary][0]):
+    if run.carried and facts[boundary][0]:
         clipped = gm.clip_by_norm(run.carried, config.grad_clip)
         run.params = run.optimiser.update(run.params, clipped, rate)
         run.carried = {}
@@ -249,9 +250,9 @@ def train_graders(
             for name, run in runs.items():
                 mine = [r for r in rows if r["run"] == name]
                 for fact in _apply_step(run, mine, step, config, prepared.n_batches, rate).values():
-                    if not math.isnan(fact[0]):
-                        losses[name] += float(fact[0])
-                        cells[name] += fact[1:]
+                    if fact[0]:
+                        losses[name] += float(fact[1])
+                        cells[name] += fact[2:]
         floor = 0.1 * config.learning_rate
         rate = floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2
         for name, run in runs.items():
