@@ -186,7 +186,8 @@ class _Simulation:
             "cur": F.coalesce(F.get("nodes", F.col("_next")), F.col("cur")),
             "path": F.when(F.col("_next").isNotNull(), F.concat("path", F.array("_next"))).otherwise(F.col("path")),
         }
-        expanded = F.exists("nodes", lambda n: n["parent_id"] == F.col("cur.node_id"))
+        # null-safe: the root has no parent
+        expanded = F.exists("nodes", lambda n: n["parent_id"].eqNullSafe(F.col("cur.node_id")))
         chunks = F.transform("path", lambda i: F.get("nodes", i)["chunk"])
         self.reached = {
             "_at": F.concat("text", F.array_join(chunks, "")),
