@@ -61,7 +61,7 @@ def test_states_by_encoder_joins_and_long_table_agree(spark, sequences, matrix,
     want = expected_states(rows, matrix)
     factory = encode.table_encoder(df, encode.embedding_matrix(table, "row", "vec"))
     by_encoder = encode.states_at(df, ["id"], "ids", "ends", factory)
-    by_joins = encode.running_mean_states(df, "id", "ids", table, "row", "vec", 5, "ends")
+    by_joins = encode.TableStates(table, "row", "vec", max_bytes=0).at(df, ["id"], "ids", "ends", 5)
     long = encode.all_states(df, ["id"], "ids", factory)
     index = df.select("id", F.explode("ends").alias("prefix_length"))
     by_table = prefixes.last_states(long, index)
@@ -74,9 +74,9 @@ def test_states_by_encoder_joins_and_long_table_agree(spark, sequences, matrix,
 
 def test_final_state_skips_empty(spark, matrix, table):
     df = spark.createDataFrame([(1, [3, 4]), (2, [])], "id long, ids array<int>")
-    factory = encode.table_encoder(df, matrix.astype(float))
-    rows = encode.final_state(df, ["id"], "ids", factory).collect()
-    assert [r.id for r in rows] == [1] and np.allclose(rows[0].vec, matrix[[3, 4]].astype(float).mean(0))
+    for limit in (0, 10_000):
+        rows = encode.TableStates(table, "row", "vec", max_bytes=limit).final(df, ["id"], "ids").collect()
+        assert [r.id for r in rows] == [1] and np.allclose(rows[0].vec, matrix[[3, 4]].astype(float).mean(0))
 
 
 def test_large_vector_table_is_not_shipped(spark, table):

@@ -155,7 +155,7 @@ def tree_by_hand(problem_id, problem, k_root, k, threshold, max_iters, sims, c,
     return text, score, it, "max_iters", trees
 
 
-@pytest.mark.parametrize("k_root,k,sims,depth,c", [(3, 2, 8, 3, 1.0), (2, 3, 5, 1, 0.3), (3, 3, 0, 2, 1.0)])
+@pytest.mark.parametrize("k_root,k,sims,depth,c", [(3, 2, 6, 3, 1.0), (2, 3, 3, 1, 0.3), (3, 3, 0, 2, 1.0)])
 def test_tree_search_equals_loop(spark, problems, generate, k_root, k, sims, depth, c):
     trees = []
     found = tree.search(problems, generate, grade_by("problem_id"), k_root, k, 0.9, 2, sims, c, depth, trees)
@@ -235,7 +235,7 @@ def test_root_move_takes_most_visits_then_first(small_tree):
 
 def test_array_and_relational_forms_agree(spark, problems, generate):
     trees = []
-    tree.search(problems, generate, grade_by("problem_id"), 3, 2, 2.0, 1, 6, 1.0, 3, trees).collect()
+    tree.search(problems, generate, grade_by("problem_id"), 3, 2, 2.0, 1, 5, 1.0, 3, trees).collect()
     nodes = tree.tree_rows(trees[0])
     moves = {r.tree_id: r.node_id for r in tree.root_moves(nodes).collect()}
     simulation = tree._Simulation(generate, grade_by("problem_id"), 2, 3, 1.0)

@@ -84,7 +84,7 @@ def test_corpus_to_prefix_vectors(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, question string, answer string, label_correct int")
     corpus = jobs.tokenised_corpus(df, "id", tokens.hash_tokeniser(50), jobs.CorpusConfig())
     factory = encode.table_encoder(df, matrix)
-    catalog, summary = jobs.extract_prefix_vectors(corpus, f"{tmp_path}/v", factory, 50, 1024, samples_per_shard=3)
+    catalog, summary = jobs.extract_prefix_vectors(corpus, f"{tmp_path}/v", encode.EncoderStates(factory), 50, 1024, samples_per_shard=3)
     total = sum(-(-r.length // 50) for r in corpus.collect())
     listed = catalog.orderBy("sample_id").collect()
     assert [r.sample_id for r in listed] == [f"sample_{i:07d}" for i in range(total)]

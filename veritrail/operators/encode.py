@@ -120,37 +120,82 @@ def all_states(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFac
 
 def final_state(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFactory) -> DataFrame:
     """Only the state after the last token, one row per non-empty sequence."""
-    whole = df.withColumn("_ends", F.filter(F.array(F.size(ids)), lambda n: n > 0))
-    return states_at(whole, keys, ids, "_ends", factory).drop("prefix_length")
+    return states_at(_whole(df, ids), keys, ids, "_ends", factory).drop("prefix_length")
+
+
+def _whole(df: DataFrame, ids: str) -> DataFrame:
+    return df.withColumn("_ends", F.filter(F.array(F.size(ids)), lambda n: n > 0))
 
 
 def running_mean_states(
-    df: DataFrame, key: str, ids: str, vectors: DataFrame, row: str, vec: str, stride_k: int, ends: str
+    df: DataFrame, keys: Sequence[str], ids: str, vectors: DataFrame, row: str, vec: str, ends: str,
+    stride_k: int | None = None,
 ) -> DataFrame:
     """The default encoder's prefix states by joins, for vector tables of any size.
 
-    Token vectors are counted per stride before they meet the vector table, so
-    the join sees one row per distinct token of a stride. Sums per stride run up
-    over the strides of one sequence.
+    ``ends`` holds multiples of ``stride_k`` and the end, or the end alone when
+    there is no stride. Token vectors are counted per stride before they meet
+    the vector table, so the join sees one row per distinct token of a stride.
+    Sums per stride run up over the strides of one sequence.
     """
-    longest = F.array_max(ends)
-    long = df.select(key, ends, F.posexplode(F.slice(F.col(ids), F.lit(1), longest)).alias("pos", "_tok"))
-    counted = (
-        long.withColumn("_stride", F.floor(F.col("pos") / stride_k))
-        .groupBy(key, "_stride", "_tok")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    key_list = list(keys)
+    needed = F.slice(F.col(ids), F.lit(1), F.coalesce(F.array_max(ends), F.lit(0)))
+    long = df.select(*key_list, F.posexplode(needed).alias("pos", "_tok"))
+    stride = F.floor(F.col("pos") / stride_k) if stride_k else F.lit(0).cast("long")
+    counted = long.groupBy(*key_list, stride.alias("_stride"), "_tok").agg(F.count(F.lit(1)).alias("_n"))
     table = vectors.select(F.col(row).cast("int").alias("_tok"), F.col(vec).cast("array<double>").alias("_vec"))
-    met = lookup_join(counted, table, ["_tok"]).withColumn("_v", array_to_vector("_vec"))
-    # Summarizer keeps means, which the running sum below turns back into sums
-    stats = Summarizer.metrics("mean").summary(F.col("_v"), F.col("_n").cast("double"))
-    strides = met.groupBy(key, "_stride").agg(stats.alias("_s"), F.sum("_n").alias("_n"))
-    so_far = Window.partitionBy(key).orderBy("_stride").rowsBetween(Window.unboundedPreceding, 0)
+    met = lookup_join(counted, table, ["_tok"])
+    mean = Summarizer.mean(array_to_vector("_vec"), F.col("_n").cast("double"))
+    strides = met.groupBy(*key_list, "_stride").agg(vector_to_array(mean).alias("_m"), F.sum("_n").alias("_n"))
+    if not stride_k:
+        return strides.select(*key_list, F.col("_n").cast("int").alias("prefix_length"), F.col("_m").alias("vec"))
+    # strides of one sequence: its length bounds this frame
+    so_far = Window.partitionBy(*key_list).orderBy("_stride").rowsBetween(Window.unboundedPreceding, 0)
     dims = len(vectors.select(vec).first()[0])
-    mean = vector_to_array(F.col("_s.mean"))
-    flat = strides.select(key, "_stride", "_n", mean.alias("_m")).withColumn("_seen", F.sum("_n").over(so_far))
+    flat = strides.withColumn("_seen", F.sum("_n").over(so_far))
     sums = [F.sum(F.col("_m")[d] * F.col("_n")).over(so_far) / F.col("_seen") for d in range(dims)]
-    return flat.select(key, F.col("_seen").cast("int").alias("prefix_length"), F.array(*sums).alias("vec"))
+    return flat.select(*key_list, F.col("_seen").cast("int").alias("prefix_length"), F.array(*sums).alias("vec"))
+
+
+class EncoderStates:
+    """States from an encoder that runs inside tasks."""
+
+    def __init__(self, factory: EncoderFactory):
+        self.factory = factory
+
+    def at(self, df: DataFrame, keys: Sequence[str], ids: str, ends: str, stride_k: int) -> DataFrame:
+        return states_at(df, keys, ids, ends, self.factory)
+
+    def final(self, df: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
+        return final_state(df, keys, ids, self.factory)
+
+
+class TableStates:
+    """States of the default encoder over a table of token vectors.
+
+    A table whose measured size fits is shipped to the tasks as a matrix; a
+    larger one is met by joins instead.
+    """
+
+    def __init__(self, vectors: DataFrame, row: str, vec: str, max_bytes: int = BROADCAST_BYTES):
+        self.vectors, self.row, self.vec = vectors, row, vec
+        matrix = embedding_matrix(vectors, row, vec, max_bytes)
+        self.shipped = None if matrix is None else EncoderStates(table_encoder(vectors, matrix))
+        self.vocab = vectors.count() if matrix is None else len(matrix)
+
+    def at(self, df: DataFrame, keys: Sequence[str], ids: str, ends: str, stride_k: int) -> DataFrame:
+        if self.shipped:
+            return self.shipped.at(df, keys, ids, ends, stride_k)
+        return running_mean_states(df, keys, ids, self.vectors, self.row, self.vec, ends, stride_k)
+
+    def final(self, df: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
+        if self.shipped:
+            return self.shipped.final(df, keys, ids)
+        whole = _whole(df, ids)
+        return running_mean_states(whole, keys, ids, self.vectors, self.row, self.vec, "_ends").drop("prefix_length")
+
+
+States = EncoderStates | TableStates
 
 
 def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, matrix: np.ndarray) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import grader_math as gm
 from veritrail.functions.chat import chat_messages, render_chat, system_prompt
 from veritrail.functions.vectors import affine, as_double, sigmoid
-from veritrail.operators.encode import EncoderFactory, final_state
+from veritrail.operators.encode import States
 from veritrail.session import ship_package
 
 GradeTexts = Callable[[DataFrame], DataFrame]
@@ -70,7 +70,7 @@ def score(df: DataFrame, grader: Grader, vec: str = "vec") -> DataFrame:
 
 
 def chat_grader(
-    keys: list[str], tokenise: Callable[[Column], Column], factory: EncoderFactory, grader: Grader,
+    keys: list[str], tokenise: Callable[[Column], Column], states: States, grader: Grader,
     profile: str = "search", mode: str = "continue",
 ) -> GradeTexts:
     """Plug-in for the searches: grade partial answers by their last state.
@@ -83,7 +83,6 @@ def chat_grader(
     def grade(df: DataFrame) -> DataFrame:
         messages = chat_messages(system_prompt(profile), F.col("problem"), F.col("text"))
         encoded = df.select(*keys, tokenise(render_chat(messages, mode)).alias("_ids"))
-        states = final_state(encoded, keys, "_ids", factory)
-        return score(states, grader).select(*keys, F.round("prob", 6).alias("score"))
+        return score(states.final(encoded, keys, "_ids"), grader).select(*keys, F.round("prob", 6).alias("score"))
 
     return grade

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veritrail.functions.chat import chat_messages, render_chat, system_prompt
 from veritrail.functions.tokens import MAX_LEN, Tokeniser, left_truncate
 from veritrail.operators import guided
-from veritrail.operators.encode import EncoderFactory, all_states, states_at
+from veritrail.operators.encode import EncoderFactory, States, all_states
 from veritrail.operators.grade import Grader, chat_grader
 from veritrail.operators.guided import Generator, fan_out
 from veritrail.operators.ordering import early_stop, with_range_ordinal, with_seeded_ordinal
@@ -63,7 +63,7 @@ def write_state_shards(
 def extract_prefix_vectors(
     corpus: DataFrame,
     path: str,
-    factory: EncoderFactory,
+    states: States,
     stride_k: int = STRIDE_K,
     max_length: int | None = MAX_LENGTH,
     samples_per_shard: int = shards.SAMPLES_PER_SHARD,
@@ -74,7 +74,7 @@ def extract_prefix_vectors(
     """
     wanted = corpus.withColumn("_ends", prefix_lengths(F.col("length"), stride_k, max_length))
     carried = ["ordinal", "id", "length", "label_correct"]
-    vectors = states_at(wanted, carried, "ids", "_ends", factory).select(
+    vectors = states.at(wanted, carried, "ids", "_ends", stride_k).select(
         F.col("id").alias("original_id"), "prefix_length", F.col("length").alias("original_length"),
         F.col("label_correct").cast("float").alias("label"), F.col("vec").cast("array<float>").alias("vec"),
         prefix_id("id").alias("prefix_id"), F.col("ordinal").alias("_original"),
@@ -87,11 +87,11 @@ def extract_prefix_vectors(
 
 
 def guided_batch(
-    problems: DataFrame, path: str, generate: Generator, tokenise: Tokeniser, factory: EncoderFactory,
+    problems: DataFrame, path: str, generate: Generator, tokenise: Tokeniser, states: States,
     grader: Grader, k: int = 5, threshold: float = 0.95, max_iters: int = 30,
 ) -> DataFrame:
     """Search a problem table, append the results, give the summary."""
-    grade = chat_grader(["problem_id", "cand_idx"], tokenise, factory, grader)
+    grade = chat_grader(["problem_id", "cand_idx"], tokenise, states, grader)
     renamed = problems.withColumnRenamed("problem_idx", "problem_id")
     found = guided.search(renamed, generate, grade, k, threshold, max_iters)
     done = found.withColumnRenamed("problem_id", "problem_idx")

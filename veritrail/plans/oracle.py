@@ -189,6 +189,10 @@ FROM ({_prefixes(f'({CORPUS_LENGTHS})')})"""
 
 DIMS = "SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings"
 
+SQL["vector_widths"] = """
+SELECT count(*) AS n_rows, count(*) FILTER (embedding IS NULL) AS n_missing, min(len(embedding))::INT AS min_width,
+  max(len(embedding))::INT AS max_width FROM embeddings"""
+
 SQL["rms_normalise"] = f"""
 SELECT vec_id, dim::INT AS dim, round(x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5), 6) AS value FROM ({DIMS})"""
 
@@ -395,6 +399,10 @@ def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: f
 
 SQL["guided_rounds"] = _guided_rounds()
 
+SQL["guided_batch"] = f"""
+SELECT count(*) AS num_problems, round(avg(final_score), 6) AS avg_final_score, '{{"k":"5","threshold":"0.8","max_iters":"4"}}' AS config,
+  count(*) AS n_written, count(*) AS n_distinct FROM ({SQL['guided_rounds']})"""
+
 SQL["sequence_logprob"] = f"""
 WITH toks AS (SELECT item_id, pos - 3 AS t, {_hash('tok')} % 16 AS id FROM ({_tokens('benchmark', 'item_id')}) WHERE pos >= 3),
 ends AS (SELECT item_id, min(t) FILTER (id = 3) AS stop, count(*) AS n FROM toks GROUP BY 1)

@@ -192,13 +192,15 @@ def _document_ids(spark: SparkSession, sf_dir: str, vocab: int) -> DataFrame:
     return docs.select("doc_id", "length", ends.alias("ends"), tokens.token_ids(needed, vocab).alias("ids"))
 
 
-def _prefix_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _table_states(spark: SparkSession, sf_dir: str, **limits: int) -> encode.TableStates:
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = _document_ids(spark, sf_dir, vecs.count())
-    matrix = encode.embedding_matrix(vecs, "vec_id", "embedding")
-    if matrix is None:
-        return encode.running_mean_states(docs, "doc_id", "ids", vecs, "vec_id", "embedding", prefixes.STRIDE_K, "ends")
-    return encode.states_at(docs, ["doc_id"], "ids", "ends", encode.table_encoder(docs, matrix))
+    return encode.TableStates(vecs, "vec_id", "embedding", **limits)
+
+
+def _prefix_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _table_states(spark, sf_dir)
+    docs = _document_ids(spark, sf_dir, states.vocab)
+    return states.at(docs, ["doc_id"], "ids", "ends", prefixes.STRIDE_K)
 
 
 def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +208,9 @@ def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_state_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = _document_ids(spark, sf_dir, vecs.count())
-    states = encode.running_mean_states(docs, "doc_id", "ids", vecs, "vec_id", "embedding", prefixes.STRIDE_K, "ends")
+    by_joins = _table_states(spark, sf_dir, max_bytes=0)
+    docs = _document_ids(spark, sf_dir, by_joins.vocab)
+    states = by_joins.at(docs, ["doc_id"], "ids", "ends", prefixes.STRIDE_K)
     return vectors.long_vector(states, ["doc_id", "prefix_length"], "vec")
 
 
@@ -268,15 +270,9 @@ def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extraction(spark: SparkSession, sf_dir: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    matrix = encode.embedding_matrix(vecs, "vec_id", "embedding")
-    if matrix is None:
-        raise ValueError("the default encoder's vector table is too large to ship; pass another encoder")
-    records = labelled(spark, sf_dir)
-    corpus = jobs.tokenised_corpus(records, "doc_id", tokens.hash_tokeniser(len(matrix)), jobs.CorpusConfig())
-    return jobs.extract_prefix_vectors(
-        corpus, path or scratch_path(spark, "extraction"), encode.table_encoder(records, matrix), samples_per_shard=500
-    )
+    states = _table_states(spark, sf_dir)
+    corpus = jobs.tokenised_corpus(labelled(spark, sf_dir), "doc_id", tokens.hash_tokeniser(states.vocab), jobs.CorpusConfig())
+    return jobs.extract_prefix_vectors(corpus, path or scratch_path(spark, "extraction"), states, samples_per_shard=500)
 
 
 # --- vectors, graders, metrics
@@ -286,6 +282,10 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.as_double("embedding").alias("vec"))
 
 
+def vector_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.width_check(_embeddings(spark, sf_dir))
+
+
 def rms_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     normed = _embeddings(spark, sf_dir).select("vec_id", vectors.rms_normalise(F.col("vec")).alias("vec"))
     return vectors.long_vector(normed, ["vec_id"], "vec")
@@ -443,24 +443,31 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search_parts(spark: SparkSession, sf_dir: str):
     problems = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("problem_id"), F.col("text").alias("problem"))
     pool = written_table(sentence_pool(spark, sf_dir), "pool")
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    matrix = encode.embedding_matrix(vecs, "vec_id", "embedding")
-    if matrix is None:
-        raise ValueError("the default encoder's vector table is too large to ship; pass another encoder")
-    generate = guided.pool_generator(pool, pool.count())
-    return problems, generate, tokens.hash_tokeniser(len(matrix)), encode.table_encoder(problems, matrix)
+    states = _table_states(spark, sf_dir)
+    return problems, guided.pool_generator(pool, pool.count()), tokens.hash_tokeniser(states.vocab), states
 
 
 SEARCH_SCALE = 40.0
 
 
 def guided_rounds(spark: SparkSession, sf_dir: str, log: list | None = None) -> DataFrame:
-    problems, generate, tokenise, factory = _search_parts(spark, sf_dir)
+    problems, generate, tokenise, states = _search_parts(spark, sf_dir)
     grader = grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
-    scorer = grade.chat_grader(["problem_id", "cand_idx"], tokenise, factory, grader)
+    scorer = grade.chat_grader(["problem_id", "cand_idx"], tokenise, states, grader)
     return guided.search(problems, generate, scorer, k=5, threshold=0.8, max_iters=4, log=log)
 
 
+def guided_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    problems, generate, tokenise, states = _search_parts(spark, sf_dir)
+    numbered = ordering.with_range_ordinal(problems, ["problem_id"], "problem_idx").drop("problem_id")
+    grader = grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
+    path = scratch_path(spark, "guided-batch")
+    summary = jobs.guided_batch(numbered, path, generate, tokenise, states, grader, threshold=0.8, max_iters=4)
+    written = spark.read.schema(results.RESULT).json(f"{path}/results")
+    listed = written.agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("problem_idx").alias("n_distinct"))
+    return _rounded(summary.withColumn("config", F.to_json("config")).join(listed, F.col("num_problems") == F.col("n_written")), "avg_final_score")
+
+
 def unguided_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     problems, generate, tokenise, _ = _search_parts(spark, sf_dir)
     placed = ordering.with_seeded_ordinal(problems, "problem_id").withColumn("batch_id", ordering.batch_id("ordinal", 12))
@@ -518,9 +525,9 @@ def root_move(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_rounds(spark: SparkSession, sf_dir: str, trees: list | None = None) -> DataFrame:
-    problems, generate, tokenise, factory = _search_parts(spark, sf_dir)
+    problems, generate, tokenise, states = _search_parts(spark, sf_dir)
     grader = grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
-    scorer = grade.chat_grader(["problem_id"], tokenise, factory, grader)
+    scorer = grade.chat_grader(["problem_id"], tokenise, states, grader)
     return tree.search(
         problems, generate, scorer, k_root=3, k=3, threshold=0.8, max_iters=2, num_simulations=5, max_depth=2, trees=trees
     )
@@ -589,9 +596,9 @@ QUERIES = {
         train_val_split, split_by_original,
         prefix_index, prefix_slice, last_state, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
-        rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
+        vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
-        best_candidate, guided_replay, run_summary, guided_rounds, unguided_baseline,
+        best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, unguided_baseline,
         sequence_logprob, sibling_priors, puct_choice, tree_descent, tree_backup, root_move, tree_rounds,
         stream_append, stream_score, stream_summary, stream_guided,
     )
