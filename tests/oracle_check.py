@@ -59,10 +59,12 @@ def differences(df, con, sql: str, limit: int = 3) -> list[str]:
 
 def main() -> None:
     import __spark_entry__ as entry
-    from veritrail import build_session
+    from pyspark.sql import SparkSession
 
+    # a session without this package's settings, as others may bring
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
+    builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+    spark = builder.config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = connect(sf_dir), entry.oracle_sql()
     names = sys.argv[2:] or list(entry.queries())

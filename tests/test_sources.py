@@ -24,11 +24,22 @@ def test_records_skip_blank_lines_and_coerce(spark, tmp_path):
     ]
     path = write(tmp_path / "r.jsonl", "\n\n".join(json.dumps(r, ensure_ascii=False) for r in rows) + "\n \t \n")
     got = records.record_columns(records.read_records(spark, path)).collect()
+    assert sorted(r.record_id for r in got) == [0, 1, 2]
+    got.sort(key=lambda r: r.record_id)
     assert [(r.question, r.answer, r.label_correct, r.source) for r in got] == [
         ("q é", "a", 1, "s"), ("3", "None", 1, None), ("x", "y", 0, None)
     ]
     strict = records.record_columns(records.read_records(spark, path), strict=True).collect()
-    assert [r.label_correct for r in strict] == [1, 0, None]
+    assert {r.record_id: r.label_correct for r in strict} == {0: 1, 1: 0, 2: None}
+
+
+def test_copies_keep_ids_of_their_own(spark, tmp_path):
+    line = '{"question": "q", "answer": "a", "is_correct": 1}\n'
+    write(tmp_path / "a.jsonl", line * 30)
+    write(tmp_path / "b.jsonl", line * 20)
+    rows = records.record_columns(records.read_records(spark, f"{tmp_path}/*.jsonl"))
+    corpus = jobs.tokenised_corpus(rows, "record_id", tokens.hash_tokeniser(50), jobs.CorpusConfig())
+    assert sorted(r.ordinal for r in corpus.collect()) == list(range(50))
 
 
 def test_missing_key_fails_and_null_passes(spark, tmp_path):

@@ -48,8 +48,9 @@ def with_seeded_ordinal(
 ) -> DataFrame:
     """Number rows 0..n-1 in seeded order; equal keys go by id, then ``then``.
 
-    The order depends on the seed and the ids only, not on partitioning. With
-    ``total`` the row count is attached under that name.
+    The order depends on the seed and the ids only, not on partitioning. Ids
+    must be unique up to ``then``: equal ids share a bucket. With ``total`` the
+    row count is attached under that name.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     key = seeded_key(seed, *ids)

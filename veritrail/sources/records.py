@@ -8,34 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.functions.text import as_text, strict_label, truthy
+from veritrail.functions.text import as_text, is_blank, strict_label, truthy
 from veritrail.operators.ordering import with_range_ordinal
 
 REQUIRED = ("question", "answer", "is_correct")
 
 
 def read_records(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED) -> DataFrame:
-    """One row ``(record VARIANT)`` per non-blank JSON line.
+    """``(record_id, record VARIANT)`` per non-blank JSON line.
 
     Malformed JSON fails the job, and so does a record without one of the
-    required keys; a key that is present with null passes.
+    required keys; a key that is present with null passes. ``record_id`` is the
+    position in file order: copies of one record keep ids of their own, so a
+    seeded order spreads them.
     """
-    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")
+    )
+    lines = lines.where(~is_blank("value"))
     keys = F.json_object_keys("value")
     absent = F.lit(False)
     for name in required:
         absent = absent | ~F.coalesce(F.array_contains(keys, name), F.lit(False))
-    checked = lines.select(F.parse_json("value").alias("record"), absent.alias("_absent"))
-    missing = checked.where("_absent").count()
+    missing = lines.where(absent).count()
     if missing:
         raise ValueError(f"{missing} records lack one of the fields {', '.join(required)}")
-    return checked.select("record")
+    placed = with_range_ordinal(lines, ["_file", "_line"], "record_id")
+    return placed.select("record_id", F.parse_json("value").alias("record"))
 
 
 def record_columns(records: DataFrame, strict: bool = False) -> DataFrame:
-    """``question, answer, label_correct, source`` from raw records."""
+    """``record_id, question, answer, label_correct, source`` from raw records."""
     raw = F.try_variant_get("record", "$.is_correct", "variant")
     return records.select(
+        "record_id",
         as_text(F.try_variant_get("record", "$.question", "string")).alias("question"),
         as_text(F.try_variant_get("record", "$.answer", "string")).alias("answer"),
         (strict_label(raw) if strict else truthy(raw)).alias("label_correct"),
