@@ -2,7 +2,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from veritrail.operators import guided
 from veritrail.plans.queries import dense_log

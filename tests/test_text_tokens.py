@@ -75,6 +75,9 @@ def test_pad_batch(spark):
     left = {r.id: r for r in tokens.pad_batch(df, "ids", "batch", 0).collect()}
     right = {r.id: r for r in tokens.pad_batch(df, "ids", "batch", 0, "right").collect()}
     assert left[1].padded == [0, 0, 1] and right[1].padded == [1, 0, 0]
+    wide = spark.createDataFrame([(1, 0, [[1.0]]), (2, 0, [[2.0], [3.0]])], "id int, batch int, v array<array<double>>")
+    vectors = {r.id: r.padded for r in tokens.pad_batch(wide, "v", "batch", F.array(F.lit(0.0)), "right").collect()}
+    assert vectors == {1: [[1.0], [0.0]], 2: [[2.0], [3.0]]}
     assert left[2].padded_to == 3 and left[3].padded == [4] and left[3].padded_to == 1
 
 

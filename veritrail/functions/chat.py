@@ -22,12 +22,20 @@ class ChatTemplate:
 
     opening: str = "<|im_start|>{role}\n"
     closing: str = "<|im_end|>\n"
+    specials: tuple[str, ...] = ("<|im_start|>", "<|im_end|>")
 
     def open_turn(self, role: Column) -> Column:
         before, _, after = self.opening.partition("{role}")
         return F.concat(F.lit(before), role, F.lit(after))
 
 
+def without_specials(text: Column, template: ChatTemplate | None = None) -> Column:
+    """Rendered text as a decoder gives it back, the special tokens left out."""
+    for mark in (template or ChatTemplate()).specials:
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text
+
+
 def system_prompt(profile: str = "search", unify: bool = False) -> Column:
     return F.lit(SYSTEM_PROMPTS["search" if unify else profile])
 

@@ -39,9 +39,10 @@ def left_truncate(seq: Column, max_len: int = MAX_LEN) -> Column:
     return F.slice(seq, F.greatest(F.size(seq) - F.lit(max_len - 1), F.lit(1)), F.lit(max_len))
 
 
-def pad_batch(df: DataFrame, seq: str, batch: str, pad: int, side: str = "left") -> DataFrame:
+def pad_batch(df: DataFrame, seq: str, batch: str, pad: int | Column, side: str = "left") -> DataFrame:
     """Pad to the longest sequence of the batch; adds ``padded`` and ``padded_to``.
 
+    ``pad`` is one element: an id, or a zero vector for sequences of vectors.
     The window frame is one batch, whose row count the batch size fixes.
     """
     longest = F.max(F.size(seq)).over(Window.partitionBy(batch))

@@ -101,6 +101,7 @@ def sample_id(ordinal: str, prefix: str = "ex_", width: int = 6) -> Column:
 
 def shard_placement(ordinal: str, size: int) -> list[Column]:
     """Shard number, place in the shard and file name for a gap-free ordinal."""
+    # fixed value: the file name format that catalogs carry
     shard = F.floor(F.col(ordinal) / F.lit(size)).cast("int")
     return [
         shard.alias("shard_idx"),

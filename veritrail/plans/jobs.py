@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.chat import chat_messages, render_chat, system_prompt
+from veritrail.functions.chat import chat_messages, render_chat, system_prompt, without_specials
 from veritrail.functions.tokens import MAX_LEN, Tokeniser, left_truncate
 from veritrail.operators import guided
 from veritrail.operators.encode import EncoderFactory, States, all_states
@@ -103,7 +103,8 @@ def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser) -> D
     """One sampled answer per problem, as token sequences for the state pass.
 
     ``problems`` has ``problem_id, problem, batch_id``. The length to which a
-    batch would be padded is kept; the answer text holds the whole sequence.
+    batch would be padded is kept; the answer text is the whole sequence, the
+    prompt included, without special tokens.
     """
     start = problems.withColumns({"round": F.lit("unguided"), "text": F.lit("")})
     prompt = render_chat(chat_messages(system_prompt("search"), F.col("problem")), "generation")
@@ -115,6 +116,6 @@ def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser) -> D
     )
     ids = F.concat("_asked", "_new")
     return whole.join(widest, "batch_id").select(
-        "problem_id", "problem", F.concat("_prompt", "chunk").alias("answer_text"), "batch_id",
+        "problem_id", "problem", without_specials(F.concat("_prompt", "chunk")).alias("answer_text"), "batch_id",
         ids.alias("ids"), F.size(ids).alias("length"), "padded_to",
     )

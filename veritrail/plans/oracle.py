@@ -135,6 +135,10 @@ SQL["prefix_index"] = f"""
 SELECT doc_id, doc_id || '_prefix' || prefix_length AS prefix_id, prefix_length, length AS original_length
 FROM ({_prefixes(f'({LENGTHS})')})"""
 
+SQL["prefix_index_whole"] = f"""
+SELECT doc_id, doc_id || '_prefix' || prefix_length AS prefix_id, prefix_length, length AS original_length
+FROM ({_prefixes(f'({LENGTHS})', cap='length')})"""
+
 SQL["prefix_slice"] = f"""
 WITH items AS (SELECT item_id, list_transform({_split()}, lambda x: {_hash('x')} % 32000) AS ids, len({_split()}) AS length FROM benchmark)
 SELECT item_id, prefix_length, array_to_string(ids[1:prefix_length], ',') AS ids, prefix_length AS n_mask
@@ -150,6 +154,8 @@ sums AS (SELECT doc_id, stride, dim, sum(c * x) AS s, sum(c) AS c FROM counted J
 SELECT doc_id, (sum(c) OVER w)::INT AS prefix_length, dim::INT AS dim, round((sum(s) OVER w) / (sum(c) OVER w), 6) AS value
 FROM sums WINDOW w AS (PARTITION BY doc_id, dim ORDER BY stride)"""
 
+SQL["last_state_whole"] = SQL["last_state"].replace("WHERE pos < 1024 GROUP", "GROUP")
+
 SQL["last_state_join"] = SQL["last_state"]
 
 SQL["masked_mean_pool"] = f"""
@@ -363,7 +369,7 @@ items AS (SELECT item_id AS problem_id, 0 AS cand_idx, text AS problem, ({ORDINA
 drawn AS (SELECT items.*, chunk, {ASKED} AS prompt FROM items, n JOIN pool
   ON pool_idx = ('0x' || substr({_drawn('unguided')}, 1, 8))::BIGINT % n),
 toks AS (SELECT *, {_split('prompt')} AS a, {_split('chunk')} AS b FROM drawn)
-SELECT problem_id, prompt || chunk AS answer_text, batch_id, (len(a) + len(b))::INT AS length,
+SELECT problem_id, replace(replace(prompt || chunk, '<|im_start|>', ''), '<|im_end|>', '') AS answer_text, batch_id, (len(a) + len(b))::INT AS length,
   (max(len(a)) OVER (PARTITION BY batch_id) + max(len(b)) OVER (PARTITION BY batch_id))::INT AS padded_to,
   array_to_string(list_transform(list_concat(a, b), lambda x: {_hash('x')} % v), ',') AS ids FROM toks, v"""
 

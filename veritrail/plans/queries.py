@@ -6,8 +6,6 @@ results can be compared across engines.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,6 +173,12 @@ def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", prefixes.prefix_id("doc_id").alias("prefix_id"), "prefix_length", F.col("length").alias("original_length"))
 
 
+def prefix_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes to the end of each text, without the length cap."""
+    rows = prefixes.prefix_index(document_lengths(spark, sf_dir), max_length=None)
+    return rows.select("doc_id", prefixes.prefix_id("doc_id").alias("prefix_id"), "prefix_length", F.col("length").alias("original_length"))
+
+
 def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens.token_ids(tokens.split_tokens("text"), VOCAB).alias("ids"))
     rows = prefixes.prefix_index(items.withColumn("length", F.size("ids")), stride_k=10, max_length=None)
@@ -182,13 +186,15 @@ def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "prefix_length", F.array_join(cut, ",").alias("ids"), F.size(cut).alias("n_mask"))
 
 
-def _document_ids(spark: SparkSession, sf_dir: str, vocab: int) -> DataFrame:
+def _document_ids(
+    spark: SparkSession, sf_dir: str, vocab: int, max_length: int | None = prefixes.MAX_LENGTH
+) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     docs = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
     docs = docs.select("doc_id", "toks", F.size("toks").alias("length"))
-    ends = prefixes.prefix_lengths(F.col("length"))
+    ends = prefixes.prefix_lengths(F.col("length"), max_length=max_length)
     # ids are made up to the last wanted prefix end only
-    needed = F.slice("toks", F.lit(1), prefixes.effective_length(F.col("length"), prefixes.MAX_LENGTH))
+    needed = F.slice("toks", F.lit(1), prefixes.effective_length(F.col("length"), max_length))
     return docs.select("doc_id", "length", ends.alias("ends"), tokens.token_ids(needed, vocab).alias("ids"))
 
 
@@ -207,6 +213,13 @@ def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.long_vector(_prefix_states(spark, sf_dir), ["doc_id", "prefix_length"], "vec")
 
 
+def last_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the length cap of the extraction job: prefixes to the end of each text."""
+    states = _table_states(spark, sf_dir)
+    docs = _document_ids(spark, sf_dir, states.vocab, None)
+    return vectors.long_vector(states.at(docs, ["doc_id"], "ids", "ends", prefixes.STRIDE_K), ["doc_id", "prefix_length"], "vec")
+
+
 def last_state_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_joins = _table_states(spark, sf_dir, max_bytes=0)
     docs = _document_ids(spark, sf_dir, by_joins.vocab)
@@ -594,7 +607,7 @@ QUERIES = {
         token_ids, decode_tokens, left_truncate, pad_mask_trim,
         seeded_order, range_order, shard_catalog, catalog_payload_join, early_stop_batches,
         train_val_split, split_by_original,
-        prefix_index, prefix_slice, last_state, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
+        prefix_index, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
         vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,

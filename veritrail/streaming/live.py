@@ -102,7 +102,8 @@ def guided_stream(candidates: DataFrame, threshold: float = 0.95, max_iters: int
             closed.append((key[0], next_iter, answer, chunk, -low, done["eos"]))
             next_iter += 1
             stopped = -low > threshold or done["eos"] or not chunk.strip() or next_iter >= max_iters
-        state.update((next_iter, answer, stopped, json.dumps({} if stopped else pending)))
+        # a stopped problem keeps only what it takes to drop late rows
+        state.update((next_iter, "" if stopped else answer, stopped, json.dumps({} if stopped else pending)))
         yield pd.DataFrame(closed, columns=["problem_id", "iter", "answer", "chunk", "score", "eos"])
 
     steps = partial.groupBy("problem_id").applyInPandasWithState(
