@@ -183,6 +183,7 @@ def test_sweep_shares_steps_and_equals_single_runs(spark, data):
     ready = training.prepare(frame(spark, *data), config)
     specs = {"a": gm.GraderSpec(6, hidden_dims=(3,)), "b": gm.GraderSpec(6, residual=True, hidden_dim=4, num_layers=1)}
     both = training.train_graders(ready, specs)
+    assert ready.epochs == {}
     alone = training.train_graders(ready, {"b": specs["b"]})
     assert all(np.allclose(both.last["b"].params[k], alone.last["b"].params[k], atol=1e-12) for k in alone.last["b"].params)
     assert len(training.sweep_specs(6)) == 7

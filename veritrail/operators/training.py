@@ -23,7 +23,7 @@ from veritrail.functions.vectors import width_check
 from veritrail.operators import metrics
 from veritrail.operators.grade import Grader, score
 from veritrail.operators.ordering import with_epoch_batches, with_split
-from veritrail.session import ship_package, written_table
+from veritrail.session import drop_scratch, scratch_path, ship_package, written_table
 
 MAX_PARAMS = 4_000_000
 SLICE = 4096
@@ -52,7 +52,7 @@ class Prepared:
     val: DataFrame | None
     n_train: int
     in_dim: int
-    epochs: dict[int, DataFrame] = field(default_factory=dict)
+    epochs: dict[int, tuple[DataFrame, str]] = field(default_factory=dict)
 
     @property
     def n_batches(self) -> int:
@@ -73,8 +73,14 @@ class Prepared:
                 "step_id", F.floor(F.col("batch_id") / self.config.accumulation_steps).cast("long")
             ).select("row_key", "vec", "label", "batch_id", "step_id")
             spread = placed.repartition("step_id", "batch_id")
-            self.epochs[epoch] = written_table(spread, f"epoch{epoch}", "step_id")
-        return self.epochs[epoch]
+            path = scratch_path(spread.sparkSession, f"epoch{epoch}")
+            self.epochs[epoch] = written_table(spread, f"epoch{epoch}", "step_id", path=path), path
+        return self.epochs[epoch][0]
+
+    def release(self, epoch: int) -> None:
+        """Remove an epoch's copy of the rows once its steps are done."""
+        _, path = self.epochs.pop(epoch)
+        drop_scratch(self.train.sparkSession, path)
 
 
 def prepare(df: DataFrame, config: TrainConfig, id_col: str = "id", vec: str = "vec", label: str = "label") -> Prepared:
@@ -253,6 +259,7 @@ def train_graders(
                     if fact[0]:
                         losses[name] += float(fact[1])
                         cells[name] += fact[2:]
+        prepared.release(epoch)
         floor = 0.1 * config.learning_rate
         rate = floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2
         for name, run in runs.items():

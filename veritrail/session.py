@@ -94,13 +94,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written_table(df: DataFrame, name: str, *partition_by: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Preferred to a checkpoint where later reads want few columns or few
     partitions, since both are pruned at the scan.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table of this library's scratch folder; other paths are refused."""
+    if not path.startswith(f"{shared_dir(spark)}/veritrail/"):
+        raise ValueError(f"{path} is not a scratch table")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
