@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, langid, pfair, secret_scan, simhash
+from veritrail.llm import bpe, fingerprint, html_text, langid, neardup, pfair, secret_scan, sharding, simhash, toxicity
 from veritrail.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -24,14 +24,34 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", *[F.col(c).alias(c.removeprefix("mix_")) for c in pfair.OUT])
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,7 +68,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op4_simhash_dedup, op6_secret_scan, op9_language_id, op10_byte_bpe, pipeline)
+    for f in (
+        op1_mix_sources, op2_main_text, op3_near_vectors, op4_simhash_dedup, op5_fingerprints, op6_secret_scan, op7_toxicity,
+        op8_shards, op9_language_id, op10_byte_bpe, pipeline,
+    )
 }
 
 LLM_SQL: dict[str, str] = {}
