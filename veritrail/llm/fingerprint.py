@@ -81,9 +81,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either, (F.size(a) == F.size(b)).cast("double")).otherwise(F.least(F.greatest(estimate, F.lit(0.0)), F.lit(1.0)))
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", derived: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``next_<c>`` for each of ``columns``: the row after it by descending id, after the last the first.
 
+    ``derived`` columns are added first, to every row once and again only to
+    the first row of each range.
+
     Ids are cut into at most ``MAX_CHUNKS`` ranges of equal width, about
     ``CHUNK_ROWS`` rows each; a range is one sorted window and its last row
     takes the first row of the next range. Rows meet in one shuffle. Equal ids
@@ -94,19 +97,21 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     low, width = span["a"] or 0, max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // n_chunks))
     chunk = F.coalesce(F.expr(f"({doc_id} - ({low}L)) div {width}L"), F.lit(-1).cast("bigint"))
     order = [F.col(doc_id).desc_nulls_last(), *columns]
-    placed = docs.withColumn("_chunk", chunk)
+    chunked = docs.withColumn("_chunk", chunk)
+    placed = chunked.withColumns(derived or {})
     # at most MAX_CHUNKS + 1 rows: the first id of every range, the one that follows the range before it
-    tops = placed.groupBy("_chunk").agg(F.max(doc_id).alias("_top"))
+    tops = chunked.groupBy("_chunk").agg(F.max(doc_id).alias("_top"))
     ring = Window.orderBy(F.col("_chunk").desc())
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select(F.col("_chunk").alias("_own"), "_top", F.coalesce(F.lag("_chunk").over(ring), F.last("_chunk").over(whole)).alias("_before"))
-    firsts = placed.join(F.broadcast(tops), (F.col("_chunk") == F.col("_own")) & F.col(doc_id).eqNullSafe(F.col("_top")))
+    firsts = chunked.join(F.broadcast(tops), (F.col("_chunk") == F.col("_own")) & F.col(doc_id).eqNullSafe(F.col("_top")))
+    firsts = firsts.withColumns(derived or {})
     heads = firsts.groupBy("_before").agg(F.min(F.struct(*columns)).alias("_head")).select(F.col("_before").alias("_chunk"), "_head")
     within = Window.partitionBy("_chunk").orderBy(*order)
     following = F.lead(F.struct(*columns)).over(within)
     joined = placed.withColumn("_next", following).join(heads, "_chunk", "left")
     after = F.coalesce("_next", "_head")
-    return joined.select(*docs.columns, *[after[c].alias(f"next_{c}") for c in columns])
+    return joined.select(*docs.columns, *(derived or {}), *[after[c].alias(f"next_{c}") for c in columns])
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,7 +124,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    both = with_next(rows.withColumn("fp", fingerprint(F.col("t"))), ["t", "fp"])
+    both = with_next(rows, ["t", "fp"], derived={"fp": fingerprint(F.col("t"))})
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("t", F.lit(1), n - half), F.substring("next_t", F.lit(1), half)))
