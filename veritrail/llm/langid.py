@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import fold, python_ready
 
 ORDERS = (1, 2, 3)
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # n-grams are held as 16-bit numbers
 DIM = 16
-SAMPLE = 4_000
+SAMPLE = 3_000
 EPOCHS = 4
 RATE = 0.5
 ACCEPT = 0.99
 HELD_OUT_FOLD, FOLDS = 2, 4
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +63,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
-def gram_lists(texts: list[str]) -> list[np.ndarray]:
-    h, owner = grams(texts)
-    order = np.argsort(owner, kind="stable")
-    return np.split(h[order], np.searchsorted(owner[order], np.arange(1, len(texts))))
+def pieces_of(texts: list[str]):
+    """Lists of ``(text number, piece)`` of about ``CHUNK_CHARS`` characters; a longer text is cut, its n-grams add up."""
+    part, size = [], 0
+    for k, text in enumerate(texts):
+        for start in range(0, max(1, len(text)), CHUNK_CHARS):
+            piece = text[start : start + CHUNK_CHARS]
+            if part and size + len(piece) > CHUNK_CHARS:
+                yield part
+                part, size = [], 0
+            part.append((k, piece))
+            size += len(piece) + 2
+    if part:
+        yield part
+
+
+def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams of each text and how often each comes, as small integers."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for part in pieces_of(texts):
+        h, owner = grams([piece for _, piece in part])
+        order = np.argsort(owner, kind="stable")
+        h = h[order].astype(np.uint16)
+        for (k, _), own in zip(part, np.split(h, np.searchsorted(owner[order], np.arange(1, len(part)))), strict=True):
+            found[k].append(own)
+    return [tuple(x.astype(t) for x, t in zip(np.unique(np.concatenate(f), return_counts=True), (np.uint16, np.int32), strict=True)) for f in found]
 
 
 @dataclass
@@ -80,31 +101,26 @@ class LanguageModel:
     threshold: float = 0.0
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed logits over n-grams divided by their number, and that number."""
-        h, owner = grams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        sums = np.stack([np.bincount(owner, self.table[h, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
+        """Mean logits over the n-grams of each text, and their number."""
+        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
+        for part in pieces_of(texts):
+            h, owner = grams([piece for _, piece in part])
+            at = np.array([k for k, _ in part])
+            np.add.at(n, at, np.bincount(owner, minlength=len(part)))
+            for lang in range(len(self.langs)):
+                np.add.at(sums[:, lang], at, np.bincount(owner, self.table[h, lang], minlength=len(part)))
         return sums / np.maximum(n, 1)[:, None] + self.bias, n
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         known = [t or "" for t in texts]
         if not self.langs or not known:
             return pd.DataFrame({"lang_pred": ["und"] * len(known), "score": 0.0, "rejected": True})
-        pred, score, empty = [], [], []
-        start = size = 0
-        for k in range(len(known) + 1):
-            if k < len(known) and (size == 0 or size + len(known[k]) <= CHUNK_CHARS):
-                size += len(known[k]) + 1
-                continue
-            z, n = self.logits(known[start:k])
-            p = softmax(z / self.temperature)
-            best = p.argmax(axis=1)
-            pred.extend("und" if m == 0 else self.langs[b] for b, m in zip(best, n, strict=True))
-            score.extend(np.where(n == 0, 0.0, p.max(axis=1)).tolist())
-            empty.extend((n == 0).tolist())
-            start, size = k, len(known[k]) + 1 if k < len(known) else 0
-        score_array = np.array(score)
-        return pd.DataFrame({"lang_pred": pred, "score": score_array, "rejected": np.array(empty) | (score_array < self.threshold)})
+        z, n = self.logits(known)
+        p = softmax(z / self.temperature)
+        best = p.argmax(axis=1)
+        score = np.where(n == 0, 0.0, p.max(axis=1))
+        names = ["und" if m == 0 else self.langs[b] for b, m in zip(best, n, strict=True)]
+        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": (n == 0) | (score < self.threshold)})
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -114,14 +130,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     """Train by plain SGD, one document to a step; every fifth document calibrates."""
-    names = sorted(set(langs))
-    lists = gram_lists(texts) if texts else []
-    rows = [(h, names.index(lang)) for h, lang in zip(lists, langs, strict=True) if len(h)]
-    if not rows:
+    counts = gram_counts(texts) if texts else []
+    some = [(c, lang) for c, lang in zip(counts, langs, strict=True) if len(c[0])]
+    if not some:
         return LanguageModel()
-    names = sorted({names[y] for _, y in rows}, key=names.index)
-    index = {lang: k for k, lang in enumerate(names)}
-    rows = [(h, index[sorted(set(langs))[y]]) for h, y in rows]
+    names = sorted({lang for _, lang in some})
+    rows = [(c, names.index(lang)) for c, lang in some]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out = np.zeros((DIM, len(names)))
@@ -129,12 +143,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     train = [r for k, r in enumerate(rows) if k % 5] or rows
     held = [r for k, r in enumerate(rows) if k % 5 == 0] or rows
     steps, step = EPOCHS * len(train), 0
-    counted = [np.unique(h, return_counts=True) for h, _ in train]
     for _ in range(EPOCHS):
         for k in rng.permutation(len(train)):
             rate = RATE * (1 - step / steps)
             step += 1
-            (u, c), y = counted[k], train[k][1]
+            (u, c), y = train[k]
             share = c / c.sum()
             mean = share @ emb[u]
             p = softmax((mean @ out + bias)[None])[0]
@@ -145,7 +158,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
             # the mean spreads its gradient thinly over n-grams; a per-row norm keeps rare ones learning
             emb[u] -= rate * np.outer(share / share.max(), back)
     model = LanguageModel(names, emb @ out, bias)
-    z = np.stack([model.table[h].mean(axis=0) + bias for h, _ in held])
+    z = np.stack([(c / c.sum()) @ model.table[u] + bias for (u, c), _ in held])
     y = np.array([y for _, y in held])
     grid = np.geomspace(0.05, 20, 60)
     losses = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
