@@ -34,7 +34,7 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
-def ranked(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str], out: str, per_bucket: int = 100_000) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str], out: str, per_bucket: int = 8_192) -> DataFrame:
     """Number the rows of every group 0..n-1 by ``key``, a long with even bits.
 
     A group of any size is cut into buckets by the leading bits of the key.
