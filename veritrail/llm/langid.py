@@ -4,8 +4,9 @@ A text is the mean of the embeddings of its hashed character n-grams; a linear
 softmax over that mean names the language. Both are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled documents
 (``SAMPLE`` rows, balanced over languages). A temperature calibrates the
-probabilities on sampled documents left out of training, and the rejection
-threshold is the lowest score at which accepted ones reach ``ACCEPT`` accuracy.
+probabilities on sampled documents left out of training. The rejection threshold
+is the lowest score at which accepted ones reach ``ACCEPT`` accuracy, but never
+one that rejects more than ``LOSS`` of the rightly named.
 
 Embedding and softmax are both linear, so the model is folded into one small
 table of n-gram logits before it is sent to the workers.
@@ -29,6 +30,7 @@ SAMPLE = 3_000
 EPOCHS = 4
 RATE = 0.5
 ACCEPT = 0.99
+LOSS = 0.005
 HELD_OUT_FOLD, FOLDS = 2, 4
 CHUNK_CHARS = 1 << 19
 
@@ -168,7 +170,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     order = np.argsort(-score, kind="stable")
     good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= ACCEPT
     kept = np.flatnonzero(good)
-    model.threshold = 0.0 if good[-1] else float(score[order][kept[-1]]) if len(kept) else 1.0
+    wanted = 0.0 if good[-1] else float(score[order][kept[-1]]) if len(kept) else 1.0
+    # no more than LOSS of the rightly named may go; too few of them to tell that share: none goes
+    spare = int(LOSS * right.sum())
+    model.threshold = min(wanted, float(np.sort(score[right])[spare])) if spare else 0.0
     return model
 
 

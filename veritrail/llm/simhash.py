@@ -21,9 +21,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrail.llm.common import python_ready
 from veritrail.llm.components import block_pairs, components
+from veritrail.operators.skew import BROADCAST_BYTES
 from veritrail.session import written_table
 
 SHINGLE = 3
@@ -57,15 +59,15 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+@F.pandas_udf(T.LongType())
+def _fp(texts: pd.Series) -> pd.Series:
+    return pd.Series([simhash(t) for t in texts], dtype="int64")
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp`` of every row; one Arrow pass, no shuffle. A null text counts as empty."""
     python_ready(docs.sparkSession)
-
-    @F.pandas_udf("bigint")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t) for t in texts], dtype="int64")
-
-    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("doc_id"), _fp(F.col(text)).alias("fp"))
 
 
 def _variants(distinct: DataFrame) -> DataFrame:
@@ -116,6 +118,17 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return groups.mapInPandas(_forests, "a bigint, b bigint")
 
 
+def classified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of every row, and ``fp, root, component_id`` of every distinct fingerprint."""
+    rows = written_table(fingerprints(docs, doc_id, text), "simhash")
+    # copies share a fingerprint: everything below works on distinct ones
+    first = written_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = components(links(first.select("fp"), block), "simhash")
+    placed = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows, written_table(placed.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -124,13 +137,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has a null ``component_id``. An empty table gives an empty result. Columns
     other than the two named are not read.
     """
-    rows = written_table(fingerprints(docs, doc_id, text), "simhash")
-    # copies share a fingerprint: everything below works on distinct ones
-    first = written_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(first.select("fp"), block), "simhash")
-    placed = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written_table(placed.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
+    rows, classes = classified(docs, doc_id, text, block)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -138,26 +145,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id.
 
-    Where an id is repeated one of its rows stays; a component of null ids only
-    keeps one row of each fingerprint's smallest text.
+    Rows of a repeated id, and rows without one, are told apart by their
+    fingerprints; where several could stay in a component, any one of them does.
+    A row without an id stays only where its component has no id.
     """
-    classes = near_duplicates(docs, doc_id, text)
-    winners = written_table(
-        classes.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept"
-    )
-    single = docs.join(winners.where("n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
-    repeated = docs.join(winners.where("n > 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").dropDuplicates([doc_id])
-    lost = classes.where("component_id is null").select("fingerprint").distinct()
-    nameless = fingerprints_of(docs.where(F.col(doc_id).isNull()), text).join(lost, "fingerprint", "left_semi")
-    nameless = nameless.dropDuplicates(["fingerprint"]).select(*docs.columns)
-    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(nameless)
-
-
-def fingerprints_of(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with its fingerprint in hex, for the few rows without an id."""
-
-    @F.pandas_udf("bigint")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t) for t in texts], dtype="int64")
-
-    return docs.withColumn("fingerprint", F.lower(F.lpad(F.hex(fp(F.col(text))), 16, "0")))
+    rows, classes = classified(docs, doc_id, text)
+    wins = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = rows.join(classes, "fp").where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(wins).alias("wins"))
+    ids = written_table(ids.where("wins"), "simhash-kept")
+    kept = ids.where("n = 1").select(F.col("doc_id").alias(doc_id))
+    # ids that fit a broadcast spare the texts a shuffle; 16 bytes to a row
+    single = docs.join(F.broadcast(kept) if 16 * kept.count() <= BROADCAST_BYTES else kept, doc_id, "left_semi").select(*docs.columns)
+    repeated = docs.join(ids.where("n > 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    unclear = repeated.unionByName(docs.where(F.col(doc_id).isNull()))
+    names = {"fp": "_sh_fp", "root": "_sh_root", "component_id": "_sh_first"}
+    unclear = unclear.withColumn("_sh_fp", _fp(F.col(text))).join(classes.withColumnsRenamed(names), "_sh_fp")
+    unclear = unclear.where(F.col(doc_id).eqNullSafe(F.col("_sh_first"))).dropDuplicates(["_sh_root"])
+    return single.unionByName(unclear.select(*docs.columns))
