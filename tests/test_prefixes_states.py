@@ -26,11 +26,16 @@ def test_prefix_lengths(spark, k, cap, final):
 
 def test_prefix_index_rows_and_ids(spark):
     df = spark.createDataFrame([("a", 250), ("b", 0), ("c", 1025)], "id string, length int")
-    rows = prefixes.prefix_index(df).select("id", prefixes.prefix_id("id").alias("pid")).collect()
+    rows = prefixes.prefix_index(df, max_length=prefixes.MAX_LENGTH).select("id", prefixes.prefix_id("id").alias("pid")).collect()
     assert [r.pid for r in rows if r.id == "a"] == ["a_prefix100", "a_prefix200", "a_prefix250"]
     assert sum(r.id == "c" for r in rows) == 11 and not any(r.id == "b" for r in rows)
 
 
+def test_prefix_index_cuts_nothing_unless_told(spark):
+    df = spark.createDataFrame([(5000,)], "length int")
+    assert prefixes.prefix_index(df).agg(F.max("prefix_length")).first()[0] == 5000
+
+
 @pytest.fixture(scope="module")
 def sequences(spark):
     rng = np.random.default_rng(3)

@@ -25,7 +25,7 @@ def test_strict_label(spark, raw, value):
 def test_as_text_and_blank(spark):
     row = one(
         spark, text.as_text(F.lit(None).cast("string")).alias("a"), text.as_text(F.lit(3)).alias("b"),
-        text.is_blank(F.lit(" \n\t")).alias("c"), text.is_blank(F.lit(" x ")).alias("d"), text.is_blank(F.lit("")).alias("e"),
+        text.is_blank(F.lit(" \n\t\u00a0\u3000\x1c\x85")).alias("c"), text.is_blank(F.lit(" x ")).alias("d"), text.is_blank(F.lit("")).alias("e"),
     )
     assert (row.a, row.b, row.c, row.d, row.e) == ("None", "3", True, False, True)
 

@@ -39,5 +39,6 @@ def strict_label(variant: str | Column) -> Column:
 
 
 def is_blank(col: str | Column) -> Column:
+    """Whether nothing but Unicode white space is there, by the rule of Python's ``strip``."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, r"\s+", "") == ""
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == ""

@@ -34,8 +34,10 @@ def hash_tokeniser(vocab: int) -> Tokeniser:
     return lambda text: token_ids(split_tokens(text), vocab)
 
 
-def left_truncate(seq: Column, max_len: int = MAX_LEN) -> Column:
-    """Drop the start of a sequence longer than ``max_len``."""
+def left_truncate(seq: Column, max_len: int | None = None) -> Column:
+    """Drop the start of a sequence longer than ``max_len``; None cuts nothing."""
+    if max_len is None:
+        return seq
     return F.slice(seq, F.greatest(F.size(seq) - F.lit(max_len - 1), F.lit(1)), F.lit(max_len))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRIDE_K = 100
+#: the cap of a capped extraction; nothing is cut unless it is passed
 MAX_LENGTH = 1024
 
 
@@ -16,7 +17,7 @@ def effective_length(length: Column, max_length: int | None) -> Column:
 def prefix_lengths(
     length: Column,
     stride_k: int = STRIDE_K,
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     include_final: bool = True,
 ) -> Column:
     """Array of prefix lengths of one sequence, empty for an empty sequence."""
@@ -33,7 +34,7 @@ def prefix_index(
     df: DataFrame,
     length: str = "length",
     stride_k: int = STRIDE_K,
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     include_final: bool = True,
 ) -> DataFrame:
     """One row per prefix; every column of ``df`` is carried along."""

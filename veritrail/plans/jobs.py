@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.chat import chat_messages, render_chat, system_prompt, without_specials
-from veritrail.functions.tokens import MAX_LEN, Tokeniser, left_truncate
+from veritrail.functions.tokens import Tokeniser, left_truncate
 from veritrail.operators import guided
 from veritrail.operators.encode import EncoderFactory, States, all_states
 from veritrail.operators.grade import Grader, chat_grader
 from veritrail.operators.guided import Generator, fan_out
 from veritrail.operators.ordering import early_stop, with_range_ordinal, with_seeded_ordinal
-from veritrail.operators.prefixes import MAX_LENGTH, STRIDE_K, prefix_id, prefix_lengths
-from veritrail.session import written_table
+from veritrail.operators.prefixes import STRIDE_K, prefix_id, prefix_lengths
+from veritrail.session import cut_lineage, written_table
 from veritrail.sources import results as result_io
 from veritrail.sources import shards
 
@@ -23,7 +23,7 @@ from veritrail.sources import shards
 @dataclass(frozen=True)
 class CorpusConfig:
     seed: int = 42
-    max_len: int = MAX_LEN
+    max_len: int | None = None
     batch_size: int = 12
     shard_size: int = shards.SHARD_SIZE
     end_early: bool = False
@@ -50,10 +50,10 @@ def write_state_shards(
     """All token states in shards, with a catalog that holds no vectors."""
     placed = shards.place_samples(corpus, "ordinal", size)
     states = all_states(placed, ["id", "shard_idx", "local_idx"], "ids", factory)
-    # a shard's rows are spread by sample, so no task holds a whole shard
+    # ranges of samples: a large shard is several tasks' work, and files are shards plus tasks at most
     (
         states.withColumn("vec", F.col("vec").cast("array<float>"))
-        .repartition("shard_idx", "id").sortWithinPartitions("shard_idx", "local_idx", "pos")
+        .repartitionByRange("shard_idx", "local_idx").sortWithinPartitions("shard_idx", "local_idx", "pos")
         .write.partitionBy("shard_idx").parquet(f"{path}/states")
     )
     columns = ["id", "shard_file", "shard_idx", "local_idx", *metadata]
@@ -65,7 +65,7 @@ def extract_prefix_vectors(
     path: str,
     states: States,
     stride_k: int = STRIDE_K,
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     samples_per_shard: int = shards.SAMPLES_PER_SHARD,
 ) -> tuple[DataFrame, DataFrame]:
     """State at every prefix end, in shards, with catalog and summary.
@@ -108,7 +108,8 @@ def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser) -> D
     """
     start = problems.withColumns({"round": F.lit("unguided"), "text": F.lit("")})
     prompt = render_chat(chat_messages(system_prompt("search"), F.col("problem")), "generation")
-    drawn = generate(fan_out(start, 1)).withColumn("_prompt", prompt)
+    # drawn once: the widths and the result below both read this draw
+    drawn = cut_lineage(generate(fan_out(start, 1))).withColumn("_prompt", prompt)
     whole = drawn.withColumns({"_asked": tokenise(F.col("_prompt")), "_new": tokenise(F.col("chunk"))})
     # one batch is at most batch_size rows: longest prompt plus longest answer
     widest = whole.groupBy("batch_id").agg(

@@ -29,7 +29,7 @@ def _tokens(source: str, key: str, text: str = "text") -> str:
     )
 
 
-def _prefixes(source: str, stride: int = 100, cap: str = "least(length, 1024)") -> str:
+def _prefixes(source: str, stride: int = 100, cap: str = "length") -> str:
     """Every column of ``source`` (with ``length``) and one row per prefix."""
     return (
         f"SELECT s.*, least(i * {stride}, {cap})::INT AS prefix_length FROM {source} s, "
@@ -135,9 +135,11 @@ SQL["prefix_index"] = f"""
 SELECT doc_id, doc_id || '_prefix' || prefix_length AS prefix_id, prefix_length, length AS original_length
 FROM ({_prefixes(f'({LENGTHS})')})"""
 
-SQL["prefix_index_whole"] = f"""
+SQL["prefix_index_whole"] = SQL["prefix_index"]
+
+SQL["prefix_index_capped"] = f"""
 SELECT doc_id, doc_id || '_prefix' || prefix_length AS prefix_id, prefix_length, length AS original_length
-FROM ({_prefixes(f'({LENGTHS})', cap='length')})"""
+FROM ({_prefixes(f'({LENGTHS})', cap='least(length, 1024)')})"""
 
 SQL["prefix_slice"] = f"""
 WITH items AS (SELECT item_id, list_transform({_split()}, lambda x: {_hash('x')} % 32000) AS ids, len({_split()}) AS length FROM benchmark)
@@ -148,13 +150,13 @@ SQL["last_state"] = f"""
 WITH n AS (SELECT count(*) AS n FROM embeddings),
 toks AS ({_tokens('documents', 'doc_id')}),
 counted AS (SELECT doc_id, pos // 100 AS stride, {_hash('tok')} % n AS vec_id, count(*) AS c
-  FROM toks, n WHERE pos < 1024 GROUP BY ALL),
+  FROM toks, n GROUP BY ALL),
 dims AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 sums AS (SELECT doc_id, stride, dim, sum(c * x) AS s, sum(c) AS c FROM counted JOIN dims USING (vec_id) GROUP BY ALL)
 SELECT doc_id, (sum(c) OVER w)::INT AS prefix_length, dim::INT AS dim, round((sum(s) OVER w) / (sum(c) OVER w), 6) AS value
 FROM sums WINDOW w AS (PARTITION BY doc_id, dim ORDER BY stride)"""
 
-SQL["last_state_whole"] = SQL["last_state"].replace("WHERE pos < 1024 GROUP", "GROUP")
+SQL["last_state_whole"] = SQL["last_state"]
 
 SQL["last_state_join"] = SQL["last_state"]
 
@@ -178,9 +180,9 @@ dims AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embe
 SELECT doc_id, n_positions, n_positions AS n_mask, 0.25::DOUBLE AS class_value, dim::INT AS dim, round(x, 6) AS value
 FROM firsts JOIN counts USING (doc_id) JOIN dims USING (vec_id)"""
 
-# the rendered corpus chat, tokenised; at most 4096 tokens are kept at the end
+# the rendered corpus chat, tokenised whole
 CORPUS_LENGTHS = f"""
-  SELECT doc_id, label_correct, least(len({_split(f"{_turn('system', CORPUS)} || {END} || {_turn('user', 'question')} || {END} || {_turn('assistant', 'answer')} || {END}")}), 4096)::INT AS length,
+  SELECT doc_id, label_correct, len({_split(f"{_turn('system', CORPUS)} || {END} || {_turn('user', 'question')} || {END} || {_turn('assistant', 'answer')} || {END}")})::INT AS length,
     {ORDINAL.format('doc_id')} AS doc_ordinal FROM ({LABELLED})"""
 
 SQL["extraction_catalog"] = f"""
@@ -295,7 +297,7 @@ WITH n AS (SELECT count(*) AS n FROM embeddings),
 dots AS (SELECT vec_id, sum(x * cos(dim) * 8) AS d FROM ({DIMS}) GROUP BY 1),
 toks AS ({_tokens('documents', 'doc_id')}),
 strides AS (SELECT doc_id, pos // 100 AS stride, sum(d) AS s, count(*) AS c
-  FROM toks, n, dots WHERE pos < 1024 AND vec_id = {_hash('tok')} % n GROUP BY ALL),
+  FROM toks, n, dots WHERE vec_id = {_hash('tok')} % n GROUP BY ALL),
 states AS (SELECT doc_id, (sum(c) OVER w)::INT AS prefix_length, (sum(s) OVER w) / (sum(c) OVER w) AS z
   FROM strides WINDOW w AS (PARTITION BY doc_id ORDER BY stride)),
 judged AS (SELECT prefix_length, round(1 / (1 + exp(-z)), 6) AS prob, quality AS label FROM states JOIN labels USING (doc_id))

@@ -93,7 +93,7 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def left_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     docs = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
-    kept = tokens.left_truncate(F.col("toks"))
+    kept = tokens.left_truncate(F.col("toks"), tokens.MAX_LEN)
     return docs.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.size(kept).alias("n_kept"),
         F.get(kept, F.lit(0)).alias("first_token"), F.md5(F.array_join(kept, " ")).alias("kept_md5"),
@@ -173,6 +173,12 @@ def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", prefixes.prefix_id("doc_id").alias("prefix_id"), "prefix_length", F.col("length").alias("original_length"))
 
 
+def prefix_index_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of the first 1024 tokens: the cap is what this query shows."""
+    rows = prefixes.prefix_index(document_lengths(spark, sf_dir), max_length=prefixes.MAX_LENGTH)
+    return rows.select("doc_id", prefixes.prefix_id("doc_id").alias("prefix_id"), "prefix_length", F.col("length").alias("original_length"))
+
+
 def prefix_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefixes to the end of each text, without the length cap."""
     rows = prefixes.prefix_index(document_lengths(spark, sf_dir), max_length=None)
@@ -187,7 +193,7 @@ def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_ids(
-    spark: SparkSession, sf_dir: str, vocab: int, max_length: int | None = prefixes.MAX_LENGTH
+    spark: SparkSession, sf_dir: str, vocab: int, max_length: int | None = None
 ) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     docs = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
@@ -607,7 +613,7 @@ QUERIES = {
         token_ids, decode_tokens, left_truncate, pad_mask_trim,
         seeded_order, range_order, shard_catalog, catalog_payload_join, early_stop_batches,
         train_val_split, split_by_original,
-        prefix_index, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
+        prefix_index, prefix_index_capped, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
         vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
