@@ -74,4 +74,22 @@ LLM_QUERIES = {
     )
 }
 
-LLM_SQL: dict[str, str] = {}
+#: Hashing, merges, trained models, random permutations and page rules are not expressible in SQL; tests hold
+#: those queries against brute force. Near vectors are: every pair of a label, and the smallest id reachable.
+LLM_SQL: dict[str, str] = {
+    "op3_near_vectors": """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, p.b FROM reached r JOIN pairs p ON r.other = p.a),
+classes AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY 1),
+links AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM classes LEFT JOIN links USING (vec_id)""",
+}
