@@ -90,7 +90,7 @@ def test_large_vector_table_is_not_shipped(spark, table):
 
 def test_masked_mean_pool(spark, matrix, table):
     df = spark.createDataFrame([(1, [3, 4, 3], [1, 0, 1]), (2, [5], [0]), (3, [], [])], "id long, ids array<int>, mask array<int>")
-    a = {r.id: np.array(r.vec) for r in encode.masked_mean_pool(df, "id", "ids", "mask", matrix.astype(float)).collect()}
+    a = {r.id: np.array(r.vec) for r in encode.masked_mean_pool(df, "id", "ids", "mask", encode.TokenVectors(matrix)).collect()}
     b = {r.id: np.array(r.vec) for r in encode.masked_mean_pool_join(df, "id", "ids", "mask", table, "row", "vec").collect()}
     want = {1: matrix[3], 2: np.zeros(6), 3: np.zeros(6)}
     for key in want:
@@ -130,3 +130,29 @@ def test_width_check(spark):
     df = spark.createDataFrame([([1.0],), ([1.0, 2.0],), (None,)], "vec array<float>")
     r = vectors.width_check(df).first()
     assert (r.n_rows, r.n_missing, r.min_width, r.max_width) == (3, 1, 1, 2)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_states_go_by_token_id(spark, limit):
+    vecs = spark.createDataFrame([(7, [3.0, 1.0]), (0, [1.0, 0.0]), (5, [2.0, 4.0])], "row long, vec array<float>")
+    df = spark.createDataFrame([("a", [0, 7, 5], [1, 3])], "id string, ids array<int>, ends array<int>")
+    states = encode.TableStates(vecs, "row", "vec", max_bytes=limit)
+    rows = {r.prefix_length: list(r.vec) for r in states.at(df, ["id"], "ids", "ends", 1).collect()}
+    assert rows[1] == [1.0, 0.0] and np.allclose(rows[3], [2.0, 5 / 3])
+    strange = spark.createDataFrame([("a", [0, 1], [2])], "id string, ids array<int>, ends array<int>")
+    with pytest.raises(Exception, match="token id 1 has no vector"):
+        states.at(strange, ["id"], "ids", "ends", 2).collect()
+    with pytest.raises(ValueError, match="two vectors"):
+        encode.TableStates(vecs.union(vecs), "row", "vec", max_bytes=limit)
+
+
+def test_prefix_sums_plan_does_not_grow_with_width(spark):
+    import time
+
+    width = 2048
+    vecs = spark.range(3).select(F.col("id").alias("row"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i + F.col("id")).cast("float")).alias("vec"))
+    df = spark.createDataFrame([("a", [0, 1, 2, 2], [2, 4])], "id string, ids array<int>, ends array<int>")
+    start = time.time()
+    rows = encode.TableStates(vecs, "row", "vec", max_bytes=0).at(df, ["id"], "ids", "ends", 2).collect()
+    assert time.time() - start < 5
+    assert {r.prefix_length: (len(r.vec), round(r.vec[0], 9)) for r in rows} == {2: (width, 1.5), 4: (width, 2.25)}

@@ -94,7 +94,7 @@ def test_corpus_to_prefix_vectors(spark, tmp_path):
     rows = [(i, f"q{i}", " ".join(f"w{j}" for j in range(n)), i % 2) for i, n in enumerate([0, 3, 40, 200])]
     df = spark.createDataFrame(rows, "id long, question string, answer string, label_correct int")
     corpus = jobs.tokenised_corpus(df, "id", tokens.hash_tokeniser(50), jobs.CorpusConfig())
-    factory = encode.table_encoder(df, matrix)
+    factory = encode.table_encoder(df, encode.TokenVectors(matrix))
     catalog, summary = jobs.extract_prefix_vectors(corpus, f"{tmp_path}/v", encode.EncoderStates(factory), 50, 1024, samples_per_shard=3)
     total = sum(-(-r.length // 50) for r in corpus.collect())
     listed = catalog.orderBy("sample_id").collect()

@@ -26,31 +26,67 @@ from veritrail.session import ship_package
 Encoder = Callable[[np.ndarray], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
 
+#: numbers that a task holds before it hands its vectors on
+CHUNK_VALUES = 1 << 22
 
-def running_mean_encoder(matrix: np.ndarray) -> Encoder:
+
+class TokenVectors:
+    """Vectors by token id; ids need not be gap-free. Without ``ids`` row ``i`` belongs to id ``i``."""
+
+    def __init__(self, matrix: np.ndarray, ids: np.ndarray | None = None):
+        order = np.arange(len(matrix)) if ids is None else np.argsort(ids, kind="stable")
+        self.ids = order if ids is None else np.asarray(ids)[order]
+        self.matrix = np.asarray(matrix, dtype=np.float64)[order]
+        if (np.diff(self.ids) == 0).any():
+            raise ValueError("two vectors for one token id")
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    @property
+    def width(self) -> int:
+        return self.matrix.shape[1]
+
+    def take(self, ids: np.ndarray) -> np.ndarray:
+        """Vectors of ``ids``; an id without a vector is an error."""
+        wanted = np.asarray(ids)
+        places = np.searchsorted(self.ids, wanted)
+        known = places < len(self.ids)
+        known[known] = self.ids[places[known]] == wanted[known]
+        if not known.all():
+            raise ValueError(f"token id {wanted[~known][0]} has no vector")
+        return self.matrix[places]
+
+
+def running_mean_encoder(vectors: TokenVectors) -> Encoder:
     """Default encoder: mean of the token vectors seen so far."""
 
     def encode(ids: np.ndarray) -> np.ndarray:
         steps = np.arange(1, len(ids) + 1, dtype=np.float64)[:, None]
-        return np.cumsum(matrix[ids], axis=0, dtype=np.float64) / steps
+        return np.cumsum(vectors.take(ids), axis=0) / steps
 
     return encode
 
 
-def embedding_matrix(vectors: DataFrame, row: str, vec: str, max_bytes: int = BROADCAST_BYTES) -> np.ndarray | None:
-    """The token vectors as a matrix, or None when they are too many to ship.
-
-    Row ``i`` of the result is the vector of token id ``i``.
-    """
+def embedding_matrix(vectors: DataFrame, row: str, vec: str, max_bytes: int = BROADCAST_BYTES) -> TokenVectors | None:
+    """The token vectors by id, or None when they are too many to ship."""
     if measured_bytes(vectors.select(row, vec)) > max_bytes:
         return None
-    pdf = vectors.select(row, vec).orderBy(row).toPandas()
-    return np.stack(pdf[vec].to_numpy()).astype(np.float64)
+    pdf = vectors.select(row, vec).toPandas()
+    return TokenVectors(np.stack(pdf[vec].to_numpy()), pdf[row].to_numpy())
 
 
-def table_encoder(df: DataFrame, matrix: np.ndarray) -> EncoderFactory:
-    """Factory over a broadcast matrix, so tasks of one executor share it."""
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
+def _with_vectors(counted: DataFrame, vectors: DataFrame, row: str, vec: str) -> DataFrame:
+    """``counted`` with the vector ``_vec`` of its token ``_tok``; a token without one fails the job."""
+    table = vectors.select(F.col(row).cast("long").alias("_tok"), F.col(vec).cast("array<double>").alias("_vec"))
+    met = lookup_join(counted.withColumn("_tok", F.col("_tok").cast("long")), table, ["_tok"], "left")
+    unknown = F.raise_error(F.format_string("token id %d has no vector", "_tok")).cast("array<double>")
+    return met.withColumn("_vec", F.coalesce("_vec", unknown))
+
+
+def table_encoder(df: DataFrame, vectors: TokenVectors) -> EncoderFactory:
+    """Factory over broadcast vectors, so tasks of one executor share them."""
+    shared = df.sparkSession.sparkContext.broadcast(vectors)
     return lambda: running_mean_encoder(shared.value)
 
 
@@ -74,8 +110,9 @@ def states_at(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
+        columns = [*key_list, "prefix_length", "vec"]
         for pdf in batches:
-            out: dict[str, list] = {name: [] for name in [*key_list, "prefix_length", "vec"]}
+            out: dict[str, list] = {name: [] for name in columns}
             for *key, seq, lengths in zip(*(pdf[c] for c in [*key_list, ids, ends])):
                 if lengths is None or len(lengths) == 0:
                     continue
@@ -84,6 +121,9 @@ def states_at(
                     out[name].extend([value] * len(lengths))
                 out["prefix_length"].extend(lengths)
                 out["vec"].extend(states[np.asarray(lengths) - 1])
+                if len(out["vec"]) * states.shape[1] >= CHUNK_VALUES:
+                    yield pd.DataFrame(out)
+                    out = {name: [] for name in columns}
             if out["vec"]:
                 yield pd.DataFrame(out)
 
@@ -143,18 +183,18 @@ def running_mean_states(
     long = df.select(*key_list, F.posexplode(needed).alias("pos", "_tok"))
     stride = F.floor(F.col("pos") / stride_k) if stride_k else F.lit(0).cast("long")
     counted = long.groupBy(*key_list, stride.alias("_stride"), "_tok").agg(F.count(F.lit(1)).alias("_n"))
-    table = vectors.select(F.col(row).cast("int").alias("_tok"), F.col(vec).cast("array<double>").alias("_vec"))
-    met = lookup_join(counted, table, ["_tok"])
+    met = _with_vectors(counted, vectors, row, vec)
     mean = Summarizer.mean(array_to_vector("_vec"), F.col("_n").cast("double"))
     strides = met.groupBy(*key_list, "_stride").agg(vector_to_array(mean).alias("_m"), F.sum("_n").alias("_n"))
     if not stride_k:
         return strides.select(*key_list, F.col("_n").cast("int").alias("prefix_length"), F.col("_m").alias("vec"))
     # strides of one sequence: its length bounds this frame
     so_far = Window.partitionBy(*key_list).orderBy("_stride").rowsBetween(Window.unboundedPreceding, 0)
-    dims = len(vectors.select(vec).first()[0])
-    flat = strides.withColumn("_seen", F.sum("_n").over(so_far))
-    sums = [F.sum(F.col("_m")[d] * F.col("_n")).over(so_far) / F.col("_seen") for d in range(dims)]
-    return flat.select(*key_list, F.col("_seen").cast("int").alias("prefix_length"), F.array(*sums).alias("vec"))
+    # one window expression at any width: the mean over strides, weighted by their tokens
+    running = Summarizer.metrics("mean").summary(array_to_vector("_m"), F.col("_n").cast("double")).over(so_far)
+    return strides.select(
+        *key_list, F.sum("_n").over(so_far).cast("int").alias("prefix_length"), vector_to_array(running["mean"]).alias("vec")
+    )
 
 
 class EncoderStates:
@@ -174,7 +214,8 @@ class TableStates:
     """States of the default encoder over a table of token vectors.
 
     A table whose measured size fits is shipped to the tasks as a matrix; a
-    larger one is met by joins instead.
+    larger one is met by joins instead. Token ids are the values of ``row`` in
+    both, gaps or not, and a token without a vector fails the job in both.
     """
 
     def __init__(self, vectors: DataFrame, row: str, vec: str, max_bytes: int = BROADCAST_BYTES):
@@ -182,6 +223,8 @@ class TableStates:
         matrix = embedding_matrix(vectors, row, vec, max_bytes)
         self.shipped = None if matrix is None else EncoderStates(table_encoder(vectors, matrix))
         self.vocab = vectors.count() if matrix is None else len(matrix)
+        if matrix is None and not vectors.groupBy(row).count().where("count > 1").isEmpty():
+            raise ValueError("two vectors for one token id")
 
     def at(self, df: DataFrame, keys: Sequence[str], ids: str, ends: str, stride_k: int) -> DataFrame:
         if self.shipped:
@@ -198,21 +241,21 @@ class TableStates:
 States = EncoderStates | TableStates
 
 
-def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, matrix: np.ndarray) -> DataFrame:
+def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, token_vectors: TokenVectors) -> DataFrame:
     """Mean of the masked-in token vectors of each sequence, without a shuffle.
 
     A sequence with nothing masked in gives the zero vector, since its zero sum
     is divided by a floor weight.
     """
     ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
+    shared = df.sparkSession.sparkContext.broadcast(token_vectors)
     floor = POOL_MIN_WEIGHT
 
     @F.pandas_udf("array<double>")
     def pool(seqs: pd.Series, masks: pd.Series) -> pd.Series:
         table = shared.value
         kept = (np.asarray(s)[np.asarray(m) == 1] for s, m in zip(seqs, masks))
-        return pd.Series([table[k].sum(0) / max(len(k), floor) if len(k) else np.zeros(table.shape[1]) for k in kept])
+        return pd.Series([table.take(k).sum(0) / max(len(k), floor) if len(k) else np.zeros(table.width) for k in kept])
 
     return df.select(key, pool(ids, mask).alias("vec"))
 
@@ -230,8 +273,7 @@ def masked_mean_pool_join(
         .groupBy(key, "_tok")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    table = vectors.select(F.col(row).cast("int").alias("_tok"), F.col(vec).cast("array<double>").alias("_vec"))
-    met = lookup_join(counted, table, ["_tok"])
+    met = _with_vectors(counted, vectors, row, vec)
     weight = F.col("_n").cast("double")
     pooled = met.groupBy(key).agg(
         Summarizer.mean(array_to_vector("_vec"), weight).alias("_mean"), F.sum(weight).alias("_w")

@@ -159,6 +159,8 @@ FROM sums WINDOW w AS (PARTITION BY doc_id, dim ORDER BY stride)"""
 SQL["last_state_whole"] = SQL["last_state"]
 
 SQL["last_state_join"] = SQL["last_state"]
+# the same vectors under other token ids
+SQL["last_state_gapped"] = SQL["last_state_gapped_join"] = SQL["last_state"]
 
 SQL["masked_mean_pool"] = f"""
 WITH n AS (SELECT count(*) AS n FROM embeddings),

@@ -233,6 +233,22 @@ def last_state_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.long_vector(states, ["doc_id", "prefix_length"], "vec")
 
 
+def _gapped_states(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
+    """Prefix states over a vector table whose ids have gaps: 1, 4, 7 and so on."""
+    vecs = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3 + 1).alias("token"), "embedding")
+    states = encode.TableStates(vecs, "token", "embedding", **limits)
+    docs = _document_ids(spark, sf_dir, states.vocab).withColumn("ids", F.transform("ids", lambda t: t * 3 + 1))
+    return vectors.long_vector(states.at(docs, ["doc_id"], "ids", "ends", prefixes.STRIDE_K), ["doc_id", "prefix_length"], "vec")
+
+
+def last_state_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gapped_states(spark, sf_dir)
+
+
+def last_state_gapped_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gapped_states(spark, sf_dir, max_bytes=0)
+
+
 def _masked_documents(spark: SparkSession, sf_dir: str, vocab: int) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     toks = docs.select("doc_id", tokens.split_tokens("text").alias("toks"))
@@ -322,8 +338,7 @@ def _wave(n_out: int, n_in: int, shift: float, scale: float) -> np.ndarray:
 
 def width_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = _wave(16, 64, 1.0, 0.125)
-    normed = _embeddings(spark, sf_dir).withColumn("vec", vectors.rms_normalise(F.col("vec")))
-    adapted = normed.select("vec_id", vectors.affine(F.col("vec"), weights).alias("vec"))
+    adapted = _embeddings(spark, sf_dir).select("vec_id", vectors.width_adapter(F.col("vec"), 64, weights).alias("vec"))
     return vectors.long_vector(adapted, ["vec_id"], "vec")
 
 
@@ -398,10 +413,12 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a fixed grader separates good from bad documents by prefix length."""
-    states = _prefix_states(spark, sf_dir)
-    scored = grade.score(states, grade.linear_grader(linear_weights() * 8, 0.0))
+    states = _table_states(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    judged = scored.select("doc_id", "prefix_length", F.round("prob", 6).alias("prob")).join(labels, "doc_id")
+    # labels first: documents without one are never encoded
+    docs = _document_ids(spark, sf_dir, states.vocab).join(labels, "doc_id")
+    scored = grade.score(states.at(docs, ["doc_id", "label"], "ids", "ends", prefixes.STRIDE_K), grade.linear_grader(linear_weights() * 8, 0.0))
+    judged = scored.select("doc_id", "prefix_length", "label", F.round("prob", 6).alias("prob"))
     rated = metrics.classification_metrics(judged, by=["prefix_length"])
     return _rounded(rated, "accuracy", "precision", "recall", "f1")
 
@@ -498,7 +515,7 @@ def unguided_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.token_ids(tokens.split_tokens("text"), SMALL_VOCAB)
     items = table(spark, sf_dir, "benchmark").select("item_id", ids.alias("ids"))
-    new = items.select("item_id", tokens.new_tokens(F.col("ids"), F.lit(3)).alias("new"))
+    items = items.withColumn("new", tokens.new_tokens(F.col("ids"), F.lit(3)))
     step = F.transform(
         "new",
         lambda _, t: -F.pmod(
@@ -506,7 +523,7 @@ def sequence_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(1000),
         ) / 100.0,
     )
-    return items.join(new, "item_id").select(
+    return items.select(
         "item_id", F.size("new").alias("n_new"), tokens.has_eos(F.col("new"), EOS).alias("eos"),
         F.round(search.sequence_logprob(F.col("new"), step, EOS), 6).alias("logprob"),
     )
@@ -613,7 +630,8 @@ QUERIES = {
         token_ids, decode_tokens, left_truncate, pad_mask_trim,
         seeded_order, range_order, shard_catalog, catalog_payload_join, early_stop_batches,
         train_val_split, split_by_original,
-        prefix_index, prefix_index_capped, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
+        prefix_index, prefix_index_capped, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join,
+        last_state_gapped, last_state_gapped_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
         vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
