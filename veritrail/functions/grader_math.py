@@ -1,6 +1,6 @@
-"""Forward and backward passes of the two graders over one batch.
+"""Scoring pass of the two graders over one batch, and the update rule of the weights.
 
-These run inside Spark tasks on the rows of a batch. Parameters are a plain
+Scoring runs inside Spark tasks on the rows of a batch. Parameters are a plain
 dict of arrays; a linear layer ``p`` is stored as ``p.w`` (out, in) and ``p.b``.
 """
 
@@ -14,7 +14,6 @@ import numpy as np
 Params = dict[str, np.ndarray]
 
 NORM_EPS = 1e-5
-BATCH_NORM_MOMENTUM = 0.1
 # first layers plainly scaled; the layer closing a residual branch starts small
 BRANCH_GAIN = 0.1
 
@@ -70,10 +69,6 @@ def erf(x: np.ndarray) -> np.ndarray:
     return a + t * (sa + t * (3 * (b - a) - 2 * sa - sb + t * (2 * (a - b) + sa + sb)))
 
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * z))
-
-
 def init_params(spec: GraderSpec, seed: int = 42) -> Params:
     """Xavier-uniform weights and zero biases; every block scale 1/sqrt(layers)."""
     rng = np.random.default_rng(seed)
@@ -118,54 +113,15 @@ def init_running(spec: GraderSpec) -> Params:
     return running
 
 
-class Dropout:
-    """Masks drawn from ``(seed, epoch, row, place, unit)``: a retry repeats them."""
-
-    def __init__(self, rate: float, row_keys: np.ndarray, seed: int, epoch: int):
-        self.rate = rate
-        with np.errstate(over="ignore"):
-            salt = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(epoch)
-            self.rows = _mix(row_keys.astype(np.int64).view(np.uint64) ^ _mix(salt))
-        self.place = 0
-
-    def mask(self, width: int) -> np.ndarray | float:
-        if self.rate <= 0:
-            return 1.0
-        self.place += 1
-        with np.errstate(over="ignore"):
-            units = np.arange(width, dtype=np.uint64) + np.uint64(self.place << 32)
-            draws = _mix(self.rows[:, None] + _mix(units)[None, :])
-        keep = (draws >> np.uint64(11)).astype(np.float64) / float(1 << 53) >= self.rate
-        return keep / (1.0 - self.rate)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    # finaliser of the public splitmix64 generator
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def _apply(p: Params, name: str, x: np.ndarray) -> np.ndarray:
     return x @ p[f"{name}.w"].T + p[f"{name}.b"]
 
 
-def _linear_back(p: Params, g: Params, name: str, x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    g[f"{name}.w"] = d.T @ x
-    g[f"{name}.b"] = d.sum(0)
-    return d @ p[f"{name}.w"]
-
-
 def _normed(x: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
     scale = 1.0 / np.sqrt(x.var(axis, keepdims=True) + NORM_EPS)
     return (x - x.mean(axis, keepdims=True)) * scale, scale
 
 
-def _normed_back(d: np.ndarray, n: np.ndarray, scale: np.ndarray, axis: int) -> np.ndarray:
-    return scale * (d - d.mean(axis, keepdims=True) - n * (d * n).mean(axis, keepdims=True))
-
-
 def logits(spec: GraderSpec, p: Params, x: np.ndarray, running: Params | None = None) -> np.ndarray:
     """Scoring pass: no dropout, batch statistics from training."""
     h = np.asarray(x, dtype=np.float64)
@@ -190,81 +146,6 @@ def logits(spec: GraderSpec, p: Params, x: np.ndarray, running: Params | None =
     return _apply(p, "out", h)[:, 0]
 
 
-def loss_and_grads(
-    spec: GraderSpec, p: Params, x: np.ndarray, y: np.ndarray, drop: Dropout
-) -> tuple[float, np.ndarray, Params, Params]:
-    """Mean loss, logits, gradients of the mean loss and batch statistics."""
-    x = np.asarray(x, dtype=np.float64)
-    back: list = []
-    stats: Params = {}
-    g: Params = {}
-    h = x
-    if not spec.residual:
-        for i in range(len(spec.hidden_dims)):
-            h = _simple_layer(spec, p, g, stats, i, h, drop, back)
-    else:
-        if "proj.w" in p:
-            back.append(lambda d, h=h: _linear_back(p, g, "proj", h, d))
-            h = _apply(p, "proj", h)
-        for i in range(spec.num_layers):
-            h = _residual_block(spec, p, g, i, h, drop, back)
-    z = _apply(p, "out", h)[:, 0]
-    loss = float(np.mean(np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))))
-    d = _linear_back(p, g, "out", h, ((sigmoid(z) - y) / len(y))[:, None])
-    for step in reversed(back):
-        d = step(d)
-    return loss, z, g, stats
-
-
-def _simple_layer(spec, p, g, stats, i, h, drop, back):
-    name = f"layer{i}"
-    a = _apply(p, name, h)
-    n = scale = None
-    if spec.use_batch_norm:
-        stats[f"{name}.bn.mean"] = a.mean(0)
-        stats[f"{name}.bn.var"] = a.var(0, ddof=1) if len(a) > 1 else a.var(0)
-        n, scale = _normed(a, 0)
-        a = n * p[f"{name}.bn.g"] + p[f"{name}.bn.b"]
-    mask = drop.mask(a.shape[1])
-
-    def step(d):
-        d = d * mask * (a > 0)
-        if n is not None:
-            g[f"{name}.bn.g"] = (d * n).sum(0)
-            g[f"{name}.bn.b"] = d.sum(0)
-            d = _normed_back(d * p[f"{name}.bn.g"], n, scale, 0)
-        return _linear_back(p, g, name, h, d)
-
-    back.append(step)
-    return np.maximum(a, 0.0) * mask
-
-
-def _residual_block(spec, p, g, i, h, drop, back):
-    name = f"block{i}"
-    n, scale = _normed(h, 1) if spec.use_layer_norm else (h, None)
-    u = n * p[f"{name}.norm.g"] + p[f"{name}.norm.b"] if spec.use_layer_norm else n
-    a = _apply(p, f"{name}.up", u)
-    phi = 0.5 * (1.0 + erf(a / math.sqrt(2.0)))
-    m1 = drop.mask(a.shape[1])
-    inner = a * phi * m1
-    m2 = drop.mask(h.shape[1])
-    branch = _apply(p, f"{name}.down", inner) * m2
-
-    def step(d):
-        g[f"{name}.scale"] = np.array([(d * branch).sum()])
-        e = _linear_back(p, g, f"{name}.down", inner, d * p[f"{name}.scale"] * m2) * m1
-        e = e * (phi + a * np.exp(-0.5 * a * a) / math.sqrt(2.0 * math.pi))
-        e = _linear_back(p, g, f"{name}.up", u, e)
-        if spec.use_layer_norm:
-            g[f"{name}.norm.g"] = (e * n).sum(0)
-            g[f"{name}.norm.b"] = e.sum(0)
-            e = _normed_back(e * p[f"{name}.norm.g"], n, scale, 1)
-        return d + e
-
-    back.append(step)
-    return h + p[f"{name}.scale"] * branch
-
-
 @dataclass
 class AdamW:
     """Decoupled weight decay on the reduced gradient; holds weights-sized state."""

@@ -1,33 +1,34 @@
-"""Distributed training of binary graders.
+"""Distributed training of linear graders.
 
-One update step is one job: each accumulated batch is a group of at most
-``batch_size`` rows whose task returns its loss, counts and gradient, the
-gradients are summed on executors in slices, and the driver sees only the
-reduced, weights-sized sum. A sweep of several graders shares these jobs.
+An update step is one job of aggregates over the rows of its batches: losses,
+counts and gradients combine on executors, no row is shuffled, and the driver
+sees one row of ``width + 1`` sums. Clipping, AdamW and the cosine rate act on
+those few numbers. Runs of a sweep share the split and the epoch tables.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import grader_math as gm
-from veritrail.functions.vectors import width_check
+from veritrail.functions.vectors import affine, as_double, bind, sigmoid, width_check
 from veritrail.operators import metrics
-from veritrail.operators.grade import Grader, score
+from veritrail.operators.grade import Grader, linear_grader, score
 from veritrail.operators.ordering import with_epoch_batches, with_split
-from veritrail.session import drop_scratch, scratch_path, ship_package, written_table
+from veritrail.session import drop_scratch, scratch_path, written_table
 
-MAX_PARAMS = 4_000_000
-SLICE = 4096
-PARTIAL = "run string, kind string, name string, part int, batch long, values array<double>"
+CELLS = ("tp", "fp", "tn", "fn")
+#: settings that runs of one sweep have in common, since they share batches
+SHARED = ("val_split", "batch_size", "epochs", "seed", "split_by")
 
 
 @dataclass(frozen=True)
@@ -45,80 +46,81 @@ class TrainConfig:
 
 @dataclass
 class Prepared:
-    """Split vectors in the shared folder, with the epoch tables made so far."""
+    """Split vectors in the shared folder."""
 
     config: TrainConfig
     train: DataFrame
     val: DataFrame | None
     n_train: int
     in_dim: int
-    epochs: dict[int, tuple[DataFrame, str]] = field(default_factory=dict)
+    paths: list[str]
 
     @property
     def n_batches(self) -> int:
         return math.ceil(self.n_train / self.config.batch_size)
 
-    @property
-    def n_steps(self) -> int:
-        return math.ceil(self.n_batches / self.config.accumulation_steps)
-
-    def epoch_table(self, epoch: int) -> DataFrame:
-        """Rows reshuffled for the epoch, one folder per update step.
+    @contextmanager
+    def epoch_rows(self, epoch: int) -> Iterator[DataFrame]:
+        """Rows reshuffled for the epoch, in ranges of batches; removed once its steps are done.
 
-        A step reads its own folder only, so an epoch reads each row once.
+        Files are sorted by batch, so a step's filter on ``batch_id`` prunes
+        all row groups but its own.
         """
-        if epoch not in self.epochs:
-            batched = with_epoch_batches(self.train, "id", self.config.batch_size, self.config.seed, epoch)
-            placed = batched.withColumn(
-                "step_id", F.floor(F.col("batch_id") / self.config.accumulation_steps).cast("long")
-            ).select("row_key", "vec", "label", "batch_id", "step_id")
-            spread = placed.repartition("step_id", "batch_id")
-            path = scratch_path(spread.sparkSession, f"epoch{epoch}")
-            self.epochs[epoch] = written_table(spread, f"epoch{epoch}", "step_id", path=path), path
-        return self.epochs[epoch][0]
-
-    def release(self, epoch: int) -> None:
-        """Remove an epoch's copy of the rows once its steps are done."""
-        _, path = self.epochs.pop(epoch)
-        drop_scratch(self.train.sparkSession, path)
+        batched = with_epoch_batches(self.train, "id", self.config.batch_size, self.config.seed, epoch).select("vec", "label", "batch_id")
+        spark = batched.sparkSession
+        path = scratch_path(spark, f"epoch{epoch}")
+        try:
+            yield written_table(batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), f"epoch{epoch}", path=path)
+        finally:
+            drop_scratch(spark, path)
+
+    def close(self) -> None:
+        """Remove the split vectors; the result of the training does not need them."""
+        while self.paths:
+            drop_scratch(self.train.sparkSession, self.paths.pop())
 
 
 def prepare(df: DataFrame, config: TrainConfig, id_col: str = "id", vec: str = "vec", label: str = "label") -> Prepared:
-    """Split ``df`` once and store both sides."""
+    """Split ``df`` once and store both sides; a missing label or vector, or an uneven width, is an error."""
+    spark = df.sparkSession
+    unlabelled = F.raise_error(F.lit("training rows must have a label")).cast("double")
     rows = df.select(
         F.col(id_col).alias("id"),
         *([F.col(config.split_by).alias("_group")] if config.split_by else []),
-        F.xxhash64(F.col(id_col).cast("string")).alias("row_key"),
         F.col(vec).cast("array<float>").alias("vec"),
-        F.col(label).cast("double").alias("label"),
+        F.coalesce(F.col(label).cast("double"), unlabelled).alias("label"),
     )
     group = "_group" if config.split_by else None
     placed = with_split(rows, "id", config.val_split, config.seed, group_col=group).drop("_group")
-    table = written_table(placed, "vectors", "split")
+    paths = [scratch_path(spark, "vectors"), scratch_path(spark, "val")]
+    table = written_table(placed, "vectors", "split", path=paths[0])
     train = table.where(F.col("split") == "train").drop("split")
     facts = width_check(train).first()
-    if facts["n_missing"] or facts["min_width"] != facts["max_width"]:
+    if not facts["n_rows"] or facts["n_missing"] or facts["min_width"] != facts["max_width"]:
         raise ValueError("training vectors must all be present and of one width")
     val = None
     if config.val_split > 0:
         val = table.where(F.col("split") == "val").drop("split")
-        val = written_table(with_epoch_batches(val, "id", config.batch_size, config.seed, None), "val")
-    return Prepared(config, train, val, facts["n_rows"], facts["min_width"])
+        val = written_table(with_epoch_batches(val, "id", config.batch_size, config.seed, None), "val", path=paths[1])
+    return Prepared(config, train, val, facts["n_rows"], facts["min_width"], paths)
 
 
 @dataclass
 class _Run:
-    spec: gm.GraderSpec
+    config: TrainConfig
     params: gm.Params
-    running: gm.Params
     optimiser: gm.AdamW
-    carried: gm.Params = field(default_factory=dict)
+    carried: np.ndarray | None = None
     best: Grader | None = None
     best_epoch: int | None = None
     best_f1: float = 0.0
 
+    def weights(self) -> np.ndarray:
+        """Weights with the bias last."""
+        return np.concatenate([self.params["out.w"][0], self.params["out.b"]])
+
     def grader(self) -> Grader:
-        return Grader(self.spec, dict(self.params), dict(self.running))
+        return linear_grader(self.params["out.w"][0].copy(), float(self.params["out.b"][0]))
 
 
 @dataclass
@@ -131,66 +133,41 @@ class TrainResult:
     optimisers: dict[str, gm.AdamW]
 
 
-def _partials(step: DataFrame, runs: dict[str, _Run], config: TrainConfig, epoch: int):
-    """Sum of gradients and per-batch facts of one update step, in one job."""
-    sc = step.sparkSession.sparkContext
-    ship_package(step.sparkSession)
-    shared = sc.broadcast({name: r.params for name, r in runs.items()})
-    specs = {name: r.spec for name, r in runs.items()}
-    seed, accumulation = config.seed, config.accumulation_steps
-
-    def one_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        # sorted, so that sums do not depend on arrival order
-        pdf = pdf.sort_values("row_key")
-        batch = int(pdf["batch_id"].iloc[0])
-        x, y = np.stack(pdf["vec"].to_numpy()), pdf["label"].to_numpy()
-        rows: list[tuple] = []
-        for run, params in shared.value.items():
-            spec = specs[run]
-            drop = gm.Dropout(spec.dropout, pdf["row_key"].to_numpy(), seed, epoch)
-            loss, z, grads, stats = gm.loss_and_grads(spec, params, x, y, drop)
-            hit, good = z > 0, y == 1
-            cells = [(hit & good).sum(), (hit & ~good).sum(), (~hit & ~good).sum(), (~hit & good).sum()]
-            finite = math.isfinite(loss)
-            # Arrow turns NaN into null, so a bad loss travels as a flag
-            rows.append((run, "fact", "loss", 0, batch, [float(finite), loss if finite else 0.0, *map(float, cells)]))
-            if not finite:
-                continue
-            for name, d in grads.items():
-                flat = d.ravel() / accumulation
-                for part in range(0, len(flat), SLICE):
-                    rows.append((run, "grad", name, part, None, flat[part : part + SLICE]))
-            for name, s in stats.items():
-                rows.append((run, "stat", name, 0, batch, s))
-        return pd.DataFrame(rows, columns=["run", "kind", "name", "part", "batch", "values"])
-
-    partial = step.groupBy("batch_id").applyInPandas(one_batch, PARTIAL)
-    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("values"))))
-    reduced = partial.groupBy("run", "kind", "name", "part", "batch").agg(total.alias("values"))
-    # at most accumulation_steps facts per run plus one sum per weight
-    rows = reduced.collect()
-    shared.destroy()
-    return rows
-
-
-def _apply_step(run: _Run, rows: list, step: int, config: TrainConfig, n_batches: int, rate: float) -> dict:
-    facts = {r["batch"]: np.asarray(r["values"]) for r in rows if r["kind"] == "fact"}
-    grads: gm.Params = {}
-    for r in sorted((r for r in rows if r["kind"] == "grad"), key=lambda r: (r["name"], r["part"])):
-        grads.setdefault(r["name"], []).append(np.asarray(r["values"]))
-    for name, pieces in grads.items():
-        d = np.concatenate(pieces).reshape(run.params[name].shape)
-        run.carried[name] = run.carried.get(name, 0.0) + d
-    keep = 1.0 - gm.BATCH_NORM_MOMENTUM
-    for r in sorted((r for r in rows if r["kind"] == "stat"), key=lambda r: r["batch"]):
-        run.running[r["name"]] = keep * run.running[r["name"]] + gm.BATCH_NORM_MOMENTUM * np.asarray(r["values"])
-    boundary = min((step + 1) * config.accumulation_steps, n_batches) - 1
-    # a skipped batch at the boundary skips the update: gradients carry over
-    if run.carried and facts[boundary][0]:
-        clipped = gm.clip_by_norm(run.carried, config.grad_clip)
-        run.params = run.optimiser.update(run.params, clipped, rate)
-        run.carried = {}
-    return facts
+def step_sums(rows: DataFrame, weights: np.ndarray, accumulation: int) -> DataFrame:
+    """One row of sums over the batches of a step: gradient, loss and confusion counts.
+
+    ``weights`` has the bias last. A batch whose loss is not finite adds
+    nothing; ``ends_finite`` tells whether the last batch is finite.
+    """
+    inputs = rows.select("batch_id", "label", F.concat(as_double(F.col("vec")), F.array(F.lit(1.0))).alias("x"))
+    scored = inputs.withColumn("z", affine(F.col("x"), [weights])[0]).withColumn("prob", sigmoid(F.col("z")))
+    slope = bind(F.col("prob") - F.col("label"), lambda d: F.transform("x", lambda v: v * d))
+    per_batch = scored.groupBy("batch_id").agg(
+        F.avg(metrics.bce_with_logits("z", "label")).alias("loss"),
+        Summarizer.mean(array_to_vector(slope)).alias("g"),
+        *metrics.confusion_counts("prob", "label"),
+    )
+    per_batch = per_batch.withColumn("finite", ~F.isnan("loss") & (F.abs("loss") < F.lit(float("inf"))))
+    share = F.transform(vector_to_array(F.col("g")), lambda v: F.when(F.col("finite"), v / accumulation).otherwise(0.0))
+
+    def kept(name: str):
+        return F.sum(F.when(F.col("finite"), F.col(name)).otherwise(0)).alias(name)
+
+    return per_batch.agg(
+        vector_to_array(Summarizer.sum(array_to_vector(share))).alias("grad"),
+        *[kept(c) for c in ("loss", *CELLS)],
+        F.max_by("finite", "batch_id").alias("ends_finite"),
+    )
+
+
+def apply_step(run: _Run, grad: np.ndarray, ends_finite: bool, rate: float) -> None:
+    """Add a step's gradient and update; a skipped last batch skips the update and the gradient carries over."""
+    run.carried = grad if run.carried is None else run.carried + grad
+    if not ends_finite:
+        return
+    split = {"out.w": run.carried[None, :-1], "out.b": run.carried[-1:]}
+    run.params = run.optimiser.update(run.params, gm.clip_by_norm(split, run.config.grad_clip), rate)
+    run.carried = None
 
 
 def _rates(tp: float, fp: float, tn: float, fn: float) -> dict:
@@ -209,7 +186,7 @@ def _validate(val: DataFrame, grader: Grader) -> tuple[float, dict]:
         F.avg(metrics.bce_with_logits("logit", "label")).alias("batch_loss"),
         *metrics.confusion_counts("prob", "label"),
     )
-    row = per_batch.agg(F.avg("batch_loss"), *[F.sum(c) for c in ("tp", "fp", "tn", "fn")]).first()
+    row = per_batch.agg(F.avg("batch_loss"), *[F.sum(c) for c in CELLS]).first()
     return row[0], _rates(*[v or 0 for v in row[1:]])
 
 
@@ -220,52 +197,49 @@ HISTORY = (
 )
 
 
+def rate_after(config: TrainConfig, epoch: int) -> float:
+    """Learning rate after ``epoch`` epochs: a cosine from the full rate to a tenth of it."""
+    floor = 0.1 * config.learning_rate
+    return floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2
+
+
+def _epoch_of(run: _Run, rows: DataFrame, n_batches: int, rate: float) -> tuple[float, np.ndarray]:
+    """All update steps of an epoch; the mean batch loss and the confusion counts before each update."""
+    size = run.config.accumulation_steps
+    loss, cells = 0.0, np.zeros(len(CELLS))
+    for first in range(0, n_batches, size):
+        step = rows.where(F.col("batch_id").between(first, first + size - 1))
+        sums = step_sums(step, run.weights(), size).first()
+        apply_step(run, np.asarray(sums["grad"]), sums["ends_finite"], rate)
+        loss += sums["loss"]
+        cells += [sums[c] for c in CELLS]
+    return loss / n_batches, cells
+
+
 def train_graders(
-    prepared: Prepared,
-    specs: dict[str, gm.GraderSpec],
-    initial: dict[str, gm.Params] | None = None,
-    on_epoch=None,
+    prepared: Prepared, configs: dict[str, TrainConfig], initial: gm.Params | None = None, on_epoch=None
 ) -> TrainResult:
-    """Fit one or more graders on the same batches.
+    """Fit one linear grader per configuration on the same batches.
 
     ``on_epoch(run, epoch, grader, optimiser, is_best, f1)`` is called after
     every epoch, for instance to store checkpoints.
     """
-    config = prepared.config
-    runs = {
-        name: _Run(
-            spec,
-            dict((initial or {}).get(name) or gm.init_params(spec, config.seed)),
-            gm.init_running(spec),
-            gm.AdamW(config.weight_decay),
-        )
-        for name, spec in specs.items()
-    }
-    for name, run in runs.items():
-        size = sum(w.size for w in run.params.values())
-        if size > MAX_PARAMS:
-            raise ValueError(f"{name} has {size} weights, more than the {MAX_PARAMS} the driver reduces")
+    base = prepared.config
+    for name, config in configs.items():
+        if any(getattr(config, f) != getattr(base, f) for f in SHARED):
+            raise ValueError(f"{name} differs from the prepared vectors in one of {', '.join(SHARED)}")
+    spec = gm.GraderSpec(in_dim=prepared.in_dim, hidden_dims=(), dropout=0.0)
+    start = initial or gm.init_params(spec, base.seed)
+    runs = {name: _Run(c, dict(start), gm.AdamW(c.weight_decay)) for name, c in configs.items()}
     history: list[tuple] = []
-    rate = config.learning_rate
-    for epoch in range(1, config.epochs + 1):
-        table = prepared.epoch_table(epoch)
-        losses = {name: 0.0 for name in runs}
-        cells = {name: np.zeros(4) for name in runs}
-        for step in range(prepared.n_steps):
-            rows = _partials(table.where(F.col("step_id") == step), runs, config, epoch)
-            for name, run in runs.items():
-                mine = [r for r in rows if r["run"] == name]
-                for fact in _apply_step(run, mine, step, config, prepared.n_batches, rate).values():
-                    if fact[0]:
-                        losses[name] += float(fact[1])
-                        cells[name] += fact[2:]
-        prepared.release(epoch)
-        floor = 0.1 * config.learning_rate
-        rate = floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2
+    for epoch in range(1, base.epochs + 1):
+        with prepared.epoch_rows(epoch) as rows:
+            done = {name: _epoch_of(run, rows, prepared.n_batches, rate_after(run.config, epoch - 1)) for name, run in runs.items()}
         for name, run in runs.items():
-            train_rates = _rates(*cells[name])
+            loss, cells = done[name]
+            train_rates = _rates(*cells)
             val_loss, val_rates = _validate(prepared.val, run.grader()) if prepared.val is not None else (None, None)
-            history.append((name, epoch, losses[name] / prepared.n_batches, train_rates, rate, val_loss, val_rates))
+            history.append((name, epoch, loss, train_rates, rate_after(run.config, epoch), val_loss, val_rates))
             f1 = (val_rates or train_rates)["f1"]
             is_best = f1 > run.best_f1
             if is_best:
@@ -283,26 +257,21 @@ def train_graders(
     )
 
 
-def train_grader(prepared: Prepared, spec: gm.GraderSpec, initial: gm.Params | None = None, on_epoch=None) -> TrainResult:
-    return train_graders(prepared, {"run": spec}, {"run": initial} if initial else None, on_epoch)
+def train_grader(prepared: Prepared, initial: gm.Params | None = None, on_epoch=None) -> TrainResult:
+    return train_graders(prepared, {"run": prepared.config}, initial, on_epoch)
 
 
-# The seven sweep configurations (layers, width, dropout).
+#: what each run of the sweep changes
 SWEEP = {
-    "20_layer": (20, 2048, 0.1),
-    "15_layer": (15, 2048, 0.1),
-    "10_layer": (10, 2048, 0.1),
-    "5_layer_1024_dim": (5, 1024, 0.1),
-    "25_layer_3072_dim": (25, 3072, 0.1),
-    "10_layer_dropout_03": (10, 2048, 0.3),
-    "7_layer_3072_dim": (7, 3072, 0.1),
+    "base": {},
+    "fast": {"learning_rate": 1e-2},
+    "slow": {"learning_rate": 1e-4},
+    "no_decay": {"weight_decay": 0.0},
+    "strong_decay": {"weight_decay": 0.1},
+    "short_steps": {"accumulation_steps": 2},
+    "long_steps": {"accumulation_steps": 8},
 }
 
 
-def sweep_specs(in_dim: int, width_divisor: int = 1) -> dict[str, gm.GraderSpec]:
-    """The sweep's shapes; the divisor narrows them to what a run can afford."""
-    base = gm.GraderSpec(in_dim=in_dim, residual=True, use_layer_norm=True)
-    return {
-        name: replace(base, num_layers=layers, hidden_dim=max(1, width // width_divisor), dropout=dropout)
-        for name, (layers, width, dropout) in SWEEP.items()
-    }
+def sweep_configs(base: TrainConfig) -> dict[str, TrainConfig]:
+    return {name: replace(base, **change) for name, change in SWEEP.items()}

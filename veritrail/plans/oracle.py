@@ -320,6 +320,73 @@ clipped AS (SELECT dim, g * least(1, 1 / ((SELECT sqrt(sum(g * g)) FROM grads) +
 start AS (SELECT dim, g, CASE WHEN dim < (SELECT max(dim) FROM grads) THEN 0.1 * cos(dim) ELSE 0 END AS w FROM clipped)
 SELECT dim::INT AS idx, round(w * (1 - 0.01 * 0.01) - 0.01 * g / (abs(g) + 1e-8), 6) AS weight FROM start"""
 
+
+def _training(run: str, epochs: int, rate: float = 1e-3, decay: float = 0.01, accumulation: int = 4, clip: float = 1.0) -> str:
+    """Epoch history of a linear grader: one recursion to an update step, state ``(w, m, v)`` with the bias last."""
+    after = f"round({0.1 * rate} + {0.9 * rate} * (1 + cos(pi() * epoch / {epochs}.0)) / 2, 9)"
+    used = f"({0.1 * rate} + {0.9 * rate} * (1 + cos(pi() * (epoch - 1) / {epochs}.0)) / 2)"
+
+    def f1(tp: str, fp: str, fn: str) -> str:
+        p, r = f"(({tp}) / (({tp}) + ({fp}) + 1e-8))", f"(({tp}) / (({tp}) + ({fn}) + 1e-8))"
+        return f"round(2 * {p} * {r} / ({p} + {r} + 1e-8), 6)"
+
+    return f"""
+WITH RECURSIVE placed AS (SELECT vec_id, list_append(embedding::DOUBLE[], 1.0::DOUBLE) AS x, (label >= 5)::INT AS y,
+    row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 < floor(count(*) OVER () * 0.1::DOUBLE) AS held FROM embeddings),
+batched AS (SELECT epoch, x, y, (row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || vec_id), vec_id) - 1) // 64 AS batch
+  FROM placed, (SELECT unnest(generate_series(1, {epochs})) AS epoch) WHERE NOT held),
+steps AS (SELECT epoch, x, y, dense_rank() OVER (ORDER BY epoch, batch // {accumulation}) AS step,
+    count(*) OVER (PARTITION BY epoch, batch) AS size FROM batched),
+state AS (
+  SELECT 0::BIGINT AS step, 0::BIGINT AS epoch, list_transform(x, lambda e, i: CASE WHEN i < len(x) THEN 0.1 * cos(i - 1) ELSE 0.0 END::DOUBLE) AS w,
+    list_transform(x, lambda e: 0.0::DOUBLE) AS m, list_transform(x, lambda e: 0.0::DOUBLE) AS v,
+    0.0::DOUBLE AS loss, 0.0::DOUBLE AS tp, 0.0::DOUBLE AS fp, 0.0::DOUBLE AS fn
+  FROM (SELECT x FROM placed LIMIT 1)
+  UNION ALL
+  SELECT step, epoch,
+    list_transform(w, lambda e, i: e * (1 - {used} * {decay}) - {used} * m[i] / (1 - 0.9 ** step) / (sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)),
+    m, v, loss, tp, fp, fn
+  FROM (
+    SELECT step, epoch, w, list_transform(m, lambda e, i: 0.9 * e + 0.1 * factor * g[i]) AS m,
+      list_transform(v, lambda e, i: 0.999 * e + 0.001 * (factor * g[i]) * (factor * g[i])) AS v, loss, tp, fp, fn
+    FROM (
+      SELECT *, least(1.0, {clip} / (sqrt(list_sum(list_transform(g, lambda e: e * e))) + 1e-6)) AS factor
+      FROM (
+        SELECT step, epoch, first(w) AS w, first(m) AS m, first(v) AS v, list(d ORDER BY pos) AS g,
+          first(loss) AS loss, first(tp) AS tp, first(fp) AS fp, first(fn) AS fn
+        FROM (
+          SELECT step, epoch, pos, first(w) AS w, first(m) AS m, first(v) AS v, sum((1 / (1 + exp(-z)) - y) * xi / size / {accumulation}) AS d,
+            sum((greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) / size) AS loss, sum((z > 0 AND y = 1)::INT)::DOUBLE AS tp,
+            sum((z > 0 AND y = 0)::INT)::DOUBLE AS fp, sum((z <= 0 AND y = 1)::INT)::DOUBLE AS fn
+          FROM (SELECT d.step, d.epoch, d.size, d.y, s.w, s.m, s.v, list_dot_product(s.w, d.x) AS z, unnest(d.x) AS xi, generate_subscripts(d.x, 1) AS pos
+            FROM state s JOIN steps d ON d.step = s.step + 1)
+          GROUP BY step, epoch, pos)
+        GROUP BY step, epoch)))),
+train AS (SELECT epoch, arg_max(w, step) AS w, sum(loss) / (SELECT max(batch) + 1 FROM batched) AS loss, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn
+  FROM state WHERE step > 0 GROUP BY epoch),
+scored AS (SELECT epoch, y, list_dot_product(w, x) AS z, batch FROM train, (SELECT x, y,
+    (row_number() OVER (ORDER BY md5('42:eval:' || vec_id), vec_id) - 1) // 64 AS batch FROM placed WHERE held)),
+tested AS (SELECT epoch, avg(loss) AS loss, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+    SELECT epoch, batch, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS loss, sum((z > 0 AND y = 1)::INT)::DOUBLE AS tp,
+      sum((z > 0 AND y = 0)::INT)::DOUBLE AS fp, sum((z <= 0 AND y = 1)::INT)::DOUBLE AS fn FROM scored GROUP BY ALL) GROUP BY epoch)
+SELECT '{run}' AS run, epoch::INT AS epoch, round(t.loss, 6) AS train_loss, {after} AS lr, round(e.loss, 6) AS val_loss,
+  {f1('t.tp', 't.fp', 't.fn')} AS train_f1, {f1('e.tp', 'e.fp', 'e.fn')} AS val_f1
+FROM train t JOIN tested e USING (epoch)"""
+
+
+SQL["train_grader"] = _training("run", 2, rate=0.01, clip=0.05)
+
+_SWEPT = " UNION ALL ".join(
+    f"(SELECT * FROM ({_training(*run)}))"
+    for run in (
+        ("base", 1), ("fast", 1, 1e-2), ("slow", 1, 1e-4), ("no_decay", 1, 1e-3, 0.0), ("strong_decay", 1, 1e-3, 0.1),
+        ("short_steps", 1, 1e-3, 0.01, 2), ("long_steps", 1, 1e-3, 0.01, 8),
+    )
+)
+SQL["grader_sweep"] = f"""
+WITH runs AS ({_SWEPT})
+SELECT *, (SELECT run FROM runs ORDER BY val_loss, run LIMIT 1) AS best_run FROM runs"""
+
 LOG = """
   SELECT user_id AS problem_id, (ts::DATE - DATE '2024-01-01')::INT AS iter, event_id AS cand_idx, event_type || ' ' AS chunk,
     round(least(value / 100, 1.0), 6) AS score, event_type = 'error' AS eos FROM events"""

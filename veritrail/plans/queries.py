@@ -434,29 +434,41 @@ def train_step_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a linear grader after one epoch that is a single update step."""
     config = training.TrainConfig(val_split=0.0, batch_size=64, epochs=1, accumulation_steps=64, learning_rate=0.01)
     ready = training.prepare(_training_rows(spark, sf_dir), config)
-    spec = grader_math.GraderSpec(in_dim=ready.in_dim, hidden_dims=(), dropout=0.0)
-    start = {"out.w": 0.1 * linear_weights(ready.in_dim)[None, :], "out.b": np.zeros(1)}
-    fitted = training.train_grader(ready, spec, start).last["run"].params
+    fitted = training.train_grader(ready, _start(ready)).last["run"].params
+    ready.close()
     values = [*fitted["out.w"][0], fitted["out.b"][0]]
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(values)], "idx int, weight double")
 
 
-def train_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = training.TrainConfig(batch_size=64, epochs=3, accumulation_steps=4)
-    ready = training.prepare(_training_rows(spark, sf_dir), config)
-    spec = grader_math.GraderSpec(in_dim=ready.in_dim, hidden_dims=(32, 16))
-    return training.train_grader(ready, spec).history.select(
+def _start(ready: training.Prepared) -> dict:
+    return {"out.w": 0.1 * linear_weights(ready.in_dim)[None, :], "out.b": np.zeros(1)}
+
+
+def _history(fitted: training.TrainResult) -> DataFrame:
+    rows = fitted.history.select(
         "run", "epoch", "train_loss", "lr", "val_loss", F.col("train_metrics.f1").alias("train_f1"), F.col("val_metrics.f1").alias("val_f1")
     )
+    return _rounded(rows, "train_loss", "val_loss", "train_f1", "val_f1").withColumn("lr", F.round("lr", 9))
+
+
+def train_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of several clipped steps of a linear grader."""
+    config = training.TrainConfig(batch_size=64, epochs=2, accumulation_steps=4, learning_rate=0.01, grad_clip=0.05)
+    ready = training.prepare(_training_rows(spark, sf_dir), config)
+    fitted = training.train_grader(ready, _start(ready))
+    ready.close()
+    return _history(fitted)
 
 
 def grader_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = training.TrainConfig(batch_size=64, epochs=1, accumulation_steps=16)
+    """One epoch of every run of the sweep, and the run with the lowest validation loss."""
+    config = training.TrainConfig(batch_size=64, epochs=1, accumulation_steps=4)
     ready = training.prepare(_training_rows(spark, sf_dir), config)
-    fitted = training.train_graders(ready, training.sweep_specs(ready.in_dim, width_divisor=128))
-    rows = fitted.history.select(F.lit("all").alias("sweep"), "run", "epoch", "train_loss", "val_loss", F.col("val_metrics.f1").alias("f1"))
-    best = rows.groupBy("sweep").agg(F.max_by("run", F.struct("f1", "run")).alias("best_run"))
-    return rows.join(best, "sweep").drop("sweep")
+    fitted = training.train_graders(ready, training.sweep_configs(config), _start(ready))
+    ready.close()
+    rows = _history(fitted)
+    best = rows.agg(F.min_by("run", F.struct("val_loss", "run"))).first()[0]  # one row per run and epoch
+    return rows.withColumn("best_run", F.lit(best))
 
 
 # --- searches

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritrail.functions import grader_math as gm
 from veritrail.operators.grade import Grader
@@ -24,7 +27,7 @@ def checkpoint_rows(
         groups["adam_mean"], groups["adam_square"] = optimiser.mean, optimiser.square
         groups["adam_step"] = {"step": np.array([float(optimiser.step)])}
     return [
-        (run, epoch, best_f1, part, name, list(map(int, w.shape)), [float(v) for v in w.ravel()], args)
+        (run, epoch, best_f1, part, name, list(map(int, w.shape)), w.ravel().tolist(), args)
         for part, params in groups.items()
         for name, w in params.items()
     ]
@@ -34,9 +37,13 @@ def save_checkpoint(
     spark: SparkSession, path: str, run: str, epoch: int, grader: Grader,
     optimiser: gm.AdamW | None = None, best_f1: float | None = None,
 ) -> None:
-    """Replace the checkpoint at ``path``; only weights pass the driver."""
-    rows = checkpoint_rows(run, epoch, grader, optimiser, best_f1)
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    """Add a version to the checkpoint at ``path``; only weights pass the driver.
+
+    The version before stays until the new one is committed, and after it, so
+    that a failure at any point leaves a whole checkpoint to load.
+    """
+    rows = spark.createDataFrame(checkpoint_rows(run, epoch, grader, optimiser, best_f1), SCHEMA)
+    rows.withColumn("saved_at", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(path)
 
 
 def checkpoint_saver(spark: SparkSession, folder: str):
@@ -51,8 +58,10 @@ def checkpoint_saver(spark: SparkSession, folder: str):
 
 
 def load_grader(spark: SparkSession, path: str, in_dim: int | None = None) -> Grader:
-    """Rebuild a grader from its stored arguments; absent ones take defaults."""
-    rows = spark.read.schema(SCHEMA).parquet(path).where("part in ('weight', 'running')").collect()
+    """Rebuild a grader from the newest version of its checkpoint; absent arguments take defaults."""
+    stored = spark.read.schema(f"{SCHEMA}, saved_at bigint").parquet(path)
+    newest = stored.agg(F.max("saved_at")).first()[0]
+    rows = stored.where((F.col("saved_at") == newest) & F.col("part").isin("weight", "running")).collect()
     parts: dict[str, gm.Params] = {"weight": {}, "running": {}}
     for r in rows:
         parts[r["part"]][r["param_name"]] = np.asarray(r["values"]).reshape(r["shape"])
