@@ -142,6 +142,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _shipped(ids: DataFrame) -> DataFrame:
+    """Ids whose counted size fits a broadcast spare the texts a shuffle; 16 bytes to a row."""
+    return F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id.
 
@@ -153,10 +158,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     wins = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = rows.join(classes, "fp").where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(wins).alias("wins"))
     ids = written_table(ids.where("wins"), "simhash-kept")
-    kept = ids.where("n = 1").select(F.col("doc_id").alias(doc_id))
-    # ids that fit a broadcast spare the texts a shuffle; 16 bytes to a row
-    single = docs.join(F.broadcast(kept) if 16 * kept.count() <= BROADCAST_BYTES else kept, doc_id, "left_semi").select(*docs.columns)
-    repeated = docs.join(ids.where("n > 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    named = ids.select(F.col("doc_id").alias(doc_id), "n")
+    single = docs.join(_shipped(named.where("n = 1").select(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    repeated = docs.join(_shipped(named.where("n > 1").select(doc_id)), doc_id, "left_semi").select(*docs.columns)
     unclear = repeated.unionByName(docs.where(F.col(doc_id).isNull()))
     names = {"fp": "_sh_fp", "root": "_sh_root", "component_id": "_sh_first"}
     unclear = unclear.withColumn("_sh_fp", _fp(F.col(text))).join(classes.withColumnsRenamed(names), "_sh_fp")
