@@ -323,6 +323,18 @@ def test_secret_boundaries_and_masks(spark, edge, nothing):
     assert texts == want
 
 
+def test_value_in_many_documents_of_one_owner_is_an_example(spark):
+    wide, copied = "Zx81kL3mN8pRqW4vT6yU2iO0aS5dF7gH", "Pq72mN4bV9cXzL1kJ8hG5fD3sA6wE0rT"
+    rows = [(k, f"page {k} shows {wide} in its text", "en", "hot") for k in range(40)]
+    rows += [(100 + k, f"the same page with {copied} again", "en", "hot") for k in range(40)]
+    docs = docs_of(spark, rows)
+    kinds = secret_scan.ownership(secret_scan.scan(docs, "doc_id", "text", "source", "doc_id")).collect()
+    found = {r["vhash"]: (r["owners"], r["repos"], r["verdict"]) for r in kinds}
+    assert found == {hashlib.sha256(v.encode()).hexdigest(): x for v, x in ((wide, (1, 40, "example")), (copied, (1, 1, "live")))}
+    masked = {r["doc_id"]: "[SECRET]" in r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    assert masked == {i: i >= 100 for i, *_ in rows}
+
+
 # -- 7 toxicity
 
 def test_toxicity_on_held_out_rows(spark, sf_dir):

@@ -2,8 +2,8 @@
 
 Patterns find candidates with their places. The hash of each candidate's value
 is counted over the whole corpus by distinct owners and repositories: a value
-under many owners is a copied example, one under a single owner that also looks
-random is a live credential. The patterns' own spans always stay; beyond them,
+under many owners or in many repositories is a copied example, one under a
+single owner and in few repositories that also looks random is a live credential. The patterns' own spans always stay; beyond them,
 long tokens that no pattern names become spans where ownership marks them live.
 """
 
@@ -23,6 +23,7 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 TOKEN = r"[A-Za-z0-9+/_-]{32,}"
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 16
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|x{6}|0{6}|1234567"
 KINDS = ("assign", "access", "hex", "token")
 SPAN = "struct<start:bigint,ord:int,end:bigint,value:string>"
@@ -87,25 +88,28 @@ def looks_live(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``vhash, owners, repos, verdict`` of every candidate value of the corpus.
 
-    ``example``: under ``example_owners`` owners or more. ``live``: under one
-    owner and random-looking. ``unsure``: the rest. A null owner or repository
-    counts as one of its own. Counting is in two steps, first distinct triples,
-    so that a value copied a million times arrives as few rows.
+    ``example``: under ``example_owners`` owners or more, or in ``example_repos``
+    repositories or more. ``live``: neither, under one owner and random-looking.
+    ``unsure``: the rest. A null owner or repository counts as one of its own.
+    Copies of one text count as one repository, the first by name, so copying a
+    whole text does not make its secrets examples. Counting starts with distinct
+    triples, so that a value copied a million times arrives as few rows.
     """
-    values = scanned.where("tkey is not null").select("owner", "repo", F.explode(F.concat("base", "extra")["value"]).alias("value"))
+    values = scanned.where("tkey is not null").select("owner", "repo", "tkey", F.explode(F.concat("base", "extra")["value"]).alias("value"))
     triples = values.select(
-        F.sha2("value", 256).alias("vhash"), looks_live(F.col("value")).alias("live"),
+        F.sha2("value", 256).alias("vhash"), looks_live(F.col("value")).alias("live"), "tkey",
         F.coalesce(F.concat(F.lit("+"), "owner"), F.lit("-")).alias("owner"), F.coalesce(F.concat(F.lit("+"), "repo"), F.lit("-")).alias("repo"),
-    ).groupBy("vhash", "owner", "repo").agg(F.max("live").alias("live"))
-    by_owner = triples.groupBy("vhash", "owner").agg(F.max("live").alias("live"), F.count(F.lit(1)).alias("repos"))
-    counts = by_owner.groupBy("vhash").agg(
-        F.max("live").alias("live"), F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")
-    )
-    verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("unsure")
-    return counts.select("vhash", "owners", "repos", verdict.alias("verdict"))
+    ).groupBy("vhash", "owner", "tkey").agg(F.max("live").alias("live"), F.min("repo").alias("repo"))
+    by_owner = triples.groupBy("vhash", "owner").agg(F.max("live").alias("live"))
+    owners = by_owner.groupBy("vhash").agg(F.max("live").alias("live"), F.count(F.lit(1)).alias("owners"))
+    by_text = triples.groupBy("vhash", "tkey").agg(F.min("repo").alias("repo"))
+    repos = by_text.select("vhash", "repo").distinct().groupBy("vhash").agg(F.count(F.lit(1)).alias("repos"))
+    many = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    verdict = F.when(many, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("unsure")
+    return owners.join(repos, "vhash").select("vhash", "owners", "repos", verdict.alias("verdict"))
 
 
 def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
