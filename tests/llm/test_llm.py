@@ -335,6 +335,29 @@ def test_value_in_many_documents_of_one_owner_is_an_example(spark):
     assert masked == {i: i >= 100 for i, *_ in rows}
 
 
+NAMES = [
+    "com/2024/05/12/my-long-article-title", "der-lange-weg-nach-hause-teil-2-von-3-2024", "test_2_very_long_function_name_for_things",
+    "usr/lib/python3/dist-packages/numpy/core2", "getUserAccountByIdentifierAndName2Factory", "MAX_RETRY_COUNT_FOR_HTTP2_CONNECTIONS_V1",
+    "550e8400-e29b-41d4-a716-446655440000", "org/apache/spark/sql/execution/datasources/v2/ParquetScan", "article2024title05page3about7things",
+    "ISO8601DateTimeToUnixEpochMillisV2Converter", "2024-05-12T10-15-30Z-backup-of-server-01",
+]
+TOKENS = [
+    "Zx81kL3mN8pRqW4vT6yU2iO0aS5dF7gH", "rk_prod_51H8xKqLm3Np9RtVw2Yz4AbCd", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYz8kL2mN4q",
+    "k3j9x2m7q1w8z5v4b6n0p3r7t2y9u4h1",
+]
+
+
+def test_names_of_things_are_no_tokens(spark):
+    rows = [(k, f"see {v} for more", "en", "s1") for k, v in enumerate(NAMES + TOKENS)]
+    docs = docs_of(spark, rows)
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    for k, t, *_ in rows:
+        token = k >= len(NAMES)
+        assert spans[k] == (f"token:4:{len(t) - 9}" if token else ""), t
+        assert texts[k] == ("see [SECRET] for more" if token else t)
+
+
 # -- 7 toxicity
 
 def test_toxicity_on_held_out_rows(spark, sf_dir):

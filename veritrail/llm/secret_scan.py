@@ -24,6 +24,12 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 TOKEN = r"[A-Za-z0-9+/_-]{32,}"
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOS = 16
+# a random token: its pieces between separators change class often, read unlike words and have so many characters in all
+PIECE = r"[A-Za-z0-9]{5,}"
+SWITCH = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+WORDLIKE = r"[A-Z][a-z]{2,}|[a-z]{4,}"
+UUID = r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+RANDOM_CHARS, SWITCH_SHARE, WORD_SHARE, ENTROPY = 20, 0.2, 0.5, 3.0
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|x{6}|0{6}|1234567"
 KINDS = ("assign", "access", "hex", "token")
 SPAN = "struct<start:bigint,ord:int,end:bigint,value:string>"
@@ -88,19 +94,54 @@ def looks_live(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= 8) & ~value.rlike(PLACEHOLDER)
 
 
+def entropy(value: Column) -> Column:
+    """Bits to a character, by the characters' shares in ``value`` itself."""
+
+    def of(chars: Column) -> Column:
+        def term(c: Column) -> Column:
+            share = F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+            return -share * F.log2(share)
+
+        return F.aggregate(F.transform(F.array_distinct(chars), term), F.lit(0.0), lambda acc, x: acc + x)
+
+    return let(F.split(value, ""), of)
+
+
+def looks_random(value: Column) -> Column:
+    """A live token that no pattern names: most of it is random, as URL paths, slugs, file names and identifiers are not.
+
+    Only pieces between separators count in which lower case, capitals and
+    digits alternate (a capital that starts a word is no change) and at most
+    half of which reads like words; UUIDs name things and do not count.
+    """
+
+    def wordlike(run: Column) -> Column:
+        return run.rlike("(?i)[aeiouy]") & ~run.rlike("(?i)[^aeiouy]{4}")
+
+    def random_piece(piece: Column) -> Column:
+        switches = F.size(F.regexp_extract_all(piece, F.lit(SWITCH), F.lit(0)))
+        words = F.filter(F.regexp_extract_all(piece, F.lit(WORDLIKE), F.lit(0)), wordlike)
+        return (switches >= SWITCH_SHARE * (F.length(piece) - 1)) & (F.length(F.array_join(words, "")) <= WORD_SHARE * F.length(piece))
+
+    pieces = F.filter(F.regexp_extract_all(F.regexp_replace(value, UUID, "/"), F.lit(PIECE), F.lit(0)), random_piece)
+    return let(F.array_join(pieces, ""), lambda v: (F.length(v) >= RANDOM_CHARS) & looks_live(v) & (entropy(v) >= ENTROPY)) & looks_live(value)
+
+
 def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``vhash, owners, repos, verdict`` of every candidate value of the corpus.
 
     ``example``: under ``example_owners`` owners or more, or in ``example_repos``
-    repositories or more. ``live``: neither, under one owner and random-looking.
-    ``unsure``: the rest. A null owner or repository counts as one of its own.
+    repositories or more. ``live``: neither, under one owner and random-looking,
+    by the stricter ``looks_random`` where no pattern names it. ``unsure``: the rest. A null owner or repository counts as one of its own.
     Copies of one text count as one repository, the first by name, so copying a
     whole text does not make its secrets examples. Counting starts with distinct
     triples, so that a value copied a million times arrives as few rows.
     """
-    values = scanned.where("tkey is not null").select("owner", "repo", "tkey", F.explode(F.concat("base", "extra")["value"]).alias("value"))
+    values = scanned.where("tkey is not null").select("owner", "repo", "tkey", F.explode(F.concat("base", "extra")).alias("span"))
+    value = F.col("span")["value"]
+    live = F.when(F.col("span")["ord"] == KINDS.index("token"), looks_random(value)).otherwise(looks_live(value))
     triples = values.select(
-        F.sha2("value", 256).alias("vhash"), looks_live(F.col("value")).alias("live"), "tkey",
+        F.sha2(value, 256).alias("vhash"), live.alias("live"), "tkey",
         F.coalesce(F.concat(F.lit("+"), "owner"), F.lit("-")).alias("owner"), F.coalesce(F.concat(F.lit("+"), "repo"), F.lit("-")).alias("repo"),
     ).groupBy("vhash", "owner", "tkey").agg(F.max("live").alias("live"), F.min("repo").alias("repo"))
     by_owner = triples.groupBy("vhash", "owner").agg(F.max("live").alias("live"))
