@@ -432,6 +432,31 @@ def test_language_boundaries(spark, edge, nothing):
     assert pieces.predict([long, "und die katze"])["lang_pred"].tolist() == ["de", "de"]
 
 
+UNLEARNED = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są obdarzeni rozumem i sumieniem",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心",
+    "xq zvkj wqpx jjkw zzxq vbnm qwrt plkj hgfd mnbv cxzq wrtp lkjh", "<tr><td><tr><td><tr><td><br><hr><svg><rdf><xml>" * 4,
+]
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(sf_dir):
+    rows = given(sf_dir.replace("0.001", "0.01"), "documents").order("doc_id").project("text, lang").fetchall()
+    by = defaultdict(list)
+    for t, la in rows:
+        by[la].append(t)
+    model = langid.fit([t for t, _ in rows[::2]], [la for _, la in rows[::2]])
+    assert model.predict(UNLEARNED)["rejected"].all()
+    rest = [t for t, _ in rows[1::2]]
+    assert model.predict(rest)["rejected"].mean() <= 0.005
+    random.seed(3)
+    long = [t for t in rest if len(t.split()) >= 30]
+    assert model.predict(["".join(random.sample(t, len(t))) for t in long])["rejected"].mean() > 0.95
+    for left in by:
+        own = langid.fit([t for t, la in rows if la != left], [la for _, la in rows if la != left])
+        assert own.predict([t for t in by[left] if len(t.split()) >= 30])["rejected"].mean() > 0.9, left
+
+
 # -- 10 BPE
 
 def test_bpe_matches_the_public_library(spark, sf_dir):

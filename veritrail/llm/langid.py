@@ -8,6 +8,12 @@ probabilities on sampled documents left out of training. The rejection threshold
 is the lowest score at which accepted ones reach ``ACCEPT`` accuracy, but never
 one that rejects more than ``LOSS`` of the rightly named.
 
+A softmax is sure of texts it has never seen the like of, so a text must also be
+typical of the language it is given: the mean log likelihood of its n-grams there
+is held against a limit for texts of its length. Limits lie between the ``LOSS``
+quantile of cuttings in their own language and the median of negatives: the same
+cuttings with their language left out, and with their characters shuffled.
+
 Embedding and softmax are both linear, so the model is folded into one small
 table of n-gram logits before it is sent to the workers.
 """
@@ -31,6 +37,10 @@ EPOCHS = 4
 RATE = 0.5
 ACCEPT = 0.99
 LOSS = 0.005
+REACH, LEAST_GAP = 0.6, 1.0  # limits lie this share of the way to the negatives, which count as so far off at least
+LEAST_RIGHT = 20  # fewer calibration rows, or cuttings of a length, tell nothing
+CUT_WORDS = tuple(1 << k for k in range(11))
+CUT_CHARS = 1 << 13
 HELD_OUT_FOLD, FOLDS = 2, 4
 CHUNK_CHARS = 1 << 19
 
@@ -101,28 +111,42 @@ class LanguageModel:
     bias: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
+    likelihood: np.ndarray | None = None  # of each n-gram in each language, as logarithm
+    limits: np.ndarray | None = None  # of the mean likelihood, by the binary logarithm of the number of n-grams
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean logits over the n-grams of each text, and their number."""
-        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
+    def means(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean over the n-grams of each text of each column of ``table``, and their number."""
+        sums, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), dtype=np.int64)
         for part in pieces_of(texts):
             h, owner = grams([piece for _, piece in part])
             at = np.array([k for k, _ in part])
             np.add.at(n, at, np.bincount(owner, minlength=len(part)))
-            for lang in range(len(self.langs)):
-                np.add.at(sums[:, lang], at, np.bincount(owner, self.table[h, lang], minlength=len(part)))
-        return sums / np.maximum(n, 1)[:, None] + self.bias, n
+            for k in range(table.shape[1]):
+                np.add.at(sums[:, k], at, np.bincount(owner, table[h, k], minlength=len(part)))
+        return sums / np.maximum(n, 1)[:, None], n
+
+    def untypical(self, means: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which mean likelihoods are below the limit for their number of n-grams."""
+        return means < self.limits[np.minimum(length_class(n), len(self.limits) - 1)]
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         known = [t or "" for t in texts]
         if not self.langs or not known:
             return pd.DataFrame({"lang_pred": ["und"] * len(known), "score": 0.0, "rejected": True})
-        z, n = self.logits(known)
-        p = softmax(z / self.temperature)
+        both = self.table if self.limits is None else np.hstack([self.table, self.likelihood])
+        found, n = self.means(known, both)
+        p = softmax((found[:, : len(self.langs)] + self.bias) / self.temperature)
         best = p.argmax(axis=1)
         score = np.where(n == 0, 0.0, p.max(axis=1))
         names = ["und" if m == 0 else self.langs[b] for b, m in zip(best, n, strict=True)]
-        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": (n == 0) | (score < self.threshold)})
+        rejected = (n == 0) | (score < self.threshold)
+        if self.limits is not None:
+            rejected |= self.untypical(found[np.arange(len(known)), len(self.langs) + best], n)
+        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected})
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(n, 1)).astype(np.int64)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -130,10 +154,61 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def likelihoods(rows: list[tuple], langs: int) -> np.ndarray:
+    """Logarithm of each n-gram's share in each language; a long text counts no more than one of ``CUT_CHARS`` n-grams."""
+    counts = np.full((BUCKETS, langs), 0.5)
+    for (u, c), y in rows:
+        counts[u, y] += c * min(1.0, CUT_CHARS / c.sum())
+    return np.log(counts / counts.sum(axis=0))
+
+
+def cuttings(texts: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Runs of words of every length in ``CUT_WORDS`` and whole shorter texts, and the text each is from."""
+    out, owner = [], []
+    for k, text in enumerate(texts):
+        words = text[: 16 * CUT_CHARS].split()
+        for size in CUT_WORDS:
+            at = int(rng.integers(max(1, len(words) - size + 1)))
+            out.append(" ".join(words[at : at + size])[:CUT_CHARS])
+            owner.append(k)
+            if size >= len(words):
+                break
+    return out, np.array(owner, dtype=np.int64)
+
+
+def limits(model: LanguageModel, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+    """The limit of the mean likelihood for each ``length_class``; None where too few texts tell it.
+
+    A class with too few cuttings takes the limit of the next shorter one.
+    """
+    if len(texts) < LEAST_RIGHT:
+        return None
+    cut, owner = cuttings(texts, rng)
+    own = y[owner]
+    found, n = model.means(cut, model.likelihood)
+    right = found[np.arange(len(cut)), own]
+    mixed, _ = model.means(["".join(rng.permutation(list(c))) if c else "" for c in cut], model.likelihood)
+    negatives = mixed.max(axis=1)[:, None]
+    if len(model.langs) > 1:
+        found[np.arange(len(cut)), own] = -np.inf
+        negatives = np.hstack([negatives, found.max(axis=1)[:, None]])
+    classes = length_class(n)
+    out = np.full(max(1, int(classes.max(initial=0)) + 1), -np.inf)
+    for k in range(len(out)):
+        here = (classes == k) & (n > 0)
+        if here.sum() >= LEAST_RIGHT:
+            low = np.quantile(right[here], LOSS)
+            out[k] = low - REACH * max(low - np.median(negatives[here]), LEAST_GAP)
+        elif k:
+            out[k] = out[k - 1]
+    return out
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     """Train by plain SGD, one document to a step; every fifth document calibrates."""
     counts = gram_counts(texts) if texts else []
     some = [(c, lang) for c, lang in zip(counts, langs, strict=True) if len(c[0])]
+    whole = [t for t, c in zip(texts, counts, strict=False) if len(c[0])]
     if not some:
         return LanguageModel()
     names = sorted({lang for _, lang in some})
@@ -174,6 +249,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     # no more than LOSS of the rightly named may go; too few of them to tell that share: none goes
     spare = int(LOSS * right.sum())
     model.threshold = min(wanted, float(np.sort(score[right])[spare])) if spare else 0.0
+    model.likelihood = likelihoods(train, len(names))
+    if held is not rows:
+        calibrating = [t for k, t in enumerate(whole) if k % 5 == 0]
+        model.limits = limits(model, [t for t, r in zip(calibrating, right, strict=True) if r], y[right], rng)
     return model
 
 
@@ -214,6 +293,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every row.
 
+    Rejected is what the calibrated score or the limit of its length turns away:
+    unlearned languages and gibberish, the surer the longer.
     ``und`` with score 0, rejected, for a null text or one without a letter, and
     for all rows where nothing can be learned. A null id is in no fold: its
     ``held_out`` is false, and it is not learned from. Repeated rows stay.
