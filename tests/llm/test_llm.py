@@ -105,6 +105,22 @@ def test_main_text_without_an_article_uses_the_rules():
     assert html_text.main_text(page).split("\n") == [long.strip(), "Yes.", long.strip()]
 
 
+def test_class_words_do_not_drop_the_main_part():
+    long = "It is the story of a man who was in the house and on the hill with his dog for all of the day. " * 3
+    p = f"<p>{long}</p>"
+    for page in (
+        f'<body class="single-post sidebar-right">{p}</body>', f'<body class="single search"><article>{p}</article></body>',
+        f'<html class="popup"><body id="menu"><main>{p}</main></body></html>', f'<div class="page with-sidebar">{p}</div>',
+        f'<article class="post no-comments">{p}</article>', f'<main id="search-policy">{p}</main>', f'<main class="search">{p}</main>',
+        f'<div class="page widget"><article class="post">{p}</article></div>', f'<div id="page" class="related">{p}</div>',
+        f'<article class="post">{p}</article><div id="comments"><article class="comment">{p}</article></div>',
+        f'<article>{p}<div class="related">{p}</div><article class="comment">{p}</article></article>',
+        f'<div>{p}</div><div id="comments"><article>{p}</article></div>', f'<p>Hello there.</p><div id="page" class="widget"><article>{p}</article></div>',
+        f'<div>{p}</div><div class="cookie-notice">{p}</div><section id="comments">{p}</section>',
+    ):
+        assert html_text.main_text(page) == long.strip(), page
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     got = {r["page_id"]: r for r in LLM_QUERIES["op2_main_text"](spark, sf_dir).collect()}
     pages = given(sf_dir, "pages").fetchall()

@@ -63,30 +63,39 @@ class Block:
     text: str
     links: float
     main: bool
+    named: bool = False  # inside a container whose class or id names boilerplate
     label: str = ""
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is the main part."""
-    boiler, main = tag in DROPPED, tag in ("article", "main")
+def _names_boilerplate(value: str) -> bool:
+    """Whether a whole class token is a boilerplate word or made of such words only, as ``cookie-notice``."""
+    return any(words and words <= BOILERPLATE for words in ({w.lower() for w in _SPLIT.split(token) if w} for token in value.split()))
+
+
+def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by itself, whether by its names, and whether it is the main part."""
+    boiler, named, main = tag in DROPPED, False, tag in ("article", "main")
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
             name, value = (m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or "")
             if name in ("class", "id", "role", "itemprop"):
-                words = {w.lower() for w in _SPLIT.split(value)}
-                boiler |= bool(words & BOILERPLATE)
+                named |= tag not in ("html", "body") and _names_boilerplate(value)
                 main |= bool({w.lower() for w in value.split()} & MAIN_WORDS)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 boiler = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 boiler = True
-    return boiler, main and not boiler
+    return boiler, named, main and not boiler
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page outside boilerplate containers, white space folded, with their share of link characters."""
+    """Text blocks of a page outside boilerplate containers, white space folded, with their share of link characters.
+
+    A container that only its names make boilerplate is left out inside the main
+    part; elsewhere its blocks are ``named``, as it may hold the main part.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside the main part
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside boilerplate, inside the main part, inside a named container
     pieces: list[str] = []
     linked = links = 0
     at = 0
@@ -95,7 +104,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, min(1.0, linked / len(text)), bool(stack) and stack[-1][2]))
+            out.append(Block(text, min(1.0, linked / len(text)), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
         pieces, linked = [], 0
 
     def pop_to(depth: int) -> None:
@@ -143,10 +152,13 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(len(stack) - 1)
         if tag in VOID:
             continue
-        boiler, main = _kind(tag, m["attrs"])
+        boiler, named, main = _kind(tag, m["attrs"])
         inside = bool(stack) and stack[-1][2]
         boiler |= tag == "header" and not inside
-        stack.append((tag, dropped or boiler, (inside or main)))
+        # <main> is the main part whatever its names; an article within it may be a comment
+        boiler |= named and inside and tag != "main"
+        named &= not inside and tag != "main"
+        stack.append((tag, dropped or boiler, (inside or main), bool(stack) and stack[-1][3] or named))
         links += tag == "a"
     flush()
     return out
@@ -172,7 +184,21 @@ def first_pass(block: Block) -> str:
 
 
 def classify(blocks: list[Block]) -> list[Block]:
-    """Label every block. Where the page marks a main part, blocks outside it are not the article."""
+    """Label every block. Where the page marks a main part, blocks outside it are not the article.
+
+    Named containers count only where less than ``LONG`` characters outside them
+    are the article: then they hold the page.
+    """
+    outside, named = [b for b in blocks if not b.named], [b for b in blocks if b.named]
+    for b in named:
+        b.label = "bad"
+    _label(outside)
+    if named and not any(b.main for b in outside) and sum(len(b.text) for b in outside if b.label == "good") < LONG:
+        _label(blocks)
+    return blocks
+
+
+def _label(blocks: list[Block]) -> None:
     marked = any(b.main for b in blocks)
     own = [b for b in blocks if b.main == marked]
     for b in blocks:
@@ -198,7 +224,6 @@ def classify(blocks: list[Block]) -> list[Block]:
         final = ["good"] * len(final)  # a page of short blocks among which some lean to text
     for b, label in zip(own, final, strict=True):
         b.label = label
-    return blocks
 
 
 def main_text(page: str | None) -> str:
