@@ -121,6 +121,30 @@ def test_class_words_do_not_drop_the_main_part():
         assert html_text.main_text(page) == long.strip(), page
 
 
+OTHER = {
+    "it": "Nel mezzo della notte il vecchio pescatore prese gli attrezzi, scese verso il porto e salì sulla barca. "
+    "Quando il sole spuntò dietro i monti aveva già riempito tre ceste; poi tornò lentamente verso casa.",
+    "nl": "Vroeg in de ochtend liep de oude visser naar zijn boot. Hij had drie manden bij zich en wist precies waar hij moest zijn. "
+    "Toen de zon boven de bergen kwam, waren alle manden gevuld en voer hij langzaam terug naar huis.",
+    "pl": "Wczesnym rankiem stary rybak poszedł do swojej łodzi. Miał przy sobie trzy kosze i dokładnie wiedział, dokąd płynąć. "
+    "Kiedy słońce wzeszło nad górami, wszystkie kosze były pełne i powoli wrócił do domu.",
+    "zh": "清晨，老渔夫走向他的小船。他带着三个篮子，清楚地知道要去哪里。太阳从山后升起的时候，所有的篮子都已经装满了，于是他慢慢地划船回家。"
+    "村里的人都在码头上等他，孩子们高兴地跑来跑去，大家一起把鱼搬到市场上去卖，一直忙到中午才回家休息吃饭。",
+}
+
+
+def test_unmarked_pages_in_other_languages_and_with_code():
+    links = "<div>" + "".join(f"<a href=/{k}>wpis {k} strona</a> " for k in range(20)) + "</div>"
+    for lang, text in OTHER.items():
+        page = f"<body>{links}<div><p>{text}</p><p>{text}</p></div>{links}</body>"
+        assert html_text.main_text(page) == f"{text}\n{text}", lang
+    long = "It is the story of a man who was in the house and on the hill with his dog for all of the day. " * 3
+    code = "for (int i = 0; i < n; i++) { total += values[i] * weights[i]; } return total / n; // mean_value(values, weights)"
+    names = "Anna Kowalska Piotr Nowak Maria Lewandowska Jan Zielinski Katarzyna Mazur Tomasz Krawczyk Magdalena Duda"
+    page = f"<body>{links}<p>{long}</p><pre>{code.replace('<', '&lt;')}</pre><p>{long}</p><table><tr><td>{names}</table>{links}</body>"
+    assert html_text.main_text(page).split("\n") == [long.strip(), code, long.strip(), names]
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     got = {r["page_id"]: r for r in LLM_QUERIES["op2_main_text"](spark, sf_dir).collect()}
     pages = given(sf_dir, "pages").fetchall()

@@ -48,6 +48,12 @@ SHORT, LONG = 70, 200
 MANY_LINKS = 0.33
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 
+# a page with fewer stop words than this in its long blocks is in another language than the four
+KNOWN_STOPS = 0.20
+# scripts without blanks: a character says as much as two of an alphabet
+DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE = re.compile(r"[.!?…։۔؟।]['\"”’»)\]]*(?:\s|$)|[。！？｡]")
+
 _TOKEN = re.compile(
     r"<!--(?:(?!-->)[\s\S])*+(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*+>?"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^'\">]++|\"[^\"]*+\"|'[^']*+'|['\"])*+)(?:>|\Z)|<|[^<]++"
@@ -164,8 +170,16 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
-    """``good``, ``bad``, or open: ``leaning`` where stop words speak for it, ``short`` where nothing does."""
+def size_of(text: str) -> int:
+    return len(text) + len(DENSE.findall(text))
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """``good``, ``bad``, or open: ``leaning`` where words or sentences speak for it, ``short`` where nothing does.
+
+    ``known`` is false on pages in other languages than those of the stop words:
+    there sentence marks stand for stop words.
+    """
     words = _WORD.findall(block.text.lower())
     if not words:
         return "short"
@@ -173,14 +187,24 @@ def first_pass(block: Block) -> str:
         return "bad"
     if "©" in block.text and len(block.text) < LONG and not block.main:
         return "bad"
-    if len(block.text) < SHORT:
+    size = size_of(block.text)
+    if size < SHORT:
         return "bad" if block.links > 0 and not block.main else "short"
     stops = sum(w in STOP_WORDS for w in words) / len(words)
     if stops >= STOP_HIGH:
-        return "good" if len(block.text) >= LONG else "leaning"
-    if stops >= STOP_LOW:
+        return "good" if size >= LONG else "leaning"
+    if not known and SENTENCE.search(block.text):
+        return "good" if size >= LONG else "leaning"
+    if stops >= STOP_LOW or (not known and size >= LONG and not block.links):
         return "leaning"
-    return "short" if block.main else "bad"
+    # code, tables and lists of names have few stop words: they go with their neighbours
+    return "short" if block.main or not block.links else "bad"
+
+
+def known_language(blocks: list[Block]) -> bool:
+    """Whether the long blocks with few links hold as many stop words as the four languages do."""
+    words = [w for b in blocks if size_of(b.text) >= SHORT and b.links <= MANY_LINKS for w in _WORD.findall(b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= KNOWN_STOPS * len(words)
 
 
 def classify(blocks: list[Block]) -> list[Block]:
@@ -201,8 +225,9 @@ def classify(blocks: list[Block]) -> list[Block]:
 def _label(blocks: list[Block]) -> None:
     marked = any(b.main for b in blocks)
     own = [b for b in blocks if b.main == marked]
+    known = known_language(own)
     for b in blocks:
-        b.label = "bad" if marked and not b.main else first_pass(b)
+        b.label = "bad" if marked and not b.main else first_pass(b, known)
     decided = [k for k, b in enumerate(own) if b.label in ("good", "bad")]
     before: list[int | None] = []
     last = None
