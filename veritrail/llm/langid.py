@@ -9,8 +9,8 @@ is the lowest score at which accepted ones reach ``ACCEPT`` accuracy, but never
 one that rejects more than ``LOSS`` of the rightly named.
 
 A softmax is sure of texts it has never seen the like of, so a text must also be
-typical of the language it is given: the mean log likelihood of its n-grams there
-is held against a limit for texts of its length. Limits lie between the ``LOSS``
+typical of some learned language: the mean log likelihood of its n-grams there is
+held against a limit for texts of its length. Limits lie between the ``LOSS``
 quantile of cuttings in their own language and the median of negatives: the same
 cuttings with their language left out, and with their characters shuffled.
 
@@ -141,7 +141,8 @@ class LanguageModel:
         names = ["und" if m == 0 else self.langs[b] for b, m in zip(best, n, strict=True)]
         rejected = (n == 0) | (score < self.threshold)
         if self.limits is not None:
-            rejected |= self.untypical(found[np.arange(len(known)), len(self.langs) + best], n)
+            # of any language: one that is learned but misnamed is no unlearned one
+            rejected |= self.untypical(found[:, len(self.langs) :].max(axis=1), n)
         return pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected})
 
 
