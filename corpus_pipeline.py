@@ -4,15 +4,19 @@
 2. ``simhash_dedup`` keeps one document of each near-duplicate group.
 3. ``secret_scan`` masks credentials in the texts; no document goes.
 4. ``mix_sources`` puts the documents in the order of a weighted mix, written in ranges of it; no document goes.
-5. ``byte_bpe`` encodes each whole text, decodes it again and returns counts and digests.
+5. ``byte_bpe`` encodes each whole text, decodes it again and returns counts and digests, and with ``mix_place``
+   the document's place in the mix, 0..n-1.
 
-Stages 1 to 4 return the columns of ``documents``.
+Stages 1 to 4 return the columns of ``documents``; the mix is handed on by the order of rows and files, from which the
+last stage reads the place, as the files may be read in any order.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.llm import bpe, langid, pfair, secret_scan, simhash
 from veritrail.llm.queries import public_codec
@@ -36,8 +40,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.interleaved(pfair.mix(docs, pfair.tempered_weights(docs))).select(*docs.columns)
 
 
+def with_place(docs: DataFrame, out: str) -> DataFrame:
+    """``docs`` with each row's place in the table as it was written: by part number, then by row within the file.
+
+    Null where ``docs`` is not read from files, whose rows have no order.
+    """
+    try:
+        at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn(out, F.lit(None).cast("bigint"))
+    # one row to a file
+    files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("bigint")
+    before = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return at.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias(out))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(docs, public_codec())
+    return bpe.encode_digests(with_place(docs, "mix_place"), public_codec(), carry=("mix_place",))
 
 
 STAGES = [

@@ -548,3 +548,21 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
         assert (t == before[i]) == (not slow_spans(before[i])) and not any(s[3] != "hex" for s in slow_spans(t))
     last = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert last == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items()}
+
+
+def test_pipeline_returns_the_place_in_the_mix(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the mix is one file
+    try:
+        state = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            stage(spark, state, sf_dir).write.parquet(f"{tmp_path}/{name}")
+            state = spark.read.parquet(f"{tmp_path}/{name}")
+        mixed = pfair.mix(state, pfair.tempered_weights(state)).orderBy("mix_slot", "mix_row")
+        want = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+        got = corpus_pipeline.run(spark, sf_dir).select("mix_place", "doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert [r["doc_id"] for r in sorted(got)] == want and sorted(r["mix_place"] for r in got) == list(range(len(want)))

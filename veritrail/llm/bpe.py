@@ -256,8 +256,8 @@ def decode(rows: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded"
     return rows.withColumn(out, back(F.col(ids)))
 
 
-def encode_digests(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; encoding and decoding in one pass.
+def encode_digests(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row and the columns ``carry``; encoding and decoding in one pass.
 
     A null text counts as empty: no tokens, digests of nothing. Other columns,
     whatever their names, are not read. One row out for each row in.
@@ -268,4 +268,4 @@ def encode_digests(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text:
     def digests(texts: pd.Series) -> pd.DataFrame:
         return token_digests(shared.value, texts.fillna("").tolist())
 
-    return docs.select(F.col(doc_id).alias("doc_id"), digests(F.col(text)).alias("_d")).select("doc_id", "_d.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), *carry, digests(F.col(text)).alias("_d")).select("doc_id", "_d.*", *carry)
