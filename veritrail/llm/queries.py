@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, fingerprint, html_text, langid, neardup, pfair, secret_scan, sharding, simhash, toxicity
+from veritrail.llm import (
+    bpe, filter_audit, fingerprint, html_text, langid, neardup, pfair, secret_scan, sharding, simhash, token_alignment, toxicity, word_bpe,
+)
 from veritrail.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -60,6 +62,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_codec())
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = word_bpe.vocabulary_of(public_tokenizers.path("byte_bpe_50k.json"))
+    return word_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *public_sides())
+
+
+def public_sides() -> tuple[token_alignment.ByteLevelSide, token_alignment.PieceSide]:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return token_alignment.ByteLevelSide(a.read()), token_alignment.PieceSide(b.read())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,13 +94,14 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_main_text, op3_near_vectors, op4_simhash_dedup, op5_fingerprints, op6_secret_scan, op7_toxicity,
-        op8_shards, op9_language_id, op10_byte_bpe, pipeline,
+        op8_shards, op9_language_id, op10_byte_bpe, op11_word_bpe, op12_token_alignment, op13_filter_audit, pipeline,
     )
 }
 
 #: Hashing, merges, trained models, random permutations and page rules are not expressible in SQL; tests hold
 #: those queries against brute force. Near vectors are: every pair of a label, and the smallest id reachable.
 LLM_SQL: dict[str, str] = {
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
     "op3_near_vectors": """
 WITH RECURSIVE vecs AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
