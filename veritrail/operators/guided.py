@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,11 @@ from veritrail.functions.text import is_blank
 from veritrail.operators.grade import GradeTexts
 from veritrail.operators.skew import lookup_join, measured_bytes
 from veritrail.session import cut_lineage, ship_package
+from veritrail.sources.results import RoundLog
 
-# A generator takes fan-out rows (problem_id, problem, round, cand_idx, text)
-# and adds ``chunk`` and ``eos``, for the tree search ``logprob`` too; ``text``
-# is the answer so far.
+# A generator takes fan-out rows (problem_id, problem, round, text, max_new,
+# cand_idx) and adds ``chunk`` and ``eos``, for the tree search ``logprob`` too.
+# ``text`` is the answer so far, ``max_new`` the most tokens of the chunk.
 Generator = Callable[[DataFrame], DataFrame]
 
 
@@ -40,7 +42,8 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
     """Stand-in generator: chunks drawn from a numbered pool ``(pool_idx, chunk)``.
 
     The draw is an md5 of seed, problem, round and candidate, so every retry and
-    every partitioning draws the same chunk.
+    every partitioning draws the same chunk. Its tokens are what single spaces
+    part; the first ``max_new`` of them are kept.
     """
 
     pool_bytes = measured_bytes(pool)
@@ -56,14 +59,15 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
                 "logprob": -F.pmod(other, F.lit(1000)) / F.lit(250.0),
             }
         )
-        return lookup_join(drawn, pool, ["pool_idx"], measured=pool_bytes).drop("pool_idx")
+        met = lookup_join(drawn, pool, ["pool_idx"], measured=pool_bytes).drop("pool_idx")
+        return met.withColumn("chunk", F.array_join(F.slice(F.split("chunk", " ", -1), F.lit(1), F.col("max_new")), " "))
 
     return run
 
 
-def fan_out(problems: DataFrame, k: int) -> DataFrame:
-    """k numbered copies of each active problem."""
-    return problems.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cand_idx"))
+def fan_out(problems: DataFrame, k: int, max_new: int) -> DataFrame:
+    """k numbered copies of each active problem, which may grow by ``max_new`` tokens."""
+    return problems.select("*", F.lit(max_new).alias("max_new"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cand_idx"))
 
 
 def best_candidates(
@@ -138,42 +142,57 @@ def search(
     max_iters: int = 10,
     log: list[DataFrame] | None = None,
     eos_scope: str = "any",
+    max_new: int = 50,
+    rounds: RoundLog | None = None,
 ) -> DataFrame:
     """Guided generation for all problems at once, one job per round.
 
     ``problems`` is ``(problem_id, problem)``. ``grade`` scores rows keyed by
     ``problem_id, cand_idx`` with ``problem`` and ``text``. Problems that stop
     leave the active set. Each round's candidates are appended to ``log``.
+
+    With ``rounds`` every round is committed to a folder before the next one
+    begins, and a search over the same folder goes on behind its last committed
+    round: finished problems are not touched, open ones go on from their stored
+    texts and iterations, problems that no round has seen start. Problem ids
+    are then unique.
     """
     if max_iters < 1:
         raise ValueError("max_iters must be at least 1")
-    active = cut_lineage(problems.select("problem_id", "problem", F.lit("").alias("text")))
-    finished: list[DataFrame] = []
-    for it in range(max_iters):
-        wide = generate(fan_out(active.withColumn("round", F.lit(it)), k))
+    known = ["problem_id", "problem"]
+    active = problems.select(*known, F.lit("").alias("text"), F.lit(0).alias("iter"))
+    number = 0
+    if rounds is not None and rounds.numbers():
+        number = rounds.numbers()[-1] + 1
+        seen = rounds.read().select("problem_id").distinct()
+        going = rounds.read(number - 1).where(F.col("reason").isNull())
+        active = active.join(seen, "problem_id", "left_anti").unionByName(
+            going.select(*known, "text", (F.col("iter") + 1).alias("iter"))
+        )
+    active = cut_lineage(active)
+    held: list[DataFrame] = []
+    # the first round runs over an empty table too, so that there is a result to read
+    while (number == 0 and not held) or not active.isEmpty():
+        wide = generate(fan_out(active.withColumn("round", F.col("iter")), k, max_new))
         # sampling need not repeat itself, so what was drawn is kept
         answers = cut_lineage(wide.withColumn("answer", F.concat("text", "chunk")))
         scores = grade(answers.select("problem_id", "cand_idx", "problem", F.col("answer").alias("text")))
         graded = answers.join(scores, ["problem_id", "cand_idx"])
         if log is not None:
-            log.append(graded.select("problem_id", F.col("round").alias("iter"), "cand_idx", "chunk", "score", "eos"))
+            log.append(graded.select("problem_id", "iter", "cand_idx", "chunk", "score", "eos"))
         flag = "any_eos" if eos_scope == "any" else "eos"
-        best = best_candidates(graded, ["problem_id", "problem"], ["chunk", "answer"])
-        judged = best.withColumn("reason", stop_reason(threshold=threshold, eos=flag))
-        if it == max_iters - 1:
-            judged = judged.withColumn("reason", F.coalesce("reason", F.lit("max_iters")))
-        judged = cut_lineage(judged)
-        finished.append(
-            judged.where(F.col("reason").isNotNull()).select(
-                F.col("problem_id"), "problem",
-                F.col("answer").alias("final_answer"), F.col("score").alias("final_score"),
-                F.lit(it).alias("last_iter"), F.col("reason").alias("stop_reason"),
-            )
+        best = best_candidates(graded, [*known, "iter"], ["chunk", "answer"])
+        last = F.when(F.col("iter") >= max_iters - 1, F.lit("max_iters"))
+        judged = best.select(
+            *known, F.col("answer").alias("text"), "score", "iter",
+            F.coalesce(stop_reason(threshold=threshold, eos=flag), last).alias("reason"),
         )
-        active = judged.where(F.col("reason").isNull()).select("problem_id", "problem", F.col("answer").alias("text"))
-        if it < max_iters - 1 and active.isEmpty():
-            break
-    result = finished[0]
-    for part in finished[1:]:
-        result = result.unionByName(part)
-    return result
+        judged = cut_lineage(judged) if rounds is None else rounds.commit(number, judged)
+        held.append(judged)
+        active = judged.where(F.col("reason").isNull()).select(*known, "text", (F.col("iter") + 1).alias("iter"))
+        number += 1
+    all_rounds = reduce(DataFrame.unionByName, held) if rounds is None else rounds.read()
+    return all_rounds.where(F.col("reason").isNotNull()).select(
+        *known, F.col("text").alias("final_answer"), F.col("score").alias("final_score"),
+        F.col("iter").alias("last_iter"), F.col("reason").alias("stop_reason"),
+    )

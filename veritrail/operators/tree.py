@@ -155,9 +155,9 @@ def _new_children(nodes: Column, parent: Column, candidates: Column) -> Column:
     )
 
 
-def _proposals(rows: DataFrame, generate: Generator, k: int) -> DataFrame:
+def _proposals(rows: DataFrame, generate: Generator, k: int, max_new: int) -> DataFrame:
     """``(problem_id, candidates)``, at most k per problem, in candidate order."""
-    drawn = generate(fan_out(rows.select("problem_id", "problem", "round", "text"), k))
+    drawn = generate(fan_out(rows.select("problem_id", "problem", "round", "text"), k, max_new))
     entries = F.collect_list(F.struct("cand_idx", "chunk", "eos", "logprob"))
     return drawn.groupBy("problem_id").agg(F.array_sort(entries).alias("candidates"))
 
@@ -168,8 +168,8 @@ class _Simulation:
     The columns do not depend on the data and are built once per search.
     """
 
-    def __init__(self, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float):
-        self.generate, self.grade, self.k = generate, grade, k
+    def __init__(self, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float, max_new: int = 50):
+        self.generate, self.grade, self.k, self.max_new = generate, grade, k, max_new
         self.depth_steps = max(1, max_depth)
 
         def rank(n: Column) -> Column:
@@ -226,7 +226,7 @@ class _Simulation:
         leaf = walk.select(*self.leaf)
         # a node met again keeps the grade it got: the grader is a function of the text
         scores = self.grade(leaf.where("grade is null").select("problem_id", "problem", "text"))
-        fresh = _proposals(leaf.where("not _shut and not _expanded"), self.generate, self.k)
+        fresh = _proposals(leaf.where("not _shut and not _expanded"), self.generate, self.k, self.max_new)
         met = walk.join(scores, "problem_id", "left").join(fresh, "problem_id", "left")
         return met.select(*self.result)
 
@@ -243,20 +243,24 @@ def search(
     c_puct: float = 1.0,
     max_depth: int = 3,
     trees: list[DataFrame] | None = None,
+    max_new: int = 50,
+    inner_max_new: int = 50,
 ) -> DataFrame:
     """Tree-guided generation for all problems, one job per simulation.
 
     Each outer move starts a new tree at the text so far. ``grade`` scores rows
-    keyed by ``problem_id``. The searched trees are appended to ``trees``.
+    keyed by ``problem_id``. The searched trees are appended to ``trees``. A
+    move grows by ``max_new`` tokens, a node below the root's children by
+    ``inner_max_new``.
     """
     if max_iters < 1:
         raise ValueError("max_iters must be at least 1")
-    simulation = _Simulation(generate, grade, k, max_depth, c_puct)
+    simulation = _Simulation(generate, grade, k, max_depth, c_puct, inner_max_new)
     active = problems.select("problem_id", "problem", F.lit("").alias("text"))
     finished: list[DataFrame] = []
     for it in range(max_iters):
         placed = cut_lineage(active.withColumn("iter", F.lit(it)))
-        roots = _proposals(placed.withColumn("round", F.concat(F.col("iter").cast("string"), F.lit(".root"))), generate, k_root)
+        roots = _proposals(placed.withColumn("round", F.concat(F.col("iter").cast("string"), F.lit(".root"))), generate, k_root, max_new)
         met = cut_lineage(placed.join(roots, "problem_id", "left"))
         stuck = met.where(F.col("candidates").isNull()).select("problem_id", "problem", "text")
         if not stuck.isEmpty():

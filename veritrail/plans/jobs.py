@@ -88,18 +88,23 @@ def extract_prefix_vectors(
 
 def guided_batch(
     problems: DataFrame, path: str, generate: Generator, tokenise: Tokeniser, states: States,
-    grader: Grader, k: int = 5, threshold: float = 0.95, max_iters: int = 30,
+    grader: Grader, k: int = 5, threshold: float = 0.95, max_iters: int = 30, max_new: int = 150,
 ) -> DataFrame:
-    """Search a problem table, append the results, give the summary."""
+    """Search a problem table round by round, publish each round's results, give the summary.
+
+    Results and rounds lie under ``path``. A run that was stopped goes on there
+    when it is called again with the same settings; so does a finished one,
+    with the problems that it has not seen.
+    """
+    settings = {"k": k, "threshold": threshold, "max_iters": max_iters, "max_new": max_new}
+    rounds = result_io.RoundLog(problems.sparkSession, path, settings)
     grade = chat_grader(["problem_id", "cand_idx"], tokenise, states, grader)
     renamed = problems.withColumnRenamed("problem_idx", "problem_id")
-    found = guided.search(renamed, generate, grade, k, threshold, max_iters)
-    done = found.withColumnRenamed("problem_id", "problem_idx")
-    result_io.append_results(done, f"{path}/results")
-    return result_io.result_summary(done, {"k": k, "threshold": threshold, "max_iters": max_iters})
+    guided.search(renamed, generate, grade, k, threshold, max_iters, max_new=max_new, rounds=rounds)
+    return result_io.result_summary(rounds.results(), settings)
 
 
-def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser) -> DataFrame:
+def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser, max_new: int = 2048) -> DataFrame:
     """One sampled answer per problem, as token sequences for the state pass.
 
     ``problems`` has ``problem_id, problem, batch_id``. The length to which a
@@ -109,7 +114,7 @@ def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser) -> D
     start = problems.withColumns({"round": F.lit("unguided"), "text": F.lit("")})
     prompt = render_chat(chat_messages(system_prompt("search"), F.col("problem")), "generation")
     # drawn once: the widths and the result below both read this draw
-    drawn = cut_lineage(generate(fan_out(start, 1))).withColumn("_prompt", prompt)
+    drawn = cut_lineage(generate(fan_out(start, 1, max_new))).withColumn("_prompt", prompt)
     whole = drawn.withColumns({"_asked": tokenise(F.col("_prompt")), "_new": tokenise(F.col("chunk"))})
     # one batch is at most batch_size rows: longest prompt plus longest answer
     widest = whole.groupBy("batch_id").agg(

@@ -432,12 +432,16 @@ def _drawn(round_: str) -> str:
     return f"md5('pool:' || problem_id || ':{round_}:' || cand_idx)"
 
 
+def _cut(chunk: str, max_new: int) -> str:
+    return f"array_to_string(list_slice(string_split({chunk}, ' '), 1, {max_new}), ' ')"
+
+
 ASKED = f"{_turn('system', SEARCH)} || {END} || {_turn('user', 'problem')} || {END} || {_turn('assistant', chr(39) * 2)}"
 
 SQL["unguided_baseline"] = f"""
 WITH pool AS ({POOL}), n AS (SELECT count(*) AS n FROM pool), v AS (SELECT count(*) AS v FROM embeddings),
 items AS (SELECT item_id AS problem_id, 0 AS cand_idx, text AS problem, ({ORDINAL.format('item_id')}) // 12 AS batch_id FROM benchmark),
-drawn AS (SELECT items.*, chunk, {ASKED} AS prompt FROM items, n JOIN pool
+drawn AS (SELECT items.*, {_cut('chunk', 2048)} AS chunk, {ASKED} AS prompt FROM items, n JOIN pool
   ON pool_idx = ('0x' || substr({_drawn('unguided')}, 1, 8))::BIGINT % n),
 toks AS (SELECT *, {_split('prompt')} AS a, {_split('chunk')} AS b FROM drawn)
 SELECT problem_id, replace(replace(prompt || chunk, '<|im_start|>', ''), '<|im_end|>', '') AS answer_text, batch_id, (len(a) + len(b))::INT AS length,
@@ -445,7 +449,7 @@ SELECT problem_id, replace(replace(prompt || chunk, '<|im_start|>', ''), '<|im_e
   array_to_string(list_transform(list_concat(a, b), lambda x: {_hash('x')} % v), ',') AS ids FROM toks, v"""
 
 
-def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: float = 40.0) -> str:
+def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: float = 40.0, max_new: int = 50) -> str:
     """The live search with its rounds written out."""
     parts = [
         f"pool AS ({POOL})", "n AS (SELECT count(*) AS n FROM pool)", "v AS (SELECT count(*) AS v FROM embeddings)",
@@ -454,7 +458,7 @@ def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: f
     ]
     for r in range(rounds):
         draw = _drawn(str(r))
-        parts.append(f"""fan{r} AS (SELECT problem_id, problem, text || chunk AS answer, chunk, cand_idx,
+        parts.append(f"""fan{r} AS (SELECT problem_id, problem, text || {_cut('chunk', max_new)} AS answer, {_cut('chunk', max_new)} AS chunk, cand_idx,
           ('0x' || substr({draw}, 9, 8))::BIGINT % 7 = 0 AS eos
           FROM active{r}, (SELECT unnest(generate_series(0, {k - 1})) AS cand_idx), n
           JOIN pool ON pool_idx = ('0x' || substr({draw}, 1, 8))::BIGINT % n)""")
@@ -477,8 +481,10 @@ def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: f
 SQL["guided_rounds"] = _guided_rounds()
 
 SQL["guided_batch"] = f"""
-SELECT count(*) AS num_problems, round(avg(final_score), 6) AS avg_final_score, '{{"k":"5","threshold":"0.8","max_iters":"4"}}' AS config,
-  count(*) AS n_written, count(*) AS n_distinct FROM ({SQL['guided_rounds']})"""
+SELECT count(*) AS num_problems, round(avg(final_score), 6) AS avg_final_score, '{{"k":"5","threshold":"0.8","max_iters":"4","max_new":"12"}}' AS config,
+  count(*) AS n_written, count(*) AS n_distinct, (max(last_iter) + 1)::INT AS n_rounds FROM ({_guided_rounds(max_new=12)})"""
+
+SQL["guided_resumed"] = _guided_rounds(max_new=12)
 
 SQL["sequence_logprob"] = f"""
 WITH toks AS (SELECT item_id, pos - 3 AS t, {_hash('tok')} % 16 AS id FROM ({_tokens('benchmark', 'item_id')}) WHERE pos >= 3),

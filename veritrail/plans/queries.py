@@ -6,6 +6,8 @@ results can be compared across engines.
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -505,15 +507,40 @@ def guided_rounds(spark: SparkSession, sf_dir: str, log: list | None = None) ->
     return guided.search(problems, generate, scorer, k=5, threshold=0.8, max_iters=4, log=log)
 
 
+def _numbered_search(spark: SparkSession, sf_dir: str):
+    problems, *parts = _search_parts(spark, sf_dir)
+    numbered = ordering.with_range_ordinal(problems, ["problem_id"], "problem_idx")
+    return numbered, *parts, grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
+
+
 def guided_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    problems, generate, tokenise, states = _search_parts(spark, sf_dir)
-    numbered = ordering.with_range_ordinal(problems, ["problem_id"], "problem_idx").drop("problem_id")
-    grader = grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
+    """The batch job, its published results counted, and how many rounds it committed."""
+    problems, generate, tokenise, states, grader = _numbered_search(spark, sf_dir)
     path = scratch_path(spark, "guided-batch")
-    summary = jobs.guided_batch(numbered, path, generate, tokenise, states, grader, threshold=0.8, max_iters=4)
-    written = spark.read.schema(results.RESULT).json(f"{path}/results")
-    listed = written.agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("problem_idx").alias("n_distinct"))
-    return _rounded(summary.withColumn("config", F.to_json("config")).join(listed, F.col("num_problems") == F.col("n_written")), "avg_final_score")
+    summary = jobs.guided_batch(
+        problems.drop("problem_id"), path, generate, tokenise, states, grader, threshold=0.8, max_iters=4, max_new=12
+    )
+    rounds = results.RoundLog(spark, path)
+    listed = rounds.results().agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("problem_idx").alias("n_distinct"))
+    both = summary.withColumn("config", F.to_json("config")).crossJoin(listed)  # one row each
+    return _rounded(both.withColumn("n_rounds", F.lit(len(rounds.numbers()))), "avg_final_score")
+
+
+def guided_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is broken off after two rounds and gone on with: the results of an unbroken one."""
+    problems, generate, tokenise, states, grader = _numbered_search(spark, sf_dir)
+    named = problems.select("problem_id", "problem")
+    scorer = grade.chat_grader(["problem_id", "cand_idx"], tokenise, states, grader)
+    path = scratch_path(spark, "guided-resumed")
+
+    def until_third(rows: DataFrame) -> DataFrame:
+        if rows.where("round = 2").limit(1).count():
+            raise InterruptedError("broken off")
+        return generate(rows)
+
+    with suppress(InterruptedError):
+        guided.search(named, until_third, scorer, threshold=0.8, max_iters=4, max_new=12, rounds=results.RoundLog(spark, path))
+    return guided.search(named, generate, scorer, threshold=0.8, max_iters=4, max_new=12, rounds=results.RoundLog(spark, path))
 
 
 def unguided_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -647,7 +674,7 @@ QUERIES = {
         extraction_catalog, extraction_summary, storage_stats,
         vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
-        best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, unguided_baseline,
+        best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, guided_resumed, unguided_baseline,
         sequence_logprob, sibling_priors, puct_choice, tree_descent, tree_backup, root_move, tree_rounds,
         stream_append, stream_score, stream_summary, stream_guided,
     )
