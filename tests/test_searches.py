@@ -262,3 +262,33 @@ def test_search_columns(spark):
     assert row.stop == -3.0 and row["all"] == -15.0
     assert row.p == pytest.approx([0.5, 0.5, 0.0]) and (row.none, row.v) == (0.0, 0.75)
     assert row.z == pytest.approx(1 - math.log(1 + math.e) + 2 - math.log(math.e**2 + 1))
+
+
+def test_a_simulation_writes_no_more_as_the_tree_grows(spark, problems, generate, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    tree.search(problems, generate, grade_by("problem_id"), 3, 2, 2.0, 1, 6, 1.0, 9, []).collect()
+    rows = {part.name: spark.read.parquet(str(part)).count() for part in (tmp_path / "tree").iterdir()}
+    # one mark for each problem, at most k nodes for each leaf, whatever stands there already
+    assert [rows[f"marks-{s}"] for s in range(6)] == [12] * 6
+    assert max(rows[f"nodes-{s}"] for s in range(1, 7)) <= 24 and rows["nodes-0"] == 48
+
+
+def test_several_leaves_to_a_job(spark, problems, generate):
+    trees = []
+    found = tree.search(problems, generate, grade_by("problem_id"), 3, 2, 2.0, 1, 3, 1.0, 3, trees, leaves=2)
+    assert found.count() == 12
+    for r in trees[0].collect():
+        assert r.nodes[0].visits == 6 and [n.node_id for n in r.nodes] == list(range(len(r.nodes)))
+        # the first job has no values yet: its two lanes part, and every value is a grade of a visited text
+        assert sum(n.visits > 0 for n in r.nodes[1:]) >= 1
+        assert r.nodes[0].value_sum == pytest.approx(sum(n.grade * own for n, own in own_visits(r.nodes)))
+    with pytest.raises(ValueError):
+        tree.search(problems, generate, grade_by("problem_id"), leaves=0)
+
+
+def own_visits(nodes):
+    """How often each node itself was the leaf: its visits without those of its children."""
+    for n in nodes:
+        own = n.visits - sum(c.visits for c in nodes if c.parent_id == n.node_id)
+        if own:
+            yield n, own

@@ -1,23 +1,26 @@
 """PUCT tree search.
 
 Two forms. The relational operators work on one row per node and fit trees of
-any size. The search over many problems keeps each problem's tree in its own
-row, an array that the simulations and the fan-out bound, so that descent and
-backup are projections and only grading and expansion leave the row.
+any size. The search over many problems keeps an append-only log of each move's
+trees: a simulation adds one row per leaf that it reached and the nodes that it
+expanded, and never writes again what stands there. Descent gathers a problem's
+nodes in its row, an array that the simulations and the fan-out bound, so that
+the walk down is a projection.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.functions.search import node_value, puct, softmax
 from veritrail.operators.grade import GradeTexts
 from veritrail.operators.guided import Generator, fan_out, stop_reason
 from veritrail.operators.skew import HOT_ROWS, attach_group_stats, hot_keys, lookup_join
-from veritrail.session import cut_lineage
+from veritrail.session import cut_lineage, drop_scratch, scratch_path, written_table
 
 # --- one row per node: tree_id, node_id, parent_id, child_ord, depth, prior,
 # --- eos, terminal, visits, value_sum
@@ -122,44 +125,83 @@ def root_moves(nodes: DataFrame) -> DataFrame:
     return best.select("tree_id", F.col("_b.node_id"), F.col("_b.visits"), F.col("_b.eos"))
 
 
-# --- one row per problem, the tree as an array of nodes
+# --- the search over many problems: a log of nodes and of simulations
 
 NODE = (
     "struct<node_id:int,parent_id:int,child_ord:int,depth:int,prior:double,chunk:string,"
     "eos:boolean,terminal:boolean,visits:bigint,value_sum:double,grade:double>"
 )
+#: a node as it was born, which never changes
+BORN = "struct<node_id:int,parent_id:int,child_ord:int,depth:int,prior:double,chunk:string,eos:boolean>"
 
 
-def _node(**fields: Column) -> Column:
-    return F.struct(*[c.alias(name) for name, c in fields.items()]).cast(NODE)
+def _fields(kind: str) -> list[str]:
+    return [part.split(":")[0] for part in kind.removeprefix("struct<").removesuffix(">").split(",")]
 
 
-def _root() -> Column:
-    return _node(
-        node_id=F.lit(0), parent_id=F.lit(None), child_ord=F.lit(0), depth=F.lit(0), prior=F.lit(1.0),
-        chunk=F.lit(""), eos=F.lit(False), terminal=F.lit(False), visits=F.lit(0), value_sum=F.lit(0.0),
-        grade=F.lit(None),
-    )
+class _TreeLog:
+    """The trees of one move in the shared folder, as parts that are written once."""
+
+    def __init__(self, placed: DataFrame, spark: SparkSession):
+        self.placed, self.spark, self.path = placed, spark, scratch_path(spark, "tree")
+        self.parts: dict[str, list[DataFrame]] = {"nodes": [], "marks": []}
 
+    def append(self, kind: str, rows: DataFrame) -> DataFrame:
+        part = written_table(rows, kind, path=f"{self.path}/{kind}-{len(self.parts[kind])}")
+        self.parts[kind].append(part)
+        return part
 
-def _new_children(nodes: Column, parent: Column, candidates: Column) -> Column:
-    """Nodes for the sorted candidates, numbered after the present ones."""
+    def state(self) -> DataFrame:
+        """``problem_id, problem, text, iter, nodes``: visits, values and grades of all nodes, from the marks in order."""
+        nodes = reduce(DataFrame.unionByName, self.parts["nodes"])
+        if self.parts["marks"]:
+            marks = reduce(DataFrame.unionByName, self.parts["marks"])
+            here = (F.col("node_id") == F.col("leaf")).alias("here")
+            seen = marks.select("problem_id", "sim", "lane", "leaf", "value", "shut", F.explode("path").alias("node_id"))
+            gains = seen.groupBy("problem_id", "node_id").agg(
+                F.array_sort(F.collect_list(F.struct("sim", "lane", "value"))).alias("_gains"),
+                F.bool_or(here & F.col("shut")).alias("terminal"), F.max(F.when(here, F.col("value"))).alias("grade"),
+            )
+            nodes = nodes.join(gains, ["problem_id", "node_id"], "left")
+        else:
+            nodes = nodes.withColumns({"_gains": F.lit(None).cast("array<struct<value:double>>"), "terminal": F.lit(False), "grade": F.lit(None)})
+        # in the order of the simulations, so that the sum is the same in every run
+        total = F.aggregate("_gains", F.lit(0.0), lambda acc, g: acc + g["value"])
+        now = nodes.withColumns(
+            {
+                "visits": F.when(F.col("_gains").isNull(), F.lit(0)).otherwise(F.size("_gains")),
+                "value_sum": F.coalesce(total, F.lit(0.0)), "terminal": F.coalesce("terminal", F.lit(False)),
+            }
+        )
+        entry = _node(**{name: F.col(name) for name in _fields(NODE)})
+        whole = now.groupBy("problem_id").agg(F.array_sort(F.collect_list(entry)).alias("nodes"))
+        return self.placed.join(whole, "problem_id").select("problem_id", "problem", "text", "iter", "nodes")
+
+    def close(self) -> None:
+        drop_scratch(self.spark, self.path)
+
+
+def _node(**fields: Column) -> Column:
+    return F.struct(*[fields[name].alias(name) for name in _fields(NODE)]).cast(NODE)
+
+
+def _born(candidates: Column, first: Column, parent: Column, depth: Column) -> Column:
+    """Nodes for the sorted candidates, numbered from ``first``."""
     priors = softmax(F.transform(candidates, lambda c: c["logprob"]))
     return F.transform(
         candidates,
-        lambda c, i: _node(
-            node_id=F.size(nodes) + i, parent_id=parent["node_id"], child_ord=i, depth=parent["depth"] + 1,
-            prior=F.get(priors, i), chunk=c["chunk"], eos=c["eos"], terminal=F.lit(False), visits=F.lit(0),
-            value_sum=F.lit(0.0), grade=F.lit(None),
-        ),
+        lambda c, i: F.struct(
+            (first + i).alias("node_id"), parent.alias("parent_id"), i.alias("child_ord"), depth.alias("depth"),
+            F.get(priors, i).alias("prior"), c["chunk"].alias("chunk"), c["eos"].alias("eos"),
+        ).cast(BORN),
     )
 
 
 def _proposals(rows: DataFrame, generate: Generator, k: int, max_new: int) -> DataFrame:
-    """``(problem_id, candidates)``, at most k per problem, in candidate order."""
+    """``(problem_id, round, candidates)``, at most k to a round, in candidate order."""
     drawn = generate(fan_out(rows.select("problem_id", "problem", "round", "text"), k, max_new))
     entries = F.collect_list(F.struct("cand_idx", "chunk", "eos", "logprob"))
-    return drawn.groupBy("problem_id").agg(F.array_sort(entries).alias("candidates"))
+    return drawn.groupBy("problem_id", "round").agg(F.array_sort(entries).alias("candidates"))
 
 
 class _Simulation:
@@ -168,8 +210,10 @@ class _Simulation:
     The columns do not depend on the data and are built once per search.
     """
 
-    def __init__(self, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float, max_new: int = 50):
-        self.generate, self.grade, self.k, self.max_new = generate, grade, k, max_new
+    def __init__(
+        self, generate: Generator, grade: GradeTexts, k: int, max_depth: int, c_puct: float, max_new: int = 50, leaves: int = 1
+    ):
+        self.generate, self.grade, self.k, self.max_new, self.leaves = generate, grade, k, max_new, leaves
         self.depth_steps = max(1, max_depth)
 
         def rank(n: Column) -> Column:
@@ -189,46 +233,69 @@ class _Simulation:
         # null-safe: the root has no parent
         expanded = F.exists("nodes", lambda n: n["parent_id"].eqNullSafe(F.col("cur.node_id")))
         chunks = F.transform("path", lambda i: F.get("nodes", i)["chunk"])
-        self.reached = {
-            "_at": F.concat("text", F.array_join(chunks, "")),
-            "_shut": (F.col("cur.depth") >= max_depth) | F.col("cur.eos"),
-            "_expanded": expanded,
-        }
-        self.leaf = [
-            F.col("problem_id"), F.col("problem"), F.col("_at").alias("text"), F.col("cur.grade").alias("grade"),
-            F.concat_ws(".", F.col("iter").cast("string"), F.col("cur.node_id").cast("string")).alias("round"),
-            F.col("_shut"), F.col("_expanded"),
-        ]
-        value = F.coalesce(F.col("cur.grade"), F.col("score"))
-        childless = F.col("candidates").isNull() & ~F.col("_expanded")
-
-        def after(n: Column) -> Column:
-            on_path = F.array_contains("path", n["node_id"])
-            here = n["node_id"] == F.col("cur.node_id")
-            kept = {f: n[f] for f in ("node_id", "parent_id", "child_ord", "depth", "prior", "chunk", "eos")}
-            return _node(
-                **kept,
-                terminal=n["terminal"] | (here & (F.col("_shut") | childless)),
-                visits=n["visits"] + on_path.cast("long"),
-                value_sum=n["value_sum"] + F.when(on_path, value).otherwise(F.lit(0.0)),
-                grade=F.when(here, value).otherwise(n["grade"]),
+
+        def pick(lane: int) -> Column:
+            # a leaf that an earlier lane reached is expanded there
+            taken = F.exists("_picks", lambda p: p["leaf"] == F.col("cur.node_id")) if lane else F.lit(False)
+            return F.struct(
+                F.lit(lane).alias("lane"), F.col("path"), F.col("cur.node_id").alias("leaf"), F.col("cur.depth").alias("depth"),
+                F.concat("text", F.array_join(chunks, "")).alias("at"), F.col("cur.grade").alias("grade"),
+                ((F.col("cur.depth") >= max_depth) | F.col("cur.eos")).alias("shut"), (expanded | taken).alias("expanded"),
             )
 
-        born = _new_children(F.col("nodes"), F.col("cur"), F.col("candidates"))
-        grown = F.concat(F.transform("nodes", after), F.coalesce(born, F.array().cast(f"array<{NODE}>")))
-        self.result = ["problem_id", "problem", "text", "iter", grown.alias("nodes")]
+        self.pick = pick
+        # a visit without a value, until the lane's own value is known
+        self.virtual = F.transform(
+            "nodes", lambda n: n.withField("visits", n["visits"] + F.array_contains("path", n["node_id"]).cast("long"))
+        )
 
-    def run(self, state: DataFrame) -> DataFrame:
-        walk = state.withColumns(self.start)
-        for _ in range(self.depth_steps):
-            walk = walk.withColumn("_next", self.next).withColumns(self.move)
-        walk = walk.drop("_next").withColumns(self.reached)
-        leaf = walk.select(*self.leaf)
+    def reached(self, state: DataFrame) -> DataFrame:
+        """One row per problem and lane: the leaf, its path and its text."""
+        walk = state.withColumn("_n_nodes", F.size("nodes"))
+        for lane in range(self.leaves):
+            walk = walk.withColumns(self.start)
+            for _ in range(self.depth_steps):
+                walk = walk.withColumn("_next", self.next).withColumns(self.move)
+            picked = F.array(self.pick(lane))
+            walk = walk.withColumn("_picks", F.concat("_picks", picked) if lane else picked)
+            if lane < self.leaves - 1:
+                walk = walk.withColumn("nodes", self.virtual)
+        # outer: a plain explode infers a filter on the picks, which would be pushed down as one huge expression
+        rows = walk.select("problem_id", "problem", "iter", "_n_nodes", F.explode_outer("_picks").alias("_p"))
+        number = F.concat_ws(".", F.col("iter").cast("string"), F.col("_p.leaf").cast("string"))
+        return rows.select("problem_id", "problem", "_n_nodes", "_p.*", number.alias("round"))
+
+    def run(self, log: _TreeLog, sim: int) -> None:
+        # read by the generator, the grader and the marks
+        leaf = written_table(self.reached(log.state()), "leaves", path=f"{log.path}/leaves-{sim}")
+        texts = leaf.withColumnRenamed("at", "text")
+        fresh = _proposals(texts.where("not shut and not expanded"), self.generate, self.k, self.max_new)
+        met = leaf.where("not shut and not expanded").join(fresh, ["problem_id", "round"])
+        first = F.col("_n_nodes")
+        if self.leaves > 1:
+            # rows of this window: the leaves of one job
+            earlier = Window.partitionBy("problem_id").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+            met = met.withColumn("_before", F.coalesce(F.sum(F.size("candidates")).over(earlier), F.lit(0)).cast("int"))
+            first = first + F.col("_before")
+        born = _born(F.col("candidates"), first, F.col("leaf"), F.col("depth") + 1)
+        # written once, so the draws stand before anything is made of them
+        nodes = log.append("nodes", met.select("problem_id", F.explode(born).alias("n")).select("problem_id", "n.*"))
         # a node met again keeps the grade it got: the grader is a function of the text
-        scores = self.grade(leaf.where("grade is null").select("problem_id", "problem", "text"))
-        fresh = _proposals(leaf.where("not _shut and not _expanded"), self.generate, self.k, self.max_new)
-        met = walk.join(scores, "problem_id", "left").join(fresh, "problem_id", "left")
-        return met.select(*self.result)
+        asked = texts.where("grade is null").select("problem_id", "problem", "text", "lane")
+        scores = reduce(
+            DataFrame.unionByName,
+            [self.grade(asked.where(F.col("lane") == n).drop("lane")).withColumn("lane", F.lit(n)) for n in range(self.leaves)],
+        )
+        parents = nodes.select("problem_id", F.col("parent_id").alias("leaf")).distinct().withColumn("_grew", F.lit(True))
+        judged = leaf.join(scores, ["problem_id", "lane"], "left").join(parents, ["problem_id", "leaf"], "left")
+        childless = F.col("_grew").isNull() & ~F.col("expanded")
+        log.append(
+            "marks",
+            judged.select(
+                "problem_id", F.lit(sim).alias("sim"), "lane", "path", "leaf",
+                F.coalesce("grade", "score").alias("value"), (F.col("shut") | childless).alias("shut"),
+            ),
+        )
 
 
 def search(
@@ -245,34 +312,42 @@ def search(
     trees: list[DataFrame] | None = None,
     max_new: int = 50,
     inner_max_new: int = 50,
+    leaves: int = 1,
 ) -> DataFrame:
-    """Tree-guided generation for all problems, one job per simulation.
+    """Tree-guided generation for all problems, one round of jobs per simulation.
 
     Each outer move starts a new tree at the text so far. ``grade`` scores rows
-    keyed by ``problem_id``. The searched trees are appended to ``trees``. A
-    move grows by ``max_new`` tokens, a node below the root's children by
-    ``inner_max_new``.
+    keyed by ``problem_id``. The searched trees are appended to ``trees``, whose
+    logs are then kept. A move grows by ``max_new`` tokens, a node below the
+    root's children by ``inner_max_new``. With ``leaves`` above one a simulation
+    selects that many leaves per tree before any of them is graded, each visit
+    counting at once: fewer jobs for as many visits, by a slightly other walk.
     """
     if max_iters < 1:
         raise ValueError("max_iters must be at least 1")
-    simulation = _Simulation(generate, grade, k, max_depth, c_puct, inner_max_new)
+    if leaves < 1:
+        raise ValueError("leaves must be at least 1")
+    simulation = _Simulation(generate, grade, k, max_depth, c_puct, inner_max_new, leaves)
     active = problems.select("problem_id", "problem", F.lit("").alias("text"))
     finished: list[DataFrame] = []
     for it in range(max_iters):
         placed = cut_lineage(active.withColumn("iter", F.lit(it)))
-        roots = _proposals(placed.withColumn("round", F.concat(F.col("iter").cast("string"), F.lit(".root"))), generate, k_root, max_new)
-        met = cut_lineage(placed.join(roots, "problem_id", "left"))
+        roots = _proposals(placed.withColumn("round", F.lit(f"{it}.root")), generate, k_root, max_new)
+        met = cut_lineage(placed.join(roots.drop("round"), "problem_id", "left"))
         stuck = met.where(F.col("candidates").isNull()).select("problem_id", "problem", "text")
         if not stuck.isEmpty():
             finished.append(_closing(stuck.join(grade(stuck), "problem_id"), it, F.lit("no_candidates")))
-        grown = met.where(F.col("candidates").isNotNull()).withColumn("_root", _root())
-        base = F.array("_root")
-        state = grown.select(
-            "problem_id", "problem", "text", "iter",
-            F.concat(base, _new_children(base, F.col("_root"), F.col("candidates"))).alias("nodes"),
-        )
-        for _ in range(num_simulations):
-            state = cut_lineage(simulation.run(state))
+        log = _TreeLog(placed, placed.sparkSession)
+        grown = met.where(F.col("candidates").isNotNull())
+        root = F.struct(
+            F.lit(0).alias("node_id"), F.lit(None).alias("parent_id"), F.lit(0).alias("child_ord"), F.lit(0).alias("depth"),
+            F.lit(1.0).alias("prior"), F.lit("").alias("chunk"), F.lit(False).alias("eos"),
+        ).cast(BORN)
+        born = F.concat(F.array(root), _born(F.col("candidates"), F.lit(1), F.lit(0), F.lit(1)))
+        log.append("nodes", grown.select("problem_id", F.explode(born).alias("n")).select("problem_id", "n.*"))
+        for sim in range(num_simulations):
+            simulation.run(log, sim)
+        state = log.state()
         if trees is not None:
             trees.append(state)
         top = F.array_max(
@@ -285,11 +360,14 @@ def search(
             "problem_id", "problem", F.concat("text", F.col("_move.chunk")).alias("text"),
             F.col("_move.chunk").alias("chunk"), F.col("_move.eos").alias("eos"),
         )
+        moved = cut_lineage(moved)
         scored = moved.join(grade(moved.select("problem_id", "problem", "text")), "problem_id")
         judged = scored.withColumn("reason", stop_reason(threshold=threshold, eos="eos"))
         if it == max_iters - 1:
             judged = judged.withColumn("reason", F.coalesce("reason", F.lit("max_iters")))
         judged = cut_lineage(judged)
+        if trees is None:
+            log.close()
         done = judged.where(F.col("reason").isNotNull())
         finished.append(_closing(done, it, F.col("reason")))
         active = judged.where(F.col("reason").isNull()).select("problem_id", "problem", "text")

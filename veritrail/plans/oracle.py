@@ -486,6 +486,76 @@ SELECT count(*) AS num_problems, round(avg(final_score), 6) AS avg_final_score,
 
 SQL["guided_resumed"] = _guided_rounds(max_new=12)
 
+def _tree_rounds(
+    moves: int = 2, sims: int = 5, k: int = 3, depth: int = 2, threshold: float = 0.8, scale: float = 40.0, max_new: int = 50
+) -> str:
+    """The live tree search with its moves, simulations and steps down written out."""
+    parts = [
+        f"pool AS ({POOL})", "n AS (SELECT count(*) AS n FROM pool)", "v AS (SELECT count(*) AS v FROM embeddings)",
+        f"dots AS (SELECT vec_id, sum(x * cos(dim)) * {scale} AS d FROM ({DIMS}) GROUP BY 1)",
+        "active0 AS (SELECT item_id AS problem_id, text AS problem, '' AS text FROM benchmark)",
+    ]
+
+    def add(name: str, sql: str) -> None:
+        parts.append(f"{name} AS MATERIALIZED ({sql})")
+
+    def graded(name: str, source: str) -> None:
+        add(f"{name}_chat", f"SELECT problem_id, {ASKED} || upto AS text FROM {source}")
+        add(name, f"""SELECT problem_id, round(1 / (1 + exp(-avg(d))), 6) AS score
+          FROM ({_tokens(f'{name}_chat', 'problem_id')}), v, dots WHERE vec_id = {_hash('tok')} % v GROUP BY ALL""")
+
+    def children(source: str, round_: str, first: str, parent: str, level: str) -> str:
+        """Nodes for k draws of every row of ``source``; ``round_`` is an expression."""
+        draw = f"md5('pool:' || problem_id || ':' || {round_} || ':' || cand_idx)"
+        lp = f"-(('0x' || substr({draw}, 9, 8))::BIGINT % 1000) / 250.0::DOUBLE"
+        power = "exp(lp - max(lp) OVER (PARTITION BY problem_id))"
+        return f"""SELECT problem_id, {first} + cand_idx AS node_id, {parent} AS parent_id, cand_idx AS ord, {level} AS depth,
+          p / sum(p) OVER (PARTITION BY problem_id) AS prior, chunk, eos, false AS terminal, 0 AS visits, 0.0::DOUBLE AS value_sum, NULL::DOUBLE AS grade
+          FROM (SELECT *, {power} AS p FROM (SELECT s.*, cand_idx, {_cut('chunk', max_new)} AS chunk, {lp} AS lp,
+            ('0x' || substr({draw}, 9, 8))::BIGINT % 7 = 0 AS eos
+            FROM {source} s, (SELECT unnest(generate_series(0, {k - 1})) AS cand_idx), n
+            JOIN pool ON pool_idx = ('0x' || substr({draw}, 1, 8))::BIGINT % n))"""
+
+    for m in range(moves):
+        root = "SELECT problem_id, 0 AS node_id, NULL::BIGINT AS parent_id, 0 AS ord, 0 AS depth, 1.0::DOUBLE AS prior, '' AS chunk, false AS eos, false AS terminal, 0 AS visits, 0.0::DOUBLE AS value_sum, NULL::DOUBLE AS grade"
+        add(f"t{m}_0", f"{root} FROM active{m} UNION ALL " + children(f"active{m}", f"'{m}.root'", "1", "0", "1"))
+        for i in range(sims):
+            tree, walk = f"t{m}_{i}", f"w{m}_{i}_0"
+            add(walk, f"SELECT t.problem_id, [0] AS path, text AS upto, {', '.join(f't.{c}' for c in ('node_id', 'depth', 'eos', 'terminal', 'visits', 'grade'))} FROM {tree} t JOIN active{m} USING (problem_id) WHERE node_id = 0")
+            for d in range(depth):
+                to = f"w{m}_{i}_{d + 1}"
+                add(f"c{to}", f"""SELECT t.* FROM {tree} t JOIN {walk} w ON t.problem_id = w.problem_id AND t.parent_id = w.node_id
+                  WHERE NOT w.terminal AND NOT w.eos QUALIFY row_number() OVER (PARTITION BY t.problem_id ORDER BY
+                    CASE WHEN t.visits > 0 THEN t.value_sum / t.visits ELSE 0 END + 1.0::DOUBLE * t.prior * sqrt(greatest(1, w.visits)) / (1 + t.visits) DESC, t.ord) = 1""")
+                add(to, f"""SELECT w.problem_id, CASE WHEN c.node_id IS NULL THEN path ELSE list_append(path, c.node_id) END AS path, upto || coalesce(c.chunk, '') AS upto,
+                  {', '.join(f'CASE WHEN c.node_id IS NULL THEN w.{x} ELSE c.{x} END AS {x}' for x in ('node_id', 'depth', 'eos', 'terminal', 'visits', 'grade'))}
+                  FROM {walk} w LEFT JOIN c{to} c USING (problem_id)""")
+                walk = to
+            add(f"l{m}_{i}", f"""SELECT w.*, problem, depth >= {depth} OR eos AS shut, (SELECT count(*) FROM {tree} t WHERE t.problem_id = w.problem_id) AS size,
+              EXISTS (SELECT 1 FROM {tree} t WHERE t.problem_id = w.problem_id AND t.parent_id = w.node_id) AS expanded FROM {walk} w JOIN active{m} USING (problem_id)""")
+            graded(f"s{m}_{i}", f"(SELECT * FROM l{m}_{i} WHERE grade IS NULL)")
+            add(f"g{m}_{i}", f"SELECT l.problem_id, path, node_id, shut, coalesce(grade, score) AS value FROM l{m}_{i} l LEFT JOIN s{m}_{i} USING (problem_id)")
+            add(f"k{m}_{i}", children(f"(SELECT problem_id, node_id AS leaf, depth AS level, size FROM l{m}_{i} WHERE NOT shut AND NOT expanded)", f"'{m}.' || leaf", "size", "leaf", "level + 1"))
+            add(f"t{m}_{i + 1}", f"""SELECT t.problem_id, t.node_id, parent_id, ord, depth, prior, chunk, eos,
+              terminal OR (t.node_id = g.node_id AND g.shut) AS terminal, visits + list_contains(path, t.node_id)::INT AS visits,
+              value_sum + CASE WHEN list_contains(path, t.node_id) THEN g.value ELSE 0 END AS value_sum,
+              CASE WHEN t.node_id = g.node_id THEN g.value ELSE grade END AS grade
+              FROM {tree} t JOIN g{m}_{i} g USING (problem_id) UNION ALL SELECT * FROM k{m}_{i}""")
+        add(f"m{m}", f"""SELECT problem_id, problem, text || chunk AS upto, chunk, eos FROM t{m}_{sims} JOIN active{m} USING (problem_id)
+          WHERE parent_id = 0 QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY visits DESC, ord) = 1""")
+        graded(f"e{m}", f"m{m}")
+        add(f"best{m}", f"""SELECT problem_id, problem, upto, score, CASE WHEN score > {threshold} THEN 'threshold' WHEN eos THEN 'eos' WHEN trim(chunk) = '' THEN 'blank'
+          {"WHEN true THEN 'max_iters'" if m == moves - 1 else ''} END AS reason FROM m{m} JOIN e{m} USING (problem_id)""")
+        add(f"active{m + 1}", f"SELECT problem_id, problem, upto AS text FROM best{m} WHERE reason IS NULL")
+    done = " UNION ALL ".join(
+        f"SELECT problem_id, problem, upto AS final_answer, score AS final_score, {m}::INT AS last_iter, reason AS stop_reason FROM best{m} WHERE reason IS NOT NULL"
+        for m in range(moves)
+    )
+    return f"WITH {', '.join(parts)} {done}"
+
+
+SQL["tree_rounds"] = _tree_rounds()
+
 SQL["sequence_logprob"] = f"""
 WITH toks AS (SELECT item_id, pos - 3 AS t, {_hash('tok')} % 16 AS id FROM ({_tokens('benchmark', 'item_id')}) WHERE pos >= 3),
 ends AS (SELECT item_id, min(t) FILTER (id = 3) AS stop, count(*) AS n FROM toks GROUP BY 1)
