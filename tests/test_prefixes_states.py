@@ -156,3 +156,52 @@ def test_prefix_sums_plan_does_not_grow_with_width(spark):
     rows = encode.TableStates(vecs, "row", "vec", max_bytes=0).at(df, ["id"], "ids", "ends", 2).collect()
     assert time.time() - start < 5
     assert {r.prefix_length: (len(r.vec), round(r.vec[0], 9)) for r in rows} == {2: (width, 1.5), 4: (width, 2.25)}
+
+
+class CountingModel:
+    """Running mean of the ids on padded batches, which notes the shape of every call."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __call__(self, ids, mask):
+        self.calls.append(ids.shape)
+        assert (ids[mask == 0] == 99).all()
+        return (np.cumsum(ids * mask, axis=1) / np.maximum(np.cumsum(mask, axis=1), 1))[:, :, None]
+
+
+def test_batch_encoder_sorts_pads_and_keeps_to_its_budget():
+    rng = np.random.default_rng(4)
+    sequences = [rng.integers(0, 50, n) for n in rng.permutation(np.r_[np.arange(1, 200), 5000, 1, 1])]
+    model = CountingModel()
+    got = dict(encode.BatchEncoder(model, batch_size=12, token_budget=1500, pad_id=99).runs(sequences))
+    assert sorted(got) == list(range(len(sequences)))
+    for k, s in enumerate(sequences):
+        assert got[k][:, 0] == pytest.approx(np.cumsum(s) / np.arange(1, len(s) + 1))
+    assert all(b <= 12 and (b * w <= 1500 or b == 1) for b, w in model.calls)
+    model.calls.clear()
+    dict(encode.BatchEncoder(model, batch_size=12, pad_id=99).runs(sequences))
+    assert len(model.calls) <= len(sequences) / 12 + 1
+    assert list(encode.BatchEncoder(model).runs([])) == []
+
+
+def test_batched_and_single_states_agree(spark):
+    rows = [(i, [int(x) for x in np.arange(i % 9) * (i + 1) % 7]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>").withColumn("ends", prefixes.prefix_lengths(F.size("ids"), 3))
+
+    def single():
+        return lambda ids: (np.cumsum(ids) / np.arange(1, len(ids) + 1))[:, None]
+
+    def batched():
+        # workers cannot import this module
+        def model(ids, mask):
+            return (np.cumsum(ids * mask, axis=1) / np.maximum(np.cumsum(mask, axis=1), 1))[:, :, None]
+
+        return encode.BatchEncoder(model, batch_size=4, pad_id=99)
+
+    for run in (lambda f: encode.states_at(df, ["id"], "ids", "ends", f), lambda f: encode.all_states(df, ["id"], "ids", f), lambda f: encode.final_state(df, ["id"], "ids", f)):
+        def key(r):
+            return tuple(x for x in r if not isinstance(x, list))
+
+        one, many = ({key(r): r.vec for r in run(f).collect()} for f in (single, batched))
+        assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)

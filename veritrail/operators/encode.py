@@ -2,8 +2,9 @@
 
 An encoder is a causal model: ``encoder(ids)`` takes the ids of one sequence
 and returns its ``[L, H]`` states, where state ``t`` depends on tokens up to
-``t`` only. Encoders run in Arrow batches inside tasks, and only the positions
-asked for leave Python.
+``t`` only. A ``BatchEncoder`` takes several sequences at a time, padded to one
+width, with a mask of the valid tokens. Encoders run in Arrow batches inside
+tasks, and only the positions asked for leave Python.
 """
 
 from __future__ import annotations
@@ -24,12 +25,60 @@ from veritrail.operators.skew import BROADCAST_BYTES, lookup_join, measured_byte
 from veritrail.session import ship_package
 
 Encoder = Callable[[np.ndarray], np.ndarray]
-EncoderFactory = Callable[[], Encoder]
+EncoderFactory = Callable[[], "Encoder | BatchEncoder"]
 
 #: numbers that a task holds before it hands its vectors on
 CHUNK_VALUES = 1 << 22
 
 
+class BatchEncoder:
+    """A model that is called on padded batches: ``model(ids, mask)`` gives ``[B, W, H]``.
+
+    Sequences of an Arrow batch are sorted by length and taken ``batch_size`` at
+    a time, fewer where their padded width would pass ``token_budget``; one
+    longer sequence goes alone. Padding stands on the right with mask 0, so it
+    never comes before a valid token. States come in the order of the sequences.
+    """
+
+    def __init__(
+        self, model: Callable[[np.ndarray, np.ndarray], np.ndarray], batch_size: int = 12, token_budget: int = 1 << 16, pad_id: int = 0
+    ):
+        self.model, self.batch_size, self.token_budget, self.pad_id = model, batch_size, token_budget, pad_id
+
+    def batches(self, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers of the sequences of each call, the shortest first."""
+        taken: list[int] = []
+        for k in np.argsort(lengths, kind="stable"):
+            # sorted, so the newest is the widest
+            if taken and (len(taken) == self.batch_size or (len(taken) + 1) * lengths[k] > self.token_budget):
+                yield np.array(taken)
+                taken = []
+            taken.append(k)
+        if taken:
+            yield np.array(taken)
+
+    def runs(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """``(number, states)`` of every sequence, batch by batch."""
+        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
+        for some in self.batches(lengths):
+            width = lengths[some].max()
+            mask = (np.arange(width) < lengths[some][:, None]).astype(np.int64)
+            ids = np.full(mask.shape, self.pad_id, dtype=np.int64)
+            ids[mask == 1] = np.concatenate([sequences[k] for k in some])
+            states = self.model(ids, mask)
+            for row, k in enumerate(some):
+                yield int(k), states[row, : lengths[k]]
+
+
+def _states_of(encoder: Encoder | BatchEncoder, sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """States of every sequence with its number; a batch encoder sorts them by length."""
+    if isinstance(encoder, BatchEncoder):
+        yield from encoder.runs(sequences)
+    else:
+        for k, sequence in enumerate(sequences):
+            yield k, encoder(sequence)
+
+
 class TokenVectors:
     """Vectors by token id; ids need not be gap-free. Without ``ids`` row ``i`` belongs to id ``i``."""
 
@@ -112,15 +161,15 @@ def states_at(
         encoder = factory()
         columns = [*key_list, "prefix_length", "vec"]
         for pdf in batches:
+            wanted = [(i, np.asarray(w)) for i, w in enumerate(pdf[ends]) if w is not None and len(w)]
             out: dict[str, list] = {name: [] for name in columns}
-            for *key, seq, lengths in zip(*(pdf[c] for c in [*key_list, ids, ends])):
-                if lengths is None or len(lengths) == 0:
-                    continue
-                states = encoder(np.asarray(seq)[: max(lengths)])
-                for name, value in zip(key_list, key):
-                    out[name].extend([value] * len(lengths))
+            own = pdf[ids]
+            for k, states in _states_of(encoder, [np.asarray(own.iloc[i])[: w.max()] for i, w in wanted]):
+                i, lengths = wanted[k]
+                for name in key_list:
+                    out[name].extend([pdf[name].iloc[i]] * len(lengths))
                 out["prefix_length"].extend(lengths)
-                out["vec"].extend(states[np.asarray(lengths) - 1])
+                out["vec"].extend(states[lengths - 1])
                 if len(out["vec"]) * states.shape[1] >= CHUNK_VALUES:
                     yield pd.DataFrame(out)
                     out = {name: [] for name in columns}
@@ -146,14 +195,19 @@ def all_states(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFac
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
         for pdf in batches:
-            for *key, tokens in zip(*(pdf[c] for c in [*key_list, ids])):
-                seq = np.asarray(tokens)
-                if len(seq) == 0:
-                    continue
-                out = {name: [value] * len(seq) for name, value in zip(key_list, key)}
-                yield pd.DataFrame(
-                    {**out, "pos": np.arange(len(seq)), "token_id": seq, "vec": list(encoder(seq))}
-                )
+            held = [(i, np.asarray(s)) for i, s in enumerate(pdf[ids]) if len(s)]
+            parts: list[pd.DataFrame] = []
+            values = 0
+            for k, states in _states_of(encoder, [s for _, s in held]):
+                i, seq = held[k]
+                own = {name: [pdf[name].iloc[i]] * len(seq) for name in key_list}
+                parts.append(pd.DataFrame({**own, "pos": np.arange(len(seq)), "token_id": seq, "vec": list(states)}))
+                values += states.size
+                if values >= CHUNK_VALUES:
+                    yield pd.concat(parts, ignore_index=True)
+                    parts, values = [], 0
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     return df.select(*key_list, ids).mapInPandas(run, schema)
 

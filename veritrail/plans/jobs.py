@@ -13,7 +13,7 @@ from veritrail.operators import guided
 from veritrail.operators.encode import EncoderFactory, States, all_states
 from veritrail.operators.grade import Grader, chat_grader
 from veritrail.operators.guided import Generator, fan_out
-from veritrail.operators.ordering import early_stop, with_range_ordinal, with_seeded_ordinal
+from veritrail.operators.ordering import batch_id, early_stop, sample_id, with_range_ordinal, with_seeded_ordinal
 from veritrail.operators.prefixes import STRIDE_K, prefix_id, prefix_lengths
 from veritrail.session import cut_lineage, written_table
 from veritrail.sources import results as result_io
@@ -125,3 +125,25 @@ def unguided(problems: DataFrame, generate: Generator, tokenise: Tokeniser, max_
         "problem_id", "problem", without_specials(F.concat("_prompt", "chunk")).alias("answer_text"), "batch_id",
         ids.alias("ids"), F.size(ids).alias("length"), "padded_to",
     )
+
+
+def unguided_states(
+    problems: DataFrame, path: str, generate: Generator, tokenise: Tokeniser, factory: EncoderFactory,
+    batch_size: int = 12, size: int = shards.SHARD_SIZE, max_new: int = 2048, seed: int = 42,
+) -> DataFrame:
+    """Baseline answers with the states of their whole sequences in shards; gives the catalog.
+
+    ``problems`` is ``(problem_id, problem)``, numbered in seeded order. The
+    catalog has no label: it holds the problem, the answer text, the length and
+    the width to which its batch was padded, and the sample's place in the shards.
+    """
+    placed = with_seeded_ordinal(problems, "problem_id", seed).withColumn("batch_id", batch_id("ordinal", batch_size))
+    answered = unguided(placed, generate, tokenise, max_new)
+    # the states and the catalog both read the answers that were drawn
+    corpus = cut_lineage(answered.join(placed.select("problem_id", "ordinal"), "problem_id").withColumn("id", sample_id("ordinal")))
+    metadata = ["problem_id", "problem", "answer_text", "length", "padded_to"]
+    write_state_shards(corpus, path, factory, metadata, size)
+    return problems.sparkSession.read.schema(
+        f"id string, shard_file string, shard_idx int, local_idx int, problem_id {dict(problems.dtypes)['problem_id']}, "
+        "problem string, answer_text string, length int, padded_to int"
+    ).json(f"{path}/catalog")

@@ -156,6 +156,13 @@ sums AS (SELECT doc_id, stride, dim, sum(c * x) AS s, sum(c) AS c FROM counted J
 SELECT doc_id, (sum(c) OVER w)::INT AS prefix_length, dim::INT AS dim, round((sum(s) OVER w) / (sum(c) OVER w), 6) AS value
 FROM sums WINDOW w AS (PARTITION BY doc_id, dim ORDER BY stride)"""
 
+SQL["last_state_batched"] = f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings), counted AS (SELECT doc_id, {_hash('tok')} % n AS vec_id, count(*) AS c
+  FROM ({_tokens('documents', 'doc_id')}), n GROUP BY ALL),
+dims AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT doc_id, sum(c)::INT AS length, dim::INT AS dim, round(sum(c * x) / sum(c), 6) AS value
+FROM counted JOIN dims USING (vec_id) GROUP BY doc_id, dim"""
+
 SQL["last_state_whole"] = SQL["last_state"]
 
 SQL["last_state_join"] = SQL["last_state"]
@@ -449,6 +456,17 @@ SELECT problem_id, replace(replace(prompt || chunk, '<|im_start|>', ''), '<|im_e
   array_to_string(list_transform(list_concat(a, b), lambda x: {_hash('x')} % v), ',') AS ids FROM toks, v"""
 
 
+# the last state of a sequence is the mean of its token vectors
+SQL["unguided_states"] = f"""
+WITH base AS ({SQL['unguided_baseline']}), placed AS (SELECT base.*, ({ORDINAL.format('problem_id')}) AS ordinal FROM base),
+firsts AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings),
+toks AS (SELECT problem_id, unnest(string_split(ids, ',')) AS tok FROM base),
+ends AS (SELECT problem_id, count(*) AS n, avg(x) AS x FROM toks JOIN firsts ON vec_id = tok::BIGINT GROUP BY 1)
+SELECT 'ex_' || lpad(ordinal::VARCHAR, 6, '0') AS id, 'shard_' || lpad((ordinal // 20)::VARCHAR, 4, '0') || '.pt' AS shard_file,
+  (ordinal // 20)::INT AS shard_idx, (ordinal % 20)::INT AS local_idx, problem_id, length, padded_to, n AS n_states, (n - 1)::INT AS last_pos,
+  round(x::FLOAT::DOUBLE, 4) AS last_value FROM placed JOIN ends USING (problem_id)"""
+
+
 def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: float = 40.0, max_new: int = 50) -> str:
     """The live search with its rounds written out."""
     parts = [

@@ -551,6 +551,46 @@ def unguided_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _batched_running_mean(table_of: encode.TokenVectors) -> encode.BatchEncoder:
+    """The default encoder as a model over padded batches."""
+
+    def model(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        seen = table_of.take(np.where(mask == 1, ids, table_of.ids[0])) * mask[:, :, None]
+        return np.cumsum(seen, axis=1) / np.maximum(np.cumsum(mask, axis=1), 1)[:, :, None]
+
+    return encode.BatchEncoder(model)
+
+
+def _batched_factory(spark: SparkSession, sf_dir: str):
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    matrix = encode.embedding_matrix(vecs, "vec_id", "embedding")
+    shared = spark.sparkContext.broadcast(matrix)
+    return lambda: _batched_running_mean(shared.value)
+
+
+def unguided_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog of the baseline's state shards, with what the shards hold for each sample."""
+    problems, generate, tokenise, _ = _search_parts(spark, sf_dir)
+    path = scratch_path(spark, "unguided")
+    catalog = jobs.unguided_states(problems, path, generate, tokenise, _batched_factory(spark, sf_dir), size=20)
+    states = spark.read.parquet(f"{path}/states")
+    held = states.groupBy("shard_idx", "local_idx").agg(
+        F.count(F.lit(1)).alias("n_states"), F.max("pos").alias("last_pos"),
+        F.round(F.max_by(F.get("vec", F.lit(0)), "pos").cast("double"), 4).alias("last_value"),
+    )
+    return shards.payload_of(catalog, held).select(
+        "id", "shard_file", "shard_idx", "local_idx", "problem_id", "length", "padded_to", "n_states", "last_pos", "last_value"
+    )
+
+
+def last_state_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States at the ends of whole texts by an encoder that is called on padded batches."""
+    vocab = table(spark, sf_dir, "embeddings").count()
+    docs = _document_ids(spark, sf_dir, vocab)
+    states = encode.EncoderStates(_batched_factory(spark, sf_dir)).final(docs, ["doc_id", "length"], "ids")
+    return vectors.long_vector(states, ["doc_id", "length"], "vec")
+
+
 def sequence_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.token_ids(tokens.split_tokens("text"), SMALL_VOCAB)
     items = table(spark, sf_dir, "benchmark").select("item_id", ids.alias("ids"))
@@ -670,11 +710,11 @@ QUERIES = {
         seeded_order, range_order, shard_catalog, catalog_payload_join, early_stop_batches,
         train_val_split, split_by_original,
         prefix_index, prefix_index_capped, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join,
-        last_state_gapped, last_state_gapped_join, masked_mean_pool, masked_mean_pool_join, first_position_pool,
+        last_state_gapped, last_state_gapped_join, last_state_batched, masked_mean_pool, masked_mean_pool_join, first_position_pool,
         extraction_catalog, extraction_summary, storage_stats,
         vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
-        best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, guided_resumed, unguided_baseline,
+        best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, guided_resumed, unguided_baseline, unguided_states,
         sequence_logprob, sibling_priors, puct_choice, tree_descent, tree_backup, root_move, tree_rounds,
         stream_append, stream_score, stream_summary, stream_guided,
     )
