@@ -30,17 +30,18 @@ def frequent(counts: DataFrame, n: str, size: Column, max_bytes: int) -> tuple[C
     """Which rows of ``counts`` are frequent enough to be held together in ``max_bytes``.
 
     Rows fall into classes by the number of binary digits of ``n``; the frequent ones
-    are the top classes whose sizes fit. Gives the condition, and how many rows
-    meet it and do not. At most 64 numbers come to the driver.
+    are the top classes whose sizes fit. Gives the condition, how many rows meet
+    it, and the most digits of a row that does not (0: all do). At most 64 rows
+    come to the driver.
     """
     level = F.length(F.bin(F.col(n)))
     classes = counts.groupBy(level.alias("_level")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(size.cast("long")).alias("_bytes")).collect()
-    lowest, used, held, rest = math.inf, 0, 0, 0
+    lowest, used, held, beyond = math.inf, 0, 0, 0
     for row in sorted(classes, key=lambda r: -r["_level"]):
         used += row["_bytes"]
         if used <= max_bytes:
             lowest, held = row["_level"], held + row["_rows"]
         else:
-            rest += row["_rows"]
+            beyond = max(beyond, row["_level"])
     chosen = F.lit(False) if lowest == math.inf else level >= F.lit(int(lowest))
-    return chosen, held, rest
+    return chosen, held, beyond

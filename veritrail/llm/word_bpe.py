@@ -27,8 +27,8 @@ from veritrail.llm.space_words import frequent, words_of
 from veritrail.session import drop_scratch, scratch_path, spread, written_table
 
 #: words and ids that are shipped to the tasks at most
-HOT_BYTES = 64 * 1024 * 1024
-BATCH_BYTES = 24 * 1024 * 1024
+HOT_BYTES = 128 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 #: pre-tokens whose ids a task keeps while it encodes the distinct words
 KEPT = 200_000
 
@@ -176,15 +176,16 @@ class HotWords:
         self.flat = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         # the last place is that of a word which is not here
-        self.lengths, self.starts = np.append(sizes, 0), np.append(0, np.cumsum(sizes))
+        self.starts = np.append(np.append(0, np.cumsum(sizes)), sizes.sum()).astype(np.int32)
 
     def places(self, words: pa.Array) -> np.ndarray:
         return pc.fill_null(pc.index_in(words, self.words), len(self.words)).to_numpy(zero_copy_only=False)
 
     def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at ``places`` in a row, and how many each word gave."""
-        lengths = self.lengths[places]
-        return gather(self.flat, self.starts[places], lengths), lengths
+        starts = self.starts[places].astype(np.int64)
+        lengths = self.starts[places + 1] - starts
+        return gather(self.flat, starts, lengths), lengths
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -202,37 +203,98 @@ def lists_of(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
 NUMBERED = "doc_id bigint, key binary, numbers binary, holes array<string>"
 
 
-def numbered(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, key, numbers, holes``: each word's place in the shipped table in three bytes, and the words outside it, in order.
-
-    ``key`` is a digest of id and text: rows that share it have the same ids,
-    and it is the same whenever a row is read again.
-    """
+def split_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, key, words``. ``key`` is a digest of id and text: rows that share it have the same ids, however often they are read."""
     whole = F.coalesce(F.col(text), F.lit(""))
     key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole)))
-    split = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), key.alias("key"), words_of(whole).alias("words"))
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), key.alias("key"), words_of(whole).alias("words"))
+
+
+def located(table: HotWords, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Places of the words of some rows in the table, words to a row, the words outside the table, and those to a row."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten()
+    places = table.places(words)
+    lost = np.flatnonzero(places == len(table.words))
+    row_of = np.repeat(np.arange(len(sizes)), sizes)[lost]
+    return places, sizes, words.take(pa.array(lost)), np.bincount(row_of, minlength=len(sizes))
+
+
+def numbered(split: DataFrame, shared) -> DataFrame:
+    """``doc_id, key, numbers, holes``: each word's place in the shipped table in three bytes, and the words outside it, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            lists = batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            words = lists.flatten()
-            places = table.places(words)
-            lost = np.flatnonzero(places == len(table.words))
-            spelled = words.take(pa.array(lost))
-            row_of = np.repeat(np.arange(len(sizes)), sizes)[lost]
+            places, sizes, others, per_row = located(shared.value, batch.column("words"))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), packed(places, sizes),
-                    lists_of(spelled, np.bincount(row_of, minlength=len(sizes))),
-                ],
-                ["doc_id", "key", "numbers", "holes"],
+                [batch.column("doc_id"), batch.column("key"), packed(places, sizes), lists_of(others, per_row)], ["doc_id", "key", "numbers", "holes"]
             )
 
     return split.mapInArrow(run, NUMBERED)
 
 
+def in_place(split: DataFrame, shared, single, finish: Finish) -> DataFrame:
+    """Results of rows whose words are in the shipped table or occur once: those are encoded here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, encoder = shared.value, WordEncoder(single.value)
+        for batch in batches:
+            places, sizes, others, per_row = located(table, batch.column("words"))
+            spelled = others.to_pylist()
+            ends, stops = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(per_row))
+            ids = [
+                resolve(table, places[ends[k] : ends[k + 1]], [np.array(encoder.encode(w), dtype=np.int32) for w in spelled[stops[k] : stops[k + 1]]])
+                for k in range(len(sizes))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish.columns(ids)], finish.names())
+
+    return split.mapInArrow(run, finish.schema)
+
+
+def patched(met: DataFrame, shared, finish: Finish) -> DataFrame:
+    """Results of rows ``doc_id, numbers, patches``, in which the patches are the ids of the words outside the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            others = ([] if own is None else [np.asarray(p["ids"], dtype=np.int32) for p in own] for own in pdf["patches"])
+            ids = [resolve(shared.value, unpacked(n), o) for n, o in zip(pdf["numbers"], others, strict=True)]
+            arrays = [pa.array(pdf["doc_id"], pa.int64(), from_pandas=True), *finish.columns(ids)]
+            yield pa.table(arrays, finish.names()).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+    return met.select("doc_id", "numbers", "patches").mapInPandas(run, finish.schema)
+
+
+class IdLists:
+    """What is made of the ids of a row: the ids."""
+
+    schema = "doc_id bigint, ids array<int>"
+
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.schema.split(", ")]
+
+    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+        return [lists_of(pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *ids]), pa.int32()), np.array([len(x) for x in ids], dtype=np.int64))]
+
+
+class Digests(IdLists):
+    """Counts and digests of the ids and of the text that they give back."""
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+    def __init__(self, pieces):
+        self.pieces = pieces
+
+    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+        texts = [b.decode("utf-8", "replace") for b in self.pieces.value.decode(ids)]
+        return [
+            pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+        ]
+
+
+Finish = IdLists | Digests
+
+
 def packed(places: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """The numbers of each row as binary, three bytes to a number."""
     raw = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
@@ -243,22 +305,16 @@ def packed(places: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def unpacked(numbers: bytes) -> np.ndarray:
     wide = np.zeros((len(numbers) // 3, 4), dtype=np.uint8)
     wide[:, :3] = np.frombuffer(numbers, dtype=np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel()
+    return wide.view("<u4").ravel().astype(np.int64)
 
 
-def resolve(shared, numbers: list[bytes], holes: list) -> list[np.ndarray]:
-    """Ids of each row: those of the shipped words, and at the places of the others those in ``holes``, in order."""
-    table = shared.value
-    out = []
-    for raw, found in zip(numbers, holes, strict=True):
-        places = unpacked(raw)
-        ids, lengths = table.ids_of(places)
-        if found is not None and len(found):
-            parts = [np.asarray(h["ids"], dtype=np.int32) for h in found]
-            at = (np.cumsum(lengths) - lengths)[places == len(table.words)]
-            ids = np.insert(ids, np.repeat(at, [len(p) for p in parts]), np.concatenate(parts))
-        out.append(ids)
-    return out
+def resolve(table: HotWords, places: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Ids of a row: those of the shipped words, and at the places of the other words theirs, in order."""
+    ids, lengths = table.ids_of(places)
+    if not others:
+        return ids
+    at = (np.cumsum(lengths) - lengths)[places == len(table.words)]
+    return np.insert(ids, np.repeat(at, [len(x) for x in others]), np.concatenate(others))
 
 
 def encode(
@@ -271,38 +327,37 @@ def encode(
     others; white space between words is part of them, so a text without single
     spaces is one word.
 
-    The words outside the shipped table meet by a shuffle on the word, where
-    each distinct one is encoded once, and go to their texts by one on ``key``
-    and their order in the text. They are rare ones, so no word is a hot key.
+    Words outside the shipped table that occur once are encoded where they
+    stand. Where the table leaves out repeated words as well, all words outside
+    it meet by a shuffle on the word, in which each distinct one is encoded
+    once, and go to their texts by one on ``key`` and their order in the text.
+    They are rare ones, so no word is a hot key.
     """
+    return _encoded(docs, vocabulary, doc_id, text, hot_bytes, IdLists())
+
+
+def _encoded(docs: DataFrame, vocabulary: ByteLevelVocabulary, doc_id: str, text: str, hot_bytes: int, finish: Finish) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     path = scratch_path(spark, "bpe-words")
     counts = written_table(word_counts(docs, text), "bpe-words", path=path)
     # a word has at most as many ids as bytes; most have a third
-    chosen, held, rest = frequent(counts, "n", F.octet_length("word") * 3 + 16, hot_bytes)
+    chosen, held, beyond = frequent(counts, "n", F.octet_length("word") * 3 + 16, hot_bytes)
     words = counts.where(chosen)
     hot = HotWords(encode_words(spread(words), vocabulary).toArrow() if held else pa.table({"word": [], "ids": []}))
     drop_scratch(spark, path)
     shared = spark.sparkContext.broadcast(hot)
-    rows = numbered(docs, shared, doc_id, text)
-
-    @F.pandas_udf("array<int>")
-    def without_holes(numbers: pd.Series) -> pd.Series:
-        return pd.Series(resolve(shared, numbers.tolist(), [None] * len(numbers)), dtype=object)
-
-    @F.pandas_udf("array<int>")
-    def with_holes(numbers: pd.Series, holes: pd.Series) -> pd.Series:
-        return pd.Series(resolve(shared, numbers.tolist(), holes.tolist()), dtype=object)
-
-    if not rest:
-        return rows.select("doc_id", without_holes("numbers").alias("ids"))
+    single = spark.sparkContext.broadcast(vocabulary)
+    split = split_rows(docs, doc_id, text)
+    # a count of one binary digit is one
+    if beyond <= 1:
+        return in_place(split.select("doc_id", "words"), shared, single, finish)
+    rows = numbered(split, shared)
     holes = rows.select("key", F.posexplode("holes").alias("k", "word"))
     found = encode_words(holes.repartition("word").sortWithinPartitions("word"), vocabulary, "key binary, k int")
     # rows of one key have the same holes
     patches = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("k", "ids"))).alias("patches"))
-    met = rows.select("doc_id", "key", "numbers").join(patches, "key", "left")
-    return met.select("doc_id", with_holes("numbers", "patches").alias("ids"))
+    return patched(rows.select("doc_id", "key", "numbers").join(patches, "key", "left"), shared, finish)
 
 
 class Pieces:
@@ -355,19 +410,5 @@ def encode_digests(
 
     Null and empty texts: no tokens, digests of nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(vocabulary.pieces()))
-    encoded = encode(docs, vocabulary, doc_id, text, hot_bytes)
-
-    @F.pandas_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digests(lists: pd.Series) -> pd.DataFrame:
-        arrays = _arrays(lists)
-        texts = [b.decode("utf-8", "replace") for b in shared.value.decode(arrays)]
-        return pd.DataFrame(
-            {
-                "n_tokens": [len(a) for a in arrays],
-                "ids_sha256": [hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in arrays],
-                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
-            }
-        )
-
-    return encoded.select("doc_id", digests("ids").alias("_d")).select("doc_id", "_d.*")
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(vocabulary.pieces()))
+    return _encoded(docs, vocabulary, doc_id, text, hot_bytes, Digests(pieces))
