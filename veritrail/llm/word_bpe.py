@@ -28,7 +28,7 @@ from veritrail.session import drop_scratch, scratch_path, spread, written_table
 
 #: words and ids that are shipped to the tasks at most
 HOT_BYTES = 128 * 1024 * 1024
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
 #: pre-tokens whose ids a task keeps while it encodes the distinct words
 KEPT = 200_000
 
@@ -364,9 +364,12 @@ class Pieces:
     """The id-to-piece table, with its bytes in one flat array."""
 
     def __init__(self, pieces: dict[int, bytes]):
-        self.flat = np.frombuffer(b"".join(pieces.values()), dtype=np.uint8)
-        lengths = np.array([len(p) for p in pieces.values()], dtype=np.int64)
-        self.table = pd.DataFrame({"start": np.cumsum(lengths) - lengths, "length": lengths}, index=pd.Index(list(pieces), name="id"))
+        ids = sorted(pieces)
+        self.flat = np.frombuffer(b"".join(pieces[i] for i in ids), dtype=np.uint8)
+        lengths = np.array([len(pieces[i]) for i in ids], dtype=np.int64)
+        # without gaps the join finds its rows by arithmetic
+        index = pd.RangeIndex(len(ids), name="id") if ids == list(range(len(ids))) else pd.Index(ids, name="id")
+        self.table = pd.DataFrame({"start": np.cumsum(lengths) - lengths, "length": lengths}, index=index)
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids: all ids of the batch meet the table in one join, in their order."""
