@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -92,22 +94,24 @@ class Side:
         self.lengths = np.array([len(p) for p in joined], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(joined), dtype=np.uint8)
-        self.inner = np.array([f"{i}," for i in range(size)], dtype=object)
-        self.last = np.array([f"{i}{'|' if isinstance(source, ByteLevelSide) else ';'}" for i in range(size)], dtype=object)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def ids(self, words: list[list[str]]) -> list[np.ndarray]:
-        """Ids of each text, given as its words."""
-        wanted = {w for text in words for w in text}
+        # decimal ids with what follows them: a comma, or at ``size`` and beyond the mark of a group's last token
+        self.size, mark = size, "|" if isinstance(source, ByteLevelSide) else ";"
+        self.decimals = np.array([f"{i}{end}" for end in (",", mark) for i in range(size)], dtype=object)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[list[str]], distinct: set[str]) -> list[np.ndarray]:
+        """Ids of each text, given as its words and the distinct words of all."""
         young, old = self.young, self.old
-        for w in wanted.difference(young):
-            if (seen := old.get(w)) is not None:
+        missing = []
+        for w in distinct.difference(young):
+            if (seen := old.get(w)) is None:
+                missing.append(w)
+            else:
                 young[w] = seen
-        missing = list(wanted.difference(young))
-        young.update(zip(missing, (np.array(x, dtype=np.int32) for x in self.source.encode(missing)), strict=True))
+        young.update(zip(missing, (array("i", x).tobytes() for x in self.source.encode(missing)), strict=True))
         get = young.__getitem__
-        out = [np.concatenate([*map(get, text)]) for text in words]
+        out = [np.frombuffer(b"".join(map(get, text)), dtype=np.int32) for text in words]
         if len(young) > KEPT_WORDS:
             self.old, self.young = young, {}
         return out
@@ -168,8 +172,8 @@ def align(side_a: Side, side_b: Side, lists_a: list[np.ndarray], lists_b: list[n
     place_a = np.arange(len(ids_a)) + (np.cumsum(size_b) - size_b)[group_a]
     place_b = np.arange(len(ids_b)) + np.cumsum(size_a)[group_b]
     written = np.empty(len(ids_a) + len(ids_b), dtype=object)
-    written[place_a] = np.where(last_a, side_a.last[ids_a], side_a.inner[ids_a])
-    written[place_b] = np.where(last_b, side_b.last[ids_b], side_b.inner[ids_b])
+    written[place_a] = side_a.decimals[ids_a + last_a * side_a.size]
+    written[place_b] = side_b.decimals[ids_b + last_b * side_b.size]
     n_a, n_b = np.bincount(a["doc"], minlength=n), np.bincount(b["doc"], minlength=n)
     ends = np.append(0, np.cumsum(n_a + n_b))
     digests = [hashlib.sha256("".join(written[s:e].tolist())[:-1].encode()).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)]
@@ -183,9 +187,10 @@ def align(side_a: Side, side_b: Side, lists_a: list[np.ndarray], lists_b: list[n
 def aligned_texts(side_a: Side, side_b: Side, texts: list[str]) -> dict[str, list]:
     """``align`` for all texts; those without tokens get zeros and an empty digest."""
     spaced = [" " + t for t in texts]
-    words = [PYTHON_CUT.split(t) for t in spaced]
     full = [k for k, t in enumerate(texts) if t]
-    lists_a, lists_b = side_a.ids([words[k] for k in full]), side_b.ids([words[k] for k in full])
+    words = [PYTHON_CUT.split(spaced[k]) for k in full]
+    distinct = set(chain.from_iterable(words))
+    lists_a, lists_b = side_a.ids(words, distinct), side_b.ids(words, distinct)
     raws = [spaced[k].encode() for k in full]
     good = side_a.faithful(lists_a, raws) & side_b.faithful(lists_b, raws) if full else np.zeros(0, dtype=bool)
     kept = [k for k, g in enumerate(good) if g]
@@ -291,9 +296,9 @@ def alignment(
     """
     aligned = written_table(align_documents(docs, a, b, doc_id, text), "aligned")
     pairs = written_table(pair_table(aligned), "id-pairs")
-    chosen, _, rest = frequent(pairs, "n", F.lit(PAIR_BYTES), hot_bytes)
+    chosen, _, beyond = frequent(pairs, "n", F.lit(PAIR_BYTES), hot_bytes)
     weighed = weigh(aligned, pairs.where(chosen).toArrow())
-    if rest:
+    if beyond:
         weighed = stored = written_table(weighed, "weighed")
         far = stored.select("row", F.explode("rare").alias("_p")).select("row", "_p.*").join(pairs.where(~chosen), ["a", "b"])
         best = F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))
