@@ -521,9 +521,10 @@ def guided_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         problems.drop("problem_id"), path, generate, tokenise, states, grader, threshold=0.8, max_iters=4, max_new=12
     )
     rounds = results.RoundLog(spark, path)
-    listed = rounds.results().agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("problem_idx").alias("n_distinct"))
-    both = summary.withColumn("config", F.to_json("config")).crossJoin(listed)  # one row each
-    return _rounded(both.withColumn("n_rounds", F.lit(len(rounds.numbers()))), "avg_final_score")
+    listed = rounds.results().agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("problem_idx").alias("n_distinct")).first()
+    counts = {**listed.asDict(), "n_rounds": len(rounds.numbers())}
+    whole = summary.withColumn("config", F.to_json("config")).withColumns({name: F.lit(n) for name, n in counts.items()})
+    return _rounded(whole, "avg_final_score")
 
 
 def guided_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
