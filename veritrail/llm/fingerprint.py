@@ -10,6 +10,8 @@ kept, packed; likeness subtracts the matches that short values have by chance.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,33 +83,86 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either, (F.size(a) == F.size(b)).cast("double")).otherwise(F.least(F.greatest(estimate, F.lit(0.0)), F.lit(1.0)))
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", derived: dict[str, Column] | None = None) -> DataFrame:
+def id_bounds(ids: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> list[int]:
+    """Quantiles of the column ``id``, not null, that cut its ``rows`` rows into ranges of about ``chunk_rows``; at most ``MAX_CHUNKS``.
+
+    An id of many rows comes as often as it holds whole ranges.
+    """
+    n = max(1, min(MAX_CHUNKS, -(-rows // chunk_rows)))
+    if n == 1:
+        return []
+    shares = F.split(F.lit(",".join(str(k / n) for k in range(1, n))), ",").cast("array<double>")
+    return sorted(ids.agg(F.percentile_approx("id", shares, max(10_000, 4 * n)).alias("q")).first()["q"] or [])
+
+
+def chunk_of(key: Column, salt: Column, bounds: list[int], nulls: int) -> Column:
+    """Number of the range of ``key``, which grows with it; null keys take ``nulls`` ranges below zero.
+
+    A key with several ranges of its own is dealt to them by ``salt``, 0 to
+    2^63 - 1, greater salts to later ranges. Bounds are looked up in two steps,
+    so a row costs the root of their number.
+    """
+
+    def spot(count: int) -> Column:
+        return F.least(F.floor(salt / F.lit(2.0**63) * count), F.lit(count - 1)).cast("bigint")
+
+    none = spot(max(1, nulls)) - max(1, nulls)
+    if not bounds:
+        return F.when(key.isNull(), none).otherwise(F.lit(0).cast("bigint"))
+    width = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    text = ";".join(",".join(map(str, part)) for part in parts)
+    table = F.transform(F.split(F.lit(text), ";"), lambda part: F.split(part, ",").cast("array<bigint>"))
+    firsts = F.split(F.lit(",".join(str(part[0]) for part in parts)), ",").cast("array<bigint>")
+
+    def below(test) -> Column:
+        """How many bounds pass ``test``, which holds for a beginning of them."""
+        whole = F.size(F.filter(firsts, test))
+        return F.when(whole == 0, 0).otherwise((whole - 1) * width + F.size(F.filter(F.get(table, whole - 1), test)))
+
+    def of(ends: Column) -> Column:
+        least, most = ends["least"], ends["most"]
+        own = most - least
+        place = F.least(F.floor(salt / F.lit(2.0**63) * own), own - 1)
+        return F.when(own <= 1, most).otherwise(least + 1 + place).cast("bigint")
+
+    ends = F.struct(below(lambda x: x < key).alias("least"), below(lambda x: x <= key).alias("most"))
+    return F.when(key.isNull(), none).otherwise(let(ends, of))
+
+
+def with_next(
+    docs: DataFrame, columns: list[str], doc_id: str = "doc_id", derived: dict[str, Column] | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """``docs`` with ``next_<c>`` for each of ``columns``: the row after it by descending id, after the last the first.
 
     ``derived`` columns are added first, to every row once and again only to
     the first row of each range.
 
-    Ids are cut into at most ``MAX_CHUNKS`` ranges of equal width, about
-    ``CHUNK_ROWS`` rows each; a range is one sorted window and its last row
-    takes the first row of the next range. Rows meet in one shuffle. Equal ids
-    follow each other by ``columns``; null ids come last.
+    Ids, whole numbers of up to 64 bits, are cut at their quantiles into at most
+    ``MAX_CHUNKS`` ranges of about ``chunk_rows`` rows, however they are spread;
+    a range is one sorted window and its last row takes the first row of the
+    next range. Rows meet in one shuffle. Equal ids follow each other by
+    descending hash of the columns given with ``docs``, and an id of many rows,
+    or null, is cut into ranges by that hash; null ids come last. Only rows that
+    are equal in all of this share a window whatever their number.
     """
-    span = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_chunks = max(1, min(MAX_CHUNKS, -(-span["n"] // CHUNK_ROWS)))
-    low, width = span["a"] or 0, max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // n_chunks))
-    chunk = F.coalesce(F.expr(f"({doc_id} - ({low}L)) div {width}L"), F.lit(-1).cast("bigint"))
-    order = [F.col(doc_id).desc_nulls_last(), *columns]
-    chunked = docs.withColumn("_chunk", chunk)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.count(doc_id).alias("known")).first()
+    key = F.col(doc_id).cast("bigint")
+    bounds = id_bounds(docs.select(key.alias("id")).where("id is not null"), size["known"], chunk_rows)
+    nulls = min(MAX_CHUNKS, -(-(size["n"] - size["known"]) // chunk_rows))
+    salt = F.xxhash64(*[c for c in columns if c in docs.columns]).bitwiseAND(F.lit((1 << 63) - 1))
+    chunked = docs.withColumn("_salt", salt).withColumn("_chunk", chunk_of(key, F.col("_salt"), bounds, nulls))
     placed = chunked.withColumns(derived or {})
-    # at most MAX_CHUNKS + 1 rows: the first id of every range, the one that follows the range before it
-    tops = chunked.groupBy("_chunk").agg(F.max(doc_id).alias("_top"))
+    # at most 2 * MAX_CHUNKS rows: the first row of every range, the one that follows the range before it
+    tops = chunked.groupBy("_chunk").agg(F.max(F.struct(F.col(doc_id).alias("id"), F.col("_salt").alias("salt"))).alias("_top"))
     ring = Window.orderBy(F.col("_chunk").desc())
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select(F.col("_chunk").alias("_own"), "_top", F.coalesce(F.lag("_chunk").over(ring), F.last("_chunk").over(whole)).alias("_before"))
-    firsts = chunked.join(F.broadcast(tops), (F.col("_chunk") == F.col("_own")) & F.col(doc_id).eqNullSafe(F.col("_top")))
+    is_first = F.col(doc_id).eqNullSafe(F.col("_top")["id"]) & (F.col("_salt") == F.col("_top")["salt"])
+    firsts = chunked.join(F.broadcast(tops), (F.col("_chunk") == F.col("_own")) & is_first)
     firsts = firsts.withColumns(derived or {})
     heads = firsts.groupBy("_before").agg(F.min(F.struct(*columns)).alias("_head")).select(F.col("_before").alias("_chunk"), "_head")
-    within = Window.partitionBy("_chunk").orderBy(*order)
+    within = Window.partitionBy("_chunk").orderBy(F.col(doc_id).desc_nulls_last(), F.col("_salt").desc(), *columns)
     following = F.lead(F.struct(*columns)).over(within)
     joined = placed.withColumn("_next", following).join(heads, "_chunk", "left")
     after = F.coalesce("_next", "_head")
