@@ -43,7 +43,10 @@ N_FEATURES = 15
 _WORD = re.compile(r"[^\W_]+")
 _RAW = re.compile(r"\S+")
 _SPACED = re.compile(r"\b(?:[^\W\d_][.\-_* ]){3,}[^\W\d_]\b")
-_MIXED = re.compile(r"(?<!\w)(?=[\w@$!|*]*[^\W\d_])(?=[\w@$!|*]*[\d@$|*])[\w@$!|*]{3,24}(?!\w)")
+_MARKED = re.compile(r"[\w@$!|*]{3,}")
+_MIXED = re.compile(r"(?<!\w)[\w@$!|*]{3,24}(?!\w)")
+_LETTER = re.compile(r"[^\W\d_]")
+_MARK = re.compile(r"[\d@$|*]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -54,6 +57,31 @@ def terms_of(word: str):
             yield word[:n] + "*"
 
 
+def mixed_words(lower: str) -> list[str]:
+    """Runs of 3 to 24 letters and marks that have both a letter and a digit or mark in them or behind them.
+
+    Each maximal run is looked at once, so a text of marks alone takes time in proportion to its length.
+    """
+    out = []
+    for run in _MARKED.finditer(lower):
+        if not (_LETTER.search(run[0]) and _MARK.search(run[0])):
+            continue
+        back = run[0][::-1]
+        last = run.end() - 1 - max(_LETTER.search(back).start(), _MARK.search(back).start())
+        for m in _MIXED.finditer(lower, run.start(), run.end()):
+            if m.start() > last:
+                break
+            out.append(m[0])
+    return out
+
+
+def capitals(text: str, lower: str) -> int:
+    """Characters that lower-casing changes; one that becomes several counts once."""
+    if len(text) == len(lower):
+        return sum(1 for a, b in zip(text, lower, strict=True) if a != b)
+    return sum(c != c.lower() for c in text)
+
+
 def features(text: str | None, learned: frozenset[str]) -> list[float]:
     """The ``N_FEATURES`` dense features of one whole text; all zero for an empty one."""
     text = text or ""
@@ -80,10 +108,10 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         at = np.searchsorted(second, hits)
         places = np.array([-(10**9), *second, 10**9])
         near = int((np.minimum(np.abs(places[at] - hits), np.abs(places[at + 1] - hits)) <= NEAR).sum())
-    mixed = _MIXED.findall(lower)
+    mixed = mixed_words(lower)
     hidden = sum(m.translate(LEET).strip("*") in LEXICON for m in mixed) + sum(re.sub(r"[^\w]|_", "", m[0]) in LEXICON for m in _SPACED.finditer(lower))
     letters = sum(map(len, words)) or 1
-    upper = sum(1 for a, b in zip(text, lower, strict=False) if a != b) if len(text) == len(lower) else 0
+    upper = capitals(text, lower)
     caps = sum(w.isupper() and len(w) > 2 for w in _RAW.findall(text)) if upper else 0
     loud = text.count("!") + text.count("?")
     marks = len(text) - sum(map(len, words)) - sum(map(text.count, " \n\t"))
@@ -156,13 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """Fit on at most ``sample`` labelled documents outside the held-out fold, those first by the hash of their id.
 
     Null labels, ids and texts are not learned from; an id with two labels
-    counts as toxic if one of them is.
+    counts as toxic if one of them is, and one with several texts gives one.
     """
     marks = labels.where(F.col(label).isNotNull() & (fold(doc_id, FOLDS) != HELD_OUT_FOLD)).groupBy(F.col(doc_id).alias("doc_id"))
     marks = marks.agg(F.max((F.col(label) == 1).cast("int")).alias("toxic"), F.first(F.xxhash64(doc_id)).alias("h"))
     chosen = marks.orderBy("h", "doc_id").limit(sample)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written_table(texts.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold("doc_id", FOLDS)), "toxic-sample")
+    # one row to an id, however often the documents repeat it
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written_table(one.withColumn("fold", fold("doc_id", FOLDS)), "toxic-sample")
     seen = {(r["c"], r["toxic"]): r["n"] for r in rows.groupBy((F.col("fold") == CALIBRATION_FOLD).alias("c"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(seen.values())
     prior = sum(n for (_, y), n in seen.items() if y) / total if total else 0.0
@@ -192,6 +222,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     A null text counts as empty and is scored like one. Where nothing can be
     learned every score is the share of toxic labels seen, 0 without labels.
     Null ids stay and are in no fold; repeated rows stay; other columns are not read.
+    Features take time in proportion to the text, however long it is.
     """
     model = train(docs, labels, doc_id=doc_id, text=text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
