@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.llm.common import fold, python_ready
 
@@ -164,13 +165,20 @@ def likelihoods(rows: list[tuple], langs: int) -> np.ndarray:
 
 
 def cuttings(texts: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Runs of words of every length in ``CUT_WORDS`` and whole shorter texts, and the text each is from."""
+    """Runs of words of every length in ``CUT_WORDS`` and whole shorter texts, and the text each is from.
+
+    They come from anywhere in the whole text; one of more than ``CUT_CHARS`` characters gives as many of its own.
+    """
     out, owner = [], []
     for k, text in enumerate(texts):
-        words = text[: 16 * CUT_CHARS].split()
+        words = text.split()
         for size in CUT_WORDS:
             at = int(rng.integers(max(1, len(words) - size + 1)))
-            out.append(" ".join(words[at : at + size])[:CUT_CHARS])
+            cut = " ".join(words[at : at + size])
+            if len(cut) > CUT_CHARS:
+                start = int(rng.integers(len(cut) - CUT_CHARS + 1))
+                cut = cut[start : start + CUT_CHARS]
+            out.append(cut)
             owner.append(k)
             if size >= len(words):
                 break
@@ -258,21 +266,26 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on at most ``sample`` whole labelled texts outside the held-out fold.
+    """Fit on at most ``sample`` whole labelled texts outside the held-out fold, one of each language at least.
 
-    Each language gives about the same number, those whose hashed id comes
-    first; the count of languages comes from all rows. Rows with a null id,
-    text or language are not learned from.
+    Each language gives the same number, those whose hashed id comes first, or
+    all it has; the number of a language's ids, estimated, comes from all rows. A repeated id gives
+    one text. Rows with a null id, text or language are not learned from.
     """
-    rows = docs.where((fold(doc_id, FOLDS) != HELD_OUT_FOLD) & F.col(lang).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = given.where((fold("doc_id", FOLDS) != HELD_OUT_FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}
     if not counts:
         return LanguageModel()
     each = max(1, sample // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * each / n + 20 / n))])
-    place = F.xxhash64(F.col(doc_id)).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
-    taken = rows.where((place <= share[F.col(lang)]) & F.col(text).isNotNull())
-    got = taken.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("p")).orderBy("p", "lang", "text").limit(sample).collect()
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+    # a bounded number of ids to a language passes the first limit, ``each`` of them the second
+    taken = rows.withColumn("p", place).where(F.col("p") <= share[F.col("lang")])
+    taken = taken.groupBy("lang", "doc_id", "p").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("p", "doc_id"))
+    got = taken.withColumn("k", first).where(F.col("k") <= each).select("lang", "text", "p", "doc_id").collect()
+    got.sort(key=lambda r: (r["p"], r["lang"], r["doc_id"]))
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
