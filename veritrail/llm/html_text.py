@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +39,16 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 # fixed values: words in class, id and role that name what is not the article
 BOILERPLATE = frozenset(
     """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert
-    newsletter subscribe subscription popup modal overlay sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs share
+    discussion replies newsletter subscribe subscription popup modal overlay sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs share
     sharing social related recommended comment comments respond reply disqus footer masthead toolbar pagination pager login signup
     search topbar sitemap copyright complementary contentinfo skip outbrain taboola""".split()
 )
+# fixed values: words that with one of those name a part of the same thing, as ``comment-list`` or ``post-comments``
+COMPANIONS = frozenset(
+    """area article articles author bar block body box button buttons card container content entry feed form group header heading holder
+    icon icons inner item items link links list meta panel post posts reader row section site slot stories story text thread title unit
+    user wrap wrapper""".split()
+)
 MAIN_WORDS = frozenset("main articlebody".split())
 
 SHORT, LONG = 70, 200
@@ -74,8 +81,9 @@ class Block:
 
 
 def _names_boilerplate(value: str) -> bool:
-    """Whether a whole class token is a boilerplate word or made of such words only, as ``cookie-notice``."""
-    return any(words and words <= BOILERPLATE for words in ({w.lower() for w in _SPLIT.split(token) if w} for token in value.split()))
+    """Whether a whole class token is a boilerplate word, or made of such words and ``COMPANIONS`` only, as ``comment-list``."""
+    named = ({w.lower() for w in _SPLIT.split(token) if w} for token in value.split())
+    return any(words & BOILERPLATE and words <= BOILERPLATE | COMPANIONS for words in named)
 
 
 def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
@@ -102,6 +110,7 @@ def blocks_of(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside boilerplate, inside the main part, inside a named container
+    opened: Counter[str] = Counter()  # elements of each name on the stack
     pieces: list[str] = []
     linked = links = 0
     at = 0
@@ -119,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[-1][0] in BLOCK:
                 flush()
             links -= stack[-1][0] == "a"
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
 
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -136,11 +145,10 @@ def blocks_of(page: str) -> list[Block]:
             break  # a tag cut off at the end of the page
         tag = tag.lower()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag in BLOCK:
                 flush()
-            if depth is not None:
-                pop_to(depth)
+            if opened[tag]:
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
             end = None if m["attrs"].rstrip().endswith("/") and tag in ("svg", "math") else _RAW_END[tag].search(page, at)
@@ -165,6 +173,7 @@ def blocks_of(page: str) -> list[Block]:
         boiler |= named and inside and tag != "main"
         named &= not inside and tag != "main"
         stack.append((tag, dropped or boiler, (inside or main), bool(stack) and stack[-1][3] or named))
+        opened[tag] += 1
         links += tag == "a"
     flush()
     return out
@@ -261,6 +270,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     A null, empty or textless page gives an empty text. Null ids and addresses
     and repeated rows stay; other columns, whatever their names, are not read.
+    Time goes with the length of a page, end tags that close nothing included.
     """
     python_ready(pages.sparkSession)
 
