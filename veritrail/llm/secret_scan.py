@@ -222,7 +222,8 @@ def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     """``docs`` with every base span, and every added live one, masked in its text and ``n_chars`` brought up to date.
 
     No row goes: a text without secrets is left as it is. Texts that hold a
-    candidate meet their verdicts by the hash of the text.
+    candidate meet their verdicts by the hash of the text. All other columns,
+    whatever their names, are handed on.
     """
     scanned = written_table(scan(docs, "doc_id", text, owner, repo), "secrets")
     live = judged(scanned).select("tkey", F.map_filter("kinds", lambda _, v: v == "live").alias("kinds"))
@@ -231,9 +232,12 @@ def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     spans = written_table(pieces.select("tkey", F.concat("base", added).alias("_spans")).where(F.size("_spans") > 0), "secrets-spans")
     hit = F.col(text).rlike(ASSIGN) | F.col(text).rlike(ACCESS) | F.col(text).rlike(HEX) | F.col(text).rlike(TOKEN)
     clean = docs.where(~F.coalesce(hit, F.lit(False)))
-    found = docs.where(hit).withColumn("tkey", F.sha2(F.col(text), 256)).join(spans, "tkey", "left")
-    new = masked(F.col(text), F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")))
-    found = found.withColumn(text, new)
+    rows = docs.where(hit).select(F.sha2(F.col(text), 256).alias("tkey"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.join(spans, "tkey", "left")
+    new = masked(F.col("row")[text], F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")))
+    found = found.select("row", "_spans", new.alias("masked"))
+    fields = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("masked")}
     if n_chars in docs.columns:
-        found = found.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return clean.unionByName(found.select(*docs.columns))
+        length = F.when(F.col("_spans").isNotNull(), F.length("masked")).otherwise(F.col("row")[n_chars])
+        fields[n_chars] = length.cast(docs.schema[n_chars].dataType)
+    return clean.unionByName(found.select(*[value.alias(c) for c, value in fields.items()]))

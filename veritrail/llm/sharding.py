@@ -70,7 +70,7 @@ def shuffled_shards(df: DataFrame, n_shards: int = N_SHARDS, seed: int = 5) -> D
     Shard sizes differ by one row at most and slots of a shard are 0 to its size
     less one. The rows, with all their columns, are written once so that
     every later step sees the same partitions; pass the columns that are to
-    travel. Columns named ``shard`` or ``slot`` are replaced. Equal and null
+    travel. Columns named ``shard`` or ``slot`` are replaced, ``_part`` and ``_row`` left out. Equal and null
     rows are rows like any other; an empty table gives an empty result.
     """
     spark = df.sparkSession
