@@ -7,7 +7,7 @@
 5. ``byte_bpe`` encodes each whole text, decodes it again and returns counts and digests, and with ``mix_place``
    the document's place in the mix, 0..n-1.
 
-Stages 1 to 4 return the columns of ``documents``; the mix is handed on by the order of rows and files, from which the
+Stages 1 to 4 return the columns of ``documents``, whatever further ones there are and however they are named; the mix is handed on by the order of rows and files, from which the
 last stage reads the place, as the files may be read in any order.
 """
 
@@ -23,9 +23,14 @@ from veritrail.llm.queries import public_codec
 from veritrail.session import scratch_path
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``docs`` and ``row``, all its columns in one, so that no name of theirs meets an operator's."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = langid.predict(docs, langid.train(docs))
-    return known.where(~F.col("rejected")).select(*docs.columns)
+    known = langid.predict(carried(docs, "text"), langid.train(docs))
+    return known.where(~F.col("rejected")).select("row.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,28 +42,31 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair.interleaved(pfair.mix(docs, pfair.tempered_weights(docs))).select(*docs.columns)
+    return pfair.interleaved(pfair.mix(carried(docs, "doc_id", "source"), pfair.tempered_weights(docs))).select("row.*")
 
 
 def with_place(docs: DataFrame, out: str) -> DataFrame:
     """``docs`` with each row's place in the table as it was written: by part number, then by row within the file.
 
-    Null where ``docs`` is not read from files, whose rows have no order.
+    Null where ``docs`` is not read from files, whose rows have no order. A column named ``out`` is replaced.
     """
+    own = [c for c in docs.columns if c.lower() != out.lower()]
+    kept = carried(docs.select(*own))
     try:
-        at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        at = carried(docs.select(*own), "_metadata.file_name", "_metadata.row_index")
     except AnalysisException:
-        return docs.withColumn(out, F.lit(None).cast("bigint"))
+        return kept.select("row.*", F.lit(None).cast("bigint").alias(out))
     # one row to a file
-    files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    part = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("bigint")
-    before = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return at.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias(out))
+    files = at.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    part = F.regexp_extract("file_name", r"part-(\d+)", 1).try_cast("bigint")
+    before = Window.orderBy(part, "file_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file_name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return at.join(F.broadcast(starts), "file_name").select("row.*", (F.col("start") + F.col("row_index")).alias(out))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(with_place(docs, "mix_place"), public_codec(), carry=("mix_place",))
+    placed = with_place(docs.select("doc_id", "text"), "mix_place")
+    return bpe.encode_digests(placed, public_codec(), carry=("mix_place",))
 
 
 STAGES = [
