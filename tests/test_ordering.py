@@ -77,3 +77,29 @@ def test_epoch_batches(spark):
 def test_early_stop_keeps_twelve_batches(spark):
     df = ordering.with_seeded_ordinal(spark.range(200), "id")
     assert ordering.early_stop(df, "ordinal").count() == 144
+
+
+def test_running_start_over_gaps_and_ranges(spark):
+    sizes = {k * 3: (k * 7) % 5 for k in range(400)} | {10**7: 2, 10**7 + 1: 0}
+    df = spark.createDataFrame([(o, n or None, "x") for o, n in sizes.items()], "ordinal long, n int, other string").repartition(7)
+    rows = ordering.with_running_start(df, "ordinal", "n", "start", slots=16, least=8).orderBy("ordinal").collect()
+    total = 0
+    for r in rows:
+        assert r.start == total and r.other == "x"
+        total += r.n or 0
+    assert len(rows) == len(sizes)
+    assert ordering.with_running_start(df.limit(0), "ordinal", "n", "start").count() == 0
+
+
+def test_first_batches_are_those_of_the_whole_order(spark):
+    df = spark.range(500).withColumn("v", F.col("id") * 2)
+    whole = ordering.early_stop(ordering.with_seeded_ordinal(df, "id"), "ordinal")
+    assert sorted(ordering.first_batches(df, "id").collect()) == sorted(whole.collect())
+    assert ordering.first_batches(df.limit(5), "id").count() == 5 and ordering.first_batches(df.limit(0), "id").count() == 0
+
+
+def test_scan_order_is_that_of_names(spark):
+    df = spark.createDataFrame([(f"shard_{k:04d}.pt", j) for k in (2, 9999, 10000, 10001) for j in (1, 0)], "shard_file string, local_idx int")
+    rows = ordering.scan_order(df).orderBy("scan_pos").collect()
+    assert [(r.shard_file, r.local_idx) for r in rows] == sorted((r.shard_file, r.local_idx) for r in rows)
+    assert [r.shard_file for r in rows][2] == "shard_10000.pt" and rows[-1].shard_file == "shard_9999.pt"

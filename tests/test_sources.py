@@ -117,6 +117,42 @@ def test_corpus_to_prefix_vectors(spark, tmp_path):
     assert sorted((r.id, r.shard_idx, r.local_idx) for r in again.collect()) == [(f"ex_{i:06d}", i // 2, i % 2) for i in range(4)]
 
 
+def test_vectors_are_made_and_written_once(spark, tmp_path):
+    """Every sequence reaches the encoder once, and what is written beside the shards holds no vector."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def model(ids):
+            calls.add(1)
+            return np.cumsum(np.ones((len(ids), 3)), axis=0)
+
+        return model
+
+    rows = [(i, f"q{i}", " ".join(f"w{j}" for j in range(i)), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, question string, answer string, label_correct int")
+    corpus = jobs.tokenised_corpus(df, "id", tokens.hash_tokeniser(50), jobs.CorpusConfig())
+    catalog, _ = jobs.extract_prefix_vectors(corpus, f"{tmp_path}/v", encode.EncoderStates(factory), 10, samples_per_shard=7)
+    assert calls.value == 30
+    want = [(f"ex_{r.ordinal:06d}", n) for r in corpus.orderBy("ordinal").collect() for n in [*range(10, r.length, 10), r.length]]
+    assert [(r.original_id, r.prefix_length) for r in catalog.orderBy("sample_id").collect()] == want
+    counts = shards.storage_counts(spark, f"{tmp_path}/v/vectors").first()
+    assert (counts.n_rows, counts.n_files, counts.most_rows) == (len(want), -(-len(want) // 7), 7)
+
+
+def test_checkpoints_keep_the_newest_whole_versions(spark, tmp_path):
+    spec = gm.GraderSpec(in_dim=2)
+    path = f"{tmp_path}/last"
+    for k in range(4):
+        models.save_checkpoint(spark, path, "run", k, grade.Grader(spec, {"out.w": np.full((1, 2), float(k)), "out.b": np.zeros(1)}))
+    assert len(models.versions(spark, path)) == models.KEPT_VERSIONS == len(list((tmp_path / "last").iterdir()))
+    # a version that was never committed is not loaded
+    broken = tmp_path / "last" / f"saved_at={10**19}"
+    broken.mkdir()
+    assert models.load_grader(spark, path).params["out.w"].tolist() == [[3.0, 3.0]]
+    with pytest.raises(FileNotFoundError):
+        models.load_grader(spark, f"{tmp_path}/none")
+
+
 def test_uneven_vectors_fail(spark, tmp_path):
     spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "vec array<float>").write.parquet(f"{tmp_path}/vectors")
     with pytest.raises(ValueError, match="uneven"):

@@ -85,3 +85,14 @@ def test_decode_skips_specials_and_keeps_empty_sequences(spark):
     df = spark.createDataFrame([(1, [5, 6, 9]), (2, [9]), (3, [6, 6])], "id int, ids array<int>")
     vocab = spark.createDataFrame([(5, "a"), (6, "b"), (9, "<end>")], "token_id int, token string")
     assert {r.id: r.text for r in tokens.decode(df, "id", "ids", vocab, (9,)).collect()} == {1: "a b", 2: "", 3: "b b"}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decode_in_place_and_by_join(spark, limit):
+    df = spark.createDataFrame([(1, [5, 6, 9]), (2, [9]), (2, [6, None, 6]), (3, None), (None, [])], "id int, ids array<int>")
+    vocab = spark.createDataFrame([(5, "a"), (6, "b"), (9, "<end>")], "token_id int, token string")
+    got = sorted(((r.id, r.text) for r in tokens.decode(df, "id", "ids", vocab, (9,), max_bytes=limit).collect()), key=str)
+    assert got == sorted([(1, "a b"), (2, ""), (2, "b b"), (3, ""), (None, "")], key=str)
+    assert tokens.decode(df.where("id = 2"), "id", "ids", vocab, max_bytes=limit).where("text = '<end>'").count() == 1
+    with pytest.raises(Exception, match="token id 7 is not in the vocabulary"):
+        tokens.decode(spark.createDataFrame([(1, [5, 7])], "id int, ids array<int>"), "id", "ids", vocab, (9,), max_bytes=limit).collect()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.operators.skew import lookup_join
+from veritrail.operators.skew import BROADCAST_BYTES, lookup_join, measured_bytes
+from veritrail.session import cut_lineage, ship_package
 
 MAX_LEN = 4096
 
@@ -86,16 +88,43 @@ def has_eos(ids: Column, eos: int) -> Column:
 
 
 def decode(
-    df: DataFrame, key: str, ids: str, vocabulary: DataFrame, specials: tuple[int, ...] = (), sep: str = " "
+    df: DataFrame, key: str, ids: str, vocabulary: DataFrame, specials: tuple[int, ...] = (), sep: str = " ",
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(key, text)`` with special ids skipped; ``vocabulary`` is ``(token_id, token)``.
 
-    Regrouping collects one sequence, never more than the row it came from.
+    Null ids count as special. An id outside the vocabulary fails the job. A
+    vocabulary of at most ``max_bytes``, by measure, is shipped and sequences are
+    decoded where they stand; beyond that, tokens meet it by a join.
     """
-    long = df.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    if specials:
-        long = long.where(~F.col("token_id").isin(*specials))
-    named = lookup_join(long, vocabulary, ["token_id"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    texts = named.groupBy(key).agg(F.array_join(ordered["token"], sep).alias("text"))
-    return df.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    given = F.coalesce(F.col(ids).cast("array<bigint>"), F.array().cast("array<bigint>"))
+    plain = df.select(key, F.filter(given, lambda x: x.isNotNull() & (~x.isin(*specials) if specials else F.lit(True))).alias("ids"))
+    if measured_bytes(vocabulary) <= max_bytes:
+        return plain.select(key, _decoder(vocabulary, sep)(F.col("ids")).alias("text"))
+    return _decode_join(plain, key, vocabulary, sep)
+
+
+def _decoder(vocabulary: DataFrame, sep: str):
+    spark = vocabulary.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast({int(r["token_id"]): r["token"] for r in vocabulary.collect()})
+
+    @F.pandas_udf("string")
+    def decoded(batch: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([sep.join([shared.value[i] for i in row.tolist()]) for row in batch], dtype=object)
+        except KeyError as missing:
+            raise ValueError(f"token id {missing.args[0]} is not in the vocabulary") from missing
+
+    return decoded
+
+
+def _decode_join(plain: DataFrame, key: str, vocabulary: DataFrame, sep: str) -> DataFrame:
+    """Sequences are told apart by a number of their own, so equal keys stay apart; none grows beyond its row."""
+    rows = cut_lineage(plain.withColumn("_seq", F.monotonically_increasing_id()))
+    long = rows.select("_seq", F.posexplode("ids").alias("pos", "token_id"))
+    named = lookup_join(long, vocabulary.withColumn("token_id", F.col("token_id").cast("bigint")), ["token_id"], "left")
+    unknown = F.raise_error(F.format_string("token id %d is not in the vocabulary", "token_id")).cast("string")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", unknown).alias("token"))))
+    texts = named.groupBy("_seq").agg(F.array_join(ordered["token"], sep).alias("text"))
+    return rows.select("_seq", key).join(texts, "_seq", "left").select(key, F.coalesce("text", F.lit("")).alias("text"))

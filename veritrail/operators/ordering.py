@@ -94,6 +94,47 @@ def with_range_ordinal(
     )
 
 
+def with_running_start(
+    df: DataFrame, ordinal: str, size: str, out: str, slots: int = 1 << 16, least: int = 1 << 13
+) -> DataFrame:
+    """Add the sum of ``size`` over all rows before, by the whole number ``ordinal``, which must be unique.
+
+    Places of what every row will give are known before it is made. Rows go to
+    at most ``slots`` ranges of at least ``least`` ordinals; each range is summed
+    on its own over ordinal and size only, and meets ``df`` by the ordinal.
+    """
+    narrow = df.select(ordinal, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_items"))
+    top = narrow.agg(F.max(ordinal)).first()[0]
+    width = max(least, -(-((top or 0) + 1) // slots))
+    narrow = narrow.withColumn("_slot", F.expr(f"{ordinal} div {width}"))
+    sums = narrow.groupBy("_slot").agg(F.sum("_items").alias("_n"))
+    before = Window.partitionBy("_slot").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    inside = narrow.withColumn("_own", F.coalesce(F.sum("_items").over(before), F.lit(0)))
+    starts = inside.join(F.broadcast(_offsets(sums, "_slot")), "_slot").select(ordinal, (F.col("_before") + F.col("_own")).cast("long").alias(out))
+    return df.join(starts, ordinal).select(*df.columns, out)
+
+
+def scan_order(catalog: DataFrame, out: str = "scan_pos", file: str = "shard_file", local: str = "local_idx") -> DataFrame:
+    """Number rows as a scan over files sorted by name meets them.
+
+    Names are compared as text: ``shard_10000.pt`` comes before ``shard_9999.pt``.
+    """
+    return with_range_ordinal(catalog, [file, local], out)
+
+
+def first_batches(
+    df: DataFrame, id_col: str, seed: int | str = 42, batch_size: int = 12, last_batch: int = 11, out: str = "ordinal"
+) -> DataFrame:
+    """The rows that ``early_stop`` keeps of the seeded order, with their ordinals, without numbering the others.
+
+    A top-k: every task hands on ``batch_size * (last_batch + 1)`` rows at most.
+    """
+    keyed = df.withColumn("_key", seeded_key(seed, id_col))
+    top = keyed.orderBy("_key", id_col).limit(batch_size * (last_batch + 1))
+    row = F.row_number().over(Window.orderBy("_key", id_col))
+    return top.select(*df.columns, (row - 1).cast("long").alias(out))
+
+
 def sample_id(ordinal: str, prefix: str = "ex_", width: int = 6) -> Column:
     """``ex_000017`` for records, ``sample_0000017`` for prefix vectors."""
     return F.format_string(f"{prefix}%0{width}d", F.col(ordinal))

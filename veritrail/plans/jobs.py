@@ -13,8 +13,8 @@ from veritrail.operators import guided
 from veritrail.operators.encode import EncoderFactory, States, all_states
 from veritrail.operators.grade import Grader, chat_grader
 from veritrail.operators.guided import Generator, fan_out
-from veritrail.operators.ordering import batch_id, early_stop, sample_id, with_range_ordinal, with_seeded_ordinal
-from veritrail.operators.prefixes import STRIDE_K, prefix_id, prefix_lengths
+from veritrail.operators.ordering import batch_id, first_batches, sample_id, with_running_start, with_seeded_ordinal
+from veritrail.operators.prefixes import STRIDE_K, prefix_lengths
 from veritrail.session import cut_lineage, written_table
 from veritrail.sources import results as result_io
 from veritrail.sources import shards
@@ -34,9 +34,10 @@ def tokenised_corpus(records: DataFrame, id_col: str, tokenise: Tokeniser, confi
 
     Gives ``ordinal, id, question, answer, label_correct, length, ids``.
     """
-    ordered = with_seeded_ordinal(records, id_col, config.seed)
     if config.end_early:
-        ordered = early_stop(ordered, "ordinal", config.batch_size)
+        ordered = first_batches(records, id_col, config.seed, config.batch_size)
+    else:
+        ordered = with_seeded_ordinal(records, id_col, config.seed)
     messages = chat_messages(system_prompt("corpus"), F.col("question"), F.col("answer"))
     ids = left_truncate(tokenise(render_chat(messages, "closed")), config.max_len)
     return ordered.select(
@@ -71,17 +72,19 @@ def extract_prefix_vectors(
     """State at every prefix end, in shards, with catalog and summary.
 
     Only the wanted positions leave the encoder; no token state is stored.
+    Lengths alone tell how many prefixes a sequence gives, so every sample has
+    its number before there is a vector, and vectors are written once.
     """
-    wanted = corpus.withColumn("_ends", prefix_lengths(F.col("length"), stride_k, max_length))
-    carried = ["ordinal", "id", "length", "label_correct"]
-    vectors = states.at(wanted, carried, "ids", "_ends", stride_k).select(
+    # tokenised once; the numbers read its lengths only
+    stored = written_table(corpus.select("ordinal", "id", "length", "label_correct", "ids"), "prefix-corpus")
+    ends = prefix_lengths(F.col("length"), stride_k, max_length)
+    wanted = with_running_start(stored.withColumn("_count", F.size(ends)), "ordinal", "_count", "_start").withColumn("_ends", ends)
+    carried = ["_start", "id", "length", "label_correct"]
+    placed = states.at(wanted, carried, "ids", "_ends", stride_k).select(
         F.col("id").alias("original_id"), "prefix_length", F.col("length").alias("original_length"),
         F.col("label_correct").cast("float").alias("label"), F.col("vec").cast("array<float>").alias("vec"),
-        prefix_id("id").alias("prefix_id"), F.col("ordinal").alias("_original"),
+        (F.col("_start") + F.expr(f"(prefix_length - 1) div {stride_k}")).cast("long").alias("ordinal"),
     )
-    # encoded once, then numbered in catalog order
-    stored = written_table(vectors, "prefix-vectors")
-    placed = with_range_ordinal(stored, ["_original", "prefix_length"])
     catalog = shards.write_vector_shards(placed, path, size=samples_per_shard)
     return catalog, shards.extraction_summary(catalog, samples_per_shard)
 

@@ -204,6 +204,15 @@ SQL["extraction_summary"] = f"""
 SELECT count(*) AS total_samples, ceil(count(*) / 500.0)::BIGINT AS total_shards, 500 AS samples_per_shard, 'torch.float16' AS dtype
 FROM ({_prefixes(f'({CORPUS_LENGTHS})')})"""
 
+SQL["storage_counts"] = f"""
+SELECT count(*) AS n_rows, least(count(*), 500)::BIGINT AS most_rows, ceil(count(*) / 500.0)::BIGINT AS n_files
+FROM ({_prefixes(f'({CORPUS_LENGTHS})')})"""
+
+SQL["shard_scan_order"] = """
+WITH lines AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS o FROM lineitem),
+placed AS (SELECT *, printf('shard_%04d.pt', o // 4) AS shard_file, (o // 4)::INT AS shard_idx, (o % 4)::INT AS local_idx FROM lines)
+SELECT shard_file, shard_idx, local_idx, l_orderkey, l_linenumber, row_number() OVER (ORDER BY shard_file, local_idx) - 1 AS scan_pos FROM placed"""
+
 DIMS = "SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings"
 
 SQL["vector_widths"] = """
@@ -258,6 +267,8 @@ SQL["grade_residual"] = _graded(f"""
   f AS (SELECT vec_id, j AS i, sum(g * {_wave(16, 3.0, 0.5)}) AS f FROM g, (SELECT unnest(generate_series(0, 3)) AS j) GROUP BY ALL)
   SELECT vec_id, sum((h + 0.5 * f) * sin(i + 4.0)) + 0.05 AS z FROM n JOIN f USING (vec_id, i) GROUP BY 1""")
 
+SQL["grade_stored"] = SQL["grade_residual"]
+
 PREDICTED = f"""
   SELECT doc_id, lang, label_correct AS label, ({_hash("'p:' || doc_id")} % 1001) / 1000.0::DOUBLE AS prob,
     ({_hash("'z:' || doc_id")} % 2001 - 1000) / 200.0::DOUBLE AS z FROM ({LABELLED})"""

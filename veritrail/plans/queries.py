@@ -26,7 +26,7 @@ from veritrail.plans.tables import (
     table,
 )
 from veritrail.session import scratch_path, spread, written_table
-from veritrail.sources import results, shards
+from veritrail.sources import models, results, shards
 from veritrail.streaming import live
 
 VOCAB = 32000
@@ -154,8 +154,8 @@ def catalog_payload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def early_stop_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = ordering.with_seeded_ordinal(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return ordering.early_stop(placed, "ordinal").withColumn("batch_id", ordering.batch_id("ordinal", 12))
+    placed = ordering.first_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return placed.withColumn("batch_id", ordering.batch_id("ordinal", 12))
 
 
 def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +306,20 @@ def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.storage_stats(spark, f"{path}/vectors")
 
 
+def storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "extraction")
+    _extraction(spark, sf_dir, path)
+    return shards.storage_counts(spark, f"{path}/vectors")
+
+
+def shard_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in shards of four, so many that names of five digits occur, as a scan by file name meets them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    numbered = ordering.with_range_ordinal(lines, ["l_orderkey", "l_linenumber"])
+    placed = shards.place_samples(numbered, "ordinal", 4).select("shard_file", "shard_idx", "local_idx", "l_orderkey", "l_linenumber")
+    return ordering.scan_order(placed)
+
+
 def _extraction(spark: SparkSession, sf_dir: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     states = _table_states(spark, sf_dir)
     corpus = jobs.tokenised_corpus(labelled(spark, sf_dir), "doc_id", tokens.hash_tokeniser(states.vocab), jobs.CorpusConfig())
@@ -363,7 +377,7 @@ def grade_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored.select("vec_id", "logit", "prob"), "logit", "prob")
 
 
-def grade_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _residual_grader() -> grade.Grader:
     spec = grader_math.GraderSpec(in_dim=64, residual=True, hidden_dim=4, num_layers=1, use_layer_norm=True)
     params = {
         "proj.w": _wave(4, 64, 1.0, 0.25), "proj.b": np.zeros(4),
@@ -372,7 +386,21 @@ def grade_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block0.down.w": _wave(4, 16, 3.0, 0.5), "block0.down.b": np.zeros(4),
         "block0.scale": np.array([0.5]), "out.w": _wave(1, 4, 4.0, 1.0), "out.b": np.array([0.05]),
     }
-    scored = grade.score(_embeddings(spark, sf_dir), grade.Grader(spec, params))
+    return grade.Grader(spec, params)
+
+
+def grade_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = grade.score(_embeddings(spark, sf_dir), _residual_grader())
+    return _rounded(scored.select("vec_id", "logit", "prob"), "logit", "prob")
+
+
+def grade_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors graded by the newest of three saved versions of a grader, read back from the shared folder."""
+    newest, folder = _residual_grader(), scratch_path(spark, "grader")
+    for epoch, share in enumerate((0.0, 0.5, 1.0)):
+        weights = {name: share * w for name, w in newest.params.items()}
+        models.save_checkpoint(spark, folder, "residual", epoch, grade.Grader(newest.spec, weights))
+    scored = grade.score(_embeddings(spark, sf_dir), models.load_grader(spark, folder, 64))
     return _rounded(scored.select("vec_id", "logit", "prob"), "logit", "prob")
 
 
@@ -712,8 +740,8 @@ QUERIES = {
         train_val_split, split_by_original,
         prefix_index, prefix_index_capped, prefix_index_whole, prefix_slice, last_state, last_state_whole, last_state_join,
         last_state_gapped, last_state_gapped_join, last_state_batched, masked_mean_pool, masked_mean_pool_join, first_position_pool,
-        extraction_catalog, extraction_summary, storage_stats,
-        vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual,
+        extraction_catalog, extraction_summary, storage_stats, storage_counts, shard_scan_order,
+        vector_widths, rms_normalise, layer_normalise, width_adapter, grade_linear, grade_hidden, grade_residual, grade_stored,
         confusion_metrics, batch_loss, best_epoch, train_step_linear, train_grader, grader_sweep,
         best_candidate, guided_replay, run_summary, guided_rounds, guided_batch, guided_resumed, unguided_baseline, unguided_states,
         sequence_logprob, sibling_priors, puct_choice, tree_descent, tree_backup, root_move, tree_rounds,

@@ -12,6 +12,7 @@ from veritrail.functions import grader_math as gm
 from veritrail.operators.grade import Grader
 from veritrail.operators.training import TrainResult
 
+KEPT_VERSIONS = 2
 SCHEMA = (
     "run string, epoch int, best_f1 double, part string, param_name string, "
     "shape array<int>, values array<double>, args map<string,string>"
@@ -39,11 +40,22 @@ def save_checkpoint(
 ) -> None:
     """Add a version to the checkpoint at ``path``; only weights pass the driver.
 
-    The version before stays until the new one is committed, and after it, so
-    that a failure at any point leaves a whole checkpoint to load.
+    A version is a folder of its own, whole once its commit marker stands. The
+    newest ``KEPT_VERSIONS`` whole ones stay, so that a failure at any point
+    leaves one to load; older ones go.
     """
     rows = spark.createDataFrame(checkpoint_rows(run, epoch, grader, optimiser, best_f1), SCHEMA)
-    rows.withColumn("saved_at", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(path)
+    rows.coalesce(1).write.parquet(f"{path}/saved_at={time.time_ns():020d}")
+    for old in versions(spark, path)[:-KEPT_VERSIONS]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the whole versions of a checkpoint, oldest first."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/saved_at=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
 
 
 def checkpoint_saver(spark: SparkSession, folder: str):
@@ -59,9 +71,10 @@ def checkpoint_saver(spark: SparkSession, folder: str):
 
 def load_grader(spark: SparkSession, path: str, in_dim: int | None = None) -> Grader:
     """Rebuild a grader from the newest version of its checkpoint; absent arguments take defaults."""
-    stored = spark.read.schema(f"{SCHEMA}, saved_at bigint").parquet(path)
-    newest = stored.agg(F.max("saved_at")).first()[0]
-    rows = stored.where((F.col("saved_at") == newest) & F.col("part").isin("weight", "running")).collect()
+    whole = versions(spark, path)
+    if not whole:
+        raise FileNotFoundError(f"no whole checkpoint in {path}")
+    rows = spark.read.schema(SCHEMA).parquet(whole[-1]).where(F.col("part").isin("weight", "running")).collect()
     parts: dict[str, gm.Params] = {"weight": {}, "running": {}}
     for r in rows:
         parts[r["part"]][r["param_name"]] = np.asarray(r["values"]).reshape(r["shape"])

@@ -106,9 +106,10 @@ def extraction_summary(catalog: DataFrame, samples_per_shard: int, dtype: str =
 def storage_stats(spark: SparkSession, path: str) -> DataFrame:
     """Bytes on disk, GiB, number of files and mean MiB per file of a table.
 
-    Only file metadata is aggregated; no data column is read.
+    A listing of its files; none is opened.
     """
-    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = listed.select(F.col("length").alias("file_size"))
     total = F.sum("file_size")
     return files.agg(
         total.alias("total_bytes"),
@@ -116,3 +117,12 @@ def storage_stats(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"),
         (total / F.count(F.lit(1)) / F.lit(1024.0**2)).alias("mean_file_mib"),
     )
+
+
+def storage_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Files, rows and rows of the fullest file of a table; rows come from the files' footers."""
+    files = storage_stats(spark, path).select("n_files")
+    counted = spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most_rows"))
+    # one row on either side
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(files.withColumn("_one", F.lit(1))), "_one").drop("_one")
