@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from veritrail.llm import fingerprint, html_text, langid, toxicity
+from veritrail.llm import fingerprint, html_text, langid, secret_scan, toxicity
 from veritrail.llm.queries import LLM_QUERIES
 
 LONG = "It is the story of a man who was in the house and on the hill with his dog for all of the day. " * 3
@@ -181,3 +181,57 @@ def test_stages_hand_on_columns_of_any_name(spark, sf_dir, clashing):
 def test_next_document_beside_clashing_columns(spark, clashing, tmp_path, sf_dir):
     plain = LLM_QUERIES["op5_fingerprints"](spark, sf_dir)
     assert LLM_QUERIES["op5_fingerprints"](spark, str(tmp_path)).exceptAll(plain).count() == 0
+
+
+# -- 6 secrets
+
+def test_a_text_of_many_tokens(spark):
+    rng = random.Random(1)
+    hashes = [f"{rng.getrandbits(160):040x}" for _ in range(20_000)]
+    text = " ".join(hashes[:-1]) + " secret = " + hashes[-1]
+    docs = spark.createDataFrame([(1, "a", text, len(text)), (2, "a", None, None)], "doc_id long, source string, text string, n_chars long")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs).collect()}
+    places = [f"hex:{41 * i}:{41 * i + 40}" for i in range(19_999)]
+    at = 41 * 19_999 - 1
+    places += [f"assign:{at + 1}:{at + 50}", f"hex:{at + 10}:{at + 50}"]
+    assert got[1]["spans"] == ",".join(places) and got[1]["n_hex"] == 20_000 and got[1]["n_assign"] == 1 and got[2]["spans"] == ""
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    assert masked == {1: " ".join(["[SECRET]"] * 20_000), 2: None}
+    # the square of the matches would take many times this
+    assert time.perf_counter() - start < 120
+
+
+def test_tokens_beside_and_across_base_spans(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        cuts = lambda n, kinds: [
+            (a, rng.choice(kinds), a + rng.randrange(1, 9), None) for a in (rng.randrange(3000) for _ in range(rng.randrange(n)))
+        ]
+        apart = []
+        for s in sorted(cuts(900, [3])):
+            if not apart or apart[-1][2] <= s[0]:
+                apart.append(s)
+        rows.append((i, sorted(cuts(40, [0, 1, 2])), apart))
+    df = spark.createDataFrame(rows, f"id int, base array<{secret_scan.SPAN}>, g array<{secret_scan.SPAN}>")
+    got = {r["id"]: [tuple(s) for s in r["o"]] for r in df.select("id", secret_scan._apart(F.col("g"), F.col("base"), 3).alias("o")).collect()}
+    for i, base, g in rows:
+        assert got[i] == [s for s in g if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+
+
+def test_masks_of_overlapping_spans(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(20):
+        text = "".join(rng.choice("abé😀 ") for _ in range(4000))
+        rows.append((i, text, [(a, 0, min(4000, a + rng.choice([1, 2, 5, 300])), None) for a in (rng.randrange(4000) for _ in range(rng.randrange(1500)))]))
+    df = spark.createDataFrame(rows, f"id int, t string, s array<{secret_scan.SPAN}>")
+    got = {r["id"]: r["m"] for r in df.select("id", secret_scan.masked(F.col("t"), F.col("s")).alias("m")).collect()}
+    for i, text, spans in rows:
+        out, at = [], 0
+        for a, _, b, _ in sorted(spans, key=lambda s: s[:3]):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert got[i] == "".join(out) + text[at:]

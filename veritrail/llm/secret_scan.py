@@ -9,6 +9,8 @@ long tokens that no pattern names become spans where ownership marks them live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,33 @@ RANDOM_CHARS, SWITCH_SHARE, WORD_SHARE, ENTROPY = 20, 0.2, 0.5, 3.0
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|x{6}|0{6}|1234567"
 KINDS = ("assign", "access", "hex", "token")
 SPAN = "struct<start:bigint,ord:int,end:bigint,value:string>"
+NO_SPANS = f"cast(array() as array<{SPAN}>)"
+CHUNK = 512
+
+
+def walk(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], empty: str, end: Callable[[Column], Column]) -> Column:
+    """``step(carry, item) -> (carry, outputs)`` over ``items`` in order; ``end`` takes the last carry and all outputs.
+
+    Items go by chunks, so that only a chunk's outputs are copied at each step
+    and time grows with the number of items rather than its square. ``empty`` is
+    the SQL of an empty array of outputs.
+    """
+
+    def state(carry: Column, out: Column) -> Column:
+        return F.struct(carry.alias("carry"), out.alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        carry, outputs = step(acc["carry"], item)
+        return state(carry, F.concat(acc["out"], outputs))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, state(acc["carry"], F.expr(empty)), one)
+        return let(done, lambda d: state(d["carry"], F.concat(acc["out"], F.array(d["out"]))))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(CHUNK))
+    parts = F.transform(firsts, lambda i: F.slice(items, i, CHUNK))
+    whole = F.aggregate(parts, state(start, F.filter(F.array(F.expr(empty)), lambda _: F.lit(False))), chunk)
+    return let(whole, lambda w: end(F.struct(w["carry"].alias("carry"), F.flatten(w["out"]).alias("out"))))
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -41,13 +70,11 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     Java's split and its search walk the same matches, so the pieces between
     them give the places.
     """
-    empty = F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["piece"])
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.length(m["piece"])
         end = start + F.length(m["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("ord"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), F.lit(kind).alias("ord"), end.alias("end"), m["value"].alias("value")))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -56,8 +83,30 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         lambda m, piece: F.struct(m["match"].alias("match"), m["value"].alias("value"), piece.alias("piece")),
     )
     # the last piece has no match after it
-    found = F.aggregate(F.filter(rows, lambda m: m["match"].isNotNull()), F.struct(*empty), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    found = let(
+        F.filter(rows, lambda m: m["match"].isNotNull()),
+        lambda ms: walk(ms, F.lit(0).cast("bigint"), step, NO_SPANS, lambda done: done["out"]),
+    )
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(NO_SPANS))
+
+
+def _apart(spans: Column, base: Column, kind: int) -> Column:
+    """The ``spans`` of ``kind`` that overlap none of ``base``, by one walk in the order of places and one back."""
+
+    def kept(s: Column, free: Column) -> Column:
+        return F.when((s["ord"] != kind) | free, F.array(s)).otherwise(F.expr(NO_SPANS))
+
+    def forth(reach: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["ord"] != kind, F.greatest(reach, s["end"])).otherwise(reach), kept(s, reach <= s["start"])
+
+    def back(reach: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["ord"] != kind, F.least(reach, s["start"])).otherwise(reach), kept(s, reach >= s["end"])
+
+    # of equal starts the base comes first
+    left = let(F.array_sort(F.concat(base, spans)), lambda a: walk(a, F.lit(0).cast("bigint"), forth, NO_SPANS, lambda done: done["out"]))
+    both = let(F.reverse(left), lambda a: walk(a, F.lit((1 << 63) - 1), back, NO_SPANS, lambda done: done["out"]))
+    own = F.filter(F.reverse(both), lambda s: s["ord"] == kind)
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), own).otherwise(spans)
 
 
 def scan(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -77,10 +126,7 @@ def scan(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, carry:
         "g": _spans(F.col("t"), TOKEN, 3),
     })
     base = F.array_sort(F.concat("a", "k", "h"))
-    rows = rows.withColumn("base", base).withColumn(
-        "extra",
-        F.filter("g", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-    )
+    rows = rows.withColumn("base", base).withColumn("extra", _apart(F.col("g"), F.col("base"), 3))
     some = (F.size("base") > 0) | (F.size("extra") > 0)
     return rows.select(
         "doc_id", "owner", "repo", F.size("a").cast("bigint").alias("n_assign"), F.size("k").cast("bigint").alias("n_access"),
@@ -154,30 +200,31 @@ def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_
 
 
 def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``tkey, kinds``: the verdict on each value of every distinct text, as a map from value hash.
+    """``tkey, base, added, n_live, n_example`` of every distinct text that holds a candidate.
 
-    Copies of a text share one row here, so a text with a third of all rows costs no more than another.
+    ``added`` are its live spans beyond the base, the counts go over both. Copies
+    of a text share one row here, so a text with a third of all rows costs no
+    more than another, and each span meets its verdict by a join on the value.
     """
     verdicts = ownership(scanned, example_owners).select("vhash", "verdict")
-    values = scanned.where("tkey is not null").select("tkey", F.explode(F.concat("base", "extra")["value"]).alias("value"))
-    distinct = values.select("tkey", F.sha2("value", 256).alias("vhash")).distinct()
-    found = distinct.join(verdicts, "vhash")
-    return found.groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("vhash", "verdict"))).alias("kinds"))
+    texts = scanned.where("tkey is not null").select("tkey", "base", "extra").dropDuplicates(["tkey"])
+    spans = texts.select("tkey", F.explode(F.concat("base", "extra")).alias("span"))
+    # places only: the value has done its work once it is hashed
+    place = F.col("span").withField("value", F.lit(None).cast("string"))
+    found = spans.select("tkey", F.sha2(F.col("span")["value"], 256).alias("vhash"), place.alias("span")).join(verdicts, "vhash")
+    named, live = F.col("span")["ord"] != KINDS.index("token"), F.col("verdict") == "live"
+    return found.groupBy("tkey").agg(
+        F.array_sort(F.collect_list(F.when(named, F.col("span")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(~named & live, F.col("span")))).alias("added"),
+        F.count_if(live).alias("n_live"), F.count_if(named & (F.col("verdict") == "example")).alias("n_example"),
+    )
 
 
 def with_verdicts(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``scanned`` with ``added`` (live spans beyond the base) and ``n_live, n_example`` over all spans."""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
     zero = F.lit(0).cast("bigint")
-    clean = scanned.where("tkey is null").withColumns({"added": none, "n_live": zero, "n_example": zero})
-    found = scanned.where("tkey is not null").join(judged(scanned, example_owners), "tkey")
-
-    def count(kind: str) -> Column:
-        every = F.concat("base", "added")
-        return F.size(F.filter(every, lambda s: F.try_element_at(F.col("kinds"), F.sha2(s["value"], 256)) == kind)).cast("bigint")
-
-    found = found.withColumn("added", F.filter("extra", lambda s: F.try_element_at(F.col("kinds"), F.sha2(s["value"], 256)) == "live"))
-    found = found.withColumns({"n_live": count("live"), "n_example": count("example")})
+    clean = scanned.where("tkey is null").withColumns({"added": F.expr(NO_SPANS), "n_live": zero, "n_example": zero})
+    found = scanned.where("tkey is not null").join(judged(scanned, example_owners).drop("base"), "tkey")
     return clean.unionByName(found.select(*clean.columns))
 
 
@@ -207,15 +254,29 @@ def find_secrets(
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with the union of ``spans`` replaced, each stretch by one mask."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        piece = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    def inside(at: Column, stretch: Column, part: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(stretch, (acc["at"] - at + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            piece = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def chunk(acc: Column, part: Column) -> Column:
+        # places count from the start of a string, so a chunk of spans reads its own stretch of the text only
+        end = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        size = (end - acc["at"]).cast("int")
+        done = inside(acc["at"], F.substring(acc["rest"], F.lit(1), size), part)
+        rest = F.substring(acc["rest"], size + 1, F.length(acc["rest"]))
+        return F.struct(end.alias("at"), rest.alias("rest"), F.concat(acc["out"], F.array(done)).alias("out"))
+
+    def cut(ordered: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1)), F.lit(CHUNK))
+        parts = F.transform(firsts, lambda i: F.slice(ordered, i, CHUNK))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), text.alias("rest"), F.expr("cast(array() as array<string>)").alias("out"))
+        return F.aggregate(parts, start, chunk, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate(F.array_sort(spans), start, step)
-    whole = let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), cut)).otherwise(text)
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
@@ -226,15 +287,13 @@ def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     whatever their names, are handed on.
     """
     scanned = written_table(scan(docs, "doc_id", text, owner, repo), "secrets")
-    live = judged(scanned).select("tkey", F.map_filter("kinds", lambda _, v: v == "live").alias("kinds"))
-    pieces = scanned.where("tkey is not null").select("tkey", "base", "extra").dropDuplicates(["tkey"]).join(live, "tkey")
-    added = F.filter("extra", lambda s: F.try_element_at(F.col("kinds"), F.sha2(s["value"], 256)).isNotNull())
-    spans = written_table(pieces.select("tkey", F.concat("base", added).alias("_spans")).where(F.size("_spans") > 0), "secrets-spans")
+    spans = judged(scanned).select("tkey", F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
+    spans = written_table(spans, "secrets-spans")
     hit = F.col(text).rlike(ASSIGN) | F.col(text).rlike(ACCESS) | F.col(text).rlike(HEX) | F.col(text).rlike(TOKEN)
     clean = docs.where(~F.coalesce(hit, F.lit(False)))
     rows = docs.where(hit).select(F.sha2(F.col(text), 256).alias("tkey"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = rows.join(spans, "tkey", "left")
-    new = masked(F.col("row")[text], F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")))
+    new = masked(F.col("row")[text], F.coalesce("_spans", F.expr(NO_SPANS)))
     found = found.select("row", "_spans", new.alias("masked"))
     fields = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("masked")}
     if n_chars in docs.columns:
