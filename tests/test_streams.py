@@ -4,6 +4,7 @@ import random
 import pytest
 
 from veritrail.operators import guided
+from veritrail.plans import queries
 from veritrail.plans.queries import dense_log
 from veritrail.streaming import live
 
@@ -66,3 +67,11 @@ def test_stream_obeys_max_iters(spark, tmp_path, max_iters):
     lay(tmp_path / "in", "0.json", [(1, i, 0, f"c{i}", 0.1, False, 1) for i in range(4)])
     r = run_guided(spark, tmp_path / "in", tmp_path, max_iters=max_iters).first()
     assert (r.final_answer, r.stop_reason) == ("".join(f"c{i}" for i in range(max_iters)), "max_iters")
+
+
+def test_streamed_tables_may_be_folders_of_part_files(spark, sf_dir, tmp_path):
+    for name in ("embeddings", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (queries.stream_score, queries.stream_append, queries.stream_summary):
+        want = sorted(map(tuple, query(spark, sf_dir).collect()))
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want and want

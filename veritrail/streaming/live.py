@@ -24,8 +24,9 @@ STATE = "next_iter int, answer string, stopped boolean, open string"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Stream one table of a folder of Parquet files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """Stream one table of a folder of Parquet tables, be it one file or a folder of part files."""
+    # a glob may match either; a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def append_stream(results: DataFrame, path: str, checkpoint: str, fmt: str = "json", **trigger) -> StreamingQuery:
