@@ -190,3 +190,18 @@ def test_score_equals_numpy(spark, data, spec):
 def test_score_of_an_empty_table(spark, data):
     grader = grade.Grader(SPECS[0], gm.init_params(SPECS[0]))
     assert grade.score(frame(spark, *data).limit(0), grader).count() == 0
+
+
+def test_one_step_takes_all_batches_of_an_epoch_whatever_divides_them(spark, data):
+    x, y = data
+    config = training.TrainConfig(val_split=0.0, batch_size=4, epochs=1, accumulation_steps=2, step_batches=0, learning_rate=0.01)
+    ready = training.prepare(frame(spark, x, y), config)
+    fitted = training.train_grader(ready, {"out.w": np.full((1, 6), 0.3), "out.b": np.zeros(1)})
+    assert ready.n_batches == 12 and fitted.optimisers["run"].step == 1
+    ids = order(range(len(y)), f"{config.seed}:1")
+    start = np.array([0.3] * 6 + [0.0])
+    grad = sum(loss_and_grad(start, x[ids[k : k + 4]], y[ids[k : k + 4]])[1] for k in range(0, 47, 4)) / 2
+    grad *= min(1, 1 / (np.linalg.norm(grad) + 1e-6))
+    want = start * (1 - 0.01 * 0.01) - 0.01 * grad / (np.abs(grad) + 1e-8)
+    params = fitted.last["run"].params
+    assert np.allclose([*params["out.w"][0], params["out.b"][0]], want, atol=1e-12)

@@ -40,6 +40,8 @@ class TrainConfig:
     weight_decay: float = 0.01
     grad_clip: float = 1.0
     accumulation_steps: int = 64
+    #: batches to an update step where it differs from the divisor of their gradients; 0: all of an epoch
+    step_batches: int | None = None
     seed: int = 42
     split_by: str | None = None
 
@@ -207,11 +209,12 @@ def rate_after(config: TrainConfig, epoch: int) -> float:
 
 def _epoch_of(run: _Run, rows: DataFrame, n_batches: int, rate: float) -> tuple[float, np.ndarray]:
     """All update steps of an epoch; the mean batch loss and the confusion counts before each update."""
-    size = run.config.accumulation_steps
+    config = run.config
+    size = config.accumulation_steps if config.step_batches is None else config.step_batches or n_batches
     loss, cells = 0.0, np.zeros(len(CELLS))
     for first in range(0, n_batches, size):
         step = rows.where(F.col("batch_id").between(first, first + size - 1))
-        sums = step_sums(step, run.weights(), size).first()
+        sums = step_sums(step, run.weights(), config.accumulation_steps).first()
         apply_step(run, np.asarray(sums["grad"]), sums["ends_finite"], rate)
         loss += sums["loss"]
         cells += [sums[c] for c in CELLS]

@@ -462,7 +462,7 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_step_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a linear grader after one epoch that is a single update step."""
-    config = training.TrainConfig(val_split=0.0, batch_size=64, epochs=1, accumulation_steps=64, learning_rate=0.01)
+    config = training.TrainConfig(val_split=0.0, batch_size=64, epochs=1, accumulation_steps=64, step_batches=0, learning_rate=0.01)
     ready = training.prepare(_training_rows(spark, sf_dir), config)
     fitted = training.train_grader(ready, _start(ready)).last["run"].params
     ready.close()
