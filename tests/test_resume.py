@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from test_searches import grade_by, greedy
 from veritrail.operators import guided
+from veritrail.plans import queries
+from veritrail.plans.tables import sentence_pool
 from veritrail.sources.results import RoundLog
 
 POOL = ["a ", "bb ", "c c ", "", "dd ", "e ", " "]
@@ -120,3 +122,15 @@ def test_max_new_bounds_a_chunk(spark):
 
     found = guided.search(problems_of(spark, [1]), watch, grade_by("problem_id", "cand_idx"), 2, 2.0, 1, max_new=3)
     assert found.first().final_answer == "one two " and seen == [[3, 3]]
+
+
+def test_chunks_of_a_live_search_are_whole_without_a_bound(spark, sf_dir):
+    words = [f"w{i}" for i in range(120)]
+    pool = spark.createDataFrame([(0, " ".join(words))], "pool_idx long, chunk string")
+    found = guided.search(problems_of(spark, [1]), guided.pool_generator(pool, 1), grade_by("problem_id", "cand_idx"), 2, 2.0, 1, max_new=None)
+    assert found.first().final_answer == " ".join(words)
+    log = []
+    queries.guided_rounds(spark, sf_dir, log).count()
+    drawn = {r.chunk for rows in log for r in rows.select("chunk").collect()}
+    assert drawn <= {r.chunk for r in sentence_pool(spark, sf_dir).select("chunk").collect()}
+    assert max(len(c.split(" ")) for c in drawn) > 50

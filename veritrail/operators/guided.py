@@ -17,7 +17,7 @@ from veritrail.sources.results import RoundLog
 
 # A generator takes fan-out rows (problem_id, problem, round, text, max_new,
 # cand_idx) and adds ``chunk`` and ``eos``, for the tree search ``logprob`` too.
-# ``text`` is the answer so far, ``max_new`` the most tokens of the chunk.
+# ``text`` is the answer so far, ``max_new`` the most tokens of the chunk, null for no bound.
 Generator = Callable[[DataFrame], DataFrame]
 
 
@@ -43,7 +43,7 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
 
     The draw is an md5 of seed, problem, round and candidate, so every retry and
     every partitioning draws the same chunk. Its tokens are what single spaces
-    part; the first ``max_new`` of them are kept.
+    part; the first ``max_new`` of them are kept, all where it is null.
     """
 
     pool_bytes = measured_bytes(pool)
@@ -60,14 +60,15 @@ def pool_generator(pool: DataFrame, size: int, seed: str = "pool", eos_every: in
             }
         )
         met = lookup_join(drawn, pool, ["pool_idx"], measured=pool_bytes).drop("pool_idx")
-        return met.withColumn("chunk", F.array_join(F.slice(F.split("chunk", " ", -1), F.lit(1), F.col("max_new")), " "))
+        bounded = F.array_join(F.slice(F.split("chunk", " ", -1), F.lit(1), F.col("max_new")), " ")
+        return met.withColumn("chunk", F.when(F.col("max_new").isNull(), F.col("chunk")).otherwise(bounded))
 
     return run
 
 
-def fan_out(problems: DataFrame, k: int, max_new: int) -> DataFrame:
-    """k numbered copies of each active problem, which may grow by ``max_new`` tokens."""
-    return problems.select("*", F.lit(max_new).alias("max_new"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cand_idx"))
+def fan_out(problems: DataFrame, k: int, max_new: int | None) -> DataFrame:
+    """k numbered copies of each active problem, which may grow by ``max_new`` tokens, or by any number without it."""
+    return problems.select("*", F.lit(max_new).cast("int").alias("max_new"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cand_idx"))
 
 
 def best_candidates(
@@ -142,7 +143,7 @@ def search(
     max_iters: int = 10,
     log: list[DataFrame] | None = None,
     eos_scope: str = "any",
-    max_new: int = 50,
+    max_new: int | None = 50,
     rounds: RoundLog | None = None,
 ) -> DataFrame:
     """Guided generation for all problems at once, one job per round.

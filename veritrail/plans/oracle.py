@@ -450,8 +450,8 @@ def _drawn(round_: str) -> str:
     return f"md5('pool:' || problem_id || ':{round_}:' || cand_idx)"
 
 
-def _cut(chunk: str, max_new: int) -> str:
-    return f"array_to_string(list_slice(string_split({chunk}, ' '), 1, {max_new}), ' ')"
+def _cut(chunk: str, max_new: int | None) -> str:
+    return chunk if max_new is None else f"array_to_string(list_slice(string_split({chunk}, ' '), 1, {max_new}), ' ')"
 
 
 ASKED = f"{_turn('system', SEARCH)} || {END} || {_turn('user', 'problem')} || {END} || {_turn('assistant', chr(39) * 2)}"
@@ -478,7 +478,7 @@ SELECT 'ex_' || lpad(ordinal::VARCHAR, 6, '0') AS id, 'shard_' || lpad((ordinal
   round(x::FLOAT::DOUBLE, 4) AS last_value FROM placed JOIN ends USING (problem_id)"""
 
 
-def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: float = 40.0, max_new: int = 50) -> str:
+def _guided_rounds(rounds: int = 4, k: int = 5, threshold: float = 0.8, scale: float = 40.0, max_new: int | None = None) -> str:
     """The live search with its rounds written out."""
     parts = [
         f"pool AS ({POOL})", "n AS (SELECT count(*) AS n FROM pool)", "v AS (SELECT count(*) AS v FROM embeddings)",

@@ -532,7 +532,7 @@ def guided_rounds(spark: SparkSession, sf_dir: str, log: list | None = None) ->
     problems, generate, tokenise, states = _search_parts(spark, sf_dir)
     grader = grade.linear_grader(linear_weights() * SEARCH_SCALE, 0.0)
     scorer = grade.chat_grader(["problem_id", "cand_idx"], tokenise, states, grader)
-    return guided.search(problems, generate, scorer, k=5, threshold=0.8, max_iters=4, log=log)
+    return guided.search(problems, generate, scorer, k=5, threshold=0.8, max_iters=4, log=log, max_new=None)
 
 
 def _numbered_search(spark: SparkSession, sf_dir: str):
