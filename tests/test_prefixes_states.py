@@ -205,3 +205,26 @@ def test_batched_and_single_states_agree(spark):
 
         one, many = ({key(r): r.vec for r in run(f).collect()} for f in (single, batched))
         assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+
+
+def test_blocks_send_a_vector_once_and_give_the_shipped_states(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(t * 2, [float(v) for v in rng.normal(size=5).astype(np.float32)]) for t in range(30)], "row long, vec array<float>")
+    rows = [(i, [int(t) * 2 for t in rng.integers(0, 30, n)]) for i, n in enumerate([0, 1, 7, 40, 250, 3, 0, 90])]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, ids array<int>").coalesce(2)
+    df = df.withColumn("ends", prefixes.prefix_lengths(F.coalesce(F.size("ids"), F.lit(0)), 10)).withColumn("mask", F.transform("ids", lambda t: F.lit(1)))
+    sent = []
+
+    def counting(facts, lookup, keys):
+        sent.extend(tuple(r) for r in facts.collect())
+        return facts.join(lookup, keys)
+
+    monkeypatch.setattr(encode, "lookup_join", counting)
+    joined, shipped = encode.TableStates(table, "row", "vec", max_bytes=0), encode.TableStates(table, "row", "vec")
+    monkeypatch.setattr(encode.with_block_vectors, "__defaults__", (20, 64))
+    a, b = ({(r.id, r.prefix_length): r.vec for r in s.at(df, ["id"], "ids", "ends", 10).collect()} for s in (joined, shipped))
+    assert a == b and len(a) == 41
+    assert len(sent) == len(set(sent)) and len({block for block, _ in sent}) > 3
+    pooled = {r.id: r.vec for r in encode.masked_mean_pool_join(df, "id", "ids", "mask", table, "row", "vec").collect()}
+    assert pooled.keys() == {0, 1, 2, 3, 4, 5, 6, 7, 99} and pooled[0] == pooled[99] == [0.0] * 5
+    assert np.allclose(pooled[4], b[4, 250])

@@ -13,22 +13,24 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from veritrail.functions.vectors import POOL_MIN_WEIGHT
 from veritrail.operators.skew import BROADCAST_BYTES, lookup_join, measured_bytes
-from veritrail.session import ship_package
+from veritrail.session import ship_package, written_table
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 EncoderFactory = Callable[[], "Encoder | BatchEncoder"]
 
 #: numbers that a task holds before it hands its vectors on
 CHUNK_VALUES = 1 << 22
+#: distinct tokens and tokens of the sequences that meet their vectors in one group; a sequence counts a few beside its own
+BLOCK_VECTORS, BLOCK_TOKENS, ROW_TOKENS = 1 << 18, 1 << 22, 32
 
 
 class BatchEncoder:
@@ -85,7 +87,7 @@ class TokenVectors:
     def __init__(self, matrix: np.ndarray, ids: np.ndarray | None = None):
         order = np.arange(len(matrix)) if ids is None else np.argsort(ids, kind="stable")
         self.ids = order if ids is None else np.asarray(ids)[order]
-        self.matrix = np.asarray(matrix, dtype=np.float64)[order]
+        self.matrix = np.asarray(matrix)[order]
         if (np.diff(self.ids) == 0).any():
             raise ValueError("two vectors for one token id")
 
@@ -104,7 +106,7 @@ class TokenVectors:
         known[known] = self.ids[places[known]] == wanted[known]
         if not known.all():
             raise ValueError(f"token id {wanted[~known][0]} has no vector")
-        return self.matrix[places]
+        return self.matrix[places].astype(np.float64)
 
 
 def running_mean_encoder(vectors: TokenVectors) -> Encoder:
@@ -125,12 +127,51 @@ def embedding_matrix(vectors: DataFrame, row: str, vec: str, max_bytes: int = BR
     return TokenVectors(np.stack(pdf[vec].to_numpy()), pdf[row].to_numpy())
 
 
-def _with_vectors(counted: DataFrame, vectors: DataFrame, row: str, vec: str) -> DataFrame:
-    """``counted`` with the vector ``_vec`` of its token ``_tok``; a token without one fails the job."""
-    table = vectors.select(F.col(row).cast("long").alias("_tok"), F.col(vec).cast("array<double>").alias("_vec"))
-    met = lookup_join(counted.withColumn("_tok", F.col("_tok").cast("long")), table, ["_tok"], "left")
-    unknown = F.raise_error(F.format_string("token id %d has no vector", "_tok")).cast("array<double>")
-    return met.withColumn("_vec", F.coalesce("_vec", unknown))
+def _numbered_blocks(df: DataFrame, ids: str, vectors: int, tokens: int) -> DataFrame:
+    """``df`` with ``_block``: neighbours of a partition share one until they hold so many distinct tokens or tokens.
+
+    Written, since the numbers follow partitions.
+    """
+    ship_package(df.sparkSession)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, known, held = TaskContext.get().partitionId() << 32, set(), 0
+        for batch in batches:
+            lists, numbers = batch.column(ids), []
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            for own in np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else ():
+                if len(known) >= vectors or held >= tokens:
+                    block, known, held = block + 1, set(), 0
+                known.update(own.tolist())
+                held += len(own) + ROW_TOKENS
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "_block"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_block", T.LongType())])
+    return written_table(df.mapInArrow(number, schema), "blocks")
+
+
+def with_block_vectors(
+    df: DataFrame, ids: str, vectors: DataFrame, row: str, vec: str,
+    use: Callable[[pd.DataFrame, TokenVectors], pd.DataFrame], schema: T.StructType,
+    block_vectors: int = BLOCK_VECTORS, block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """``use(sequences, vectors)`` over blocks of sequences, with the vectors of the tokens of each block.
+
+    For vector tables of any size. A vector crosses the shuffle once to a
+    block, not once to a token. A task holds one block: its bounds and one
+    sequence beyond them, with the vectors.
+    """
+    stored = _numbered_blocks(df, ids, block_vectors, block_tokens)
+    wanted = stored.select(F.col("_block").alias("_for"), F.explode(F.array_distinct(F.col(ids).cast("array<long>"))).alias("_tok")).distinct()
+    table = vectors.where(F.col(vec).isNotNull()).select(F.col(row).cast("long").alias("_tok"), F.col(vec).alias("_vec"))
+    met = lookup_join(wanted, table, ["_tok"])
+
+    def run(sequences: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(known["_vec"].to_numpy()) if len(known) else np.zeros((0, 0))
+        return use(sequences, TokenVectors(matrix, known["_tok"].to_numpy(dtype=np.int64)))
+
+    return stored.groupBy("_block").cogroup(met.groupBy("_for")).applyInPandas(run, schema)
 
 
 def table_encoder(df: DataFrame, vectors: TokenVectors) -> EncoderFactory:
@@ -143,40 +184,43 @@ def _carry(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
+def _state_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    fields = [T.StructField("prefix_length", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))]
+    return T.StructType([*_carry(df, keys), *fields])
+
+
+def _state_rows(pdf: pd.DataFrame, keys: Sequence[str], ids: str, ends: str, encoder: Encoder | BatchEncoder) -> Iterator[pd.DataFrame]:
+    """Rows ``(keys, prefix_length, vec)`` of the sequences of ``pdf``, a bounded number of vectors at a time."""
+    columns = [*keys, "prefix_length", "vec"]
+    wanted = [(i, np.asarray(w)) for i, w in enumerate(pdf[ends]) if w is not None and len(w)]
+    out: dict[str, list] = {name: [] for name in columns}
+    own = pdf[ids]
+    for k, states in _states_of(encoder, [np.asarray(own.iloc[i])[: w.max()] for i, w in wanted]):
+        i, lengths = wanted[k]
+        for name in keys:
+            out[name].extend([pdf[name].iloc[i]] * len(lengths))
+        out["prefix_length"].extend(lengths)
+        out["vec"].extend(states[lengths - 1])
+        if len(out["vec"]) * states.shape[1] >= CHUNK_VALUES:
+            yield pd.DataFrame(out)
+            out = {name: [] for name in columns}
+    if out["vec"]:
+        yield pd.DataFrame(out)
+
+
 def states_at(
     df: DataFrame, keys: Sequence[str], ids: str, ends: str, factory: EncoderFactory
 ) -> DataFrame:
     """One row ``(keys, prefix_length, vec)`` for each length in the array ``ends``."""
     ship_package(df.sparkSession)
-    schema = T.StructType(
-        [
-            *_carry(df, keys),
-            T.StructField("prefix_length", T.IntegerType()),
-            T.StructField("vec", T.ArrayType(T.DoubleType())),
-        ]
-    )
     key_list = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
-        columns = [*key_list, "prefix_length", "vec"]
         for pdf in batches:
-            wanted = [(i, np.asarray(w)) for i, w in enumerate(pdf[ends]) if w is not None and len(w)]
-            out: dict[str, list] = {name: [] for name in columns}
-            own = pdf[ids]
-            for k, states in _states_of(encoder, [np.asarray(own.iloc[i])[: w.max()] for i, w in wanted]):
-                i, lengths = wanted[k]
-                for name in key_list:
-                    out[name].extend([pdf[name].iloc[i]] * len(lengths))
-                out["prefix_length"].extend(lengths)
-                out["vec"].extend(states[lengths - 1])
-                if len(out["vec"]) * states.shape[1] >= CHUNK_VALUES:
-                    yield pd.DataFrame(out)
-                    out = {name: [] for name in columns}
-            if out["vec"]:
-                yield pd.DataFrame(out)
-
-    return df.select(*key_list, ids, ends).mapInPandas(run, schema)
+            yield from _state_rows(pdf, key_list, ids, ends, encoder)
+
+    return df.select(*key_list, ids, ends).mapInPandas(run, _state_schema(df, key_list))
 
 
 def all_states(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFactory) -> DataFrame:
@@ -222,33 +266,19 @@ def _whole(df: DataFrame, ids: str) -> DataFrame:
 
 
 def running_mean_states(
-    df: DataFrame, keys: Sequence[str], ids: str, vectors: DataFrame, row: str, vec: str, ends: str,
-    stride_k: int | None = None,
+    df: DataFrame, keys: Sequence[str], ids: str, vectors: DataFrame, row: str, vec: str, ends: str
 ) -> DataFrame:
-    """The default encoder's prefix states by joins, for vector tables of any size.
-
-    ``ends`` holds multiples of ``stride_k`` and the end, or the end alone when
-    there is no stride. Token vectors are counted per stride before they meet
-    the vector table, so the join sees one row per distinct token of a stride.
-    Sums per stride run up over the strides of one sequence.
-    """
+    """The default encoder's prefix states by joins, for vector tables of any size."""
     key_list = list(keys)
+    columns = [*key_list, "prefix_length", "vec"]
     needed = F.slice(F.col(ids), F.lit(1), F.coalesce(F.array_max(ends), F.lit(0)))
-    long = df.select(*key_list, F.posexplode(needed).alias("pos", "_tok"))
-    stride = F.floor(F.col("pos") / stride_k) if stride_k else F.lit(0).cast("long")
-    counted = long.groupBy(*key_list, stride.alias("_stride"), "_tok").agg(F.count(F.lit(1)).alias("_n"))
-    met = _with_vectors(counted, vectors, row, vec)
-    mean = Summarizer.mean(array_to_vector("_vec"), F.col("_n").cast("double"))
-    strides = met.groupBy(*key_list, "_stride").agg(vector_to_array(mean).alias("_m"), F.sum("_n").alias("_n"))
-    if not stride_k:
-        return strides.select(*key_list, F.col("_n").cast("int").alias("prefix_length"), F.col("_m").alias("vec"))
-    # strides of one sequence: its length bounds this frame
-    so_far = Window.partitionBy(*key_list).orderBy("_stride").rowsBetween(Window.unboundedPreceding, 0)
-    # one window expression at any width: the mean over strides, weighted by their tokens
-    running = Summarizer.metrics("mean").summary(array_to_vector("_m"), F.col("_n").cast("double")).over(so_far)
-    return strides.select(
-        *key_list, F.sum("_n").over(so_far).cast("int").alias("prefix_length"), vector_to_array(running["mean"]).alias("vec")
-    )
+
+    def use(sequences: pd.DataFrame, known: TokenVectors) -> pd.DataFrame:
+        parts = list(_state_rows(sequences, key_list, ids, ends, running_mean_encoder(known)))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+
+    wanted = df.select(*key_list, needed.alias(ids), ends)
+    return with_block_vectors(wanted, ids, vectors, row, vec, use, _state_schema(df, key_list))
 
 
 class EncoderStates:
@@ -283,7 +313,7 @@ class TableStates:
     def at(self, df: DataFrame, keys: Sequence[str], ids: str, ends: str, stride_k: int) -> DataFrame:
         if self.shipped:
             return self.shipped.at(df, keys, ids, ends, stride_k)
-        return running_mean_states(df, keys, ids, self.vectors, self.row, self.vec, ends, stride_k)
+        return running_mean_states(df, keys, ids, self.vectors, self.row, self.vec, ends)
 
     def final(self, df: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
         if self.shipped:
@@ -295,6 +325,10 @@ class TableStates:
 States = EncoderStates | TableStates
 
 
+def _pooled(kept: np.ndarray, table: TokenVectors, width: int) -> np.ndarray:
+    return table.take(kept).sum(0) / max(len(kept), POOL_MIN_WEIGHT) if len(kept) else np.zeros(width)
+
+
 def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, token_vectors: TokenVectors) -> DataFrame:
     """Mean of the masked-in token vectors of each sequence, without a shuffle.
 
@@ -303,13 +337,11 @@ def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, token_vectors
     """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(token_vectors)
-    floor = POOL_MIN_WEIGHT
 
     @F.pandas_udf("array<double>")
     def pool(seqs: pd.Series, masks: pd.Series) -> pd.Series:
         table = shared.value
-        kept = (np.asarray(s)[np.asarray(m) == 1] for s, m in zip(seqs, masks))
-        return pd.Series([table.take(k).sum(0) / max(len(k), floor) if len(k) else np.zeros(table.width) for k in kept])
+        return pd.Series([_pooled(np.asarray(s)[np.asarray(m) == 1], table, table.width) for s, m in zip(seqs, masks)])
 
     return df.select(key, pool(ids, mask).alias("vec"))
 
@@ -317,25 +349,16 @@ def masked_mean_pool(df: DataFrame, key: str, ids: str, mask: str, token_vectors
 def masked_mean_pool_join(
     df: DataFrame, key: str, ids: str, mask: str, vectors: DataFrame, row: str, vec: str
 ) -> DataFrame:
-    """The same by joins, for vector tables of any size.
+    """The same by joins, for vector tables of any size."""
+    kept = F.transform(F.filter(F.arrays_zip(ids, mask), lambda z: z[mask] == 1), lambda z: z[ids])
+    width = len(vectors.select(vec).first()[0])
 
-    Equal tokens of a sequence are counted before they meet the vectors.
-    """
-    kept = df.select(key, F.explode(F.filter(F.arrays_zip(ids, mask), lambda z: z[mask] == 1)).alias("_z"))
-    counted = (
-        kept.select(key, F.col("_z")[ids].alias("_tok"))
-        .groupBy(key, "_tok")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    met = _with_vectors(counted, vectors, row, vec)
-    weight = F.col("_n").cast("double")
-    pooled = met.groupBy(key).agg(
-        Summarizer.mean(array_to_vector("_vec"), weight).alias("_mean"), F.sum(weight).alias("_w")
-    )
-    scale = F.col("_w") / F.greatest(F.col("_w"), F.lit(POOL_MIN_WEIGHT))
-    pooled = pooled.select(key, F.transform(vector_to_array("_mean"), lambda x: x * scale).alias("vec"))
-    zero = F.array_repeat(F.lit(0.0), len(vectors.select(vec).first()[0]))
-    return df.select(key).join(pooled, key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+    def use(sequences: pd.DataFrame, known: TokenVectors) -> pd.DataFrame:
+        pooled = [_pooled(np.asarray([] if s is None else s), known, width) for s in sequences[ids]]
+        return pd.DataFrame({key: sequences[key], "vec": pooled})
+
+    schema = T.StructType([*_carry(df, [key]), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    return with_block_vectors(df.select(key, kept.alias(ids)), ids, vectors, row, vec, use, schema)
 
 
 def to_half(df: DataFrame, vec: str = "vec") -> DataFrame:
