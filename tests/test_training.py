@@ -1,5 +1,6 @@
 import hashlib
 import math
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -205,3 +206,17 @@ def test_one_step_takes_all_batches_of_an_epoch_whatever_divides_them(spark, dat
     want = start * (1 - 0.01 * 0.01) - 0.01 * grad / (np.abs(grad) + 1e-8)
     params = fitted.last["run"].params
     assert np.allclose([*params["out.w"][0], params["out.b"][0]], want, atol=1e-12)
+
+
+def test_runs_of_a_sweep_step_side_by_side(spark, data, monkeypatch):
+    config = training.TrainConfig(batch_size=8, epochs=1, accumulation_steps=2)
+    ready = training.prepare(frame(spark, *data), config)
+    both, own = threading.Barrier(2, timeout=60), training._epoch_of
+
+    def waiting(*args):
+        both.wait()
+        return own(*args)
+
+    monkeypatch.setattr(training, "_epoch_of", waiting)
+    fitted = training.train_graders(ready, {"a": config, "b": replace(config, learning_rate=0.1)})
+    assert [r.run for r in fitted.history.collect()] == ["a", "b"] and fitted.optimisers["a"].step == fitted.optimisers["b"].step == 3

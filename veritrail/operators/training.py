@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
@@ -26,6 +27,8 @@ from veritrail.operators.grade import Grader, linear_grader, score
 from veritrail.operators.ordering import with_epoch_batches, with_split
 from veritrail.session import drop_scratch, scratch_path, written_table
 
+#: bytes of a row group of an epoch table, so that a step reads about its own rows at any table size
+ROW_GROUP_BYTES = 1 << 20
 CELLS = ("tp", "fp", "tn", "fn")
 #: settings that runs of one sweep have in common, since they share batches
 SHARED = ("val_split", "batch_size", "epochs", "seed", "split_by")
@@ -72,7 +75,9 @@ class Prepared:
         spark = batched.sparkSession
         path = scratch_path(spark, f"epoch{epoch}")
         try:
-            yield written_table(batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), f"epoch{epoch}", path=path)
+            ordered = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
+            ordered.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+            yield spark.read.schema(batched.schema).parquet(path)
         finally:
             drop_scratch(spark, path)
 
@@ -238,8 +243,10 @@ def train_graders(
     runs = {name: _Run(c, dict(start), gm.AdamW(c.weight_decay)) for name, c in configs.items()}
     history: list[tuple] = []
     for epoch in range(1, base.epochs + 1):
-        with prepared.epoch_rows(epoch) as rows:
-            done = {name: _epoch_of(run, rows, prepared.n_batches, rate_after(run.config, epoch - 1)) for name, run in runs.items()}
+        # runs of an epoch do not depend on each other: their steps are short jobs side by side
+        with prepared.epoch_rows(epoch) as rows, ThreadPoolExecutor(len(runs)) as pool:
+            steps = {name: pool.submit(_epoch_of, run, rows, prepared.n_batches, rate_after(run.config, epoch - 1)) for name, run in runs.items()}
+            done = {name: step.result() for name, step in steps.items()}
         for name, run in runs.items():
             loss, cells = done[name]
             train_rates = _rates(*cells)
