@@ -75,3 +75,23 @@ def test_streamed_tables_may_be_folders_of_part_files(spark, sf_dir, tmp_path):
     for query in (queries.stream_score, queries.stream_append, queries.stream_summary):
         want = sorted(map(tuple, query(spark, sf_dir).collect()))
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want and want
+
+
+def test_neighbouring_problems_share_a_state(spark, tmp_path):
+    folder, ids = tmp_path / "in", range(-100, 100)
+    for cand in range(2):
+        lay(folder, f"{cand}.json", [(i, 0, cand, f"{i}:{cand}", 0.5 + cand / 10, False, 2) for i in ids])
+    source = spark.readStream.schema(live.CANDIDATE).option("maxFilesPerTrigger", 1).json(str(folder))
+    query = live.append_stream(live.guided_stream(source), f"{tmp_path}/out", f"{tmp_path}/cp", "parquet")
+    query.awaitTermination()
+    got = {r.problem_id: r.final_answer for r in spark.read.schema(live.STEP).parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: f"{i}:1" for i in ids}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= len(ids) / 2**live.STATE_BITS + 2
+
+
+def test_a_longer_log_comes_in_no_more_batches(spark, sf_dir, monkeypatch):
+    want, started, append, log = sorted(map(tuple, queries.stream_guided(spark, sf_dir).collect())), [], live.append_stream, dense_log
+    monkeypatch.setattr(queries, "dense_log", lambda *given: log(*given).repartition(40))
+    monkeypatch.setattr(live, "append_stream", lambda *given: started.append(append(*given)) or started[0])
+    assert sorted(map(tuple, queries.stream_guided(spark, sf_dir).collect())) == want
+    assert len([p for p in started[0].recentProgress if p["numInputRows"]]) <= 8

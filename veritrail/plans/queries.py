@@ -32,6 +32,7 @@ from veritrail.streaming import live
 VOCAB = 32000
 SMALL_VOCAB = 16
 EOS = 3
+MOST_BATCHES = 8
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -725,7 +726,9 @@ def stream_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = dense_log(spark, sf_dir)
     path = scratch_path(spark, "guided")
     log.write.parquet(f"{path}/log")
-    arriving = spark.readStream.schema(live.CANDIDATE).option("maxFilesPerTrigger", 4).parquet(f"{path}/log")
+    # every batch visits all states, so a longer log comes in larger batches, not in more
+    per_trigger = max(4, -(-len(spark.read.parquet(f"{path}/log").inputFiles()) // MOST_BATCHES))
+    arriving = spark.readStream.schema(live.CANDIDATE).option("maxFilesPerTrigger", per_trigger).parquet(f"{path}/log")
     live.append_stream(live.guided_stream(arriving), f"{path}/steps", f"{path}/checkpoint", "parquet").awaitTermination()
     return live.latest_steps(spark.read.schema(live.STEP).parquet(f"{path}/steps"))
 

@@ -20,7 +20,8 @@ CANDIDATE = "problem_id long, iter int, cand_idx long, chunk string, score doubl
 STEP = (
     "problem_id long, iter int, final_answer string, final_score double, stopped boolean, stop_reason string"
 )
-STATE = "next_iter int, answer string, stopped boolean, open string"
+#: a state is that of neighbouring problems, this many (a power of 2) at most: a call of the state function costs far more than a row
+STATE, STATE_BITS = "problems string", 6
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -75,39 +76,47 @@ def guided_stream(candidates: DataFrame, threshold: float = 0.95, max_iters: int
     closes once all have come, in any order and over any number of batches.
     Candidates of closed iterations or stopped problems are late and dropped.
     Candidates combine before the shuffle, so a problem sends at most
-    ``max_iters`` rows per Arrow batch.
+    ``max_iters`` rows per Arrow batch. Neighbouring problem ids share a state,
+    which is read and written only when rows of one of them come.
     """
     ship_package(candidates.sparkSession)
     partial = candidates.where(F.col("iter") < max_iters).mapInPandas(_combine, CANDIDATE + ", n long")
     schema = "problem_id long, iter int, answer string, chunk string, score double, eos boolean"
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_iter, answer, stopped, held = state.get if state.exists else (0, "", False, "{}")
-        pending = {int(i): v for i, v in json.loads(held).items()}
+    def advance(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # by problem: next iteration, answer so far, open iterations; a stopped one keeps only what it takes to drop late rows
+        problems = json.loads(state.get[0]) if state.exists else {}
+        touched = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if stopped or r.iter < next_iter:
+                next_iter, _, pending = mine = problems.setdefault(str(r.problem_id), [0, "", {}])
+                if pending is None or r.iter < next_iter:
                     continue
-                seen = pending.get(r.iter, {"n": 0, "best": None, "eos": False})
-                mine = [-float(r.score), int(r.cand_idx), r.chunk]
-                seen["best"] = mine if seen["best"] is None else min(seen["best"], mine)
+                touched[int(r.problem_id)] = mine
+                seen = pending.setdefault(str(r.iter), {"n": 0, "best": None, "eos": False})
+                best = [-float(r.score), int(r.cand_idx), r.chunk]
+                seen["best"] = best if seen["best"] is None else min(seen["best"], best)
                 seen["eos"] = seen["eos"] or bool(r.eos)
                 seen["n"] += int(r.n)
                 seen["k"] = int(r.k)
-                pending[r.iter] = seen
         closed = []
-        while not stopped and next_iter in pending and pending[next_iter]["n"] >= pending[next_iter]["k"]:
-            done = pending.pop(next_iter)
-            low, _, chunk = done["best"]
-            answer += chunk
-            closed.append((key[0], next_iter, answer, chunk, -low, done["eos"]))
-            next_iter += 1
-            stopped = -low > threshold or done["eos"] or not chunk.strip() or next_iter >= max_iters
-        # a stopped problem keeps only what it takes to drop late rows
-        state.update((next_iter, "" if stopped else answer, stopped, json.dumps({} if stopped else pending)))
-        yield pd.DataFrame(closed, columns=["problem_id", "iter", "answer", "chunk", "score", "eos"])
-
-    steps = partial.groupBy("problem_id").applyInPandasWithState(
+        for problem, mine in touched.items():
+            next_iter, answer, pending = mine
+            stopped = False
+            while not stopped and (done := pending.get(str(next_iter))) and done["n"] >= done["k"]:
+                del pending[str(next_iter)]
+                low, _, chunk = done["best"]
+                answer += chunk
+                closed.append((problem, next_iter, answer, chunk, -low, done["eos"]))
+                next_iter += 1
+                stopped = -low > threshold or done["eos"] or not chunk.strip() or next_iter >= max_iters
+            mine[:] = [next_iter, "", None] if stopped else [next_iter, answer, pending]
+        state.update((json.dumps(problems),))
+        if closed:
+            yield pd.DataFrame(closed, columns=["problem_id", "iter", "answer", "chunk", "score", "eos"])
+
+    neighbours = partial.withColumn("neighbours", F.shiftright("problem_id", STATE_BITS)).groupBy("neighbours")
+    steps = neighbours.applyInPandasWithState(
         advance, schema, STATE, "append", GroupStateTimeout.NoTimeout
     )
     reason = F.coalesce(
