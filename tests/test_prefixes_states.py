@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,32 @@ def test_blocks_send_a_vector_once_and_give_the_shipped_states(spark, monkeypatc
     pooled = {r.id: r.vec for r in encode.masked_mean_pool_join(df, "id", "ids", "mask", table, "row", "vec").collect()}
     assert pooled.keys() == {0, 1, 2, 3, 4, 5, 6, 7, 99} and pooled[0] == pooled[99] == [0.0] * 5
     assert np.allclose(pooled[4], b[4, 250])
+
+
+def test_half_precision_needs_no_python_and_equals_numpy(spark):
+    bits = np.random.default_rng(3).integers(0, 1 << 32, 20_000, dtype=np.uint64).astype(np.uint32)
+    small = np.arange(0, 1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+    with np.errstate(all="ignore"):
+        between = (small[:-1] + small[1:]) / 2
+        near = np.concatenate([np.nextafter(between, np.float32(0)), np.nextafter(between, np.float32(9e9))])
+        values = np.concatenate([bits.view(np.float32), small, between, near])
+        want = values.astype(np.float16).astype(np.float32)
+    halved = encode.to_half(spark.createDataFrame([(values.tolist(),)], "vec array<float>"))
+    assert "Python" not in halved._jdf.queryExecution().executedPlan().toString()
+    got = np.array(halved.first().vec, dtype=np.float32)
+    assert np.array_equal(got, want, equal_nan=True) and (np.signbit(got) == np.signbit(want))[~np.isnan(want)].all()
+
+
+def test_states_leave_python_in_bounded_arrow_batches(spark):
+    vectors_of = encode.TokenVectors(np.random.default_rng(1).normal(size=(50, 64)).astype(np.float32))
+    lists = [list(range(n % 50)) * (n % 7) for n in range(3_000)]
+    ends = [list(range(1, len(ids) + 1)) if len(ids) else None for ids in lists]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3_000)), "ids": pa.array(lists, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+    encoder = encode.running_mean_encoder(vectors_of)
+    parts = list(encode._state_rows(batch, ["id"], "ids", "ends", encoder))
+    assert max(len(p) for p in parts) * 64 <= (1 << 20) + 300 * 64 and len(parts) > 5
+    rows = pa.Table.from_batches(parts)
+    want = [(i, n) for i, e in enumerate(ends) for n in e or ()]
+    assert list(zip(rows["id"].to_pylist(), rows["prefix_length"].to_pylist())) == want
+    whole = np.concatenate([encoder(np.array(ids)) for ids in lists if ids])
+    assert np.array_equal(rows["vec"].combine_chunks().flatten().to_numpy().reshape(-1, 64), whole)

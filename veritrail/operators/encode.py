@@ -16,9 +16,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from veritrail.functions.vectors import POOL_MIN_WEIGHT
 from veritrail.operators.skew import BROADCAST_BYTES, lookup_join, measured_bytes
@@ -28,7 +29,7 @@ Encoder = Callable[[np.ndarray], np.ndarray]
 EncoderFactory = Callable[[], "Encoder | BatchEncoder"]
 
 #: numbers that a task holds before it hands its vectors on
-CHUNK_VALUES = 1 << 22
+CHUNK_VALUES = 1 << 20
 #: distinct tokens and tokens of the sequences that meet their vectors in one group; a sequence counts a few beside its own
 BLOCK_VECTORS, BLOCK_TOKENS, ROW_TOKENS = 1 << 18, 1 << 22, 32
 
@@ -127,6 +128,19 @@ def embedding_matrix(vectors: DataFrame, row: str, vec: str, max_bytes: int = BR
     return TokenVectors(np.stack(pdf[vec].to_numpy()), pdf[row].to_numpy())
 
 
+def _split(lists: pa.Array) -> list[np.ndarray]:
+    """Arrays of a list column over its own memory; null counts as empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
+
+
+def _joined(parts: Sequence[np.ndarray]) -> pa.ListArray:
+    """List column of the rows of matrices of one width."""
+    flat = np.concatenate(parts)
+    ends = np.arange(len(flat) + 1, dtype=np.int64) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.float64, copy=False).ravel()))
+
+
 def _numbered_blocks(df: DataFrame, ids: str, vectors: int, tokens: int) -> DataFrame:
     """``df`` with ``_block``: neighbours of a partition share one until they hold so many distinct tokens or tokens.
 
@@ -137,9 +151,8 @@ def _numbered_blocks(df: DataFrame, ids: str, vectors: int, tokens: int) -> Data
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known, held = TaskContext.get().partitionId() << 32, set(), 0
         for batch in batches:
-            lists, numbers = batch.column(ids), []
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            for own in np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else ():
+            numbers = []
+            for own in _split(batch.column(ids)):
                 if len(known) >= vectors or held >= tokens:
                     block, known, held = block + 1, set(), 0
                 known.update(own.tolist())
@@ -153,7 +166,7 @@ def _numbered_blocks(df: DataFrame, ids: str, vectors: int, tokens: int) -> Data
 
 def with_block_vectors(
     df: DataFrame, ids: str, vectors: DataFrame, row: str, vec: str,
-    use: Callable[[pd.DataFrame, TokenVectors], pd.DataFrame], schema: T.StructType,
+    use: Callable[[pa.RecordBatch, TokenVectors], Iterator[pa.RecordBatch]], schema: T.StructType,
     block_vectors: int = BLOCK_VECTORS, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """``use(sequences, vectors)`` over blocks of sequences, with the vectors of the tokens of each block.
@@ -167,11 +180,16 @@ def with_block_vectors(
     table = vectors.where(F.col(vec).isNotNull()).select(F.col(row).cast("long").alias("_tok"), F.col(vec).alias("_vec"))
     met = lookup_join(wanted, table, ["_tok"])
 
-    def run(sequences: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(known["_vec"].to_numpy()) if len(known) else np.zeros((0, 0))
-        return use(sequences, TokenVectors(matrix, known["_tok"].to_numpy(dtype=np.int64)))
+    nothing = to_arrow_schema(schema).empty_table()
+
+    def run(sequences: pa.Table, known: pa.Table) -> pa.Table:
+        vecs = known.column("_vec").combine_chunks()
+        matrix = vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1) if len(vecs) else np.zeros((0, 0))
+        held = TokenVectors(matrix, known.column("_tok").to_numpy())
+        parts = [out for part in sequences.to_batches() for out in use(part, held)]
+        return pa.Table.from_batches(parts) if parts else nothing
 
-    return stored.groupBy("_block").cogroup(met.groupBy("_for")).applyInPandas(run, schema)
+    return stored.groupBy("_block").cogroup(met.groupBy("_for")).applyInArrow(run, schema)
 
 
 def table_encoder(df: DataFrame, vectors: TokenVectors) -> EncoderFactory:
@@ -189,23 +207,29 @@ def _state_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType([*_carry(df, keys), *fields])
 
 
-def _state_rows(pdf: pd.DataFrame, keys: Sequence[str], ids: str, ends: str, encoder: Encoder | BatchEncoder) -> Iterator[pd.DataFrame]:
-    """Rows ``(keys, prefix_length, vec)`` of the sequences of ``pdf``, a bounded number of vectors at a time."""
-    columns = [*keys, "prefix_length", "vec"]
-    wanted = [(i, np.asarray(w)) for i, w in enumerate(pdf[ends]) if w is not None and len(w)]
-    out: dict[str, list] = {name: [] for name in columns}
-    own = pdf[ids]
-    for k, states in _states_of(encoder, [np.asarray(own.iloc[i])[: w.max()] for i, w in wanted]):
-        i, lengths = wanted[k]
-        for name in keys:
-            out[name].extend([pdf[name].iloc[i]] * len(lengths))
-        out["prefix_length"].extend(lengths)
-        out["vec"].extend(states[lengths - 1])
-        if len(out["vec"]) * states.shape[1] >= CHUNK_VALUES:
-            yield pd.DataFrame(out)
-            out = {name: [] for name in columns}
-    if out["vec"]:
-        yield pd.DataFrame(out)
+def _state_rows(
+    batch: pa.RecordBatch, keys: Sequence[str], ids: str, ends: str, encoder: Encoder | BatchEncoder
+) -> Iterator[pa.RecordBatch]:
+    """Rows ``(keys, prefix_length, vec)`` of the sequences of ``batch``, a bounded number of vectors at a time."""
+    lengths, sequences = _split(batch.column(ends)), _split(batch.column(ids))
+    wanted = [i for i, w in enumerate(lengths) if len(w)]
+
+    def rows(which: list[int], made: list[np.ndarray]) -> pa.RecordBatch:
+        place = pa.array(np.repeat(which, [len(lengths[i]) for i in which]))
+        own = [batch.column(name).take(place) for name in keys]
+        reached = pa.array(np.concatenate([lengths[i] for i in which]), pa.int32())
+        return pa.RecordBatch.from_arrays([*own, reached, _joined(made)], names=[*keys, "prefix_length", "vec"])
+
+    which, made, held = [], [], 0
+    for k, states in _states_of(encoder, [sequences[i][: lengths[i].max()] for i in wanted]):
+        which.append(wanted[k])
+        made.append(states[lengths[wanted[k]] - 1])
+        held += made[-1].size
+        if held >= CHUNK_VALUES:
+            yield rows(which, made)
+            which, made, held = [], [], 0
+    if which:
+        yield rows(which, made)
 
 
 def states_at(
@@ -215,12 +239,12 @@ def states_at(
     ship_package(df.sparkSession)
     key_list = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = factory()
-        for pdf in batches:
-            yield from _state_rows(pdf, key_list, ids, ends, encoder)
+        for batch in batches:
+            yield from _state_rows(batch, key_list, ids, ends, encoder)
 
-    return df.select(*key_list, ids, ends).mapInPandas(run, _state_schema(df, key_list))
+    return df.select(*key_list, ids, ends).mapInArrow(run, _state_schema(df, key_list))
 
 
 def all_states(df: DataFrame, keys: Sequence[str], ids: str, factory: EncoderFactory) -> DataFrame:
@@ -270,12 +294,10 @@ def running_mean_states(
 ) -> DataFrame:
     """The default encoder's prefix states by joins, for vector tables of any size."""
     key_list = list(keys)
-    columns = [*key_list, "prefix_length", "vec"]
     needed = F.slice(F.col(ids), F.lit(1), F.coalesce(F.array_max(ends), F.lit(0)))
 
-    def use(sequences: pd.DataFrame, known: TokenVectors) -> pd.DataFrame:
-        parts = list(_state_rows(sequences, key_list, ids, ends, running_mean_encoder(known)))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+    def use(sequences: pa.RecordBatch, known: TokenVectors) -> Iterator[pa.RecordBatch]:
+        return _state_rows(sequences, key_list, ids, ends, running_mean_encoder(known))
 
     wanted = df.select(*key_list, needed.alias(ids), ends)
     return with_block_vectors(wanted, ids, vectors, row, vec, use, _state_schema(df, key_list))
@@ -353,9 +375,10 @@ def masked_mean_pool_join(
     kept = F.transform(F.filter(F.arrays_zip(ids, mask), lambda z: z[mask] == 1), lambda z: z[ids])
     width = len(vectors.select(vec).first()[0])
 
-    def use(sequences: pd.DataFrame, known: TokenVectors) -> pd.DataFrame:
-        pooled = [_pooled(np.asarray([] if s is None else s), known, width) for s in sequences[ids]]
-        return pd.DataFrame({key: sequences[key], "vec": pooled})
+    def use(sequences: pa.RecordBatch, known: TokenVectors) -> Iterator[pa.RecordBatch]:
+        if len(sequences):
+            pooled = np.stack([_pooled(s, known, width) for s in _split(sequences.column(ids))])
+            yield pa.RecordBatch.from_arrays([sequences.column(key), _joined([pooled])], names=[key, "vec"])
 
     schema = T.StructType([*_carry(df, [key]), T.StructField("vec", T.ArrayType(T.DoubleType()))])
     return with_block_vectors(df.select(key, kept.alias(ids)), ids, vectors, row, vec, use, schema)
@@ -363,10 +386,12 @@ def masked_mean_pool_join(
 
 def to_half(df: DataFrame, vec: str = "vec") -> DataFrame:
     """Round vectors to half precision, stored as FLOAT."""
-    ship_package(df.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def half(col: pd.Series) -> pd.Series:
-        return col.map(lambda a: np.asarray(a).astype(np.float16).astype(np.float32))
+    def half(x: Column) -> Column:
+        wide = x.cast("double")
+        # halves lie 2^(exponent - 10) apart, those near zero 2^-24; the largest is 65504
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(wide))), F.lit(-14)) - 10)
+        near = F.rint(wide / step) * step
+        return F.when(F.abs(wide) < 65520, near).otherwise(F.signum(wide) * float("inf")).cast("float")
 
-    return df.withColumn(vec, half(F.col(vec).cast("array<float>")))
+    return df.withColumn(vec, F.transform(F.col(vec).cast("array<float>"), half))
