@@ -231,3 +231,17 @@ def test_audit_equals_filters_in_turn(spark):
 
 def test_audit_twin(spark, sf_dir):
     assert differences(queries.op13_filter_audit(spark, sf_dir), connect(sf_dir), filter_audit.AUDIT_SQL) == []
+
+
+def test_alignment_looks_tokens_up_without_a_key(monkeypatch):
+    """Starts are places in the batch, so no lookup by document is needed as well."""
+    import pandas as pd
+
+    met, merge = [], pd.merge_asof
+    monkeypatch.setattr(pd, "merge_asof", lambda *given, **how: met.append(how) or merge(*given, **how))
+    sides = [token_alignment.Side(s) for s in queries.public_sides()]
+    texts = ["two documents", "with the same words: two documents", "", "two documents"]
+    together = token_alignment.aligned_texts(*sides, texts)
+    assert met and all("by" not in how for how in met)
+    for name in ("n_a", "n_b", "n_groups", "n_links", "distinct", "groups_sha256"):
+        assert [token_alignment.aligned_texts(*sides, [t])[name][0] for t in texts] == list(together[name])
