@@ -220,3 +220,57 @@ def test_runs_of_a_sweep_step_side_by_side(spark, data, monkeypatch):
     monkeypatch.setattr(training, "_epoch_of", waiting)
     fitted = training.train_graders(ready, {"a": config, "b": replace(config, learning_rate=0.1)})
     assert [r.run for r in fitted.history.collect()] == ["a", "b"] and fitted.optimisers["a"].step == fitted.optimisers["b"].step == 3
+
+
+def counted(monkeypatch, name):
+    calls, own = [], getattr(training, name)
+    monkeypatch.setattr(training, name, lambda *args: calls.append(args) or own(*args))
+    return calls
+
+
+def test_runs_of_a_sweep_walk_chunks_and_not_steps(spark, data, monkeypatch):
+    x, y = data
+    # 24 batches, 10 to a chunk of 480 bytes, in steps of 2, 4 and 8
+    monkeypatch.setattr(training, "CHUNK_BYTES", 10 * 2 * 6 * 4, raising=False)
+    config = training.TrainConfig(val_split=0.0, batch_size=2, epochs=1, accumulation_steps=4)
+    ready, configs = training.prepare(frame(spark, x, y), config), training.sweep_configs(config)
+    jobs = counted(monkeypatch, "step_sums")
+    got = training.train_graders(ready, configs)
+    assert ready.n_batches == 24 and not jobs
+    losses = {r.run: r.train_loss for r in got.history.collect()}
+    for name, one in configs.items():
+        p, want, _ = by_hand(x, y, one)
+        assert all(np.allclose(got.last[name].params[k], p[k], atol=1e-9) for k in p) and losses[name] == pytest.approx(want[0], abs=1e-9)
+
+
+def test_steps_wider_than_a_chunk_are_aggregates(spark, data, monkeypatch):
+    x, y = data
+    monkeypatch.setattr(training, "CHUNK_BYTES", 2 * 4 * 6 * 4, raising=False)
+    jobs = counted(monkeypatch, "step_sums")
+    config = training.TrainConfig(val_split=0.0, batch_size=4, epochs=1, learning_rate=0.01, accumulation_steps=5)
+    ready = training.prepare(frame(spark, x, y), config)
+    got = training.train_grader(ready)
+    p, losses, _ = by_hand(x, y, config)
+    assert ready.chunk_batches == 2 and len(jobs) == 3
+    assert all(np.allclose(got.last["run"].params[k], p[k], atol=1e-9) for k in p)
+    assert got.history.first().train_loss == pytest.approx(losses[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("odd", [None, np.nan, np.inf, -np.inf, 3e38])
+@pytest.mark.parametrize("row", [5, 46])
+def test_sums_of_a_chunk_equal_the_aggregates(spark, data, odd, row):
+    x, y = data[0].copy(), data[1]
+    if odd is not None:
+        x[row, 2] = odd
+    w = np.random.default_rng(2).normal(size=7) * (1e300 if odd == 3e38 else 1)
+    want = training.step_sums(frame(spark, x, y).selectExpr("vec", "cast(label as double) label", "id div 20 batch_id"), w, 4).first()
+    grad, loss, cells, ends_finite = gm.batch_sums(x, y, y == 1, np.array([0, 20, 40]), w, 4)
+    assert np.allclose(grad, want.grad, rtol=1e-12, atol=1e-12) and loss == pytest.approx(want.loss, rel=1e-12)
+    assert cells.tolist() == [want.tp, want.fp, want.tn, want.fn] and ends_finite == want.ends_finite
+
+
+def test_missing_numbers_in_a_vector_are_refused(spark, data):
+    vec = "transform(vec, (v, i) -> if(id = 9 and i = 2, null, v)) vec"
+    ready = training.prepare(frame(spark, *data).selectExpr("id", vec, "label"), training.TrainConfig(val_split=0.0, batch_size=8, epochs=1, accumulation_steps=2))
+    with pytest.raises(Exception, match="missing numbers"):
+        training.train_grader(ready)

@@ -146,6 +146,29 @@ def logits(spec: GraderSpec, p: Params, x: np.ndarray, running: Params | None =
     return _apply(p, "out", h)[:, 0]
 
 
+def batch_sums(
+    x: np.ndarray, y: np.ndarray, good: np.ndarray, starts: np.ndarray, weights: np.ndarray, accumulation: int
+) -> tuple[np.ndarray, float, np.ndarray, bool]:
+    """Sums of a linear grader over batches: gradient, loss, confusion counts, and whether the last batch is finite.
+
+    Rows of a batch stand together from the row in ``starts``; ``weights`` has
+    the bias last. A batch whose loss is not finite adds nothing.
+    """
+    x, sizes = np.asarray(x, dtype=np.float64), np.diff(starts, append=len(y))
+    with np.errstate(all="ignore"):
+        z = x @ weights[:-1] + weights[-1]
+        prob = 1.0 / (1.0 + np.exp(-z))
+        loss = np.add.reduceat(np.maximum(z, 0.0) - z * y + np.log1p(np.exp(-np.abs(z))), starts) / sizes
+    finite = np.isfinite(loss)
+    per_row = np.repeat(sizes * accumulation, sizes)
+    if not finite.all():
+        kept = np.repeat(finite, sizes)
+        x, y, good, prob, per_row = x[kept], y[kept], good[kept], prob[kept], per_row[kept]
+    slope, hit = (prob - y) / per_row, prob > 0.5
+    cells = np.array([np.count_nonzero(c) for c in (hit & good, hit & ~good, ~hit & ~good, ~hit & good)])
+    return np.append(slope @ x, slope.sum()), float(loss[finite].sum()), cells, bool(finite[-1])
+
+
 @dataclass
 class AdamW:
     """Decoupled weight decay on the reduced gradient; holds weights-sized state."""

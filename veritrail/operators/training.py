@@ -1,20 +1,26 @@
 """Distributed training of linear graders.
 
-An update step is one job of aggregates over the rows of its batches: losses,
-counts and gradients combine on executors, no row is shuffled, and the driver
-sees one row of ``width + 1`` sums. Clipping, AdamW and the cosine rate act on
-those few numbers. Runs of a sweep share the split and the epoch tables.
+Steps follow one another. Those of few rows are taken chunk by chunk: one task
+reads a chunk of bounded size and takes all its steps, and weights, moments and
+sums of the run travel on to the next chunk. A step wider than a chunk, or that
+is all of an epoch, is one job of aggregates over the rows of its batches:
+losses, counts and gradients combine on executors, no row is shuffled, and the
+driver sees one row of ``width + 1`` sums. Clipping, AdamW and the cosine rate
+act on those few numbers in both. Runs of a sweep share the split and the epoch
+tables.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -25,10 +31,10 @@ from veritrail.functions.vectors import as_double, bind, dot, sigmoid, width_che
 from veritrail.operators import metrics
 from veritrail.operators.grade import Grader, linear_grader, score
 from veritrail.operators.ordering import with_epoch_batches, with_split
-from veritrail.session import drop_scratch, scratch_path, written_table
+from veritrail.session import drop_scratch, scratch_path, ship_package, written_table
 
-#: bytes of a row group of an epoch table, so that a step reads about its own rows at any table size
-ROW_GROUP_BYTES = 1 << 20
+#: bytes of vectors in a chunk of an epoch table, which one task holds and steps through
+CHUNK_BYTES = 1 << 24
 CELLS = ("tp", "fp", "tn", "fn")
 #: settings that runs of one sweep have in common, since they share batches
 SHARED = ("val_split", "batch_size", "epochs", "seed", "split_by")
@@ -64,20 +70,23 @@ class Prepared:
     def n_batches(self) -> int:
         return math.ceil(self.n_train / self.config.batch_size)
 
+    @property
+    def chunk_batches(self) -> int:
+        """Batches to a chunk of an epoch table."""
+        return max(1, CHUNK_BYTES // (4 * max(1, self.in_dim) * self.config.batch_size))
+
     @contextmanager
     def epoch_rows(self, epoch: int) -> Iterator[DataFrame]:
-        """Rows reshuffled for the epoch, in ranges of batches; removed once its steps are done.
+        """Rows reshuffled for the epoch, in chunks of batches; removed once its steps are done.
 
-        Files are sorted by batch, so a step's filter on ``batch_id`` prunes
-        all row groups but its own.
+        Every chunk is a folder, so a filter on ``chunk`` opens no other file.
         """
-        batched = with_epoch_batches(self.train, "id", self.config.batch_size, self.config.seed, epoch).select("vec", "label", "batch_id")
+        batched = with_epoch_batches(self.train, "id", self.config.batch_size, self.config.seed, epoch)
+        batched = batched.select("vec", "label", "batch_id", F.expr(f"batch_id div {self.chunk_batches}").alias("chunk"))
         spark = batched.sparkSession
         path = scratch_path(spark, f"epoch{epoch}")
         try:
-            ordered = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-            ordered.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-            yield spark.read.schema(batched.schema).parquet(path)
+            yield written_table(batched.repartition("chunk"), f"epoch{epoch}", "chunk", path=path)
         finally:
             drop_scratch(spark, path)
 
@@ -212,13 +221,62 @@ def rate_after(config: TrainConfig, epoch: int) -> float:
     return floor + (config.learning_rate - floor) * (1 + math.cos(math.pi * epoch / config.epochs)) / 2
 
 
-def _epoch_of(run: _Run, rows: DataFrame, n_batches: int, rate: float) -> tuple[float, np.ndarray]:
+def _steps_of_rows(run: _Run, rows: pa.Table, size: int, n_batches: int, rate: float) -> tuple[float, np.ndarray]:
+    """Update steps of ``size`` batches over the rows of a chunk, in any order.
+
+    A step that goes on in the next chunk leaves its gradient in the run. Losses
+    and confusion counts are those before each update.
+    """
+    vec = rows["vec"].combine_chunks().flatten()
+    if vec.null_count:
+        raise ValueError("training vectors must not have missing numbers")
+    order = np.argsort(rows["batch_id"].to_numpy(), kind="stable")
+    batch, label, good = (rows[c].to_numpy()[order] for c in ("batch_id", "label", "good"))
+    x = vec.to_numpy(zero_copy_only=False).reshape(len(batch), -1)[order]
+    # first row of every batch, and first batch of every step
+    starts = np.flatnonzero(np.diff(batch, prepend=-1))
+    firsts = np.flatnonzero(np.diff(batch[starts] // size, prepend=-1))
+    loss, cells = 0.0, np.zeros(len(CELLS))
+    for own in np.split(starts, firsts[1:]):
+        last = int(batch[own[-1]])
+        at = slice(own[0], np.searchsorted(batch, last, "right"))
+        grad, part, counts, ends_finite = gm.batch_sums(x[at], label[at], good[at], own - own[0], run.weights(), run.config.accumulation_steps)
+        whole = (last + 1) % size == 0 or last + 1 == n_batches
+        apply_step(run, grad, whole and ends_finite, rate)
+        loss += part
+        cells += counts
+    return loss, cells
+
+
+def _chunk_of(run: _Run, rows: DataFrame, size: int, n_batches: int, rate: float) -> tuple[float, np.ndarray]:
+    """All update steps of a chunk in one task, which hands back the state of the run."""
+    ship_package(rows.sparkSession)
+    sent = _Run(run.config, run.params, run.optimiser, run.carried)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _steps_of_rows(sent, pa.Table.from_batches(batches), size, n_batches, rate)
+        yield pa.RecordBatch.from_pydict({"state": [pickle.dumps((sent.params, sent.optimiser, sent.carried, *sums))]})
+
+    narrow = rows.select("batch_id", "label", (F.col("label").cast("int") == 1).alias("good"), "vec")
+    state = narrow.coalesce(1).mapInArrow(walk, "state binary").collect()[0]["state"]
+    run.params, run.optimiser, run.carried, loss, cells = pickle.loads(state)
+    return loss, cells
+
+
+def _epoch_of(run: _Run, rows: DataFrame, n_batches: int, chunk_batches: int, rate: float) -> tuple[float, np.ndarray]:
     """All update steps of an epoch; the mean batch loss and the confusion counts before each update."""
     config = run.config
     size = config.accumulation_steps if config.step_batches is None else config.step_batches or n_batches
     loss, cells = 0.0, np.zeros(len(CELLS))
+    if size < min(n_batches, chunk_batches):
+        for chunk in range(math.ceil(n_batches / chunk_batches)):
+            part, counts = _chunk_of(run, rows.where(F.col("chunk") == chunk), size, n_batches, rate)
+            loss += part
+            cells += counts
+        return loss / n_batches, cells
     for first in range(0, n_batches, size):
-        step = rows.where(F.col("batch_id").between(first, first + size - 1))
+        last = first + size - 1
+        step = rows.where(F.col("chunk").between(first // chunk_batches, last // chunk_batches) & F.col("batch_id").between(first, last))
         sums = step_sums(step, run.weights(), config.accumulation_steps).first()
         apply_step(run, np.asarray(sums["grad"]), sums["ends_finite"], rate)
         loss += sums["loss"]
@@ -243,14 +301,17 @@ def train_graders(
     runs = {name: _Run(c, dict(start), gm.AdamW(c.weight_decay)) for name, c in configs.items()}
     history: list[tuple] = []
     for epoch in range(1, base.epochs + 1):
-        # runs of an epoch do not depend on each other: their steps are short jobs side by side
+        # runs of an epoch do not depend on each other: their chunks and tests are short jobs side by side
         with prepared.epoch_rows(epoch) as rows, ThreadPoolExecutor(len(runs)) as pool:
-            steps = {name: pool.submit(_epoch_of, run, rows, prepared.n_batches, rate_after(run.config, epoch - 1)) for name, run in runs.items()}
+            sizes = prepared.n_batches, prepared.chunk_batches
+            steps = {name: pool.submit(_epoch_of, run, rows, *sizes, rate_after(run.config, epoch - 1)) for name, run in runs.items()}
             done = {name: step.result() for name, step in steps.items()}
+            tests = {name: pool.submit(_validate, prepared.val, run.grader()) for name, run in runs.items() if prepared.val is not None}
+            tested = {name: test.result() for name, test in tests.items()}
         for name, run in runs.items():
             loss, cells = done[name]
             train_rates = _rates(*cells)
-            val_loss, val_rates = _validate(prepared.val, run.grader()) if prepared.val is not None else (None, None)
+            val_loss, val_rates = tested.get(name, (None, None))
             history.append((name, epoch, loss, train_rates, rate_after(run.config, epoch), val_loss, val_rates))
             f1 = (val_rates or train_rates)["f1"]
             is_best = f1 > run.best_f1
