@@ -1,7 +1,10 @@
 import hashlib
 import math
 import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from hypothesis import strategies as st
 
 from veritrail.functions import grader_math as gm
 from veritrail.operators import grade, training
+from veritrail.session import ship_package
 from veritrail.sources import models
 
 SPECS = [
@@ -274,3 +278,19 @@ def test_missing_numbers_in_a_vector_are_refused(spark, data):
     ready = training.prepare(frame(spark, *data).selectExpr("id", vec, "label"), training.TrainConfig(val_split=0.0, batch_size=8, epochs=1, accumulation_steps=2))
     with pytest.raises(Exception, match="missing numbers"):
         training.train_grader(ready)
+
+
+def test_the_package_is_sent_once_whichever_threads_ask():
+    sent = []
+
+    class Context:
+        applicationId = "only this test"
+
+        def addPyFile(self, path):
+            sent.append(path)
+            time.sleep(0.2)
+
+    session = SimpleNamespace(sparkContext=Context())
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(ship_package, [session] * 4))
+    assert len(sent) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -37,23 +38,25 @@ def build_session(app: str = "veritrail", master: str | None = None, **conf: str
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context.
+    """Send this package to the Python workers, once per Spark context, whichever threads ask.
 
     Does what ``--py-files`` does, for sessions started without it.
     """
     sc = spark.sparkContext
-    if _shipped.get(sc.applicationId):
-        return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="veritrail-code-")) / "veritrail.zip"
-    with zipfile.ZipFile(target, "w") as bundle:
-        for source in sorted(root.rglob("*.py")):
-            bundle.write(source, source.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(target))
-    _shipped[sc.applicationId] = True
+    with _shipping:
+        if _shipped.get(sc.applicationId):
+            return
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="veritrail-code-")) / "veritrail.zip"
+        with zipfile.ZipFile(target, "w") as bundle:
+            for source in sorted(root.rglob("*.py")):
+                bundle.write(source, source.relative_to(root.parent).as_posix())
+        sc.addPyFile(str(target))
+        _shipped[sc.applicationId] = True
 
 
 _shipped: dict[str, bool] = {}
+_shipping = threading.Lock()
 
 
 def spread(df: DataFrame) -> DataFrame:
