@@ -247,6 +247,23 @@ def test_runs_of_a_sweep_walk_chunks_and_not_steps(spark, data, monkeypatch):
         assert all(np.allclose(got.last[name].params[k], p[k], atol=1e-9) for k in p) and losses[name] == pytest.approx(want[0], abs=1e-9)
 
 
+@pytest.mark.parametrize("bad", [None, 3, 11, 20, 40])
+def test_short_steps_cost_a_job_to_a_chunk_and_cross_its_end(spark, data, monkeypatch, bad):
+    x, y = data[0].copy(), data[1]
+    if bad is not None:
+        x[bad] = np.nan
+    # 12 batches, 5 to a chunk of 480 bytes: the steps of batches 3-5 and 9-11 lie in two chunks each
+    monkeypatch.setattr(training, "CHUNK_BYTES", 5 * 4 * 6 * 4, raising=False)
+    jobs, chunks = counted(monkeypatch, "step_sums"), counted(monkeypatch, "_chunk_of") if hasattr(training, "_chunk_of") else []
+    config = training.TrainConfig(val_split=0.0, batch_size=4, epochs=2, learning_rate=0.01, accumulation_steps=3)
+    ready = training.prepare(frame(spark, x, y).repartition(3), config)
+    got = training.train_grader(ready)
+    assert ready.n_batches == 12 and not jobs and len(chunks) == 2 * 3
+    p, losses, _ = by_hand(x, y, config)
+    assert all(np.isfinite(v).all() and np.allclose(v, p[k], atol=1e-9) for k, v in got.last["run"].params.items())
+    assert [r.train_loss for r in got.history.orderBy("epoch").collect()] == pytest.approx(losses, abs=1e-9)
+
+
 def test_steps_wider_than_a_chunk_are_aggregates(spark, data, monkeypatch):
     x, y = data
     monkeypatch.setattr(training, "CHUNK_BYTES", 2 * 4 * 6 * 4, raising=False)
